@@ -7,7 +7,7 @@ Pass 1 sketches, pass 2 groups exactly, pass 3 cuts.
    count of the window, and neighbouring windows share keys, which makes the sketch four times smaller. The sketches are
    merged, shard by shard, and only one bit per cell, "two or more", is broadcast: ``2 * 2**bits`` bits, at most 64 MB at
    the default ``max_bits``.
-2. Windows estimated to repeat are grouped by 128 bits of hash, exactly. Within a chunk of a task, all but the smallest
+2. Windows estimated to repeat are grouped by 96 bits of hash, exactly. Within a chunk of a task, all but the smallest
    document of a window are settled at once, so a window reaches the exchange once per chunk at most, however often it
    occurs: a hot passage makes no hot key.
 3. Covered words leave their documents.
@@ -31,7 +31,7 @@ from quire.llm.text import CHUNK, WINDOW_BASES, binary_view, fmix, input_bytes,
 ROWS = 2
 SHARD_BITS = 20
 #: Minimisers that a task gathers before it ships a part of its sketch.
-FLUSH = 1 << 21
+FLUSH = 1 << 19
 SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
 
 
@@ -132,7 +132,7 @@ def repeated_cells(texts: DataFrame, window: int, anchor: int, bits: int) -> np.
 
 def _candidates(batches: Iterator[pa.RecordBatch], window: int, anchor: int, bits: int, sketch) -> Iterator[pa.RecordBatch]:
     table = np.frombuffer(sketch.value, np.uint8).reshape(ROWS, -1)
-    names = ["h1", "h2", "doc_id", "text_hash", "first", "n", "settled"]
+    names = ["h1", "h2", "doc_id", "place", "n"]
 
     def resolved(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h1, h2, doc, code, pos = (np.concatenate(x) for x in zip(*held))
@@ -149,14 +149,14 @@ def _candidates(batches: Iterator[pa.RecordBatch], window: int, anchor: int, bit
             if settled:
                 take = take[np.lexsort((pos[take], code[take], doc[take]))]
                 d, c, p = doc[take], code[take], pos[take]
+                # settled windows travel as runs, with their length; the others have length 0
                 new = np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1] + 1)]
                 at = np.flatnonzero(new)
                 take, length = take[at], np.diff(np.r_[at, len(new)])
             else:
-                length = np.ones(len(take), np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(h1[take].view(np.int64)), pa.array(h2[take].view(np.int64)), pa.array(doc[take]), pa.array(code[take]), pa.array(pos[take].astype(np.int32)), pa.array(length.astype(np.int32)), pa.array(np.full(len(take), settled))], names
-            )
+                length = np.zeros(len(take), np.int64)
+            place = (code[take].astype(np.int64) << 32) | pos[take]
+            yield pa.RecordBatch.from_arrays([pa.array(h1[take].view(np.int64)), pa.array(h2[take].view(np.int32)), pa.array(doc[take]), pa.array(place), pa.array(length.astype(np.int32))], names)
 
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
@@ -174,7 +174,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], window: int, anchor: int, bit
             take = likely[where]
             where, owner = where[take], owner[take]
             ids, codes = part.column("doc_id").to_numpy(zero_copy_only=False), part.column("text_hash").to_numpy(zero_copy_only=False)
-            held.append((rolled(hashes, window, WINDOW_BASES[0])[where], rolled(hashes, window, WINDOW_BASES[1])[where], ids[owner], codes[owner], where - first[owner]))
+            held.append((rolled(hashes, window, WINDOW_BASES[0])[where], (rolled(hashes, window, WINDOW_BASES[1])[where] >> np.uint64(32)).astype(np.uint32), ids[owner], codes[owner], where - first[owner]))
             size += len(where)
             if size >= FLUSH:
                 yield from resolved(held)
@@ -226,10 +226,11 @@ def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 7, max_bits
     texts = docs.select("doc_id", whole_text().alias("bytes"), F.hash("text").alias("text_hash"))
     seen = texts.where(F.col("doc_id").isNotNull())
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(seen.select("bytes"), window, anchor, bits).tobytes())
-    found = seen.mapInArrow(lambda it: _candidates(it, window, anchor, bits, sketch), "h1 long, h2 long, doc_id long, text_hash int, first int, n int, settled boolean")
+    found = seen.mapInArrow(lambda it: _candidates(it, window, anchor, bits, sketch), "h1 long, h2 int, doc_id long, place long, n int")
     least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
-    doomed = found.withColumn("least", least).where(F.col("settled") | (F.col("doc_id") > F.col("least")))
-    spans = doomed.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("first", "n")).alias("spans"))
+    doomed = found.withColumn("least", least).where((F.col("n") > 0) | (F.col("doc_id") > F.col("least")))
+    span = F.struct(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("first"), F.greatest("n", F.lit(1)).alias("n"))
+    spans = doomed.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("text_hash")).agg(F.collect_list(span).alias("spans"))
     joined = texts.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "bytes", "spans")
     out = joined.mapInArrow(lambda it: _cut(it, window), "doc_id long, n_words long, n_removed long, kept_text binary, removed array<struct<first:int,end:int>>")
     return out.withColumn("kept_text", F.col("kept_text").cast("string"))

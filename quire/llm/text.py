@@ -2,7 +2,7 @@
 
 Words are maximal runs of bytes other than the six ASCII white-space bytes of ``bytes.split()``. A word's hash is a
 polynomial over its bytes followed by a 64-bit finaliser; window hashes are polynomials over word hashes with two
-different multipliers, so two windows are taken for equal only if 128 bits agree.
+different multipliers, so two windows are taken for equal only if both agree.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text hashed at a time: bounds a worker's arrays at about a dozen times this.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 WINDOW_BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
