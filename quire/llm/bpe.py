@@ -3,14 +3,16 @@
 In a BPE encoding each token is fixed by the one before it: a sequence of tokens is the encoding of its bytes exactly if
 each neighbouring pair is the encoding of the pair's own bytes. So the last token of the encoding of a prefix is the one
 token that ends there and pairs validly with the last token of what precedes it. A transducer state holds, for every place
-where a token that is not yet complete may have begun, its trie node and the tokens pending up to there. Tokens on which
-all those places agree are emitted; no place lies further back than the longest token, so lookahead is bounded. States and
-arcs are built when first met and kept up to a bound; past it the machine starts afresh.
+where a token that is not yet complete may have begun, its trie node and the token before it; an arc gives the token that
+ends at the byte read. Tokens are emitted at the end of a piece, in a long one as soon as all those places agree on them:
+no place lies further back than the longest token, so lookahead is bounded. States and arcs are built when first met and
+kept up to a bound; past it the machine starts afresh.
 """
 
 from __future__ import annotations
 
 import base64
+import gc
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from itertools import chain
@@ -40,44 +42,42 @@ def merged(piece: bytes, ranks: dict[bytes, int], below: int = 1 << 60) -> list[
     return parts
 
 
+#: Bytes read at most before tokens are emitted.
+LOOKAHEAD = 4096
+
+
 class Transducer:
     """Encodes pieces; ``states`` bounds the arcs and states that are kept, ``memo`` the pieces whose output is kept."""
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 60_000, memo: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 200_000, memo: int = 150_000):
         self.ranks, self.limit = ranks, states
-        self.children: list[dict[int, int]] = [{}]
+        self.trie: dict[int, int] = {}
         self.token_at: list[int] = [-1]
+        self.depth: list[int] = [0]
+        self.open: list[bool] = [True]
         self.bytes_of = {rank: token for token, rank in ranks.items()}
         for token, rank in ranks.items():
             node = 0
             for byte in token:
-                nxt = self.children[node].get(byte)
+                nxt = self.trie.get(node << 8 | byte)
                 if nxt is None:
-                    nxt = self.children[node][byte] = len(self.children)
-                    self.children.append({})
+                    nxt = self.trie[node << 8 | byte] = len(self.depth)
+                    self.open[node] = True
                     self.token_at.append(-1)
+                    self.depth.append(self.depth[node] + 1)
+                    self.open.append(False)
                 node = nxt
             self.token_at[node] = rank
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}
         self.split: dict[int, tuple[int, int] | None] = {}
         self.memo = _Memo(self, memo)
         self._fresh()
 
     def _fresh(self) -> None:
-        self.numbers: dict[tuple, int] = {}
-        self.keys: list[tuple] = []
-        self.arcs: list[dict[int, tuple[int, tuple[int, ...]]]] = []
-        self.finals: list[tuple[int, ...]] = []
-        self._state((-1, ((0, ()),)))
-
-    def _state(self, key: tuple) -> int:
-        number = self.numbers.get(key)
-        if number is None:
-            number = self.numbers[key] = len(self.keys)
-            self.keys.append(key)
-            self.arcs.append({})
-            self.finals.append(key[1][-1][1])
-        return number
+        # a state is a tuple of places, each a trie node << 24 | the token before it plus one
+        self.numbers: dict[tuple[int, ...], int] = {(0,): 0}
+        self.keys: list[tuple[int, ...]] = [(0,)]
+        self.arcs: dict[int, int] = {}
 
     def _halves(self, token: int) -> tuple[int, int] | None:
         """The two tokens that merging joins last on the way to this one; none for a byte, or if merging never makes it."""
@@ -89,12 +89,12 @@ class Transducer:
 
     def valid(self, left: int, token: int) -> bool:
         """Whether the two tokens encode their own bytes; with left -1, whether the token does."""
-        known = self.pairs.get((left, token))
+        known = self.pairs.get(left << 24 | token)
         if known is None:
             if len(self.pairs) > 1_000_000:
                 self.pairs.clear()
             alone = len(self.bytes_of[token]) == 1 or self._halves(token) is not None
-            known = self.pairs[left, token] = alone and (left < 0 or self._stays_apart(left, token))
+            known = self.pairs[left << 24 | token] = alone and (left < 0 or self._stays_apart(left, token))
         return known
 
     def _stays_apart(self, a: int, b: int) -> bool:
@@ -113,28 +113,46 @@ class Transducer:
                 # of equal ranks the leftmost goes first, so across the border comes before inside b
                 b, before = other[0], b + 1
 
-    def _arc(self, number: int, byte: int) -> tuple[int, tuple[int, ...]]:
-        left, places = self.keys[number]
-        going, done = [], None
-        for node, pending in places:
-            child = self.children[node].get(byte)
+    def _arc(self, number: int, byte: int) -> int:
+        """The next state << 24 | the token that ends the encoding of what has been read with this byte."""
+        going, last = [], -1
+        for place in self.keys[number]:
+            child = self.trie.get(place >> 24 << 8 | byte)
             if child is None:
                 continue
+            left = place & 0xFFFFFF
             token = self.token_at[child]
-            if token >= 0 and done is None and self.valid(pending[-1] if pending else left, token):
-                done = pending + (token,)
-            if self.children[child]:
-                going.append((child, pending))
-        if done is None:
+            if last < 0 <= token and self.valid(left - 1, token):
+                last = token
+            if self.open[child]:
+                going.append(child << 24 | left)
+        if last < 0:
             raise ValueError("the ranks lack a single byte or are no BPE vocabulary")
-        going.append((0, done))
+        going.append(last + 1)
+        key = tuple(going)
+        target = self.numbers.get(key)
+        if target is None:
+            target = self.numbers[key] = len(self.keys)
+            self.keys.append(key)
+        arc = self.arcs[number << 8 | byte] = target << 24 | last
+        return arc
+
+    def _chain(self, lasts: list[int], end: int) -> list[int]:
+        """The encoding of the first ``end`` bytes, of which each has its last token in ``lasts``."""
+        out = []
+        while end:
+            out.append(lasts[end - 1])
+            end -= len(self.bytes_of[lasts[end - 1]])
+        return out[::-1]
+
+    def _settled(self, lasts: list[int], state: int) -> list[int]:
+        """The tokens on which all places agree where a token that has not ended may have begun; their bytes leave ``lasts``."""
+        chains = [self._chain(lasts, len(lasts) - self.depth[place >> 24]) for place in self.keys[state]]
         shared = 0
-        shortest = min(len(p) for _, p in going)
-        while shared < shortest and all(p[shared] == done[shared] for _, p in going):
+        while all(len(c) > shared and c[shared] == chains[0][shared] for c in chains):
             shared += 1
-        sent = done[:shared]
-        key = (sent[-1] if sent else left, tuple((node, p[shared:]) for node, p in going))
-        return self._state(key), sent
+        del lasts[: sum(len(self.bytes_of[t]) for t in chains[0][:shared])]
+        return chains[0][:shared]
 
     def encode_piece(self, piece: bytes) -> tuple[int, ...]:
         """One piece's ids. A piece that is a token as a whole is that token, as merging may be unable to reach it."""
@@ -143,34 +161,38 @@ class Transducer:
             return (whole,)
         if len(self.keys) > self.limit:
             self._fresh()
-        state, arcs, out = 0, self.arcs, []
+        state, get, lasts, out = 0, self.arcs.get, [], []
         for byte in piece:
-            arc = arcs[state].get(byte)
+            arc = get(state << 8 | byte)
             if arc is None:
-                arc = arcs[state][byte] = self._arc(state, byte)
-            state, sent = arc
-            if sent:
-                out += sent
-        return (*out, *self.finals[state])
+                arc = self._arc(state, byte)
+            state = arc >> 24
+            lasts.append(arc & 0xFFFFFF)
+            if len(lasts) == LOOKAHEAD:
+                out += self._settled(lasts, state)
+        return (*out, *self._chain(lasts, len(lasts)))
 
     def encode(self, text: str, pattern: regex.Pattern) -> Iterable[int]:
         return chain.from_iterable(map(self.memo.__getitem__, pattern.findall(text)))
 
 
 class _Memo(dict):
-    """Outputs of pieces met before, up to a bound."""
+    """Outputs of pieces met before: those of late, up to a bound, and as many of earlier."""
 
     def __init__(self, machine: Transducer, limit: int):
         super().__init__()
-        self.machine, self.limit = machine, limit
+        self.machine, self.limit, self.earlier = machine, limit, {}
 
     def __missing__(self, piece: str) -> tuple[int, ...]:
+        out = self.earlier.get(piece)
+        if out is None:
+            out = self.machine.encode_piece(piece.encode())
+            if len(piece) > 64:
+                return out
         if len(self) >= self.limit:
+            self.earlier = dict(self)
             self.clear()
-        raw = piece.encode()
-        out = self.machine.encode_piece(raw)
-        if len(raw) <= 64:
-            self[piece] = out
+        self[piece] = out
         return out
 
 
@@ -244,6 +266,15 @@ def _pattern(source: str) -> regex.Pattern:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, source: str) -> Iterator[pa.RecordBatch]:
     machine, pattern = _machine(path), _pattern(source)
+    # the machine holds many small objects and no cycles: looking for cycles again and again would take half the time
+    gc.disable()
+    try:
+        yield from _encoded_batches(batches, machine, pattern)
+    finally:
+        gc.enable()
+
+
+def _encoded_batches(batches: Iterator[pa.RecordBatch], machine: Transducer, pattern: regex.Pattern) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in row_chunks(batch, "bytes", 2 * CHUNK):
             flat, ends = [], [0]
@@ -266,7 +297,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 
 
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    table = _machine(path).bytes_of
+    table = {rank: token for token, rank in load_ranks(path).items()}
     utf8 = Utf8Machine()
     for batch in batches:
         for low in range(0, batch.num_rows, 1000):

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from quire.llm import substring_dedup
+from quire.llm import bpe, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op7_byte_bpe": bpe.query,
 }
 ORACLES: dict[str, str] = {}
