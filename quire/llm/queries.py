@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import bpe, substring_dedup
+from quire.llm import bagminhash, bpe, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op7_byte_bpe": bpe.query,
+    "op10_bagminhash": bagminhash.query,
 }
 ORACLES: dict[str, str] = {}
