@@ -7,6 +7,7 @@ different multipliers, so two windows are taken for equal only if both agree.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,6 +41,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the checkpoint folder: as ``checkpointed``, but compressed and by columns."""
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    path = f"{folder}/{context.applicationId}-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's estimate of the input's size, as whole files: no job is run for it."""
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
@@ -92,13 +102,23 @@ def row_chunks(batch: pa.RecordBatch, column: str, limit: int = CHUNK) -> Iterat
         low = high
 
 
+def lower_ascii(buf: np.ndarray) -> np.ndarray:
+    return np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
+
+
 def word_hashes(buf: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of all words, and the index of each text's first word, with the end."""
+    hashes, first, _ = words(buf, at, lower)
+    return hashes, first
+
+
+def words(buf: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As ``word_hashes``, and where each word ends."""
     n = len(buf)
     if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(len(at), np.int64), np.zeros(0, np.int64)
     if lower:
-        buf = np.where((buf >= 65) & (buf <= 90), buf + 32, buf).astype(np.uint8)
+        buf = lower_ascii(buf)
     ink = ~SPACE[buf]
     edge = np.zeros(n + 1, bool)
     edge[at] = True
@@ -111,7 +131,7 @@ def word_hashes(buf: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[n
     sums[0] = 0
     np.cumsum(_byte_values()[buf] * up[:n], out=sums[1:])
     hashes = fmix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, at).astype(np.int64)
+    return hashes, np.searchsorted(starts, at).astype(np.int64), ends
 
 
 def rolled(hashes: np.ndarray, width: int, base: np.uint64) -> np.ndarray:
