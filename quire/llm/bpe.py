@@ -49,7 +49,7 @@ LOOKAHEAD = 4096
 class Transducer:
     """Encodes pieces; ``states`` bounds the arcs and states that are kept, ``memo`` the pieces whose output is kept."""
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 200_000, memo: int = 150_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 200_000, memo: int = 300_000):
         self.ranks, self.limit = ranks, states
         self.trie: dict[int, int] = {}
         self.token_at: list[int] = [-1]
@@ -299,12 +299,20 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
 def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
     table = {rank: token for token, rank in load_ranks(path).items()}
     utf8 = Utf8Machine()
+    # from the start state a token of whole characters leads back to it: texts of such tokens need no steps
+    partial = frozenset(rank for rank, token in table.items() if Utf8Machine().feed(token).encode() != token)
+
+    def text(ids: list[int]) -> str:
+        if partial.isdisjoint(ids):
+            return b"".join(map(table.__getitem__, ids)).decode()
+        return utf8.decode(map(table.__getitem__, ids))
+
     for batch in batches:
         for low in range(0, batch.num_rows, 1000):
             part = batch.slice(low, 1000)
             ids = part.column("ids")
             flat, at = ids.flatten().to_numpy(), np.r_[0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy())]
-            texts = [utf8.decode(map(table.__getitem__, flat[a:b].tolist())) for a, b in zip(at, at[1:])]
+            texts = [text(flat[a:b].tolist()) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
 
