@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quire.llm import bagminhash, bpe, hmm_lm, substring_dedup
+from quire.llm import bagminhash, bpe, hmm_lm, packing, substring_dedup
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
+    "op2_packing": packing.query,
     "op6_hmm_language_model": hmm_lm.query,
     "op7_byte_bpe": bpe.query,
     "op10_bagminhash": bagminhash.query,
