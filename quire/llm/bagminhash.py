@@ -7,10 +7,11 @@ hierarchy, is not above it. A component's signature is the first point it sees,
 probability equal to their weighted Jaccard similarity. Points are drawn in order of time until the time exceeds the
 largest first point of any component: about one and a half per shingle of a usual text.
 
-Join. Signatures are banded. Documents with equal multisets are one node from the start. In every bucket each node is
-compared with the smallest one; verified links give components; in buckets that then still hold several components, all
-pairs across components are compared by signature, in blocks, and verified as well. So each pair of nodes that share a
-bucket is either in one component or has been compared, without writing the pairs within a group of copies.
+Join. Signatures are banded. Documents with equal multisets are one node from the start. Of the smallest nodes of its
+buckets, each node is compared with the one most alike; verified links give components. Then, in buckets that hold several
+components, each node is compared with those most alike in other components, by signature in blocks and if close enough by
+their texts: with one, then 8, 64 ... of them, until no node has had to leave any out. So each pair of nodes that share a
+bucket is in one component or has been compared, without writing the pairs within a group of copies.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from quire.llm.text import WINDOW_BASES, binary_view, checkpointed, fmix, inside
 BANDS, ROWS = 30, 5
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 #: Shingles signed at a time.
-GROUP = 1 << 19
+GROUP = 1 << 18
 #: Share of agreeing components under which a pair is not verified: over four deviations below 0.8.
 LOOSE = 0.65
 BLOCK = 512
@@ -155,24 +156,30 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _agreement(batches: Iterator[pa.RecordBatch], loose: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
-        yield batch.select(["a", "b"]).filter(pa.array((a == b).mean(axis=1) >= loose))
+        share = (a == b).mean(axis=1) if batch.num_rows else np.zeros(0)
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], ["a", "b", "share"]).filter(pa.array(share >= loose))
 
 
-def _across(batches: Iterator[pa.RecordBatch], loose: float) -> Iterator[pa.RecordBatch]:
-    """Pairs of different components within each (key, i, j), which come sorted and hold two blocks of nodes at most."""
+def _across(batches: Iterator[pa.RecordBatch], loose: float, most: int) -> Iterator[pa.RecordBatch]:
+    """For each node of a (key, i, j), of those in other components the ``most`` alike; more: whether there are others.
+
+    Rows come sorted by (key, i, j), each of which holds two blocks of nodes at most.
+    """
     held: list[tuple] = []
 
     def pairs() -> pa.RecordBatch:
         sig = np.frombuffer(b"".join(r[3] for r in held), "<u2").reshape(len(held), -1)
         node, part, block = (np.array([r[i] for r in held]) for i in (1, 2, 4))
-        group = held[0][0]
-        out: list[tuple[int, int]] = []
+        inner = held[0][0][1] == held[0][0][2]
+        out: list[tuple[int, int, bool]] = []
         for x in range(len(held)):
-            other = np.flatnonzero((part > part[x]) & ((block != block[x]) | (group[1] == group[2])))
+            other = np.flatnonzero((part != part[x]) & ((block != block[x]) | inner))
             if len(other):
-                hit = other[(sig[other] == sig[x]).mean(axis=1) >= loose]
-                out += [(max(node[x], node[y]), min(node[x], node[y])) for y in hit]
-        return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+                share = (sig[other] == sig[x]).mean(axis=1)
+                hit = np.flatnonzero(share >= loose)
+                best = hit[np.argsort(-share[hit], kind="stable")][:most]
+                out += [(max(node[x], node[y]), min(node[x], node[y]), len(hit) > most) for y in other[best]]
+        return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in out], pa.int64()) for i in (0, 1)] + [pa.array([p[2] for p in out], pa.bool_())], ["a", "b", "more"])
 
     for batch in batches:
         for r in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "part", "sig", "block"))):
@@ -262,27 +269,35 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, bands:
 
     def likely(pairs: DataFrame) -> DataFrame:
         two = pairs.join(sigs.select(F.col("node").alias("a"), F.col("sig").alias("sig_a")), "a").join(sigs.select(F.col("node").alias("b"), F.col("sig").alias("sig_b")), "b")
-        return two.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _agreement(it, loose), "a long, b long")
+        return two.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _agreement(it, loose), "a long, b long, share double")
 
-    tried = checkpointed(likely(pairs))
+    # the likeliest of a node's pairs first: most others are then within a component
+    tried = checkpointed(likely(pairs).groupBy("a").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b")))
     # of rows with one id, each text is a node under its own id only if it is the first with its multiset
     unique = known.dropDuplicates(["doc_id"]) if signed.count() != signed.select("doc_id").distinct().count() else known
     links = checkpointed(verified(unique, tried, width, least).select("a", "b"))
     parts = checkpointed(components(links))
 
-    member = nodes.select("node", F.explode("bands").alias("key")).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    mixed = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x < y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    mixed = checkpointed(mixed)
-    if mixed.limit(1).count():
+    most = 1
+    while True:
+        member = nodes.select("node", F.explode("bands").alias("key")).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+        mixed = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x < y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
         placed = member.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
         spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "part", "block")
         spread = spread.join(sigs, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        late = spread.select("key", "i", "j", "node", "part", "sig", "block").mapInArrow(lambda it: _across(it, loose), "a long, b long")
-        late = checkpointed(late.distinct().join(tried, ["a", "b"], "left_anti"))
-        if late.limit(1).count():
-            links = checkpointed(links.unionByName(verified(unique, late, width, least).select("a", "b")))
+        near = spread.select("key", "i", "j", "node", "part", "sig", "block").mapInArrow(lambda it, most=most: _across(it, loose, most), "a long, b long, more boolean")
+        late = checkpointed(near.groupBy("a", "b").agg(F.max("more").alias("more")).join(tried.select("a", "b", F.lit(True).alias("known")), ["a", "b"], "left"))
+        new, more = late.agg(F.count(F.when(F.col("known").isNull(), 1)), F.max("more")).first()
+        if new:
+            fresh = late.where("known is null").select("a", "b")
+            found = checkpointed(verified(unique, fresh, width, least).select("a", "b"))
+            tried = tried.unionByName(fresh)
+            links = links.unionByName(found)
             parts = checkpointed(components(links))
+        if not more:
+            break
+        most *= 8
 
     classes = checkpointed(nodes.select("f1", "f2", "node").join(parts, "node", "left").select("f1", "f2", F.coalesce("part", "node").alias("class_id")))
     held = signed.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"])
