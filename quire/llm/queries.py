@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quire.llm import bagminhash, bpe, hmm_lm, packing, substring_dedup, toxicity
+from quire.llm import bagminhash, bpe, hmm_lm, license_scan, packing, substring_dedup, toxicity
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_packing": packing.query,
+    "op3_license_scan": license_scan.query,
     "op4_toxicity": toxicity.query,
     "op6_hmm_language_model": hmm_lm.query,
     "op7_byte_bpe": bpe.query,
