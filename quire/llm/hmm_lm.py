@@ -306,11 +306,19 @@ def score(docs: DataFrame, top: int = TOP, states: int = STATES, rounds: int = R
     counts = texts.where("not held_out").select("bytes").mapInArrow(_counted, "h long, kind int, c long")
     counts = written(counts.groupBy("h").agg(F.min("kind").alias("kind"), F.sum("c").alias("c")))
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent = counts.orderBy(F.desc("c"), "h").limit(top).collect()
+    # sixty-four steps to a doubling of the count: a few thousand rows at most, whatever the corpus
+    step = F.floor(F.log2("c") * 64)
+    left, least = top, None
+    for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
+        left -= r["n"]
+        if left < 0:
+            break
+        least = r["step"]
+    often_rows = [] if least is None else counts.where(step >= least).collect()  # at most ``top`` rows
+    frequent = sorted(often_rows, key=lambda r: (-r["c"], r["h"]))
     keys = np.array([r["h"] for r in frequent], np.int64).view(np.uint64)
     often = np.array([r["c"] for r in frequent], float)
-    least = (often[-1], frequent[-1]["h"]) if len(frequent) == top else (-1, 0)
-    rare = counts.where((F.col("c") < least[0]) | ((F.col("c") == least[0]) & (F.col("h") > least[1])))
+    rare = counts if least is None else counts.where(step < least)
     classes = rare.groupBy("kind").agg(F.sum("c").alias("class_n"), F.count("*").alias("class_v"))
     in_class = {r["kind"]: r["class_n"] for r in classes.collect()}
     share = np.r_[often, [in_class.get(k, 0) for k in range(CLASSES)]] + 0.5
