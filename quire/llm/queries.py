@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
-from quire.llm import bagminhash, bpe, hmm_lm, license_scan, packing, substring_dedup, toxicity
+from quire.llm import bagminhash, bpe, flac, hmm_lm, license_scan, packing, substring_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
     "op2_packing": packing.query,
     "op3_license_scan": license_scan.query,
     "op4_toxicity": toxicity.query,
+    "op5_flac": flac.query,
     "op6_hmm_language_model": hmm_lm.query,
     "op7_byte_bpe": bpe.query,
+    "op8_exact_top_k": topk.query,
+    "op9_warc_zip": warc.query,
     "op10_bagminhash": bagminhash.query,
 }
-ORACLES: dict[str, str] = {}
+ORACLES = {"op8_exact_top_k": topk.SQL}
