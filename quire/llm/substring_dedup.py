@@ -5,7 +5,7 @@ Pass 1 sketches, pass 2 groups exactly, pass 3 cuts.
 1. Every input partition counts its word windows in a Count-min sketch. A window's key in the sketch is its minimiser, the
    smallest hash of its seven-word runs: equal windows have equal minimisers, so the count of the key is never below the
    count of the window, and neighbouring windows share keys, which makes the sketch four times smaller. The sketches are
-   merged, shard by shard, and only one bit per cell, "two or more", is broadcast: ``2 * 2**bits`` bits, at most 64 MB at
+   merged, shard by shard, and only one bit per cell, "two or more", is broadcast: ``3 * 2**bits`` bits, at most 96 MB at
    the default ``max_bits``.
 2. Windows estimated to repeat are grouped by 96 bits of hash, exactly. Within a chunk of a task, all but the smallest
    document of a window are settled at once, so a window reaches the exchange once per chunk at most, however often it
@@ -28,11 +28,11 @@ from pyspark.sql import functions as F
 
 from quire.llm.text import CHUNK, WINDOW_BASES, binary_view, fmix, input_bytes, inside, rolled, row_chunks, whole_text, word_hashes
 
-ROWS = 2
+ROWS = 3
 SHARD_BITS = 20
 #: Minimisers that a task gathers before it ships a part of its sketch.
 FLUSH = 1 << 19
-SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))
+SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
 
 def minimisers(hashes: np.ndarray, window: int, anchor: int) -> np.ndarray:
@@ -184,7 +184,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], window: int, anchor: int, bit
 
 
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
-    names = ["doc_id", "n_words", "n_removed", "kept_text", "removed"]
+    names = ["doc_id", "n_words", "n_removed", "kept_text", "removed", "rest"]
     for batch in batches:
         for part in row_chunks(batch, "bytes", 4 * CHUNK):
             n_words, n_removed, kept, removed = [], [], [], []
@@ -208,32 +208,35 @@ def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBa
                 edge = np.flatnonzero(np.diff(np.r_[False, gone, False]))
                 removed.append([{"first": int(a), "end": int(b)} for a, b in zip(edge[::2], edge[1::2])])
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())])))], names
+                [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()), pa.array(removed, pa.list_(pa.struct([("first", pa.int32()), ("end", pa.int32())]))), part.column("rest")], names
             )
 
 
-def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 7, max_bits: int = 28, bits: int | None = None) -> DataFrame:
+def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 7, max_bits: int = 28, bits: int | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Removes from each document the words covered by a window that also starts in a document with a smaller doc_id.
 
     Returns one row per row of ``docs`` (columns used: doc_id, text; others are ignored): doc_id, n_words, n_removed,
-    kept_text (kept words joined by one space) and removed (spans of word indexes, end exclusive). Windows are judged on
+    kept_text (kept words joined by one space), removed (spans of word indexes, end exclusive) and, if columns to ``carry``
+    are named, rest, a struct of them. Windows are judged on
     the input. Null and empty texts have no words; a text of fewer words than a window keeps all. Rows with equal
     doc_id never remove words from each other, and each is returned. Rows with a null doc_id are kept whole and remove
     nothing. ``bits`` is the base-two logarithm of the sketch's width; by default it follows the input's size, up to
     ``max_bits``.
     """
     bits = bits or max(12, min(max_bits, math.ceil(math.log2(max(2, input_bytes(docs)))) - 2))
-    texts = docs.select("doc_id", whole_text().alias("bytes"), F.hash("text").alias("text_hash"))
-    seen = texts.where(F.col("doc_id").isNotNull())
+    rest = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(None).cast("int").alias("none"))
+    texts = docs.select("doc_id", whole_text().alias("bytes"), F.hash("text").alias("text_hash"), rest.alias("rest"))
+    seen = texts.where(F.col("doc_id").isNotNull()).select("doc_id", "bytes", "text_hash")
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(seen.select("bytes"), window, anchor, bits).tobytes())
     found = seen.mapInArrow(lambda it: _candidates(it, window, anchor, bits, sketch), "h1 long, h2 int, doc_id long, place long, n int")
     least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     doomed = found.withColumn("least", least).where((F.col("n") > 0) | (F.col("doc_id") > F.col("least")))
     span = F.struct(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("first"), F.greatest("n", F.lit(1)).alias("n"))
     spans = doomed.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("text_hash")).agg(F.collect_list(span).alias("spans"))
-    joined = texts.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "bytes", "spans")
-    out = joined.mapInArrow(lambda it: _cut(it, window), "doc_id long, n_words long, n_removed long, kept_text binary, removed array<struct<first:int,end:int>>")
-    return out.withColumn("kept_text", F.col("kept_text").cast("string"))
+    joined = texts.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "bytes", "spans", "rest")
+    schema = f"doc_id long, n_words long, n_removed long, kept_text binary, removed array<struct<first:int,end:int>>, rest {joined.schema['rest'].dataType.simpleString()}"
+    out = joined.mapInArrow(lambda it: _cut(it, window), schema)
+    return out.withColumn("kept_text", F.col("kept_text").cast("string")).drop(*([] if carry else ["rest"]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
