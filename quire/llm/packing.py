@@ -9,6 +9,8 @@ padding.
 
 from __future__ import annotations
 
+import gc
+from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -18,6 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quire.llm.bpe import Splitter
 from quire.llm.text import row_chunks, whole_text
 
 LENGTH, GROUP = 4096, 2048
@@ -36,10 +39,10 @@ class WordTokenizer:
     """
 
     #: The vocabulary's own split, and characters whose lower case and class are beyond doubt.
-    SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+    SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ſ‐-‧€]*")
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -48,30 +51,55 @@ class WordTokenizer:
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.kind = np.dtype("<u2" if len(self.last) <= 1 << 16 else "<u4")
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.keep, self.known = keep, {}
+        self.split = Splitter(self.SPLIT).quick.findall
+        self.known = _Known(keep)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
     def _learn(self, new: list[str]) -> None:
-        ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, self.kind)
-        ends = np.flatnonzero(self.last[ids]) + 1
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
+        ends = ((np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize).tolist()
         if len(ends) == len(new):
-            self.known.update(zip(new, (ids[a:b].tobytes() for a, b in zip(np.r_[0, ends[:-1]], ends))))
+            raw = ids.tobytes()
+            self.known.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends))))
         else:
             self.known.update((word, self._whole(word)) for word in new)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, two or four bytes each."""
         plain = [self.PLAIN.fullmatch(x) is not None and not any(s in x for s in self.special) for x in texts]
-        words = [self.SPLIT.findall(x.lower()) if ok else [] for x, ok in zip(texts, plain)]
-        if len(self.known) > self.keep:
-            self.known = {}
-        new = set().union(*words) - self.known.keys()
-        if new:
-            self._learn(sorted(new))
+        words = [self.split(x.lower()) if ok else [] for x, ok in zip(texts, plain)]
+        for w in words:
+            deque(map(self.known.__getitem__, w), 0)
+        if self.known.new:
+            self._learn(self.known.new)
         get = self.known.__getitem__
-        return [b"".join(map(get, w)) if ok else self._whole(x) for x, w, ok in zip(texts, words, plain)]
+        out = [b"".join(map(get, w)) if ok else self._whole(x) for x, w, ok in zip(texts, words, plain)]
+        self.known.turn()
+        return out
+
+
+class _Known(dict):
+    """Outputs of words met of late and, up to as many, of earlier ones. A new word is noted and stands empty at first."""
+
+    def __init__(self, keep: int):
+        super().__init__()
+        self.keep, self.earlier, self.new = keep, {}, []
+
+    def __missing__(self, word: str) -> bytes:
+        out = self.earlier.get(word)
+        if out is None:
+            self.new.append(word)
+            out = b""
+        self[word] = out
+        return out
+
+    def turn(self) -> None:
+        self.new = []
+        if len(self) > self.keep:
+            self.earlier = dict(self)
+            self.clear()
 
 
 @lru_cache(1)
@@ -162,6 +190,8 @@ def packed(sizes: list[int], length: int = LENGTH) -> list[list[Piece]]:
 
 def _tokens(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     tokenizer = _tokenizer(path)
+    # it holds many small objects and no cycles
+    gc.disable()
     stop = np.array([end], tokenizer.kind).tobytes()
     for batch in batches:
         for part in row_chunks(batch, "bytes", PIECE):
