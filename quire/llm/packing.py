@@ -10,7 +10,6 @@ padding.
 from __future__ import annotations
 
 import gc
-from collections import deque
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,46 +56,47 @@ class WordTokenizer:
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
 
-    def _learn(self, new: list[str]) -> None:
+    def _learn(self, new: list[str]) -> list[bytes]:
         ids = np.array(self.tokenizer.encode_batch_fast([" ".join(new)], add_special_tokens=False)[0].ids, self.kind)
         ends = ((np.flatnonzero(self.last[ids]) + 1) * self.kind.itemsize).tolist()
-        if len(ends) == len(new):
-            raw = ids.tobytes()
-            self.known.update(zip(new, (raw[a:b] for a, b in zip([0, *ends], ends))))
-        else:
-            self.known.update((word, self._whole(word)) for word in new)
+        if len(ends) != len(new):
+            return [self._whole(word) for word in new]
+        raw = ids.tobytes()
+        return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Ids of each text, two or four bytes each."""
         plain = [self.PLAIN.fullmatch(x) is not None and not any(s in x for s in self.special) for x in texts]
         words = [self.split(x.lower()) if ok else [] for x, ok in zip(texts, plain)]
-        for w in words:
-            deque(map(self.known.__getitem__, w), 0)
-        if self.known.new:
-            self._learn(self.known.new)
-        get = self.known.__getitem__
-        out = [b"".join(map(get, w)) if ok else self._whole(x) for x, w, ok in zip(texts, words, plain)]
+        found = [list(map(self.known.__getitem__, w)) for w in words]
+        if self.known.holes:
+            self.known.fill(self._learn(list(self.known.holes)))
+        out = [b"".join(f) if ok else self._whole(x) for x, f, ok in zip(texts, found, plain)]
         self.known.turn()
         return out
 
 
 class _Known(dict):
-    """Outputs of words met of late and, up to as many, of earlier ones. A new word is noted and stands empty at first."""
+    """Outputs of words met of late and, up to as many, of earlier ones. A new word gets a hole that is filled later."""
 
     def __init__(self, keep: int):
         super().__init__()
-        self.keep, self.earlier, self.new = keep, {}, []
+        self.keep, self.earlier, self.holes = keep, {}, {}
 
-    def __missing__(self, word: str) -> bytes:
+    def __missing__(self, word: str) -> bytes | bytearray:
         out = self.earlier.get(word)
         if out is None:
-            self.new.append(word)
-            out = b""
+            out = self.holes[word] = bytearray()
         self[word] = out
         return out
 
+    def fill(self, outputs: list[bytes]) -> None:
+        for (word, hole), out in zip(self.holes.items(), outputs):
+            hole[:] = out
+            self[word] = out
+        self.holes = {}
+
     def turn(self) -> None:
-        self.new = []
         if len(self) > self.keep:
             self.earlier = dict(self)
             self.clear()
