@@ -9,9 +9,9 @@ largest first point of any component: about one and a half per shingle of a usua
 
 Join. Signatures are banded. Documents with equal multisets are one node from the start. Of the smallest nodes of its
 buckets, each node is compared with the one most alike; verified links give components. Then, in buckets that hold several
-components, each node is compared with those most alike in other components, by signature in blocks and if close enough by
-their texts: with one, then 8, 64 ... of them, until no node has had to leave any out. So each pair of nodes that share a
-bucket is in one component or has been compared, without writing the pairs within a group of copies.
+components, nodes of different ones are compared in blocks, by signature and if close enough by their shingles, and of the
+links between a node and a component one is written, to be verified by the texts. So each pair of nodes that share a bucket
+is in one component or has been compared, without writing the pairs within a group of copies.
 """
 
 from __future__ import annotations
@@ -160,35 +160,59 @@ def _agreement(batches: Iterator[pa.RecordBatch], loose: float) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], ["a", "b", "share"]).filter(pa.array(share >= loose))
 
 
-def _across(batches: Iterator[pa.RecordBatch], loose: float, most: int) -> Iterator[pa.RecordBatch]:
-    """For each node of a (key, i, j), of those in other components the ``most`` alike; more: whether there are others.
+def _grams(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """The multiset of each text's shingles as sorted 32-bit hashes, one for each occurrence."""
+    for batch in batches:
+        for part in row_chunks(batch, "bytes"):
+            owner, values, weight = shingles(*binary_view(part.column("bytes")), width)
+            nth = np.arange(int(weight.sum())) - np.repeat(np.cumsum(weight) - weight, weight)
+            codes = (fmix(np.repeat(values, weight) + nth.astype(np.uint64) * GOLDEN) >> np.uint64(32)).astype("<u4")
+            ends = np.searchsorted(np.repeat(owner, weight), np.arange(part.num_rows + 1))
+            grams = [np.sort(codes[a:b]).tobytes() for a, b in zip(ends, ends[1:])]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(grams, pa.binary())], ["node", "grams"])
+
 
-    Rows come sorted by (key, i, j), each of which holds two blocks of nodes at most.
+def _across(batches: Iterator[pa.RecordBatch], loose: float, least: float, rows: int) -> Iterator[pa.RecordBatch]:
+    """Links of nodes to other components within each (key, i, j): for a node and a component one, if there is any.
+
+    Rows come sorted by (key, i, j), each of which holds two blocks of nodes at most. A pair that shares several buckets is
+    compared in that of the first band in which it agrees.
     """
     held: list[tuple] = []
 
-    def pairs() -> pa.RecordBatch:
+    def links() -> pa.RecordBatch:
+        _, i, j = held[0][0]
         sig = np.frombuffer(b"".join(r[3] for r in held), "<u2").reshape(len(held), -1)
-        node, part, block = (np.array([r[i] for r in held]) for i in (1, 2, 4))
-        inner = held[0][0][1] == held[0][0][2]
-        out: list[tuple[int, int, bool]] = []
+        node, part, block = (np.array([r[k] for r in held]) for k in (1, 2, 4))
+        grams = [np.frombuffer(r[5], "<u4") for r in held]
+        size = np.array([len(g) for g in grams])
+        band = held[0][6]
+        out: list[tuple[int, int]] = []
         for x in range(len(held)):
-            other = np.flatnonzero((part != part[x]) & ((block != block[x]) | inner))
-            if len(other):
-                share = (sig[other] == sig[x]).mean(axis=1)
-                hit = np.flatnonzero(share >= loose)
-                best = hit[np.argsort(-share[hit], kind="stable")][:most]
-                out += [(max(node[x], node[y]), min(node[x], node[y]), len(hit) > most) for y in other[best]]
-        return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in out], pa.int64()) for i in (0, 1)] + [pa.array([p[2] for p in out], pa.bool_())], ["a", "b", "more"])
+            other = np.flatnonzero((part > part[x]) & ((block != block[x]) | (i == j)) & (np.minimum(size, size[x]) >= least * np.maximum(size, size[x])))
+            if not len(other):
+                continue
+            same = sig[other] == sig[x]
+            share = same.mean(axis=1)
+            first = same.reshape(len(other), -1, rows).all(axis=2).argmax(axis=1)
+            good = (share >= loose) & (first == band)
+            done = set()
+            for y in other[good][np.argsort(-share[good], kind="stable")]:
+                if part[y] not in done:
+                    shared = len(np.intersect1d(grams[x], grams[y], True))
+                    if shared >= least * (size[x] + size[y] - shared):
+                        done.add(part[y])
+                        out.append((max(node[x], node[y]), min(node[x], node[y])))
+        return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "part", "sig", "block"))):
+        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "part", "sig", "block", "grams", "band"))):
             if held and held[0][0] != r[:3]:
-                yield pairs()
+                yield links()
                 held = []
             held.append((r[:3], *r[3:]))
     if held:
-        yield pairs()
+        yield links()
 
 
 def _overlap(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Iterator[pa.RecordBatch]:
@@ -208,13 +232,15 @@ def _overlap(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Ite
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(similar)], ["a", "b", "similarity"]).filter(keep)
 
 
+def few(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """The rows of ``docs`` with such doc_ids, which are broadcast if they are few enough."""
+    return docs.join(F.broadcast(ids) if ids.count() <= SEND else ids, "doc_id", "left_semi")
+
+
 def verified(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
     """Of distinct pairs (a, b) those at least so similar, with similarity. ``docs``: doc_id, bytes, one row per id that matters."""
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), "a", "b"), F.struct(F.col("b").alias("doc_id"), "a", "b"))).alias("e")).select("e.*")
-    ids = ends.select("doc_id").distinct()
-    if ids.count() <= SEND:
-        docs = docs.join(F.broadcast(ids), "doc_id", "left_semi")
-    held = ends.join(docs, "doc_id").select("a", "b", "doc_id", "bytes")
+    held = ends.join(few(docs, ends.select("doc_id").distinct()), "doc_id").select("a", "b", "doc_id", "bytes")
     sides = held.groupBy("a", "b").agg(F.max(F.when(F.col("doc_id") == F.col("a"), F.col("bytes"))).alias("text_a"), F.max(F.when(F.col("doc_id") == F.col("b"), F.col("bytes"))).alias("text_b"))
     return sides.mapInArrow(lambda it: _overlap(it, width, least), "a long, b long, similarity double")
 
@@ -278,26 +304,18 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, bands:
     links = checkpointed(verified(unique, tried, width, least).select("a", "b"))
     parts = checkpointed(components(links))
 
-    most = 1
-    while True:
-        member = nodes.select("node", F.explode("bands").alias("key")).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-        mixed = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x < y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-        placed = member.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-        spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-        spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "part", "block")
-        spread = spread.join(sigs, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-        near = spread.select("key", "i", "j", "node", "part", "sig", "block").mapInArrow(lambda it, most=most: _across(it, loose, most), "a long, b long, more boolean")
-        late = checkpointed(near.groupBy("a", "b").agg(F.max("more").alias("more")).join(tried.select("a", "b", F.lit(True).alias("known")), ["a", "b"], "left"))
-        new, more = late.agg(F.count(F.when(F.col("known").isNull(), 1)), F.max("more")).first()
-        if new:
-            fresh = late.where("known is null").select("a", "b")
-            found = checkpointed(verified(unique, fresh, width, least).select("a", "b"))
-            tried = tried.unionByName(fresh)
-            links = links.unionByName(found)
-            parts = checkpointed(components(links))
-        if not more:
-            break
-        most *= 8
+    member = nodes.select("node", F.posexplode("bands").alias("band", "key")).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    mixed = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x < y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    placed = checkpointed(member.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    there = few(unique, placed.select(F.col("node").alias("doc_id")).distinct())
+    detail = sigs.join(there.mapInArrow(lambda it: _grams(it, width), "node long, grams binary"), "node")
+    spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "part", "block", "band")
+    spread = spread.join(detail, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    late = spread.select("key", "i", "j", "node", "part", "sig", "block", "grams", "band").mapInArrow(lambda it: _across(it, loose, least, rows), "a long, b long")
+    found = checkpointed(verified(unique, checkpointed(late.distinct()), width, least).select("a", "b"))
+    if found.limit(1).count():
+        parts = checkpointed(components(links.unionByName(found)))
 
     classes = checkpointed(nodes.select("f1", "f2", "node").join(parts, "node", "left").select("f1", "f2", F.coalesce("part", "node").alias("class_id")))
     held = signed.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"])
