@@ -1,6 +1,6 @@
 """A hidden Markov language model: Baum-Welch across partitions, exact likelihood by the scaled forward recursion.
 
-States emit symbols: each of the ``TOP`` most frequent training words is one, every other word falls in one of ``CLASSES``
+States emit symbols: each of the ``TOP`` most frequent training words, seen three times or more, is one, every other word falls in one of ``CLASSES``
 classes by its last two bytes and emits its class, then itself by its share of the class. So the emission table has a fixed
 size, and a word's probability in state s is P(class | s) * (c + 0.5) / (N_class + 0.5 * (V_class + 1)). The counts of
 all words stay in a table; only the frequent words, the class totals and the model are sent to executors.
@@ -28,6 +28,8 @@ END = np.uint64(0x5851F42D4C957F2D)
 GATHER = 1 << 20
 RUN = 1024
 SHARD = 1024
+#: 64 * log2(3): rarer words are told by their class, whose share also serves for words not seen at all.
+STEADY = 101
 #: Weight of the corpus's own distribution in a state's emissions, in tokens.
 PRIOR = 100.0
 
@@ -311,7 +313,7 @@ def score(docs: DataFrame, top: int = TOP, states: int = STATES, rounds: int = R
     left, least = top, None
     for r in counts.groupBy(step.alias("step")).agg(F.count("*").alias("n")).orderBy(F.desc("step")).collect():
         left -= r["n"]
-        if left < 0:
+        if left < 0 or r["step"] < STEADY:
             break
         least = r["step"]
     often_rows = [] if least is None else counts.where(step >= least).collect()  # at most ``top`` rows
