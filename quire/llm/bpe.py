@@ -50,7 +50,7 @@ LOOKAHEAD = 4096
 class Transducer:
     """Encodes pieces; ``states`` bounds the arcs and states that are kept, ``memo`` the pieces whose output is kept."""
 
-    def __init__(self, ranks: dict[bytes, int], states: int = 200_000, memo: int = 400_000):
+    def __init__(self, ranks: dict[bytes, int], states: int = 150_000, memo: int = 300_000):
         self.ranks, self.limit = ranks, states
         self.trie: dict[int, int] = {}
         self.token_at: list[int] = [-1]
