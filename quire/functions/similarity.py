@@ -7,9 +7,10 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y, False).ratio() for x, y in zip(a, b)], dtype="float64")
 
@@ -23,7 +24,7 @@ def similarity(a: Column, b: Column) -> Column:
     return _ratio(bare(a), bare(b))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _nfkc(c: pd.Series) -> pd.Series:
     return c.str.normalize("NFKC").str.casefold()
 

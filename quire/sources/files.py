@@ -26,7 +26,7 @@ def write_text(df: DataFrame, path: str, column: str = "text") -> None:
 
 
 def discover(spark: SparkSession, path: str, recursive: bool = True, pattern: str = "*") -> DataFrame:
-    """Files below the path, once for each name regardless of case, with hash and size."""
+    """Files below the path, once for each name regardless of case, with hash and size. Files of no bytes are none."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).option("pathGlobFilter", pattern).load(path)
     once = files.withColumn("_n", F.row_number().over(Window.partitionBy(F.lower("path")).orderBy("path"))).where("_n = 1")
     return once.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
