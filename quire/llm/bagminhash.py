@@ -9,8 +9,8 @@ largest first point of any component: about one and a half per shingle of a usua
 
 Join. Signatures are banded. Documents with equal multisets are one node from the start. Of the smallest nodes of its
 buckets, each node is compared with the one most alike; verified links give components. Then, in buckets that hold several
-components, nodes of different ones are compared in blocks, by signature and if close enough by their shingles, and of the
-links between a node and a component one is written, to be verified by the texts. So each pair of nodes that share a bucket
+components, nodes of different ones are compared in blocks, by signature and if close enough by their shingles, and as many
+links are written as join them, to be verified by the texts. So each pair of nodes that share a bucket
 is in one component or has been compared, without writing the pairs within a group of copies.
 """
 
@@ -173,7 +173,7 @@ def _grams(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
 
 
 def _across(batches: Iterator[pa.RecordBatch], loose: float, least: float, rows: int) -> Iterator[pa.RecordBatch]:
-    """Links of nodes to other components within each (key, i, j): for a node and a component one, if there is any.
+    """Links between components within each (key, i, j), as few as join what can be joined there.
 
     Rows come sorted by (key, i, j), each of which holds two blocks of nodes at most. A pair that shares several buckets is
     compared in that of the first band in which it agrees.
@@ -188,21 +188,22 @@ def _across(batches: Iterator[pa.RecordBatch], loose: float, least: float, rows:
         size = np.array([len(g) for g in grams])
         band = held[0][6]
         out: list[tuple[int, int]] = []
-        for x in range(len(held)):
-            other = np.flatnonzero((part > part[x]) & ((block != block[x]) | (i == j)) & (np.minimum(size, size[x]) >= least * np.maximum(size, size[x])))
+        for x in range(len(held) - 1):
+            # what is linked here becomes one component here
+            other = x + 1 + np.flatnonzero((part[x + 1 :] != part[x]) & ((block[x + 1 :] != block[x]) | (i == j)))
+            other = other[np.minimum(size[other], size[x]) >= least * np.maximum(size[other], size[x])]
             if not len(other):
                 continue
             same = sig[other] == sig[x]
             share = same.mean(axis=1)
             first = same.reshape(len(other), -1, rows).all(axis=2).argmax(axis=1)
-            good = (share >= loose) & (first == band)
-            done = set()
-            for y in other[good][np.argsort(-share[good], kind="stable")]:
-                if part[y] not in done:
+            good = np.flatnonzero((share >= loose) & (first == band))
+            for y in other[good[np.argsort(-share[good], kind="stable")]]:
+                if part[y] != part[x]:
                     shared = len(np.intersect1d(grams[x], grams[y], True))
                     if shared >= least * (size[x] + size[y] - shared):
-                        done.add(part[y])
                         out.append((max(node[x], node[y]), min(node[x], node[y])))
+                        part[part == part[y]] = part[x]
         return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     for batch in batches:
