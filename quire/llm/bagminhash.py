@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.text import WINDOW_BASES, binary_view, checkpointed, fmix, inside, rolled, row_chunks, whole_text, word_hashes
+from quire.llm.text import WINDOW_BASES, binary_view, checkpointed, fmix, inside, lean, rolled, row_chunks, trimmed, whole_text, word_hashes
 
 BANDS, ROWS = 30, 5
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -243,7 +243,7 @@ def verified(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> Dat
     ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), "a", "b"), F.struct(F.col("b").alias("doc_id"), "a", "b"))).alias("e")).select("e.*")
     held = ends.join(few(docs, ends.select("doc_id").distinct()), "doc_id").select("a", "b", "doc_id", "bytes")
     sides = held.groupBy("a", "b").agg(F.max(F.when(F.col("doc_id") == F.col("a"), F.col("bytes"))).alias("text_a"), F.max(F.when(F.col("doc_id") == F.col("b"), F.col("bytes"))).alias("text_b"))
-    return sides.mapInArrow(lambda it: _overlap(it, width, least), "a long, b long, similarity double")
+    return sides.mapInArrow(lambda it: trimmed(_overlap(it, width, least)), "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -284,9 +284,9 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, bands:
     come back with a null class, kept. Of rows with the same doc_id, one is kept if the id stands for its class; if their
     texts differ, the id belongs to the smallest of their classes.
     """
-    texts = docs.select("doc_id", whole_text().alias("bytes"))
+    texts = lean(docs).select("doc_id", whole_text().alias("bytes"))
     known = texts.where(F.col("doc_id").isNotNull())
-    signed = checkpointed(known.mapInArrow(lambda it: _signed(it, width, bands, rows), "doc_id long, f1 long, f2 long, bands array<long>, sig binary"))
+    signed = checkpointed(known.mapInArrow(lambda it: trimmed(_signed(it, width, bands, rows)), "doc_id long, f1 long, f2 long, bands array<long>, sig binary"))
     nodes = checkpointed(signed.groupBy("f1", "f2").agg(F.min_by(F.struct("doc_id", "bands", "sig"), "doc_id").alias("n")).select("f1", "f2", F.col("n.doc_id").alias("node"), "n.bands", "n.sig"))
 
     stars = nodes.select("node", "bands").mapInArrow(_stars, "key long, node long, to long")
@@ -309,11 +309,11 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, bands:
     mixed = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x < y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     placed = checkpointed(member.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
     there = few(unique, placed.select(F.col("node").alias("doc_id")).distinct())
-    detail = sigs.join(there.mapInArrow(lambda it: _grams(it, width), "node long, grams binary"), "node")
+    detail = sigs.join(there.mapInArrow(lambda it: trimmed(_grams(it, width)), "node long, grams binary"), "node")
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "part", "block", "band")
     spread = spread.join(detail, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    late = spread.select("key", "i", "j", "node", "part", "sig", "block", "grams", "band").mapInArrow(lambda it: _across(it, loose, least, rows), "a long, b long")
+    late = spread.select("key", "i", "j", "node", "part", "sig", "block", "grams", "band").mapInArrow(lambda it: trimmed(_across(it, loose, least, rows)), "a long, b long")
     found = checkpointed(verified(unique, checkpointed(late.distinct()), width, least).select("a", "b"))
     if found.limit(1).count():
         parts = checkpointed(components(links.unionByName(found)))

@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import CHUNK, row_chunks, whole_text
+from quire.llm.text import CHUNK, lean, row_chunks, whole_text
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -321,7 +321,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     Null and empty texts give an empty array; null and repeated doc_ids pass through. Other columns are ignored. The
     vocabulary file must be at ``ranks_path`` on every worker.
     """
-    texts = docs.select("doc_id", whole_text().alias("bytes"))
+    texts = lean(docs).select("doc_id", whole_text().alias("bytes"))
     return texts.mapInArrow(lambda it: _encoded(it, ranks_path, pattern), "doc_id long, ids array<int>")
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import row_chunks, whole_text
+from quire.llm.text import lean, row_chunks, whole_text
 
 BLOCK = 576
 RATE = 8000
@@ -378,7 +378,7 @@ def store(docs: DataFrame) -> DataFrame:
 
     One row per row of ``docs`` (columns used: doc_id, text). Null and empty texts are one block of padding.
     """
-    texts = docs.select("doc_id", whole_text().alias("bytes"))
+    texts = lean(docs).select("doc_id", whole_text().alias("bytes"))
     return texts.mapInArrow(_stored, "doc_id long, n_bytes long, media binary")
 
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import binary_view, fmix, lower_ascii, row_chunks, whole_text, words, written
+from quire.llm.text import binary_view, fmix, lean, lower_ascii, row_chunks, whole_text, words, written
 
 TOP, CLASSES, STATES, ROUNDS = 49_152, 1_024, 8, 3
 #: Words of which it is counted how often two share a document.
@@ -304,7 +304,7 @@ def score(docs: DataFrame, top: int = TOP, states: int = STATES, rounds: int = R
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    texts = docs.select("doc_id", F.hash("text").alias("text_hash"), held.alias("held_out"), whole_text().alias("bytes"))
+    texts = lean(docs).select("doc_id", F.hash("text").alias("text_hash"), held.alias("held_out"), whole_text().alias("bytes"))
     counts = texts.where("not held_out").select("bytes").mapInArrow(_counted, "h long, kind int, c long")
     counts = written(counts.groupBy("h").agg(F.min("kind").alias("kind"), F.sum("c").alias("c")))
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import row_chunks, whole_text
+from quire.llm.text import lean, row_chunks, whole_text
 
 #: Phrases whose exact places are counted.
 BASE = {"under the mit license": "mit", "apache license version 2": "apache-2", "cc by nc": "cc-by-nc"}
@@ -120,7 +120,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have no words and no notices; null and repeated doc_ids pass through.
     """
-    texts = docs.select("doc_id", whole_text().alias("bytes"))
+    texts = lean(docs).select("doc_id", whole_text().alias("bytes"))
     schema = "doc_id long, n_words long, base array<struct<label:string,word:long>>, found array<struct<label:string,first_word:long,end_word:long,edits:int,likeness:double>>"
     return texts.mapInArrow(_scanned, schema)
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import Splitter
-from quire.llm.text import row_chunks, whole_text
+from quire.llm.text import lean, row_chunks, trimmed, whole_text
 
 LENGTH, GROUP = 4096, 2048
 #: Tokens of a group that are packed together at most.
@@ -41,7 +41,7 @@ class WordTokenizer:
     SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     PLAIN = regex.compile(r"[\t\n\r\x20-\x7e¡-įı-ſ‐-‧€]*")
 
-    def __init__(self, path: str, keep: int = 500_000):
+    def __init__(self, path: str, keep: int = 250_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -242,11 +242,11 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int = 2, length: int = LENGT
     """
     teams = max(1, round(docs.count() / group))
     team = F.pmod(F.xxhash64("doc_id", F.hash("text")), F.lit(teams))
-    texts = docs.select(team.alias("team"), "doc_id", whole_text().alias("bytes"))
-    tokens = texts.mapInArrow(lambda it: _tokens(it, tokenizer_path, end), "team long, doc_id long, tokens binary")
+    texts = lean(docs).select(team.alias("team"), "doc_id", whole_text().alias("bytes"))
+    tokens = texts.mapInArrow(lambda it: trimmed(_tokens(it, tokenizer_path, end)), "team long, doc_id long, tokens binary")
     kind = _tokenizer(tokenizer_path).kind
     dealt = tokens.repartition("team").sortWithinPartitions("team", "doc_id", "tokens")
-    return dealt.mapInArrow(lambda it: _packs(it, length, kind), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(lambda it: trimmed(_packs(it, length, kind)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.text import CHUNK, WINDOW_BASES, binary_view, fmix, input_bytes, inside, rolled, row_chunks, whole_text, word_hashes
+from quire.llm.text import CHUNK, WINDOW_BASES, binary_view, fmix, input_bytes, inside, lean, rolled, row_chunks, trimmed, whole_text, word_hashes
 
 ROWS = 3
 SHARD_BITS = 20
@@ -118,7 +118,7 @@ def _merged(batches: Iterator[pa.RecordBatch], bits: int) -> Iterator[pa.RecordB
 def repeated_cells(texts: DataFrame, window: int, anchor: int, bits: int) -> np.ndarray:
     """One bit per cell of the merged sketch: whether its count is two or more. Rows of ``texts``: bytes."""
     low = min(bits, SHARD_BITS)
-    parts = texts.mapInArrow(lambda it: _sketches(it, window, anchor, bits), "shard long, cells binary")
+    parts = texts.mapInArrow(lambda it: trimmed(_sketches(it, window, anchor, bits)), "shard long, cells binary")
     shards = ROWS << (bits - low)
     # an explicit count: the shards are few, and a task should hold more than one at most in turn
     merged = parts.repartition(min(shards, 64), "shard").sortWithinPartitions("shard").mapInArrow(lambda it: _merged(it, bits), "shard long, bits binary")
@@ -225,17 +225,17 @@ def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 7, max_bits
     """
     bits = bits or max(12, min(max_bits, math.ceil(math.log2(max(2, input_bytes(docs)))) - 2))
     rest = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(None).cast("int").alias("none"))
-    texts = docs.select("doc_id", whole_text().alias("bytes"), F.hash("text").alias("text_hash"), rest.alias("rest"))
+    texts = lean(docs).select("doc_id", whole_text().alias("bytes"), F.hash("text").alias("text_hash"), rest.alias("rest"))
     seen = texts.where(F.col("doc_id").isNotNull()).select("doc_id", "bytes", "text_hash")
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(seen.select("bytes"), window, anchor, bits).tobytes())
-    found = seen.mapInArrow(lambda it: _candidates(it, window, anchor, bits, sketch), "h1 long, h2 int, doc_id long, place long, n int")
+    found = seen.mapInArrow(lambda it: trimmed(_candidates(it, window, anchor, bits, sketch)), "h1 long, h2 int, doc_id long, place long, n int")
     least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     doomed = found.withColumn("least", least).where((F.col("n") > 0) | (F.col("doc_id") > F.col("least")))
     span = F.struct(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("first"), F.greatest("n", F.lit(1)).alias("n"))
     spans = doomed.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("text_hash")).agg(F.collect_list(span).alias("spans"))
     joined = texts.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "bytes", "spans", "rest")
     schema = f"doc_id long, n_words long, n_removed long, kept_text binary, removed array<struct<first:int,end:int>>, rest {joined.schema['rest'].dataType.simpleString()}"
-    out = joined.mapInArrow(lambda it: _cut(it, window), schema)
+    out = joined.mapInArrow(lambda it: trimmed(_cut(it, window)), schema)
     return out.withColumn("kept_text", F.col("kept_text").cast("string")).drop(*([] if carry else ["rest"]))
 
 

@@ -7,6 +7,8 @@ different multipliers, so two windows are taken for equal only if both agree.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 from functools import lru_cache
@@ -41,6 +43,31 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def lean(df: DataFrame, limit: int = 4 << 20) -> DataFrame:
+    """The same rows, which reach Python workers in batches of a few MB, however long the texts: unless the session asks
+    for still smaller ones, this sets its limit of bytes to a batch."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(df.sparkSession.conf.get(name).rstrip("b")) > limit:
+        df.sparkSession.conf.set(name, limit)
+    return df
+
+
+def trim() -> None:
+    """Gives freed memory back to the system: idle Python workers wait for the next stage beside its own."""
+    gc.collect()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
+def trimmed(rows: Iterator) -> Iterator:
+    try:
+        yield from rows
+    finally:
+        trim()
+
+
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a table in the checkpoint folder: as ``checkpointed``, but compressed and by columns."""
     context = df.sparkSession.sparkContext

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import whole_text, written
+from quire.llm.text import lean, whole_text, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of payload in a package, after which it is closed.
@@ -181,7 +181,7 @@ def write_packages(pages: DataFrame, least_bytes: int = 0, limit: int = PACKAGE)
     page_id is a response; a null url is named after the page.
     """
     payload = whole_text("html")
-    rows = pages.select("page_id", "url", payload.alias("payload"))
+    rows = lean(pages).select("page_id", "url", payload.alias("payload"))
     keys = rows.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha1("payload").alias("key"), F.octet_length("payload").alias("size"))
     shared = written(keys.groupBy("key", "size").agg(F.min("page_id").alias("refers_to"), F.max("page_id").alias("last")).where("refers_to < last").drop("last"))
     again = keys.join(shared, ["key", "size"]).where("page_id > refers_to").select("page_id", F.col("key"), "refers_to").distinct()
