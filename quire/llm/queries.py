@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bagminhash, bpe, flac, hmm_lm, license_scan, packing, substring_dedup, topk, toxicity, warc
+from quire.llm import bagminhash, bpe, flac, hmm_lm, license_scan, oracles, packing, substring_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -16,4 +16,9 @@ QUERIES = {
     "op9_warc_zip": warc.query,
     "op10_bagminhash": bagminhash.query,
 }
-ORACLES = {"op8_exact_top_k": topk.SQL}
+ORACLES = {
+    "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op8_exact_top_k": topk.SQL,
+    "op9_warc_zip": oracles.WARC,
+    "op10_bagminhash": oracles.NEAR_DUPLICATES,
+}
