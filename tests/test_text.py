@@ -24,7 +24,7 @@ def pair(spark, expression, values):
 
 QUALITY = {
     "": ["empty_text", "low_printable_ratio"], None: ["empty_text", "low_printable_ratio"], "abc" * 3 + " " + "bc " * 12: [], "x y": ["too_few_characters"], "ab " * 13: ["too_few_characters"], "ab " * 14: [],
-    "�" + "ab " * 165: ["unicode_replacement_characters"], "�" + "ab " * 170: [], "\x07" + "word " * 50: ["control_characters"], "word " * 20 + "z" * 8: ["repeated_characters"],
+    "�" + "ab " * 130: ["unicode_replacement_characters"], "�" + "ab " * 170: [], "\x07" + "word " * 50: ["control_characters"], "word " * 20 + "z" * 8: ["repeated_characters"],
     "ab " * 20 + "abcdefghi" * 21: ["missing_spaces_or_font_mapping"], "many words in lines of hy-\nphened prose that goes on": ["hyphenation_reflow_required"],
     "!? " * 30: ["glyph_mapping_or_language_mismatch"], "same line of text\n" * 6: ["repeated_lines"],
 }
