@@ -294,3 +294,12 @@ def reflowed(c: Column) -> Column:
         return F.aggregate(rows, start, step, lambda a: a["out"])
 
     return F.array_join(F.flatten(F.transform(paragraphs, paragraph)), "\n\n")
+
+
+def page_set(c: Column) -> Column:
+    """Sorted distinct pages of a list such as ``1-3,5,8-9``; null where a part is none or runs backwards."""
+    parts = F.filter(F.transform(F.split(c, ","), strip), lambda p: p != "")
+    low = lambda p: F.regexp_extract(p, r"^(\d+)", 1).cast("int")
+    high = lambda p: F.coalesce(F.regexp_extract(p, r"-\s*(\d+)$", 1).try_cast("int"), low(p))
+    fit = lambda p: p.rlike(r"^\d+(\s*-\s*\d+)?$") & (low(p) <= high(p)) & (low(p) >= 1)
+    return F.when(F.forall(parts, fit), F.array_sort(F.array_distinct(F.flatten(F.transform(parts, lambda p: F.when(fit(p), F.sequence(low(p), high(p))))))))

@@ -53,3 +53,26 @@ def inspect_pages(pages: DataFrame, by: str) -> DataFrame:
     """Text lengths of each book's pages, and whether it has a text layer."""
     n = F.length("text")
     return pages.groupBy(by).agg(F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.bround(F.avg(n), 2).alias("mean_chars"), F.sum(n).alias("chars"), F.bool_or(n > 0).alias("has_text_layer"))
+
+
+def write_csv(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+#: Suffixes that a review may bring, and its largest file.
+REVIEW_SUFFIXES, REVIEW_BYTES = ("json", "jsonl", "csv", "xlsx"), 100 * 1024 * 1024
+
+
+def review_surface(files: DataFrame) -> DataFrame:
+    """Adds decision to files of (path, bytes): accepted, or what speaks against an import."""
+    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    return files.withColumn("decision", F.when(~suffix.isin(*REVIEW_SUFFIXES), "suffix_not_allowed").when(F.col("bytes") > REVIEW_BYTES, "too_large").otherwise("accepted"))
+
+
+def artifact_manifest(files: DataFrame, build: str) -> DataFrame:
+    """Files of (path, bytes, sha256) with role, by suffix, and an id from build, role, path and hash."""
+    suffix = F.lower(F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1))
+    role = F.when(suffix.isin("md", "docx", "pdf"), "edition").when(suffix.isin("json", "jsonl"), "data").when(suffix.isin("png", "jpg"), "image").otherwise("other")
+    name = F.element_at(F.split("path", "/"), -1)
+    rows = files.withColumn("role", role)
+    return rows.withColumn("artifact_id", F.concat(F.lit("artifact_"), F.substring(F.sha2(F.concat_ws("|", F.lit(build), "role", name, "sha256").cast("binary"), 256), 1, 24)))
