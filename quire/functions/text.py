@@ -5,6 +5,8 @@ White space is Python's: Spark's ``trim`` knows the space alone, and Java's ``\\
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -25,6 +27,11 @@ def regex(pattern: str) -> Column:
     return F.lit(pattern)
 
 
+def let(c: Column, f: Callable[[Column], Column]) -> Column:
+    """f(c) with c evaluated once, however often f uses it: inside conditions the optimizer would repeat it."""
+    return F.element_at(F.transform(F.array(c), f), 1)
+
+
 def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
 
@@ -56,6 +63,11 @@ def count_regex(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, regex(pattern))
 
 
+def count_chars(c: Column, charset: str) -> Column:
+    """Characters of a class; runs of them go at once."""
+    return F.length(c) - F.length(F.regexp_replace(c, f"{charset}+", ""))
+
+
 def last_char(c: Column) -> Column:
     return F.right(c, F.lit(1))
 
@@ -70,24 +82,28 @@ def page_quality(text: Column, columns: Column | None = None, coverage: Column |
     Ratios are rounded half to even at four places and thresholds read the rounded values; the verdict reads the score
     before rounding.
     """
-    value = unix_lines(F.coalesce(text, F.lit("")))
     columns = F.lit(1) if columns is None else columns
     coverage = F.lit(0.0) if coverage is None else coverage
-    total = F.greatest(F.lit(1), F.length(value))
-    ratio = lambda n: F.bround(n / total, 4)
-    kept = lines(value)
-    n_lines = F.size(kept)
-    chars = F.length(strip(value))
+    return let(let(unix_lines(F.coalesce(text, F.lit(""))), _metrics), lambda m: _verdict(m, columns, coverage))
+
+
+def _metrics(value: Column) -> Column:
+    n = F.length(value)
     # what Python calls printable: no separators but the space, no controls, formats, surrogates, private or unassigned
-    printable = ratio(total - count_regex(value, r"[\p{Zl}\p{Zp}\p{C}&&[^\n\t]]|[\p{Zs}&&[^ ]]") - F.when(F.length(value) == 0, 1).otherwise(0))
-    control = ratio(count_regex(value, r"[\p{Cc}&&[^\n\t]]"))
-    broken = ratio(count_literal(value, "�"))
-    alnum = ratio(count_regex(value, r"[\p{L}\p{N}]"))
-    space = ratio(count_regex(value, SPACE))
-    repeated = F.bround((n_lines - F.size(F.array_distinct(kept))) / F.greatest(F.lit(1), n_lines), 4)
-    runs = count_regex(value, r"(?s)(.)\1{7,}")
-    hyphens = count_regex(value, r"[A-Za-zÀ-ÖØ-öø-ÿ]-\s*\n\s*[A-Za-zÀ-ÖØ-öø-ÿ]")
-    longest = F.array_max(F.transform(F.split(value, f"{SPACE}+"), F.length))
+    printable = n - count_chars(value, r"[[\p{Zl}\p{Zp}\p{C}&&[^\n\t]][\p{Zs}&&[^ ]]]")
+    return F.struct(
+        F.greatest(F.lit(1), n).alias("total"), lines(value).alias("lines"), F.length(strip(value)).alias("chars"), printable.alias("printable"),
+        count_chars(value, r"[\p{Cc}&&[^\n\t]]").alias("control"), count_literal(value, "�").alias("broken"), count_chars(value, r"[\p{L}\p{N}]").alias("alnum"),
+        count_chars(value, SPACE).alias("space"), count_regex(value, r"(?s)(.)\1{7,}").alias("runs"),
+        count_regex(value, r"[A-Za-zÀ-ÖØ-öø-ÿ]-\s*\n\s*[A-Za-zÀ-ÖØ-öø-ÿ]").alias("hyphens"), F.array_max(F.transform(F.split(value, f"{SPACE}+"), F.length)).alias("longest"),
+    )
+
+
+def _verdict(m: Column, columns: Column, coverage: Column) -> Column:
+    ratio = lambda n: F.bround(m[n] / m["total"], 4)
+    chars, n_lines, runs, hyphens, longest = m["chars"], F.size(m["lines"]), m["runs"], m["hyphens"], m["longest"]
+    printable, control, broken, alnum = ratio("printable"), ratio("control"), ratio("broken"), ratio("alnum")
+    repeated = F.bround((n_lines - F.size(F.array_distinct(m["lines"]))) / F.greatest(F.lit(1), n_lines), 4)
     rules = [
         (chars == 0, "empty_text", F.lit(1.0)),
         ((chars > 0) & (chars < 40), "too_few_characters", F.lit(0.45)),
@@ -110,7 +126,7 @@ def page_quality(text: Column, columns: Column | None = None, coverage: Column |
     passed = (score >= 0.62) & ~F.arrays_overlap(issues, F.array(*map(F.lit, fatal)))
     return F.struct(
         chars.alias("text_characters"), printable.alias("printable_ratio"), control.alias("control_ratio"), broken.alias("replacement_ratio"), alnum.alias("alnum_ratio"),
-        space.alias("whitespace_ratio"), repeated.alias("duplicate_line_ratio"), runs.alias("repeated_character_runs"), hyphens.alias("hyphenated_line_breaks"),
+        ratio("space").alias("whitespace_ratio"), repeated.alias("duplicate_line_ratio"), runs.alias("repeated_character_runs"), hyphens.alias("hyphenated_line_breaks"),
         longest.alias("longest_unspaced_token"), issues.alias("issue_codes"), F.bround(F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)), 4).alias("quality_score"),
         passed.alias("passed"), F.when(passed, "python_text").otherwise("ocr_router").alias("recommended_route"),
     )
@@ -118,12 +134,19 @@ def page_quality(text: Column, columns: Column | None = None, coverage: Column |
 
 def detect_language(text: Column) -> Column:
     """Kana, then CJK, then counts of common words over the first 50,000 characters; ties in the order of LANGUAGE_MARKS."""
-    sample = F.substring(F.coalesce(text, F.lit("")), 1, 50_000)
+    return let(F.substring(F.coalesce(text, F.lit("")), 1, 50_000), lambda sample: let(_language_counts(sample), _language))
+
+
+def _language_counts(sample: Column) -> Column:
     low = F.concat(F.lit(" "), F.lower(sample), F.lit(" "))
-    counts = {lang: sum((count_literal(low, m) for m in marks), F.lit(0)) for lang, marks in LANGUAGE_MARKS.items()}
+    counts = let(low, lambda t: F.struct(*(sum((count_literal(t, m) for m in marks), F.lit(0)).alias(lang) for lang, marks in LANGUAGE_MARKS.items())))
+    return F.struct(counts.alias("n"), sample.rlike(r"[぀-ヿ]").alias("kana"), count_chars(sample, r"[㐀-鿿]").alias("cjk"), F.length(sample).alias("size"))
+
+
+def _language(c: Column) -> Column:
+    counts = {lang: c["n"][lang] for lang in LANGUAGE_MARKS}
     best = F.greatest(*counts.values())
-    cjk = count_regex(sample, r"[㐀-鿿]")
-    out = F.when(sample.rlike(r"[぀-ヿ]"), "ja").when(cjk > F.greatest(F.lit(20), F.floor(F.length(sample) / 20)), "zh-Hans").when(best == 0, "en")
+    out = F.when(c["kana"], "ja").when(c["cjk"] > F.greatest(F.lit(20), F.floor(c["size"] / 20)), "zh-Hans").when(best == 0, "en")
     for lang, n in counts.items():
         out = out.when(n == best, lang)
     return out
