@@ -19,6 +19,7 @@ LANGUAGE_MARKS = {
     "es": [" el ", " los ", " las ", " una ", " y ", " que ", "ñ", "¿"],
     "en": [" the ", " and ", " of ", " to ", " is ", " in "],
 }
+#: What a chapter heading starts with, and literals that a translation must keep.
 HEADING = r"(?i)^(?:(?:chapter|chapitre|kapitel|cap[ií]tulo|appendix|annexe)\s+(?:[IVXLCDM]+|\d+)(?:[^\w]|$)|第[一二三四五六七八九十百零〇0-9]+章)"
 LITERAL = r"(?i)(?:https?://|www\.)[^\s<>\"']+|\b10\.\d{4,9}/[^\s<>\"']+|\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
 
@@ -295,6 +296,11 @@ def chunks(c: Column, limit: int = 3500) -> Column:
     return F.aggregate(pieces, start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.array_append(a["done"], a["now"])))
 
 
+#: Lines that keep a line of their own.
+NAMED = (r"(?iU)^(chapter|chapitre|kapitel|cap[ií]tulo|appendix|annexe|table|contents|index)\b", r"^第[一二三四五六七八九十百零〇0-9]+章(?:\s|$)")
+ITEM = r"^(?:[-*•]|\d+[.)]|[IVXLCDM]+[.)])\s+"
+
+
 def reflowed(c: Column) -> Column:
     """Latin text with paragraphs on one line each; headings and list items keep lines of their own."""
     paragraphs = F.filter(F.transform(F.split(F.replace(unix_lines(c), F.lit("\x00"), F.lit("")), r"\n\s*\n"), strip), lambda p: p != "")
@@ -304,12 +310,11 @@ def reflowed(c: Column) -> Column:
         rows = F.filter(F.transform(F.split(p, "\n"), lambda x: strip(F.regexp_replace(x, "[ \t]+", " "))), lambda x: x != "")
         letters = lambda x: count_regex(x, r"\p{L}")
         shouted = lambda x: (F.length(x) <= 100) & (letters(x) > 0) & (count_regex(x, r"\p{Lu}") / letters(x) >= 0.8)
-        named = lambda x: x.rlike(r"(?iU)^(chapter|chapitre|kapitel|cap[ií]tulo|appendix|annexe|table|contents|index)\b") | x.rlike(r"^第[一二三四五六七八九十百零〇0-9]+章(?:\s|$)")
-        item = lambda x: x.rlike(r"^(?:[-*•]|\d+[.)]|[IVXLCDM]+[.)])\s+")
+        alone_in = lambda x: shouted(x) | x.rlike(NAMED[0]) | x.rlike(NAMED[1]) | x.rlike(ITEM)
         start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(True).alias("locked"))
 
         def step(a: Column, x: Column) -> Column:
-            alone = shouted(x) | named(x) | item(x)
+            alone = alone_in(x)
             n = F.size(a["out"])
             merged = F.array_append(F.slice(a["out"], F.lit(1), F.greatest(n - 1, F.lit(0))), F.concat(F.element_at(a["out"], -1), F.lit(" "), x))
             return F.struct(F.when(alone | a["locked"], F.array_append(a["out"], x)).otherwise(merged).alias("out"), alone.alias("locked"))
