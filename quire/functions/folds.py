@@ -103,3 +103,21 @@ def index_parents(levels: Column) -> Column:
         return F.struct(F.array_append(a["out"], parent).alias("out"), F.map_concat(kept, F.map_from_arrays(F.array(level.cast("int")), F.array(a["i"]))).alias("open"), (a["i"] + 1).alias("i"))
 
     return F.aggregate(levels, start, step, lambda a: a["out"])
+
+
+def masked(text: Column, terms: Column) -> Column:
+    """The text with each of the terms, where no letter adjoins, replaced by a placeholder of the term's number."""
+    numbered = F.transform(terms, lambda t, i: F.struct(t.alias("t"), F.format_string(PLACEHOLDER, i).alias("k")))
+    literal = lambda t: F.concat(F.lit("(?<![A-Za-z])\\Q"), t, F.lit("\\E(?![A-Za-z])"))
+    return F.aggregate(numbered, text, lambda a, n: F.regexp_replace(a, literal(n["t"]), n["k"]))
+
+
+def unmasked(text: Column, terms: Column) -> Column:
+    numbered = F.transform(terms, lambda t, i: F.struct(t.alias("t"), F.format_string(PLACEHOLDER, i).alias("k")))
+    return F.aggregate(numbered, text, lambda a, n: F.replace(a, n["k"], n["t"]))
+
+
+def same_placeholders(source: Column, target: Column) -> Column:
+    """Whether both hold the same placeholders in the same order."""
+    found = lambda c: F.regexp_extract_all(c, F.lit(r"__QUIRE_PH_\d{4,}__"), F.lit(0))
+    return found(source) == found(target)

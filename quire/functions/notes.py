@@ -126,3 +126,26 @@ def paragraph_type(p: Column, first: Column, last: Column) -> Column:
         F.when(bare.rlike(r"(?m)^\|.*\|\s*$"), "table").when(bare.rlike(r"^(?:\d{1,3}[.)]|[*†‡])\s+\S"), "footnote")
         .when((first | last) & bare.rlike(r"(?i)^(?:\d{1,4}|[ivxlcdm]{1,8})[.!]?$"), "pagination").when(first & (F.length(bare) <= 60) & ~T.ends_sentence(bare), "header").otherwise("body")
     )
+
+
+def bridge_type(between: Column) -> Column:
+    """What lies between two body pages, by the roles of those pages: a map before an illustration before a blank."""
+    has = lambda role: F.exists(between, lambda r: r == role)
+    return (
+        F.when(F.size(between) == 0, "adjacent").when(has("map"), "map").when(has("illustration") & has("blank"), "illustration_and_blank")
+        .when(has("illustration"), "illustration").when(has("blank"), "blank").otherwise("other")
+    )
+
+
+def printed_number(label: Column) -> Column:
+    """The number of a printed label without the brackets and signs around it, or null."""
+    return F.regexp_replace(label, r"^[\s\[(【.-]+|[\s\])】.-]+$", "").try_cast("int")
+
+
+def truthy(c: Column) -> Column:
+    return F.coalesce(F.lower(T.strip(c)).isin("1", "true", "yes", "y"), F.lit(False))
+
+
+def marker_score(c: Column, markers: list[str]) -> Column:
+    """Occurrences of any of the markers, regardless of case."""
+    return sum((T.count_literal(F.lower(c), m) for m in markers), F.lit(0))

@@ -2,7 +2,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions import notes
+from quire.functions import folds, notes
 from quire.functions import text as T
 from quire.operators import providers
 from quire.sources import files
@@ -86,3 +86,20 @@ def test_manifest_and_review(spark):
     rows = spark.createDataFrame([("a/b.md", 5, "h"), ("x.exe", 1, "h"), ("y.csv", 200 * 1024 * 1024, "h")], "path string, bytes long, sha256 string")
     assert [r.decision for r in files.review_surface(rows).collect()] == ["suffix_not_allowed", "suffix_not_allowed", "too_large"]
     assert [r.role for r in files.artifact_manifest(rows, "b1").collect()] == ["edition", "other", "other"]
+
+
+def test_masking(spark):
+    terms = F.array(F.lit("NATO"), F.lit("a.b"))
+    text = "NATO and NATOs, xNATO; a.b not axb"
+    masked = column(spark, lambda c: folds.masked(c, terms), [text])[0]
+    assert masked == "__QUIRE_PH_0000__ and NATOs, xNATO; __QUIRE_PH_0001__ not axb"
+    assert column(spark, lambda c: folds.unmasked(c, terms), [masked]) == [text]
+    rows = spark.createDataFrame([(masked, masked), (masked, text)], "a string, b string")
+    assert [r.y for r in rows.select(folds.same_placeholders(F.col("a"), F.col("b")).alias("y")).collect()] == [True, False]
+
+
+def test_small_rules(spark):
+    assert column(spark, notes.bridge_type, [[], ["blank"], ["illustration", "blank"], ["text", "map"], ["text"]], "array<string>") == ["adjacent", "blank", "illustration_and_blank", "map", "other"]
+    assert column(spark, notes.printed_number, ["[12]", "- 7 -", "xii", None]) == [12, 7, None, None]
+    assert column(spark, notes.truthy, [" Yes", "0", None, "TRUE"]) == [True, False, False, True]
+    assert column(spark, lambda c: notes.marker_score(c, ["war", "king"]), ["War and kings, kings"]) == [3]
