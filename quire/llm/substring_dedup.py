@@ -225,7 +225,10 @@ def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 7, max_bits
     """
     bits = bits or max(12, min(max_bits, math.ceil(math.log2(max(2, input_bytes(docs)))) - 2))
     rest = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(None).cast("int").alias("none"))
-    texts = lean(docs).select("doc_id", whole_text().alias("bytes"), F.hash("text").alias("text_hash"), rest.alias("rest"))
+    # only where ids repeat does a row need its text's hash to be told from others
+    twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
+    code = F.hash("text") if twice else F.lit(0)
+    texts = lean(docs).select("doc_id", whole_text().alias("bytes"), code.alias("text_hash"), rest.alias("rest"))
     seen = texts.where(F.col("doc_id").isNotNull()).select("doc_id", "bytes", "text_hash")
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(seen.select("bytes"), window, anchor, bits).tobytes())
     found = seen.mapInArrow(lambda it: trimmed(_candidates(it, window, anchor, bits, sketch)), "h1 long, h2 int, doc_id long, place long, n int")
