@@ -57,7 +57,7 @@ def lines(c: Column) -> Column:
 
 def count_literal(c: Column, literal: str) -> Column:
     """Occurrences that do not overlap."""
-    return ((F.length(c) - F.length(F.replace(c, F.lit(literal), F.lit("")))) / len(literal)).cast("int")
+    return F.size(F.split(c, f"\\Q{literal}\\E")) - 1
 
 
 def count_regex(c: Column, pattern: str) -> Column:
