@@ -32,6 +32,8 @@ ROWS = 3
 SHARD_BITS = 20
 #: Minimisers that a task gathers before it ships a part of its sketch.
 FLUSH = 1 << 19
+#: Rows of a batch that leaves a worker.
+SHIP = 1 << 16
 SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
 
@@ -156,7 +158,9 @@ def _candidates(batches: Iterator[pa.RecordBatch], window: int, anchor: int, bit
             else:
                 length = np.zeros(len(take), np.int64)
             place = (code[take].astype(np.int64) << 32) | pos[take]
-            yield pa.RecordBatch.from_arrays([pa.array(h1[take].view(np.int64)), pa.array(h2[take].view(np.int32)), pa.array(doc[take]), pa.array(place), pa.array(length.astype(np.int32))], names)
+            rows = pa.RecordBatch.from_arrays([pa.array(h1[take].view(np.int64)), pa.array(h2[take].view(np.int32)), pa.array(doc[take]), pa.array(place), pa.array(length.astype(np.int32))], names)
+            for low in range(0, rows.num_rows, SHIP):
+                yield rows.slice(low, SHIP)
 
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
@@ -186,7 +190,7 @@ def _candidates(batches: Iterator[pa.RecordBatch], window: int, anchor: int, bit
 def _cut(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_words", "n_removed", "kept_text", "removed", "rest"]
     for batch in batches:
-        for part in row_chunks(batch, "bytes", 4 * CHUNK):
+        for part in row_chunks(batch, "bytes", CHUNK):
             n_words, n_removed, kept, removed = [], [], [], []
             for raw, spans in zip(part.column("bytes"), part.column("spans")):
                 words = raw.as_py().split()
