@@ -232,6 +232,7 @@ def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 7, max_bits
     # only where ids repeat does a row need its text's hash to be told from others
     twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
     code = F.hash("text") if twice else F.lit(0)
+    row = ["doc_id", "text_hash"] if twice else ["doc_id"]
     texts = lean(docs).select("doc_id", whole_text().alias("bytes"), code.alias("text_hash"), rest.alias("rest"))
     seen = texts.where(F.col("doc_id").isNotNull()).select("doc_id", "bytes", "text_hash")
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(seen.select("bytes"), window, anchor, bits).tobytes())
@@ -239,8 +240,8 @@ def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 7, max_bits
     least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
     doomed = found.withColumn("least", least).where((F.col("n") > 0) | (F.col("doc_id") > F.col("least")))
     span = F.struct(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("first"), F.greatest("n", F.lit(1)).alias("n"))
-    spans = doomed.groupBy("doc_id", F.shiftright("place", 32).cast("int").alias("text_hash")).agg(F.collect_list(span).alias("spans"))
-    joined = texts.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "bytes", "spans", "rest")
+    spans = doomed.withColumn("text_hash", F.shiftright("place", 32).cast("int")).groupBy(*row).agg(F.collect_list(span).alias("spans"))
+    joined = texts.join(spans, row, "left").select("doc_id", "bytes", "spans", "rest")
     schema = f"doc_id long, n_words long, n_removed long, kept_text binary, removed array<struct<first:int,end:int>>, rest {joined.schema['rest'].dataType.simpleString()}"
     out = joined.mapInArrow(lambda it: trimmed(_cut(it, window)), schema)
     return out.withColumn("kept_text", F.col("kept_text").cast("string")).drop(*([] if carry else ["rest"]))
