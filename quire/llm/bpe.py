@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import CHUNK, lean, row_chunks, whole_text
+from quire.llm.text import CHUNK, HELD, lean, row_chunks, whole_text
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -295,6 +295,7 @@ def _pattern(source: str) -> Splitter:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, source: str) -> Iterator[pa.RecordBatch]:
     machine, pattern = _machine(path), _pattern(source)
+    HELD["bpe"] = _machine.cache_clear
     # the machine holds many small objects and no cycles: looking for cycles again and again would take half the time
     gc.disable()
     try:

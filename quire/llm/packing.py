@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.bpe import Splitter
-from quire.llm.text import lean, row_chunks, trimmed, whole_text
+from quire.llm.text import HELD, lean, row_chunks, trimmed, whole_text
 
 LENGTH, GROUP = 4096, 2048
 #: Tokens of a group that are packed together at most.
@@ -190,6 +190,7 @@ def packed(sizes: list[int], length: int = LENGTH) -> list[list[Piece]]:
 
 def _tokens(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     tokenizer = _tokenizer(path)
+    HELD["packing"] = _tokenizer.cache_clear
     # it holds many small objects and no cycles
     gc.disable()
     stop = np.array([end], tokenizer.kind).tobytes()
@@ -243,10 +244,10 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int = 2, length: int = LENGT
     teams = max(1, round(docs.count() / group))
     team = F.pmod(F.xxhash64("doc_id", F.hash("text")), F.lit(teams))
     texts = lean(docs).select(team.alias("team"), "doc_id", whole_text().alias("bytes"))
-    tokens = texts.mapInArrow(lambda it: trimmed(_tokens(it, tokenizer_path, end)), "team long, doc_id long, tokens binary")
+    tokens = texts.mapInArrow(lambda it: trimmed(_tokens(it, tokenizer_path, end), "packing"), "team long, doc_id long, tokens binary")
     kind = _tokenizer(tokenizer_path).kind
     dealt = tokens.repartition("team").sortWithinPartitions("team", "doc_id", "tokens")
-    return dealt.mapInArrow(lambda it: trimmed(_packs(it, length, kind)), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
+    return dealt.mapInArrow(lambda it: trimmed(_packs(it, length, kind), "packing"), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

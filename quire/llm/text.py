@@ -10,7 +10,7 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -61,7 +61,17 @@ def trim() -> None:
         pass
 
 
-def trimmed(rows: Iterator) -> Iterator:
+#: What operators keep in a Python worker from task to task, by operator, as functions that drop it.
+HELD: dict[str, Callable[[], None]] = {}
+
+
+def trimmed(rows: Iterator, owner: str = "") -> Iterator:
+    """The rows; first what other operators left in this worker is dropped, and at the end freed memory given back."""
+    others = [name for name in HELD if name != owner]
+    for name in others:
+        HELD.pop(name)()
+    if others:
+        trim()
     try:
         yield from rows
     finally:
