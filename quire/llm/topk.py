@@ -56,7 +56,8 @@ def best(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarr
     q = queries.astype(kind)
     bound = np.maximum(q, 0) @ high.T.astype(kind) + np.minimum(q, 0) @ low.T.astype(kind)
     order = np.argsort(-bound, axis=1, kind="stable")
-    floor = np.full(len(q), -np.inf) if kind is float else np.full(len(q), np.iinfo(np.int64).min)
+    least = -np.inf if kind is float else np.iinfo(np.int64).min
+    floor = np.full(len(q), least)
 
     def raised() -> None:
         count = np.bincount(have[0], minlength=len(q))
@@ -76,11 +77,12 @@ def best(query_ids: np.ndarray, queries: np.ndarray, blocks: list[tuple[np.ndarr
             rows = live[chosen == b]
             ids, vectors = blocks[b][0], blocks[b][1]
             scores = q[rows] @ vectors.T.astype(kind)
-            hit = scores >= floor[rows][:, None]
-            if scores.shape[1] > k + 1:
-                # one more than k, as one may be the query itself
-                hit &= scores >= np.partition(scores, -k - 1, axis=1)[:, -k - 1 : -k]
-            hit &= ids[None, :] != query_ids[rows][:, None]
+            # a query's own rows take no place among the block's k best
+            own = ids[None, :] == query_ids[rows][:, None]
+            scores[own] = least
+            hit = (scores >= floor[rows][:, None]) & ~own
+            if scores.shape[1] > k:
+                hit &= scores >= np.partition(scores, -k, axis=1)[:, -k, None]
             r, c = np.nonzero(hit)
             found.append((rows[r], ids[c], scores[r, c].astype(np.int64)))
         have = merged(*(np.concatenate(x) for x in zip(*found)), k)

@@ -344,6 +344,20 @@ def test_top_k_odd_vectors(spark):
     assert got == {0: [(5, 5 * unit), (6, 5 * unit), (50, unit), (50, unit), (7, 0)], 50: [(0, unit), (5, unit), (6, unit), (7, 0)]}
 
 
+@pytest.mark.parametrize("size", [1, 1 << 25])
+def test_top_k_repeated_rows(spark, size):
+    """Every row three times, in one block: a query's own rows take no other row's place."""
+    rng = np.random.default_rng(3)
+    vectors = [[float(x) for x in rng.integers(-9, 10, 4) * size] for _ in range(40)]
+    rows = [(i, v) for i, v in enumerate(vectors) for _ in range(3)]
+    out = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").coalesce(1), every=10, scale=1).collect()
+    want = []
+    for q in range(0, 40, 10):
+        scores = sorted((-int(sum(a * b for a, b in zip(vectors[q], v))), i) for i, v in rows if i != q)
+        want += [(q, rank + 1, i, -score) for rank, (score, i) in enumerate(scores[:5])]
+    assert sorted(tuple(r) for r in out) == want
+
+
 def test_warc(run, spark, sf_dir):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     least: dict[bytes, int] = {}
