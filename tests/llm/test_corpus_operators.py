@@ -151,6 +151,17 @@ def test_deobfuscation(spark):
     assert "=scum" in toxicity.Reader(model).read("you s c u m there")
 
 
+def test_spacing_is_decoded(spark):
+    table, marked = (spark.read.parquet(f"/root/testdata/sf0.01/{name}.parquet") for name in ("documents", "labels"))
+    model, _, _, lexicon = toxicity.classifier(table, marked).value
+    reader = toxicity.Reader(model, lexicon=lexicon)
+    for text in ("a s c u m", "y o u s c u m", "sc um", "s  c  u  m", "s\nc u m!", "you sc um there", "of $ c u m", "is a s.c um"):
+        assert "=scum" in reader.read(text), text
+    assert "=moron" in reader.read("a m o r o n") and "=moron" in reader.read("the mor on is")
+    assert toxicity.segmented("it is the".split(), reader.part) == ["it", "is", "the"]
+    assert not {"=itis", "=isthe"} & reader.read("it is the")
+
+
 def test_viterbi_is_exact(spark, sf_dir):
     """The decoder's cost is the least over all readings, spelled out one by one."""
     model = toxicity.character_model(spark.read.parquet(f"{sf_dir}/documents.parquet")).tolist()
