@@ -242,6 +242,21 @@ def missing_numbers(source: Column, translation: Column) -> Column:
     return F.filter(numbers, lambda n: ~F.contains(translation, n))
 
 
+def tokens_only_in(a: Column, b: Column, pattern: str) -> Column:
+    """Matches of a pattern in a that b has not, each once, sorted."""
+    found = lambda c: F.regexp_extract_all(c, regex(pattern), F.lit(0))
+    return F.array_sort(F.array_except(found(a), found(b)))
+
+
+def numbers_only_in(a: Column, b: Column) -> Column:
+    return tokens_only_in(a, b, r"(?U)\b\d+(?:[.,]\d+)*\b")
+
+
+def capitalised_only_in(a: Column, b: Column, limit: int = 30) -> Column:
+    """Capitalised words of a that b has not, the first ``limit`` in order."""
+    return F.slice(tokens_only_in(a, b, r"(?U)\b[A-Z][A-Za-z'-]{2,}\b"), 1, limit)
+
+
 def visible_text(c: Column) -> Column:
     return strip(F.regexp_replace(F.regexp_replace(c, r"(?m)^\s*#{1,6}\s+", ""), f"{SPACE}+", " "))
 

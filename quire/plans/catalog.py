@@ -360,6 +360,17 @@ def token_set_diff(spark, sf_dir):
     return both.select("doc_id", only("x", "y").alias("only_here"), only("y", "x").alias("only_next"))
 
 
+@query("token_differences")
+def token_differences(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
+    here, other = F.col("text"), F.col("other")
+    return both.select(
+        "doc_id", T.numbers_only_in(here, other).alias("numbers_here"), T.numbers_only_in(other, here).alias("numbers_next"),
+        T.capitalised_only_in(here, other).alias("capitalised_here"), T.capitalised_only_in(other, here).alias("capitalised_next"),
+    )
+
+
 @query("glossary_counts", r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Z][a-z]+-[A-Z][a-z]+|[A-Z][a-zäöüßéèñ]{5,}')) AS term FROM documents) SELECT term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM w GROUP BY term HAVING count(DISTINCT doc_id) >= 2")
 def glossary_counts(spark, sf_dir):
     terms = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit(r"[A-Z][a-z]+-[A-Z][a-z]+|[A-Z][a-zäöüßéèñ]{5,}"), F.lit(0))).alias("term"))

@@ -128,3 +128,13 @@ def test_fidelity(spark):
     df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, a string, b string, c string, d string")
     got = [r.y for r in df.select("i", similarity.fidelity(*(F.col(c) for c in "abcd")).alias("y")).orderBy("i").collect()]
     assert got == ["source_echo", None, "target_script_absent", "source_script_leak", None]
+
+
+def test_token_differences(spark):
+    """As the reference finds them: all numbers, thirty capitalised words."""
+    a = " ".join(f"{n}.5" for n in range(40)) + " 3.14 1,000,5 x7 " + " ".join(f"Wo{chr(97 + n // 26)}{chr(97 + n % 26)}rd" for n in range(40)) + " O'Neil Ab Élan"
+    b = "3 14 0.5 Woaard"
+    row = spark.createDataFrame([(a, b)], "a string, b string").select(T.numbers_only_in(F.col("a"), F.col("b")), T.capitalised_only_in(F.col("a"), F.col("b")), T.numbers_only_in(F.col("b"), F.col("a"))).first()
+    found = lambda pattern, x, y: sorted(set(re.findall(pattern, x)) - set(re.findall(pattern, y)))
+    numbers, words = r"\b\d+(?:[.,]\d+)*\b", r"\b[A-Z][A-Za-z'-]{2,}\b"
+    assert tuple(row) == (found(numbers, a, b), found(words, a, b)[:30], found(numbers, b, a)) and len(row[0]) == 41
