@@ -1,14 +1,16 @@
 """Vectorised word hashing over Arrow buffers, shared by the operators on word windows and shingles.
 
-Words are maximal runs of bytes other than the six ASCII white-space bytes of ``bytes.split()``. A word's hash is a
-polynomial over its bytes followed by a 64-bit finaliser; window hashes are polynomials over word hashes with two
-different multipliers, so two windows are taken for equal only if both agree.
+Words are maximal runs of bytes other than the six ASCII white-space bytes of ``bytes.split()``. A word's hash is a pair of
+polynomials over its bytes modulo two primes, followed by a 64-bit finaliser: modulo a power of two, words of a certain
+regular form would share a hash whatever the base. Window hashes are polynomials over word hashes with two different
+multipliers, so two windows of the same words but for one are taken for equal only if those two words share a hash.
 """
 
 from __future__ import annotations
 
 import ctypes
 import gc
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -22,7 +24,8 @@ SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Bytes of text hashed at a time: bounds a worker's arrays at about a dozen times this.
 CHUNK = 1 << 20
-BYTE_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
+#: Two primes below 2**31, each with the base of its polynomials.
+MODULI = ((2147483647, 1288490189), (2147483629, 1073807359))
 WINDOW_BASES = (np.uint64(0xD6E8FEB86659FD93), np.uint64(0xA0761D6478BD642F))
 
 
@@ -36,13 +39,37 @@ def whole_text(column: str = "text") -> Column:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a reliable checkpoint in the folder that the session names, or in one of our own if none is set."""
+    """Cuts the lineage with a reliable checkpoint in the shared folder that the session names."""
     context = df.sparkSession.sparkContext
     if not context._jsc.sc().getCheckpointDir().isDefined():
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints")
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``. Unset, a local session (one machine) takes a folder of its own; others raise."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints"
+    return folder
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Removes what ``written`` wrote for these frames; they can't be read any more."""
+    for df in frames:
+        path = WRITTEN.pop(id(df), (None, None))[1]
+        if path:
+            jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
+            where = jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(conf).delete(where, True)
+
+
+#: Frames of ``written`` and their folders, by id.
+WRITTEN: dict[int, tuple[DataFrame, str]] = {}
+
+
 def lean(df: DataFrame, limit: int = 4 << 20) -> DataFrame:
     """The same rows, which reach Python workers in batches of a few MB, however long the texts: unless the session asks
     for still smaller ones, this sets its limit of bytes to a batch."""
@@ -80,11 +107,12 @@ def trimmed(rows: Iterator, owner: str = "") -> Iterator:
 
 def written(df: DataFrame) -> DataFrame:
     """The same rows from a table in the checkpoint folder: as ``checkpointed``, but compressed and by columns."""
-    context = df.sparkSession.sparkContext
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    path = f"{folder}/{context.applicationId}-{uuid.uuid4().hex}"
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{spark.sparkContext.applicationId}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    WRITTEN[id(out)] = out, path
+    return out
 
 
 def input_bytes(df: DataFrame) -> int:
@@ -102,20 +130,40 @@ def fmix(x: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(1)
-def _byte_values() -> np.ndarray:
-    return fmix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x632BE59BD9B4E019))
-
-
-_powers: list[np.ndarray] = []
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BYTE_BASE ** i and its inverse modulo 2**64, for i below n at least."""
-    if not _powers or len(_powers[0]) < n:
-        size = max(n, CHUNK)
-        inverse = np.uint64(pow(int(BYTE_BASE), -1, 1 << 64))
-        _powers[:] = [np.cumprod(np.r_[np.uint64(1), np.full(size - 1, b, np.uint64)], dtype=np.uint64) for b in (BYTE_BASE, inverse)]
-    return _powers[0], _powers[1]
+def _powers() -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each modulus, powers of its base below CHUNK and those of the base's inverse."""
+    out = []
+    for p, base in MODULI:
+        both = []
+        for b in (base, pow(base, -1, p)):
+            row = np.ones(1, np.uint64)
+            while len(row) < CHUNK:
+                row = np.r_[row, row * np.uint64(pow(b, len(row), p)) % np.uint64(p)]
+            both.append(row[:CHUNK].astype(np.uint32))
+        out.append((both[0], both[1]))
+    return out
+
+
+def _polynomials(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 62-bit number for each part of the buffer: the polynomials of its bytes modulo two primes."""
+    n, out = len(buf), np.zeros(len(starts), np.uint64)
+    for (p, base), (up, down) in zip(MODULI, _powers()):
+        prime, sums, carry = np.uint64(p), np.empty(n + 1, np.uint64), np.uint64(0)
+        sums[0] = 0
+        for low in range(0, n, CHUNK):
+            # bytes count from 1 and powers have 31 bits: a sum over CHUNK of them has 60
+            part = np.cumsum((buf[low : low + CHUNK].astype(np.uint64) + np.uint64(1)) * up[: min(CHUNK, n - low)], dtype=np.uint64)
+            if low:
+                part = part % prime * np.uint64(pow(base, low, p)) % prime
+            sums[low + 1 : low + 1 + len(part)] = part + carry
+            carry = sums[low + len(part)] % prime
+        value = (sums[ends] % prime + prime - sums[starts] % prime) % prime * down[starts % CHUNK] % prime
+        if n > CHUNK:
+            back = pow(pow(base, CHUNK, p), -1, p)
+            scale = np.array([pow(back, k, p) for k in range(n // CHUNK + 1)], np.uint64)
+            value = value * scale[starts // CHUNK] % prime
+        out = out << np.uint64(31) | value
+    return out
 
 
 def binary_view(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -163,11 +211,7 @@ def words(buf: np.ndarray, at: np.ndarray, lower: bool = False) -> tuple[np.ndar
     after = np.r_[ink[1:], False]
     starts = np.flatnonzero(ink & (edge[:-1] | ~before))
     ends = np.flatnonzero(ink & (edge[1:] | ~after)) + 1
-    up, down = powers(n + 1)
-    sums = np.empty(n + 1, np.uint64)
-    sums[0] = 0
-    np.cumsum(_byte_values()[buf] * up[:n], out=sums[1:])
-    hashes = fmix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    hashes = fmix(_polynomials(buf, starts, ends) + (ends - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
     return hashes, np.searchsorted(starts, at).astype(np.int64), ends
 
 

@@ -19,6 +19,9 @@ from quire.llm import bagminhash, bpe, flac, hmm_lm, license_scan, packing, quer
 public_tokenizers = pytest.importorskip("public_tokenizers")
 
 
+WORDS12 = " ".join(f"w{i}" for i in range(12))
+
+
 def lower(text: str) -> str:
     return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
 
@@ -128,6 +131,41 @@ def test_fuzzy_notices(text, phrase, edits):
     assert [(f[2], f[3]) for f in license_scan.notices(f" {text} ")] == [(phrase, edits)]
 
 
+def _thue_morse(size: int) -> str:
+    word = "a"
+    while len(word) < size:
+        word += word.translate(str.maketrans("ab", "ba"))
+    return word
+
+
+@pytest.mark.parametrize("size", [1024, 4096])
+def test_words_of_a_regular_form_have_hashes_of_their_own(spark, size):
+    """Modulo a power of two, such a word and its complement share any polynomial hash."""
+    one = _thue_morse(size)
+    two = one.translate(str.maketrans("ab", "ba"))
+    table = spark.createDataFrame([(1, f"{WORDS12} {one}"), (2, f"{WORDS12} {two}"), (3, f"{WORDS12} {two}")], "doc_id long, text string")
+    out = {r.doc_id: r.n_removed for r in substring_dedup.substring_dedup(table).collect()}
+    assert out == {1: 0, 2: 0, 3: 13}
+    short = spark.createDataFrame([(1, one), (2, two), (3, two)], "doc_id long, text string")
+    assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(short).collect()} == {1: 1, 2: 2, 3: 2}
+    known = spark.createDataFrame([(i, one) for i in range(20)] + [(100 + i, two) for i in range(20) if zlib.crc32(str(100 + i).encode()) % 5 == 1], "doc_id long, text string")
+    rows = hmm_lm.language_model(known).collect()
+    assert {r.n_known for r in rows if r.doc_id < 100} == {2} and {r.n_known for r in rows if r.doc_id >= 100} == {1}
+
+
+def test_word_hashes_do_not_depend_on_place():
+    from quire.llm import text
+
+    rng = np.random.default_rng(5)
+    words = [bytes(rng.integers(33, 127, int(n)).astype(np.uint8)) for n in rng.integers(1, 30, 300)] + [b"x" * (text.CHUNK + 9), b"tail"]
+    for joined in (b" ".join(words), b" " * (text.CHUNK - 5) + b" ".join(words[::-1])):
+        buf = np.frombuffer(joined, np.uint8)
+        hashes, first = text.word_hashes(buf, np.array([0, len(buf)]))
+        alone = {w: text.word_hashes(np.frombuffer(w, np.uint8), np.array([0, len(w)]))[0][0] for w in words}
+        assert hashes.tolist() == [alone[w] for w in joined.split()] and first.tolist() == [0, len(words)]
+    assert len(set(alone.values())) == len(set(words))
+
+
 def test_no_fuzzy_notice():
     assert license_scan.notices(" aapche licens version 2 by words of no licence at all ") == []
 
@@ -196,12 +234,12 @@ def test_flac_streams():
     streams = flac.encode(payloads)
     assert all(np.array_equal(a, b) for a, b in zip(flac.decode(streams), payloads))
     stream = streams[2]
-    head = flac.Header(stream)
+    head = flac.Header(np.frombuffer(stream, np.uint8))
     bare = stream[:4] + bytes([0x80]) + stream[5:42] + stream[head.frames :]
     assert np.array_equal(flac.decode([bare])[0], payloads[2])
     # a frame on its own, from its offset in the seek table
-    samples, _ = flac.frames_at(np.frombuffer(stream, np.uint8), np.array([head.frames + head.points[7]]))
-    assert np.array_equal((samples[0] + 128).astype(np.uint8), payloads[2][7 * 576 : 8 * 576])
+    samples, _ = flac.frames_at(np.frombuffer(stream, np.uint8), np.array([head.frames + head.points[7]]), head)
+    assert np.array_equal((samples[0][0].astype(int) + 128).astype(np.uint8), payloads[2][7 * 576 : 8 * 576])
     for at in (head.frames + 1, head.frames + 20, len(stream) - 1, len(stream) - 40):
         broken = bytearray(stream)
         broken[at] ^= 4
@@ -243,9 +281,104 @@ def test_flac_subframes_of_other_encoders():
     frames.append((_frame(body), smooth))
     body = [(8 << 1, 8), (0, 2), (0, 4), (0, 4)] + [b for v in samples for b in rice(int(v), 0)]
     frames.append((_frame(body), samples))
-    got, _ = flac.frames_at(np.frombuffer(b"".join(f for f, _ in frames), np.uint8), np.cumsum([0] + [len(f) for f, _ in frames[:-1]]))
+    head = flac.Header(np.frombuffer(flac.encode([np.zeros(576, np.uint8)])[0], np.uint8))
+    got, _ = flac.frames_at(np.frombuffer(b"".join(f for f, _ in frames), np.uint8), np.cumsum([0] + [len(f) for f, _ in frames[:-1]]), head)
     for row, (_, want) in zip(got, frames):
-        assert np.array_equal(row, want)
+        assert np.array_equal(row[0], want)
+
+
+def _stereo(left: np.ndarray, right: np.ndarray, block: int, bits: int, seek: bool) -> bytes:
+    """A stream of two channels, each kind of stereo in turn, blocks of another size, the last one short, wasted bits."""
+
+    def rice(v: int, k: int) -> list[tuple[int, int]]:
+        u = (v << 1) ^ (v >> 63)
+        return [(0, u >> k), (1, 1), (u, k)]
+
+    def subframe(x: list[int], width: int, order: int) -> list[tuple[int, int]]:
+        if all(v % 4 == 0 for v in x):
+            return [(8 << 1 | 1, 8), (1, 2), *rest([v >> 2 for v in x], width - 2, 0)]
+        return [(8 + order << 1, 8), *rest(x, width, order)]
+
+    def rest(x: list[int], width: int, order: int) -> list[tuple[int, int]]:
+        r = x
+        for _ in range(order):
+            r = [b - a for a, b in zip(r, r[1:])]
+        # five-bit parameters in one partition
+        return [*((v, width) for v in x[:order]), (1, 2), (0, 4), (9, 5)] + [b for v in r for b in rice(v, 9)]
+
+    made, points, at = [], [], 0
+    for number, low in enumerate(range(0, len(left), block)):
+        l, r = (x[low : low + block].tolist() for x in (left, right))
+        mode = (1, 8, 9, 10)[number % 4]
+        side = [a - b for a, b in zip(l, r)]
+        first, second = {1: (l, r), 8: (l, side), 9: (side, r), 10: ([(a + b) >> 1 for a, b in zip(l, r)], side)}[mode]
+        code = {8: 1, 12: 2, 16: 4, 20: 5, 24: 6}[bits]
+        head = bytes([0xFF, 0xF8, 7 << 4 | 13, mode << 4 | code << 1]) + flac.coded_number(number) + (len(l) - 1).to_bytes(2, "big") + (44100).to_bytes(2, "big")
+        raw = head + bytes([flac.crc8(head)]) + _bits([*subframe(first, bits + (mode == 9), number % 5), *subframe(second, bits + (mode in (8, 10)), 2)])
+        raw += int(flac.crc16(np.frombuffer(raw, np.uint8), np.array([0]), np.array([len(raw)]))[0]).to_bytes(2, "big")
+        points.append(low.to_bytes(8, "big") + at.to_bytes(8, "big") + len(l).to_bytes(2, "big"))
+        made.append(raw)
+        at += len(raw)
+    packed = 44100 << 44 | 1 << 41 | (bits - 1) << 36 | len(left)
+    samples = np.stack([left, right], axis=1).astype({8: np.int8, 16: np.int16}.get(bits, np.int32))
+    info = block.to_bytes(2, "big") * 2 + bytes(6) + packed.to_bytes(8, "big") + hashlib.md5(flac.pcm(samples, bits)).digest()
+    table = b"".join(points)
+    return b"fLaC" + bytes([0 if seek else 0x80]) + len(info).to_bytes(3, "big") + info + (bytes([0x83]) + len(table).to_bytes(3, "big") + table if seek else b"") + b"".join(made)
+
+
+@pytest.mark.parametrize("bits", [8, 16, 24])
+@pytest.mark.parametrize("seek", [True, False])
+def test_flac_stereo_of_other_sizes(bits, seek, spark):
+    rng = np.random.default_rng(bits)
+    left = np.clip(np.cumsum(rng.integers(-90, 91, 2500)), -(1 << bits - 1), (1 << bits - 1) - 1)
+    right = left // 3 + rng.integers(-5, 6, 2500)
+    left[1200:1800] = left[1200:1800] // 4 * 4
+    stream = _stereo(left, right, 600, bits, seek)
+    [(head, samples, marks)] = flac.read([np.frombuffer(stream, np.uint8)])
+    assert (head.bits, head.channels, head.rate) == (bits, 2, 44100)
+    assert np.array_equal(samples, np.stack([left, right], axis=1)) and marks[:, 1].tolist() == [0, 600, 1200, 1800, 2400]
+    rows = flac.pcm_blocks(spark.createDataFrame([(5, stream), (6, None)], "doc_id long, media binary")).orderBy("block").collect()
+    assert [(r.doc_id, r.sample_offset) for r in rows] == [(5, 600 * i) for i in range(5)]
+    assert b"".join(r.pcm for r in rows) == flac.pcm(samples, bits)
+    assert all(stream[r.byte_offset : r.byte_offset + 2] == b"\xff\xf8" for r in rows)
+
+
+def test_flac_null_media(spark):
+    rows = [(1, 3, None), (2, 3, flac.encode([np.full(576, 7, np.uint8)])[0])]
+    out = {r.doc_id: r for r in flac.load(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert out[1].payload is None and out[1].feature is None and bytes(out[2].payload) == bytes([7]) * 576
+
+
+def test_flac_uses_linear_prediction():
+    wave = (128 + 90 * np.sin(np.arange(5760) / 3)).astype(np.uint8)
+    [stream] = flac.encode([wave])
+    assert len(stream) < len(wave) // 2 and np.array_equal(flac.decode([stream])[0], wave)
+
+
+def test_flac_memory_does_not_follow_a_text():
+    """One text of 32 MB, stored and loaded, in a process of its own."""
+    import subprocess
+    import sys
+
+    code = """
+import resource
+import numpy as np, pyarrow as pa
+from quire.llm import flac
+base = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+text = b"some words of a text, 7 times over. " * (32 * 2**20 // 36)
+batch = pa.RecordBatch.from_arrays([pa.array([1]), pa.array([text], pa.binary())], ["doc_id", "bytes"])
+size = len(text)
+[stored] = flac._stored(iter([batch]))
+one = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+[loaded] = flac._loaded(iter([stored]))
+two = resource.getrusage(resource.RUSAGE_SELF).ru_maxrss
+assert loaded.column("payload")[0].as_py()[:size] == text
+print((one - base) // 1024, (two - base) // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=900)
+    assert out.returncode == 0, out.stderr
+    one, two = map(int, out.stdout.split())
+    assert one < 300 and two < 420, out.stdout  # text, batch and stream are all held here
 
 
 def test_pcm_blocks(spark):
