@@ -16,6 +16,7 @@ is in one component or has been compared, without writing the pairs within a gro
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.text import WINDOW_BASES, binary_view, checkpointed, fmix, inside, lean, rolled, row_chunks, trimmed, whole_text, word_hashes
+from quire.llm.text import WINDOW_BASES, binary_view, dropped, fmix, inside, lean, rolled, row_chunks, trimmed, whole_text, word_hashes, written
 
 BANDS, ROWS = 30, 5
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
@@ -34,6 +35,8 @@ LOOSE = 0.65
 BLOCK = 512
 #: Ids up to which a set of ids is broadcast (8 MB); larger sets are joined by an exchange.
 SEND = 1_000_000
+#: Links that a task of the component search handles at least.
+A_TASK = 20_000
 
 
 def step(k: int) -> np.uint64:
@@ -101,6 +104,23 @@ def band_keys(sig: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return keys
 
 
+def fingerprints(owner: np.ndarray, values: np.ndarray, weight: np.ndarray, texts: int) -> list[np.ndarray]:
+    """Two 64-bit hashes of each text's multiset."""
+    ends, out = np.searchsorted(owner, np.arange(texts + 1)), []
+    for salt in WINDOW_BASES:
+        total = np.r_[np.uint64(0), np.cumsum(fmix(values * salt + weight.astype(np.uint64)), dtype=np.uint64)]
+        out.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
+    return out
+
+
+def _printed(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, bytes) with the text's first fingerprint as node."""
+    for batch in batches:
+        for part in row_chunks(batch, "bytes"):
+            print_, _ = fingerprints(*shingles(*binary_view(part.column("bytes")), width), part.num_rows)
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(print_), part.column("bytes")], ["doc_id", "node", "bytes"])
+
+
 def _signed(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "f1", "f2", "bands", "sig"]
 
@@ -109,14 +129,10 @@ def _signed(batches: Iterator[pa.RecordBatch], width: int, bands: int, rows: int
         owner = np.concatenate([h[1] + s for h, s in zip(held, np.r_[0, np.cumsum(sizes[:-1])].astype(np.int64))])
         values, weight = np.concatenate([h[2] for h in held]), np.concatenate([h[3] for h in held])
         sig = signatures(owner, values, weight, len(ids), bands * rows)
-        prints = []
-        for salt in WINDOW_BASES:
-            total = np.r_[np.uint64(0), np.cumsum(fmix(values * salt + weight.astype(np.uint64)), dtype=np.uint64)]
-            ends = np.searchsorted(owner, np.arange(len(ids) + 1))
-            prints.append((total[ends[1:]] - total[ends[:-1]]).view(np.int64))
+        prints = fingerprints(owner, values, weight, len(ids))
         keys = band_keys(sig, bands, rows).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * bands, pa.int32()), pa.array(keys.reshape(-1)))
-        small = (sig & 0xFFFF).astype("<u2")
+        small = (sig & 0xFF).astype(np.uint8)
         yield pa.RecordBatch.from_arrays([pa.array(ids), *map(pa.array, prints), lists, pa.array([x.tobytes() for x in small], pa.binary())], names)
 
     held, size = [], 0
@@ -155,7 +171,7 @@ def _stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _agreement(batches: Iterator[pa.RecordBatch], loose: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
+        a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(batch.num_rows, -1) for c in ("sig_a", "sig_b"))
         share = (a == b).mean(axis=1) if batch.num_rows else np.zeros(0)
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(share)], ["a", "b", "share"]).filter(pa.array(share >= loose))
 
@@ -169,45 +185,48 @@ def _grams(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordB
             codes = (fmix(np.repeat(values, weight) + nth.astype(np.uint64) * GOLDEN) >> np.uint64(32)).astype("<u4")
             ends = np.searchsorted(np.repeat(owner, weight), np.arange(part.num_rows + 1))
             grams = [np.sort(codes[a:b]).tobytes() for a, b in zip(ends, ends[1:])]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(grams, pa.binary())], ["node", "grams"])
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(grams, pa.binary())], ["node", "grams"])
 
 
-def _across(batches: Iterator[pa.RecordBatch], loose: float, least: float, rows: int) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], loose: float, least: float) -> Iterator[pa.RecordBatch]:
     """Links between components within each (key, i, j), as few as join what can be joined there.
 
     Rows come sorted by (key, i, j), each of which holds two blocks of nodes at most. A pair that shares several buckets is
-    compared in that of the first band in which it agrees.
+    compared in that of the first band in which it agrees. A link comes with the components of its ends before.
     """
     held: list[tuple] = []
 
     def links() -> pa.RecordBatch:
         _, i, j = held[0][0]
-        sig = np.frombuffer(b"".join(r[3] for r in held), "<u2").reshape(len(held), -1)
+        sig = np.frombuffer(b"".join(r[3] for r in held), np.uint8).reshape(len(held), -1)
+        marks = np.array([r[7] for r in held])
+        begun = np.array([r[2] for r in held])
         node, part, block = (np.array([r[k] for r in held]) for k in (1, 2, 4))
         grams = [np.frombuffer(r[5], "<u4") for r in held]
         size = np.array([len(g) for g in grams])
         band = held[0][6]
-        out: list[tuple[int, int]] = []
+        out: list[tuple[int, int, int, int]] = []
         for x in range(len(held) - 1):
             # what is linked here becomes one component here
             other = x + 1 + np.flatnonzero((part[x + 1 :] != part[x]) & ((block[x + 1 :] != block[x]) | (i == j)))
             other = other[np.minimum(size[other], size[x]) >= least * np.maximum(size[other], size[x])]
             if not len(other):
                 continue
-            same = sig[other] == sig[x]
-            share = same.mean(axis=1)
-            first = same.reshape(len(other), -1, rows).all(axis=2).argmax(axis=1)
-            good = np.flatnonzero((share >= loose) & (first == band))
+            share = (sig[other] == sig[x]).mean(axis=1)
+            good = np.flatnonzero(share >= loose)
+            # a band's key, cut to 32 bits: the first that both share is that of the bucket where they are compared
+            good = good[(marks[other[good]] == marks[x]).argmax(axis=1) == band]
             for y in other[good[np.argsort(-share[good], kind="stable")]]:
                 if part[y] != part[x]:
                     shared = len(np.intersect1d(grams[x], grams[y], True))
                     if shared >= least * (size[x] + size[y] - shared):
-                        out.append((max(node[x], node[y]), min(node[x], node[y])))
+                        high, low = (x, y) if node[x] > node[y] else (y, x)
+                        out.append((node[high], node[low], begun[high], begun[low]))
                         part[part == part[y]] = part[x]
-        return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in out], pa.int64()) for i in (0, 1)], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([int(p[i]) for p in out], pa.int64()) for i in range(4)], ["a", "b", "part_a", "part_b"])
 
     for batch in batches:
-        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "part", "sig", "block", "grams", "band"))):
+        for r in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "node", "part", "sig", "block", "grams", "band", "marks"))):
             if held and held[0][0] != r[:3]:
                 yield links()
                 held = []
@@ -233,23 +252,30 @@ def _overlap(batches: Iterator[pa.RecordBatch], width: int, least: float) -> Ite
             yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), pa.array(similar)], ["a", "b", "similarity"]).filter(keep)
 
 
-def few(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The rows of ``docs`` with such doc_ids, which are broadcast if they are few enough."""
-    return docs.join(F.broadcast(ids) if ids.count() <= SEND else ids, "doc_id", "left_semi")
+def few(docs: DataFrame, ids: DataFrame, n: int) -> DataFrame:
+    """The rows of ``docs`` with such doc_ids, of which there are ``n`` at most: they are broadcast if that is few enough."""
+    return docs.join(F.broadcast(ids) if n <= SEND else ids.distinct(), "doc_id", "left_semi")
+
+
+def narrow(df: DataFrame, n: int) -> DataFrame:
+    """No more partitions than ``n`` rows are worth: each costs every later exchange a file."""
+    return df.coalesce(max(1, -(-n // A_TASK)))
 
 
-def verified(docs: DataFrame, pairs: DataFrame, width: int, least: float) -> DataFrame:
-    """Of distinct pairs (a, b) those at least so similar, with similarity. ``docs``: doc_id, bytes, one row per id that matters."""
-    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("doc_id"), "a", "b"), F.struct(F.col("b").alias("doc_id"), "a", "b"))).alias("e")).select("e.*")
-    held = ends.join(few(docs, ends.select("doc_id").distinct()), "doc_id").select("a", "b", "doc_id", "bytes")
-    sides = held.groupBy("a", "b").agg(F.max(F.when(F.col("doc_id") == F.col("a"), F.col("bytes"))).alias("text_a"), F.max(F.when(F.col("doc_id") == F.col("b"), F.col("bytes"))).alias("text_b"))
+def verified(texts, pairs: DataFrame, width: int, least: float) -> DataFrame:
+    """Of distinct, written pairs (a, b) those at least so similar, with similarity. ``texts`` gives rows (node, bytes), one
+    per node, for a frame of nodes and a bound of their number."""
+    n = pairs.count()
+    ends = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("node"), "a", "b"), F.struct(F.col("b").alias("node"), "a", "b"))).alias("e")).select("e.*")
+    held = ends.join(texts(ends.select("node"), 2 * n), "node").select("a", "b", "node", "bytes")
+    sides = held.groupBy("a", "b").agg(F.max(F.when(F.col("node") == F.col("a"), F.col("bytes"))).alias("text_a"), F.max(F.when(F.col("node") == F.col("b"), F.col("bytes"))).alias("text_b"))
     return sides.mapInArrow(lambda it: trimmed(_overlap(it, width, least)), "a long, b long, similarity double")
 
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, part) for every node of the links (a, b): part is the smallest node of its component.
 
-    Large-star and small-star steps by turns, each cut by a checkpoint, until the links no longer change.
+    Large-star and small-star steps by turns, each written, until the links no longer change. No links, no rows.
     """
 
     def star(both: DataFrame) -> DataFrame:
@@ -259,15 +285,18 @@ def components(edges: DataFrame) -> DataFrame:
     def state(links: DataFrame) -> tuple:
         return tuple(links.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
 
-    links = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
+    links = written(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
     before = state(links)
     while before[0]:
+        n = before[0]
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        small = star(large)
-        small = small.select("v", "m").unionByName(small.select(F.col("u").alias("v"), "m")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        links = checkpointed(small)
-        after = state(links)
+        large = narrow(narrow(star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v"), n).distinct(), n)
+        small = narrow(star(large), n)
+        small = small.select("v", "m").unionByName(small.select(F.col("u").alias("v"), "m")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        now = written(narrow(narrow(small, n).distinct(), n))
+        after = state(now)
+        dropped(links)
+        links = now
         if after == before:
             break
         before = after
@@ -281,13 +310,27 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, bands:
     Two documents are linked if the weighted Jaccard similarity of their multisets of word 5-grams, A-Z lower-cased, is
     0.8 or more; classes are the components of those links. Texts of fewer words are one shingle. Texts without words
     (null, empty) have equal, empty multisets and so one class. Rows with a null doc_id are dropped from comparison and
-    come back with a null class, kept. Of rows with the same doc_id, one is kept if the id stands for its class; if their
-    texts differ, the id belongs to the smallest of their classes.
+    come back with a null class, kept. Rows with equal doc_id are compared each with its own text; the id belongs to the
+    smallest of their classes, and is kept if it stands for that.
     """
     texts = lean(docs).select("doc_id", whole_text().alias("bytes"))
     known = texts.where(F.col("doc_id").isNotNull())
-    signed = checkpointed(known.mapInArrow(lambda it: trimmed(_signed(it, width, bands, rows)), "doc_id long, f1 long, f2 long, bands array<long>, sig binary"))
-    nodes = checkpointed(signed.groupBy("f1", "f2").agg(F.min_by(F.struct("doc_id", "bands", "sig"), "doc_id").alias("n")).select("f1", "f2", F.col("n.doc_id").alias("node"), "n.bands", "n.sig"))
+    signed = written(known.mapInArrow(lambda it: trimmed(_signed(it, width, bands, rows)), "doc_id long, f1 long, f2 long, bands array<long>, sig binary"))
+    total = signed.count()
+    # a node is a multiset, named by its smallest doc_id, or by its fingerprint where ids are not texts' names
+    named = signed.select("doc_id").distinct().count() == total
+    first = signed.groupBy("f1", "f2").agg(F.min_by(F.struct("doc_id", "bands", "sig"), "doc_id").alias("n"))
+    nodes = written(first.select("f1", "f2", F.col("n.doc_id").alias("doc_id"), (F.col("n.doc_id") if named else F.col("f1")).alias("node"), "n.bands", "n.sig"))
+    prints = written(signed.select("doc_id", "f1", "f2"))
+    dropped(signed)
+
+    def bytes_of(wanted: DataFrame, n: int) -> DataFrame:
+        if named:
+            return few(known, wanted.withColumnRenamed("node", "doc_id"), n).withColumnRenamed("doc_id", "node")
+        theirs = nodes.join(wanted.distinct(), "node", "left_semi")
+        rows_of = few(known, theirs.select("doc_id"), n).dropDuplicates(["doc_id", "bytes"])
+        own = rows_of.mapInArrow(lambda it: trimmed(_printed(it, width)), "doc_id long, node long, bytes binary")
+        return own.join(theirs.select("doc_id", "node"), ["doc_id", "node"]).groupBy("node").agg(F.min("bytes").alias("bytes"))
 
     stars = nodes.select("node", "bands").mapInArrow(_stars, "key long, node long, to long")
     low = F.min("node").over(Window.partitionBy("key"))
@@ -299,28 +342,52 @@ def near_duplicates(docs: DataFrame, width: int = 5, least: float = 0.8, bands:
         return two.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _agreement(it, loose), "a long, b long, share double")
 
     # the likeliest of a node's pairs first: most others are then within a component
-    tried = checkpointed(likely(pairs).groupBy("a").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b")))
-    # of rows with one id, each text is a node under its own id only if it is the first with its multiset
-    unique = known.dropDuplicates(["doc_id"]) if signed.count() != signed.select("doc_id").distinct().count() else known
-    links = checkpointed(verified(unique, tried, width, least).select("a", "b"))
-    parts = checkpointed(components(links))
+    tried = written(likely(pairs).groupBy("a").agg(F.max_by("b", F.struct("share", -F.col("b"))).alias("b")))
+    links = written(verified(bytes_of, tried, width, least).select("a", "b"))
+    parts = written(narrow(components(links), 2 * links.count()))
+    dropped(tried)
 
-    member = nodes.select("node", F.posexplode("bands").alias("band", "key")).join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    member = nodes.select("node", "bands").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node")).select("node", "part", F.posexplode("bands").alias("band", "key"))
     mixed = member.groupBy("key").agg(F.min("part").alias("x"), F.max("part").alias("y"), F.count("*").alias("n")).where("x < y").select("key", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
-    placed = checkpointed(member.join(mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
-    there = few(unique, placed.select(F.col("node").alias("doc_id")).distinct())
-    detail = sigs.join(there.mapInArrow(lambda it: trimmed(_grams(it, width)), "node long, grams binary"), "node")
+    mixed = written(mixed)
+    n_mixed = mixed.count()
+    placed = written(member.join(F.broadcast(mixed) if n_mixed <= SEND else mixed, "key").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+    within = written(placed.select("node").distinct())
+    grams = bytes_of(within, within.count()).mapInArrow(lambda it: trimmed(_grams(it, width)), "node long, grams binary")
+    marks = F.transform("bands", lambda key: F.shiftright(key, 32).cast("int")).alias("marks")
+    detail = nodes.select("node", "sig", marks).join(grams, "node")
     spread = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("key", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "part", "block", "band")
     spread = spread.join(detail, "node").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    late = spread.select("key", "i", "j", "node", "part", "sig", "block", "grams", "band").mapInArrow(lambda it: trimmed(_across(it, loose, least, rows)), "a long, b long")
-    found = checkpointed(verified(unique, checkpointed(late.distinct()), width, least).select("a", "b"))
-    if found.limit(1).count():
-        parts = checkpointed(components(links.unionByName(found)))
-
-    classes = checkpointed(nodes.select("f1", "f2", "node").join(parts, "node", "left").select("f1", "f2", F.coalesce("part", "node").alias("class_id")))
-    held = signed.select("doc_id", "f1", "f2").join(classes, ["f1", "f2"])
-    out = held.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
+    late = spread.select("key", "i", "j", "node", "part", "sig", "block", "grams", "band", "marks").mapInArrow(lambda it: trimmed(_across(it, loose, least)), "a long, b long, part_a long, part_b long")
+    late = written(late.distinct())
+    if late.count():
+        # one link for each two components: if the texts bear it out, the others say nothing new
+        ends = [F.least("part_a", "part_b").alias("x"), F.greatest("part_a", "part_b").alias("y")]
+        one = written(late.groupBy(*ends).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b", "x", "y"))
+        good = written(verified(bytes_of, one.select("a", "b"), width, least).select("a", "b"))
+        failed = one.join(good, ["a", "b"], "left_anti").select("x", "y")
+        rest = written(late.select("a", "b", *ends).join(failed, ["x", "y"], "left_semi").join(one, ["a", "b"], "left_anti").select("a", "b").distinct())
+        more = [good, written(verified(bytes_of, rest, width, least).select("a", "b"))] if rest.count() else [good]
+        found = functools.reduce(DataFrame.unionByName, more)
+        joined = written(narrow(components(links.unionByName(found)), 2 * (links.count() + found.count())))
+        dropped(parts, one, rest, *more)
+        parts = joined
+    dropped(links, mixed, placed, within, late)
+
+    whole = nodes.select("f1", "f2", "node", "doc_id").join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
+    if named:
+        classes = whole.select("f1", "f2", F.col("part").alias("class_id"))
+    else:
+        classes = whole.join(whole.groupBy("part").agg(F.min("doc_id").alias("class_id")), "part").select("f1", "f2", "class_id")
+    classes = written(classes)
+    dropped(nodes, parts)
+    out = prints.join(classes, ["f1", "f2"])
+    if not named:
+        # an id belongs to the smallest of its texts' classes
+        least_class = out.groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
+        out = out.select("doc_id").join(least_class, "doc_id")
+    out = out.select("doc_id", "class_id", (F.col("doc_id") == F.col("class_id")).alias("kept"))
     loose_rows = docs.where(F.col("doc_id").isNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(None).cast("long").alias("class_id"), F.lit(True).alias("kept"))
     return out.unionByName(loose_rows)
 
