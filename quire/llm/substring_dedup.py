@@ -3,13 +3,13 @@
 Pass 1 sketches, pass 2 groups exactly, pass 3 cuts.
 
 1. Every input partition counts its word windows in a Count-min sketch. A window's key in the sketch is its minimiser, the
-   smallest hash of its seven-word runs: equal windows have equal minimisers, so the count of the key is never below the
-   count of the window, and neighbouring windows share keys, which makes the sketch four times smaller. The sketches are
+   smallest hash of its seven-word runs: equal windows have equal minimisers, so of a window in two texts the key counts
+   two at least, and neighbouring windows of a text share keys and count once, which makes the sketch four times smaller. The sketches are
    merged, shard by shard, and only one bit per cell, "two or more", is broadcast: ``3 * 2**bits`` bits, at most 96 MB at
    the default ``max_bits``.
 2. Windows estimated to repeat are grouped by 96 bits of hash, exactly. Within a chunk of a task, all but the smallest
-   document of a window are settled at once, so a window reaches the exchange once per chunk at most, however often it
-   occurs: a hot passage makes no hot key.
+   document of a window are settled at once, and a task remembers common windows from chunk to chunk, so such a window
+   reaches the exchange a few times per task, however often it occurs.
 3. Covered words leave their documents.
 
 The sketch only ever overestimates, so a too small one costs exchange volume, never results.
@@ -34,6 +34,8 @@ SHARD_BITS = 20
 FLUSH = 1 << 19
 #: Rows of a batch that leaves a worker.
 SHIP = 1 << 16
+#: Rows of a chunk from which a window counts as common, and windows so remembered by a task at most: both bound traffic only.
+COMMON, KNOWN = 64, 1 << 16
 SEEDS = (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344), np.uint64(0xA4093822299F31D0))
 
 
@@ -132,17 +134,33 @@ def repeated_cells(texts: DataFrame, window: int, anchor: int, bits: int) -> np.
     return out
 
 
-def _candidates(batches: Iterator[pa.RecordBatch], window: int, anchor: int, bits: int, sketch) -> Iterator[pa.RecordBatch]:
+def _candidates(batches: Iterator[pa.RecordBatch], window: int, anchor: int, bits: int, sketch, coded: bool) -> Iterator[pa.RecordBatch]:
     table = np.frombuffer(sketch.value, np.uint8).reshape(ROWS, -1)
-    names = ["h1", "h2", "doc_id", "place", "n"]
+    names = ["h1", "h2", "doc_id", "place"] + ["text_hash"] * coded
 
     def resolved(held: list[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordBatch]:
         h1, h2, doc, code, pos = (np.concatenate(x) for x in zip(*held))
         order = np.lexsort((doc, h2, h1))
         h1, h2, doc, code, pos = (x[order] for x in (h1, h2, doc, code, pos))
         head = np.r_[True, (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])]
-        least = doc[np.flatnonzero(head)[np.cumsum(head) - 1]]
-        gone = doc > least
+        at = np.flatnonzero(head)
+        least = doc[at]
+        n = np.diff(np.r_[at, len(doc)])
+        if len(known[0]):
+            spot = np.minimum(np.searchsorted(known[0], h1[at]), len(known[0]) - 1)
+            before = np.where((known[0][spot] == h1[at]) & (known[1][spot] == h2[at]), known[2][spot], np.iinfo(np.int64).max)
+            least = np.minimum(least, before)
+        else:
+            spot, before = np.zeros(len(at), np.int64), np.full(len(at), np.iinfo(np.int64).max)
+        old = before < np.iinfo(np.int64).max
+        known[2][spot[old]] = least[old]
+        fresh = np.flatnonzero((n >= COMMON) & ~old)
+        if len(fresh) and len(known[0]) < KNOWN:
+            both = [np.r_[k, x] for k, x in zip(known, (h1[at[fresh]], h2[at[fresh]], least[fresh]))]
+            _, one = np.unique(both[0], return_index=True)
+            known[:] = [b[one] for b in both]
+        # what the task has sent before speaks for the smallest document; rows of that document itself go on
+        gone = doc > np.repeat(least, n)
         # of the smallest document itself one row is enough, unless its id or the window occurs there again
         for settled in (False, True):
             take = np.flatnonzero(gone == settled)
@@ -151,19 +169,21 @@ def _candidates(batches: Iterator[pa.RecordBatch], window: int, anchor: int, bit
             if settled:
                 take = take[np.lexsort((pos[take], code[take], doc[take]))]
                 d, c, p = doc[take], code[take], pos[take]
-                # settled windows travel as runs, with their length; the others have length 0
+                # settled windows travel as runs, with their number; for the others it is 0
                 new = np.r_[True, (d[1:] != d[:-1]) | (c[1:] != c[:-1]) | (p[1:] != p[:-1] + 1)]
                 at = np.flatnonzero(new)
                 take, length = take[at], np.diff(np.r_[at, len(new)])
             else:
                 length = np.zeros(len(take), np.int64)
-            place = (code[take].astype(np.int64) << 32) | pos[take]
-            rows = pa.RecordBatch.from_arrays([pa.array(h1[take].view(np.int64)), pa.array(h2[take].view(np.int32)), pa.array(doc[take]), pa.array(place), pa.array(length.astype(np.int32))], names)
+            columns = [h1[take].view(np.int64), h2[take].view(np.int32), doc[take], (length << 32) | pos[take]] + [code[take]] * coded
+            rows = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names)
             for low in range(0, rows.num_rows, SHIP):
                 yield rows.slice(low, SHIP)
 
     held: list[tuple[np.ndarray, ...]] = []
     size = 0
+    # windows common in this task, with the smallest document that it has sent for each: later rows of others are settled
+    known = [np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.int64)]
     for batch in batches:
         for part in row_chunks(batch, "bytes"):
             hashes, first = word_hashes(*binary_view(part.column("bytes")))
@@ -231,16 +251,19 @@ def substring_dedup(docs: DataFrame, window: int = 13, anchor: int = 7, max_bits
     rest = F.struct(*(F.col(f"`{c}`") for c in carry)) if carry else F.struct(F.lit(None).cast("int").alias("none"))
     # only where ids repeat does a row need its text's hash to be told from others
     twice = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
-    code = F.hash("text") if twice else F.lit(0)
+    code = F.xxhash64("text") if twice else F.lit(0).cast("long")
     row = ["doc_id", "text_hash"] if twice else ["doc_id"]
     texts = lean(docs).select("doc_id", whole_text().alias("bytes"), code.alias("text_hash"), rest.alias("rest"))
     seen = texts.where(F.col("doc_id").isNotNull()).select("doc_id", "bytes", "text_hash")
     sketch = docs.sparkSession.sparkContext.broadcast(repeated_cells(seen.select("bytes"), window, anchor, bits).tobytes())
-    found = seen.mapInArrow(lambda it: trimmed(_candidates(it, window, anchor, bits, sketch)), "h1 long, h2 int, doc_id long, place long, n int")
+    coded = bool(twice)
+    schema = "h1 long, h2 int, doc_id long, place long" + ", text_hash long" * coded
+    found = seen.mapInArrow(lambda it: trimmed(_candidates(it, window, anchor, bits, sketch, coded)), schema)
     least = F.min("doc_id").over(Window.partitionBy("h1", "h2"))
-    doomed = found.withColumn("least", least).where((F.col("n") > 0) | (F.col("doc_id") > F.col("least")))
-    span = F.struct(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("first"), F.greatest("n", F.lit(1)).alias("n"))
-    spans = doomed.withColumn("text_hash", F.shiftright("place", 32).cast("int")).groupBy(*row).agg(F.collect_list(span).alias("spans"))
+    # a place is a word's number and above it, of runs that are settled, their number of windows
+    doomed = found.withColumn("least", least).where((F.col("place") >= 1 << 32) | (F.col("doc_id") > F.col("least")))
+    span = F.struct(F.col("place").bitwiseAND(0xFFFFFFFF).cast("int").alias("first"), F.greatest(F.shiftright("place", 32).cast("int"), F.lit(1)).alias("n"))
+    spans = doomed.groupBy(*row).agg(F.collect_list(span).alias("spans"))
     joined = texts.join(spans, row, "left").select("doc_id", "bytes", "spans", "rest")
     schema = f"doc_id long, n_words long, n_removed long, kept_text binary, removed array<struct<first:int,end:int>>, rest {joined.schema['rest'].dataType.simpleString()}"
     out = joined.mapInArrow(lambda it: trimmed(_cut(it, window)), schema)
