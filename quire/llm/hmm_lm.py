@@ -6,8 +6,8 @@ size, and a word's probability in state s is P(class | s) * (c + 0.5) / (N_class
 all words stay in a table; only the frequent words, the class totals and the model are sent to executors.
 
 Training starts from words that occur in many documents but seldom in the same ones, and then runs Baum-Welch over all
-training tokens: each task adds up expected counts of its documents, cut into runs of at most ``RUN`` tokens, and the counts
-are summed shard by shard.
+training tokens, each text whole: each task adds up expected counts of its documents, and the counts are summed shard by
+shard.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,8 @@ TOP, CLASSES, STATES, ROUNDS = 49_152, 1_024, 8, 3
 SEEDS = 192
 END = np.uint64(0x5851F42D4C957F2D)
 GATHER = 1 << 20
-RUN = 1024
+#: Steps between forward values kept of a long text, and bytes of symbols of long texts that are worked on together.
+RUN, POOL = 1024, 1 << 22
 SHARD = 1024
 #: 64 * log2(3): rarer words are told by their class, whose share also serves for words not seen at all.
 STEADY = 101
@@ -194,60 +196,87 @@ def forward(symbols: np.ndarray, first: np.ndarray, model: dict[str, np.ndarray]
 
 
 def expected(symbols: np.ndarray, first: np.ndarray, model: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions (symbol by state) of sequences."""
+    """Expected starts, moves and emissions (symbol by state) of sequences.
+
+    Of sequences longer than RUN the first pass keeps the forward values every RUN steps; the way back takes a run at a time
+    and works them out again, so memory follows the number of sequences, not their length.
+    """
     states, size = model["emit"].shape
-    lengths = np.diff(first)
-    order, alive = by_time(lengths)
+    order, alive = by_time(np.diff(first))
     begin, move = first[:-1][order], model["move"].astype(np.float32)
     emit = np.ascontiguousarray(model["emit"].T).astype(np.float32)
-    at = np.r_[0, np.cumsum(alive)]
-    seen = np.concatenate([symbols[begin[:n] + t] for t, n in enumerate(alive)]) if len(alive) else np.zeros(0, np.int64)
-    likely = emit[seen]
-    alpha, total = np.empty((at[-1], states), np.float32), np.empty(at[-1], np.float32)
-    for t, n in enumerate(alive):
-        a = (alpha[at[t - 1] : at[t - 1] + n] @ move if t else np.tile(model["start"].astype(np.float32), (n, 1))) * likely[at[t] : at[t + 1]]
-        s = a.sum(axis=1)
-        total[at[t] : at[t + 1]] = s
-        np.divide(a, s[:, None], out=alpha[at[t] : at[t + 1]])
-    moves = np.zeros((states, states))
-    gamma, beta = np.empty_like(alpha), np.ones((0, states), np.float32)
-    for t in range(len(alive) - 1, -1, -1):
-        n, here = alive[t], alpha[at[t] : at[t + 1]]
-        full = np.ones((n, states), np.float32)
-        if t + 1 < len(alive):
-            m = alive[t + 1]
-            ahead = likely[at[t + 1] : at[t + 2]] * beta / total[at[t + 1] : at[t + 2], None]
-            full[:m] = ahead @ move.T
-            moves += here[:m].T.astype(float) @ ahead
-        beta = full
-        np.multiply(here, beta, out=gamma[at[t] : at[t + 1]])
-    emitted = np.stack([np.bincount(seen, gamma[:, s], size) for s in range(states)], axis=1)
-    starts = gamma[: alive[0]].sum(axis=0, dtype=float) if len(alive) else np.zeros(states)
+    start = model["start"].astype(np.float32)
+
+    def ahead_of(low: int, gate: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        """Where each step's rows lie, symbols, emissions, scaled forward values and scales of the run from ``low``."""
+        here = alive[low : low + RUN]
+        at = np.r_[0, np.cumsum(here)]
+        seen = np.concatenate([symbols[begin[:n] + t] for t, n in enumerate(here, low)])
+        likely = emit[seen]
+        alpha, total = np.empty((at[-1], states), np.float32), np.empty(at[-1], np.float32)
+        for t, n in enumerate(here):
+            a = (gate[:n] @ move if gate is not None else np.tile(start, (n, 1))) * likely[at[t] : at[t + 1]]
+            s = a.sum(axis=1)
+            total[at[t] : at[t + 1]] = s
+            gate = np.divide(a, s[:, None], out=alpha[at[t] : at[t + 1]])
+        return at, seen, likely, alpha, total
+
+    starts, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+    lows, gates, run = range(0, len(alive), RUN), [None], None
+    for low in lows:
+        run = ahead_of(low, gates[-1])
+        gates.append(run[3][run[0][-2] :].copy())
+    ahead = None
+    for k in range(len(lows) - 1, -1, -1):
+        at, seen, likely, alpha, total = run if k == len(lows) - 1 else ahead_of(lows[k], gates[k])
+        gamma = np.empty_like(alpha)
+        for t in range(len(at) - 2, -1, -1):
+            rows = slice(at[t], at[t + 1])
+            beta = np.ones((at[t + 1] - at[t], states), np.float32)
+            if ahead is not None:
+                beta[: len(ahead)] = ahead @ move.T
+                moves += alpha[rows][: len(ahead)].T.astype(float) @ ahead
+            np.multiply(alpha[rows], beta, out=gamma[rows])
+            ahead = likely[rows] * beta / total[rows, None]
+        emitted += np.stack([np.bincount(seen, gamma[:, s], size) for s in range(states)], axis=1)
+        if k == 0:
+            starts = gamma[: alive[0]].sum(axis=0, dtype=float)
     return starts, moves * model["move"], emitted
 
 
-def runs(column: pa.Array, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols of a column of sequences, and where runs of at most ``longest`` of them start, with the end."""
+def sequences(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Symbols of a column of sequences, and where each starts, with the end."""
     flat, at = binary_view(column)
-    symbols = np.frombuffer(flat.tobytes(), "<u2").astype(np.int64)
-    at = at // 2
-    if longest:
-        n = np.diff(at)
-        pieces = -(-n // longest)
-        owner = np.repeat(np.arange(len(n)), pieces)
-        nth = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-        at = np.r_[at[:-1][owner] + nth * longest, at[-1]]
-    return symbols, at
+    return np.frombuffer(flat.tobytes(), "<u2").astype(np.int64), at // 2
 
 
 def _expected(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     model = model.value
     states, size = model["emit"].shape
-    starts, moves, emitted = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+    sums = np.zeros(states), np.zeros((states, states)), np.zeros((size, states))
+
+    def add(column: pa.Array) -> None:
+        for have, more in zip(sums, expected(*sequences(column), model)):
+            have += more
+
+    # long texts wait for each other: a step costs the same for one as for many
+    held, waiting = [], 0
     for batch in batches:
         for part in row_chunks(batch, "symbols"):
-            for have, more in zip((starts, moves, emitted), expected(*runs(part.column("symbols"), RUN), model)):
-                have += more
+            column = part.column("symbols")
+            long = pc.greater(pc.binary_length(column), 2 * RUN)
+            if pc.any(long).as_py():
+                held.append(column.filter(long))
+                waiting += pc.sum(pc.binary_length(held[-1])).as_py()
+                column = column.filter(pc.invert(long))
+            if len(column):
+                add(column)
+            if waiting >= POOL:
+                add(pa.concat_arrays(held))
+                held, waiting = [], 0
+    if held:
+        add(pa.concat_arrays(held))
+    starts, moves, emitted = sums
     blobs = [np.r_[starts, moves.reshape(-1)].tobytes()] + [emitted[i : i + SHARD].astype(np.float32).tobytes() for i in range(0, size, SHARD)]
     yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(blobs) - 1), pa.int32()), pa.array(blobs, pa.binary())], ["shard", "counts"])
 
@@ -290,7 +319,7 @@ def _scored(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatch]
     for batch in batches:
         for low in range(0, batch.num_rows, 2500):
             part = batch.slice(low, 2500)
-            symbols, at = runs(part.column("symbols"), 0)
+            symbols, at = sequences(part.column("symbols"))
             sums = [np.add.reduceat(x, at[:-1]) for x in ((symbols < len(base)).astype(np.int64), table[symbols])]
             yield pa.RecordBatch.from_arrays([part.column(c) for c in names[:3]] + [pa.array(np.diff(at)), *map(pa.array, sums), pa.array(forward(symbols, at, model))], names)
 
@@ -304,7 +333,7 @@ def score(docs: DataFrame, top: int = TOP, states: int = STATES, rounds: int = R
     """
     spark = docs.sparkSession
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1, F.lit(False))
-    texts = lean(docs).select("doc_id", F.hash("text").alias("text_hash"), held.alias("held_out"), whole_text().alias("bytes"))
+    texts = lean(docs).select("doc_id", F.xxhash64("text").alias("text_hash"), held.alias("held_out"), whole_text().alias("bytes"))
     counts = texts.where("not held_out").select("bytes").mapInArrow(_counted, "h long, kind int, c long")
     counts = written(counts.groupBy("h").agg(F.min("kind").alias("kind"), F.sum("c").alias("c")))
     whole = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
@@ -327,7 +356,7 @@ def score(docs: DataFrame, top: int = TOP, states: int = STATES, rounds: int = R
     share /= share.sum()
 
     sent = spark.sparkContext.broadcast(keys)
-    observed = written(texts.mapInArrow(lambda it: _observed(it, sent), "doc_id long, text_hash int, held_out boolean, symbols binary"))
+    observed = written(texts.mapInArrow(lambda it: _observed(it, sent), "doc_id long, text_hash long, held_out boolean, symbols binary"))
     size = max(1, min(SEEDS, len(keys)))
     shared = observed.where("not held_out").select("symbols").mapInArrow(lambda it: _together(it, size), "i long, j long, n double").groupBy("i", "j").agg(F.sum("n").alias("n")).collect()
     together = np.zeros((size, size))
@@ -340,9 +369,9 @@ def score(docs: DataFrame, top: int = TOP, states: int = STATES, rounds: int = R
     n, v = float(whole["n"]), float(whole["v"])
     unit = n + 0.5 * (v + 1)
     ready = spark.sparkContext.broadcast((model, np.log10((often + 0.5) / unit)))
-    scored = observed.mapInArrow(lambda it: _scored(it, ready), "doc_id long, text_hash int, held_out boolean, n_tokens long, known long, base double, likelihood double")
+    scored = observed.mapInArrow(lambda it: _scored(it, ready), "doc_id long, text_hash long, held_out boolean, n_tokens long, known long, base double, likelihood double")
 
-    pairs = texts.select("doc_id", "text_hash", "bytes").mapInArrow(lambda it: _rare(it, sent), "h long, kind int, doc_id long, text_hash int, n int")
+    pairs = texts.select("doc_id", "text_hash", "bytes").mapInArrow(lambda it: _rare(it, sent), "h long, kind int, doc_id long, text_hash long, n int")
     # at most CLASSES rows
     every = spark.range(CLASSES).select(F.col("id").cast("int").alias("kind")).join(F.broadcast(classes), "kind", "left").fillna(0)
     c = F.coalesce(F.col("c"), F.lit(0))
