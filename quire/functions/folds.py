@@ -118,6 +118,6 @@ def unmasked(text: Column, terms: Column) -> Column:
 
 
 def same_placeholders(source: Column, target: Column) -> Column:
-    """Whether both hold the same placeholders in the same order."""
-    found = lambda c: F.regexp_extract_all(c, F.lit(r"__QUIRE_PH_\d{4,}__"), F.lit(0))
+    """Whether both hold the same note references in the same order."""
+    found = lambda c: F.regexp_extract_all(c, F.lit(T.NOTE), F.lit(0))
     return found(source) == found(target)

@@ -24,6 +24,27 @@ def note_entries(c: Column) -> Column:
     return F.filter(entries, lambda e: e["text"] != "")
 
 
+def roman_value(c: Column) -> Column:
+    """The value of letters that stand for Roman figures, or null for others. Fixed values."""
+    values = {"i": 1, "v": 5, "x": 10, "l": 50, "c": 100, "d": 500, "m": 1000}
+    table = F.create_map(*(F.lit(x) for pair in values.items() for x in pair))
+    figures = F.transform(F.filter(F.split(c, ""), lambda x: x != ""), lambda x: F.element_at(table, x))
+    signed = F.transform(figures, lambda x, i: F.when(x < F.get(figures, i + 1), -x).otherwise(x))
+    return F.when(c.rlike("^[ivxlcdm]+$"), F.aggregate(signed, F.lit(0), lambda a, x: a + x))
+
+
+def note_label(label: Column, before: Column) -> Column:
+    """A label read as a number: what follows the number before, of its letters as figures or as Roman ones; else figures if
+    it has some or looks like them, else Roman ones, else as it is."""
+    low = F.lower(label)
+    figures = F.when(low.rlike("^[0-9ilo]+$"), F.translate(low, "ilo", "110").try_cast("int"))
+    roman, expected = roman_value(low), before + 1
+    return (
+        F.when(figures == expected, figures.cast("string")).when(roman == expected, roman.cast("string"))
+        .when(low.rlike("[0-9ol]") & figures.isNotNull(), figures.cast("string")).when(roman.isNotNull(), roman.cast("string")).otherwise(label)
+    )
+
+
 def repaired_label(label: Column, before: Column) -> Column:
     """A label with letters read as figures, if it then follows the one before; else as it is."""
     figures = F.translate(F.lower(label), "ilo", "110").try_cast("int")

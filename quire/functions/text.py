@@ -21,7 +21,10 @@ LANGUAGE_MARKS = {
 }
 #: What a chapter heading starts with, and literals that a translation must keep.
 HEADING = r"(?i)^(?:(?:chapter|chapitre|kapitel|cap[ií]tulo|appendix|annexe)\s+(?:[IVXLCDM]+|\d+)(?:[^\w]|$)|第[一二三四五六七八九十百零〇0-9]+章)"
-LITERAL = r"(?i)(?:https?://|www\.)[^\s<>\"']+|\b10\.\d{4,9}/[^\s<>\"']+|\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+LITERAL = r"(?i)(?:https?://|www\.)[^\s<>{}\[\]\"']+|\b10\.\d{4,9}/[-._;()/:a-z0-9]+\b|\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b"
+NOTE = r"\{\{NOTE_REF:[^:}]+:[^}]+\}\}"
+#: All that ends a line where a page's quality is judged.
+LINE_ENDS = r"[\n\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
 def regex(pattern: str) -> Column:
@@ -50,14 +53,14 @@ def unix_lines(c: Column) -> Column:
     return F.regexp_replace(c, r"\r\n|\r", "\n")
 
 
-def lines(c: Column) -> Column:
+def lines(c: Column, ends: str = "\n") -> Column:
     """Lines without outer white space, blank ones left out."""
-    return F.filter(F.transform(F.split(unix_lines(c), "\n"), strip), lambda x: x != "")
+    return F.filter(F.transform(F.split(unix_lines(c), ends), strip), lambda x: x != "")
 
 
 def count_literal(c: Column, literal: str) -> Column:
-    """Occurrences that do not overlap."""
-    return F.size(F.split(c, f"\\Q{literal}\\E")) - 1
+    """Occurrences that do not overlap: by how much shorter the text is without them, in bytes."""
+    return ((F.octet_length(c) - F.octet_length(F.replace(c, F.lit(literal)))) / len(literal.encode())).cast("int")
 
 
 def count_regex(c: Column, pattern: str) -> Column:
@@ -93,7 +96,7 @@ def _metrics(value: Column) -> Column:
     # what Python calls printable: no separators but the space, no controls, formats, surrogates, private or unassigned
     printable = n - count_chars(value, r"[[\p{Zl}\p{Zp}\p{C}&&[^\n\t]][\p{Zs}&&[^ ]]]")
     return F.struct(
-        F.greatest(F.lit(1), n).alias("total"), lines(value).alias("lines"), F.length(strip(value)).alias("chars"), printable.alias("printable"),
+        F.greatest(F.lit(1), n).alias("total"), lines(value, LINE_ENDS).alias("lines"), F.length(strip(value)).alias("chars"), printable.alias("printable"),
         count_chars(value, r"[\p{Cc}&&[^\n\t]]").alias("control"), count_literal(value, "�").alias("broken"), count_chars(value, r"[\p{L}\p{N}]").alias("alnum"),
         count_chars(value, SPACE).alias("space"), count_regex(value, r"(?s)(.)\1{7,}").alias("runs"),
         count_regex(value, r"[A-Za-zÀ-ÖØ-öø-ÿ]-\s*\n\s*[A-Za-zÀ-ÖØ-öø-ÿ]").alias("hyphens"), F.array_max(F.transform(F.split(value, f"{SPACE}+"), F.length)).alias("longest"),
@@ -161,12 +164,20 @@ def starts_lower(c: Column) -> Column:
     return F.regexp_extract(c, "[A-Za-z]", 0).rlike("^[a-z]$")
 
 
-def continues_across_page(left: Column, right: Column) -> Column:
-    """Whether prose seems to run on over a page edge."""
-    a, b = rstrip(left), lstrip(right)
-    last, first = last_char(a), first_char(b)
+def edge_marks(c: Column) -> Column:
+    """What the rules on page edges read of a text: how it ends and begins. Null for a null text."""
+    head = lstrip(c)
+    marks = F.struct(
+        ends_sentence(c).alias("done"), starts_lower(c).alias("low"), first_char(head).isin(",", ";", ":").alias("sign"), last_char(rstrip(c)).alias("last"), first_char(head).alias("first"),
+    )
+    return F.when(c.isNotNull(), marks)
+
+
+def marks_continue(left: Column, right: Column) -> Column:
+    """As ``continues_across_page``, of marks."""
+    last, first = left["last"], right["first"]
     return (
-        F.when((a == "") | (b == ""), False)
+        F.when((last == "") | (first == ""), False)
         .when(last.rlike("[-‐‑‒–]"), True)
         .when(last.rlike("[.!?。！？；;：:]"), False)
         .when(first.rlike(r"[\p{Ll}\p{Nd}]"), True)
@@ -174,18 +185,28 @@ def continues_across_page(left: Column, right: Column) -> Column:
     )
 
 
-def edge_relation(left: Column, right: Column, chapter_break: Column | None = None) -> Column:
-    """no_join, continue or unresolved; a null right side is an open last edge."""
-    done = ends_sentence(left)
+def marks_relation(left: Column, right: Column, chapter_break: Column | None = None) -> Column:
+    """As ``edge_relation``, of marks."""
+    done = left["done"]
     chapter_break = F.lit(False) if chapter_break is None else chapter_break
     return (
         F.when(right.isNull(), F.when(done, "no_join").otherwise("unresolved"))
         .when(chapter_break | done, "no_join")
-        .when(starts_lower(right) | first_char(lstrip(right)).isin(",", ";", ":"), "continue")
+        .when(right["low"] | right["sign"], "continue")
         .otherwise("unresolved")
     )
 
 
+def continues_across_page(left: Column, right: Column) -> Column:
+    """Whether prose seems to run on over a page edge."""
+    return marks_continue(edge_marks(left), edge_marks(right))
+
+
+def edge_relation(left: Column, right: Column, chapter_break: Column | None = None) -> Column:
+    """no_join, continue or unresolved; a null right side is an open last edge."""
+    return marks_relation(edge_marks(left), edge_marks(right), chapter_break)
+
+
 def within_page_continuation(left: Column, right: Column) -> Column:
     ending = rstrip(F.regexp_replace(rstrip(left), CLOSERS, ""))
     return ~ends_sentence(left) & (ending != "") & (last_char(ending).rlike("[,;:—–-]") | starts_lower(right) | lstrip(right).rlike("^[\"'“‘]"))
@@ -242,6 +263,40 @@ def missing_numbers(source: Column, translation: Column) -> Column:
     return F.filter(numbers, lambda n: ~F.contains(translation, n))
 
 
+def integrity_warnings(source: Column, translation: Column) -> Column:
+    """Numbers that the translation lacks and, where the source negates and it has no sign of that, the negation. Fixed values."""
+    negated = source.rlike(r"(?iU)\b(?:not|never|no|without|cannot|could not|would not)\b")
+    kept = translation.rlike("不|未|无|没有|非|勿")
+    numbers = F.transform(missing_numbers(source, translation), lambda n: F.concat(F.lit("possible_missing_number:"), n))
+    return F.concat(numbers, F.when(negated & ~kept, F.array(F.lit("possible_missing_negation"))).otherwise(F.array().cast("array<string>")))
+
+
+def raw_units(c: Column) -> Column:
+    """Units of measure in order, joined; null without any. Fixed values."""
+    found = F.regexp_extract_all(c, regex(r"(?iU)\b(?:in\.?|ft\.?|feet|foot|lb\.?|oz\.?|mm\.?|miles?|li|versts?|taels?|£|s\.|d\.)\b"), F.lit(0))
+    return F.when(F.size(found) > 0, F.array_join(found, " | "))
+
+
+def page_markdown(c: Column) -> Column:
+    """Headings made plain: the first line behind a page comment, and lines that start with a numbered place."""
+    rows = F.split(F.regexp_replace(strip(unix_lines(c)), LINE_ENDS, "\n"), "\n")
+    start = F.struct(F.array().cast("array<string>").alias("out"), F.lit(False).alias("first"))
+
+    def step(a: Column, row: Column) -> Column:
+        bare = strip(row)
+        comment = bare.rlike(r"^<!-- page \d+ -->$")
+        number = F.regexp_extract(bare, r"^(\d+(?:\.\d+)+)\s+.+$", 1)
+        level = F.least(F.lit(6), F.length(number) - F.length(F.replace(number, F.lit("."))) + 1)
+        titled = F.when(bare.startswith("#"), bare).otherwise(F.concat(F.lit("# "), bare))
+        made = (
+            F.when(comment, bare).when(a["first"] & (bare != ""), titled)
+            .when((number != "") & ~bare.startswith("#"), F.concat(F.repeat(F.lit("#"), level), F.lit(" "), bare)).otherwise(rstrip(row))
+        )
+        return F.struct(F.array_append(a["out"], made).alias("out"), (comment | (a["first"] & (bare == ""))).alias("first"))
+
+    return strip(F.array_join(F.aggregate(rows, start, step, lambda a: a["out"]), "\n"))
+
+
 def tokens_only_in(a: Column, b: Column, pattern: str) -> Column:
     """Matches of a pattern in a that b has not, each once, sorted."""
     found = lambda c: F.regexp_extract_all(c, regex(pattern), F.lit(0))

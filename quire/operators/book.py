@@ -8,9 +8,28 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 
 
+#: Ids of a book that are numbered together: a task sorts no more of a book than a range of so many.
+RANGE = 1 << 20
+
+
 def numbered_pages(docs: DataFrame, book: str = "source", order: str = "doc_id") -> DataFrame:
-    """Adds page, the row's place in its book from 1."""
-    return docs.withColumn("page", F.row_number().over(Window.partitionBy(book).orderBy(order)))
+    """Adds page, the row's place in its book from 1.
+
+    Ranges of ids are numbered apart and moved up by the rows of the ranges before, so a large book is no large task.
+    Columns made of long texts should be reduced to what is needed before: they travel with the row.
+    """
+    rows = docs.withColumn("_range", F.coalesce(F.floor(F.col(order) / RANGE), F.lit(-(1 << 62))))
+    upto = Window.partitionBy(book).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = rows.groupBy(book, "_range").agg(F.count("*").alias("_n")).select(F.col(book).alias("_book"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(book, "_range").orderBy(order)))
+    joined = placed.join(sizes, F.col(book).eqNullSafe(F.col("_book")) & (F.col("_range") == F.col("_r")))
+    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), (F.col("_place") + F.col("_before")).cast("int").alias("page"))
+
+
+def beside(pages: DataFrame, *columns: str, step: int = 1, name: str = "next") -> DataFrame:
+    """Adds a struct of columns of the page so many pages on in the same book, null where there is none."""
+    there = pages.select("source", (F.col("page") - step).alias("page"), F.struct(*columns).alias(name))
+    return pages.join(there, ["source", "page"], "left")
 
 
 def intake_summary(scored: DataFrame) -> DataFrame:
@@ -22,35 +41,35 @@ def intake_summary(scored: DataFrame) -> DataFrame:
     )
 
 
-def edge_lines(pages: DataFrame, depth: int = 3) -> DataFrame:
-    """(source, page, line) for the first and last ``depth`` non-blank lines of a page."""
-    kept = pages.select("source", "page", T.lines(F.col("text")).alias("lines"))
-    n = F.size("lines")
-    edge = F.concat(F.slice("lines", 1, depth), F.slice("lines", F.greatest(n - depth + 1, F.lit(1)), F.lit(depth)))
-    return kept.select("source", "page", F.explode(edge).alias("line"))
+def edge_lines(text: Column, depth: int = 3) -> Column:
+    """The first and last ``depth`` non-blank lines of a page."""
+    return T.let(T.lines(text), lambda rows: F.concat(F.slice(rows, 1, depth), F.slice(rows, F.greatest(F.size(rows) - depth + 1, F.lit(1)), F.lit(depth))))
 
 
-def running_artifacts(pages: DataFrame) -> DataFrame:
-    """Keys of short edge lines that recur on two or three pages of a book, with the number of pages."""
+def running_artifacts(docs: DataFrame) -> DataFrame:
+    """Keys of short edge lines that recur on two or three pages of a book, with the number of pages.
+
+    Rows of (source, doc_id, text), a row a page; its doc_id tells a page from others as well as its number would.
+    """
     key = T.running_key(F.col("line"))
     words = F.size(F.filter(F.split("key", f"{T.SPACE}+"), lambda w: w != ""))
     compact = F.regexp_replace("key", f"{T.SPACE}+", "")
     cjk = compact.rlike("[㐀-鿿぀-ヿ]")
-    rows = edge_lines(pages).withColumn("key", key).withColumn("words", words)
+    rows = docs.select("source", "doc_id", F.explode(edge_lines(F.col("text"))).alias("line")).withColumn("key", key).withColumn("words", words)
     fit = (F.col("key") != "") & (F.length("line") <= 60) & (F.col("words") <= 8) & ~T.is_chapter_heading(F.col("line"))
     fit &= (F.col("words") != 1) | (F.length(compact) >= 6) | (cjk & (F.length(compact) >= 2))
     fit &= ~F.col("key").rlike(r"(?i)^(?:\d{1,4}|[ivxlcdm]{1,6})$")
-    found = rows.where(fit).groupBy("source", "key", "words").agg(F.count_distinct("page").alias("pages"))
+    found = rows.where(fit).groupBy("source", "key", "words").agg(F.count_distinct("doc_id").alias("pages"))
     return found.where(F.col("pages") >= F.when((F.length("key") >= 12) | (F.col("words") >= 3), 2).otherwise(3)).select("source", "key", "pages")
 
 
-def strip_running_artifacts(pages: DataFrame, artifacts: DataFrame) -> DataFrame:
+def strip_running_artifacts(docs: DataFrame, artifacts: DataFrame) -> DataFrame:
     """Pages without running lines at their edges and page numbers within two lines of one; counts of both.
 
     A book's keys travel as one array: they are few, two to a page at most.
     """
     keys = artifacts.groupBy("source").agg(F.collect_set("key").alias("keys"))
-    rows = pages.join(keys, "source", "left").withColumn("rows", F.split(T.unix_lines(F.col("text")), "\n"))
+    rows = docs.join(keys, "source", "left").withColumn("rows", F.split(T.unix_lines(F.col("text")), "\n"))
     at = F.filter(F.transform("rows", lambda x, i: F.when(T.strip(x) != "", i)), lambda i: i.isNotNull())
     rows = rows.withColumn("at", at)
     edge = F.array_union(F.slice("at", 1, 3), F.slice("at", F.greatest(F.size("at") - 2, F.lit(1)), F.lit(3)))
@@ -60,16 +79,21 @@ def strip_running_artifacts(pages: DataFrame, artifacts: DataFrame) -> DataFrame
     number = lambda i: line(i).rlike(r"(?i)^\s*(?:\d{1,4}|[ivxlcdm]{1,6})[.!]?\s*$")
     rows = rows.withColumn("numbers", F.filter("edge", lambda i: number(i) & F.exists("artifacts", lambda a: F.abs(a - i) <= 2)))
     kept = F.filter(F.transform("rows", lambda x, i: F.when(~F.array_contains(F.array_union("artifacts", "numbers"), i), x)), lambda x: x.isNotNull())
-    return rows.select("source", "page", F.array_join(kept, "\n").alias("text"), F.size("artifacts").alias("n_artifacts"), F.size("numbers").alias("n_numbers"))
+    return rows.select("source", "doc_id", F.array_join(kept, "\n").alias("text"), F.size("artifacts").alias("n_artifacts"), F.size("numbers").alias("n_numbers"))
 
 
-def page_edges(pages: DataFrame) -> DataFrame:
+def marked(docs: DataFrame) -> DataFrame:
+    """Numbered pages (source, doc_id, page, marks), the text reduced to the marks of its edges."""
+    return numbered_pages(docs.select("source", "doc_id", T.edge_marks(F.col("text")).alias("marks")))
+
+
+def page_edges(docs: DataFrame) -> DataFrame:
     """Each page with the next of its book: relation and continuation; the last edge is open."""
-    w = Window.partitionBy("source").orderBy("page")
-    nxt = pages.select("source", "page", "text", F.lead("page").over(w).alias("next_page"), F.lead("text").over(w).alias("next_text"))
-    return nxt.select(
-        "source", "page", "next_page", T.edge_relation(F.col("text"), F.col("next_text")).alias("relation"),
-        F.coalesce(T.continues_across_page(F.col("text"), F.col("next_text")), F.lit(False)).alias("continues"),
+    both = beside(marked(docs), "page", "marks")
+    here, there = F.col("marks"), F.col("next.marks")
+    return both.select(
+        "source", "page", F.col("next.page").alias("next_page"), T.marks_relation(here, there).alias("relation"),
+        F.coalesce(T.marks_continue(here, there), F.lit(False)).alias("continues"),
     )
 
 
@@ -78,13 +102,26 @@ def islands(rows: DataFrame, by: str, order: str, starts: Column) -> DataFrame:
     return rows.withColumn("island", F.sum(F.when(starts, 1).otherwise(0)).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def logical_blocks(pages: DataFrame) -> DataFrame:
-    """Runs of pages whose edges continue, as one text joined by spaces: edges link neighbours only, so components are runs."""
-    w = Window.partitionBy("source").orderBy("page")
-    joined = T.edge_relation(F.lag("text").over(w), F.col("text")) == "continue"
-    rows = islands(pages.withColumn("starts", ~F.coalesce(joined, F.lit(False))), "source", "page", F.col("starts"))
-    parts = F.array_sort(F.collect_list(F.struct("page", T.strip(F.col("text")).alias("text"))))
-    blocks = rows.groupBy("source", "island").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("fragments"), parts.alias("parts"))
+def block_starts(docs: DataFrame) -> DataFrame:
+    """(source, doc_id, page, block): the page at which each page's block starts. Edges link neighbours only, so blocks are
+    runs of pages: only the pages at which one starts are ordered by book, page ranges apart."""
+    rows = beside(marked(docs), "marks", step=-1, name="before")
+    starts = rows.withColumn("start", F.coalesce(T.marks_relation(F.col("before.marks"), F.col("marks")) != "continue", F.lit(True)) | F.col("before.marks").isNull() | F.col("marks").isNull())
+    rows = starts.withColumn("_range", F.floor(F.col("page") / RANGE)).withColumn("own", F.when(F.col("start"), F.col("page")))
+    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    last = rows.groupBy("source", "_range").agg(F.max("own").alias("m")).select("source", "_range", F.max("m").over(before).alias("open"))
+    within = F.max("own").over(Window.partitionBy("source", "_range").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
+    return rows.withColumn("within", within).join(last, ["source", "_range"]).select("source", "doc_id", "page", F.coalesce("within", "open").alias("block"))
+
+
+def logical_blocks(docs: DataFrame) -> DataFrame:
+    """Runs of pages whose edges continue, as one text joined by spaces: edges link neighbours only, so components are runs.
+
+    Texts travel by doc_id and by block, never by book.
+    """
+    rows = block_starts(docs).join(docs.select("source", "doc_id", T.strip(F.col("text")).alias("text")), ["source", "doc_id"])
+    parts = F.array_sort(F.collect_list(F.struct("page", "text")))
+    blocks = rows.groupBy("source", "block").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("fragments"), parts.alias("parts"))
     text = F.array_join(F.col("parts.text"), " ")
     return blocks.select("source", "first_page", "last_page", "fragments", F.length(text).alias("chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 

@@ -46,18 +46,20 @@ def streaks(events: DataFrame, by: str, order: str, length: int) -> DataFrame:
 
 
 def accepted(events: DataFrame) -> DataFrame:
-    """Decision on each event of a stream (stream, event_id, sequence, arrival): duplicate, out_of_order, gap or accepted.
+    """Decision on each event of a stream (stream, event_id, sequence, arrival, and matches where versions are checked):
+    schema_mismatch, duplicate, out_of_order, sequence_gap or accepted.
 
     Only accepted events move the cursor, so the decision needs what was decided before: a fold over each stream's events
     in order of arrival, whose state is the cursor and the ids accepted. Streams must be bounded for this batch form; the
     streaming form keeps the same state by key.
     """
-    rows = F.array_sort(F.collect_list(F.struct("arrival", "event_id", "sequence")))
+    fits = F.col("matches") if "matches" in events.columns else F.lit(True)
+    rows = F.array_sort(F.collect_list(F.struct("arrival", "event_id", "sequence", fits.alias("matches"))))
     start = F.struct(F.lit(0).cast("long").alias("cursor"), F.array().cast("array<bigint>").alias("seen"), F.array().cast("array<struct<arrival:bigint,event_id:bigint,sequence:bigint,decision:string>>").alias("out"))
 
     def step(a, e):
         decision = (
-            F.when(F.array_contains(a["seen"], e["event_id"]), "duplicate").when(e["sequence"] <= a["cursor"], "out_of_order")
+            F.when(~e["matches"], "schema_mismatch").when(F.array_contains(a["seen"], e["event_id"]), "duplicate").when(e["sequence"] <= a["cursor"], "out_of_order")
             .when((a["cursor"] > 0) & (e["sequence"] > a["cursor"] + 1), "sequence_gap").otherwise("accepted")
         )
         ok = decision == "accepted"

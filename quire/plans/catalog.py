@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -45,8 +45,22 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return add
 
 
-def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return book.numbered_pages(table(spark, sf_dir, "documents"))
+def wide(df: DataFrame) -> DataFrame:
+    """Rows of a table that has fewer file splits than there are cores (a small one, by hash of doc_id) on all cores; others as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, "doc_id") if df.rdd.getNumPartitions() < cores else df
+
+
+def pages(spark: SparkSession, sf_dir: str, **made: Column) -> DataFrame:
+    """Numbered pages: doc_id, source, lang, page and columns made of the row, texts among them, before it is numbered."""
+    docs = table(spark, sf_dir, "documents")
+    if made:
+        docs = wide(docs)
+    return book.numbered_pages(docs.select("doc_id", "source", "lang", *(c.alias(name) for name, c in made.items())))
+
+
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wide(table(spark, sf_dir, "documents"))
 
 
 QUALITY = BOOK + rf"""
@@ -65,7 +79,7 @@ r AS (SELECT *, raw >= 0.62 AND NOT (chars = 0 OR bad > 0.002 OR (alnum < 0.25 A
   CAST(hyphens AS INTEGER) AS hyphenated_line_breaks, CAST(longest AS INTEGER) AS longest_unspaced_token, round(greatest(0, least(1, raw)), 4)::DOUBLE AS quality_score, passed,
   CASE WHEN passed THEN 'python_text' ELSE 'ocr_router' END AS recommended_route FROM r""")
 def page_text_quality(spark, sf_dir):
-    scored = pages(spark, sf_dir).select("source", "page", T.page_quality(F.col("text")).alias("q"))
+    scored = pages(spark, sf_dir, q=T.page_quality(F.col("text")))
     return scored.select("source", "page", *(f"q.{c}" for c in ("text_characters", "alnum_ratio", "whitespace_ratio", "duplicate_line_ratio", "hyphenated_line_breaks", "longest_unspaced_token", "quality_score", "passed", "recommended_route")))
 
 
@@ -73,7 +87,7 @@ def page_text_quality(spark, sf_dir):
   coalesce(string_agg(CASE WHEN NOT passed THEN page::VARCHAR END, ',' ORDER BY page), '') AS review_pages, min(chars)::INTEGER AS min_chars, max(chars)::INTEGER AS max_chars, sum(chars)::BIGINT AS chars, round_even(avg(chars), 2) AS mean_chars
   FROM r GROUP BY source""")
 def page_intake_summary(spark, sf_dir):
-    return book.intake_summary(pages(spark, sf_dir).select("source", "page", T.page_quality(F.col("text")).alias("q")).select("source", "page", "q.passed", "q.text_characters"))
+    return book.intake_summary(pages(spark, sf_dir, q=T.page_quality(F.col("text"))).select("source", "page", "q.passed", "q.text_characters"))
 
 
 def _marks(marks: list[str]) -> str:
@@ -83,7 +97,7 @@ def _marks(marks: list[str]) -> str:
 @query("detect_language", "WITH d AS (SELECT doc_id, lang, ' ' || lower(substr(text, 1, 50000)) || ' ' AS t FROM documents), c AS (SELECT doc_id, lang, " + ", ".join(f"{_marks(m)} AS n_{k}" for k, m in T.LANGUAGE_MARKS.items()) + """ FROM d)
 SELECT doc_id, lang, CASE WHEN greatest(n_fr, n_de, n_es, n_en) = 0 THEN 'en' WHEN n_fr = greatest(n_fr, n_de, n_es, n_en) THEN 'fr' WHEN n_de = greatest(n_fr, n_de, n_es, n_en) THEN 'de' WHEN n_es = greatest(n_fr, n_de, n_es, n_en) THEN 'es' ELSE 'en' END AS detected FROM c""")
 def detect_language(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "lang", T.detect_language(F.col("text")).alias("detected"))
+    return texts(spark, sf_dir).select("doc_id", "lang", T.detect_language(F.col("text")).alias("detected"))
 
 
 ARTIFACTS = BOOK + rf"""
@@ -100,14 +114,22 @@ a AS (SELECT source, key, pages FROM f WHERE pages >= CASE WHEN length(key) >= 1
 
 @query("running_artifacts", ARTIFACTS + "SELECT * FROM a")
 def running_artifacts(spark, sf_dir):
-    return book.running_artifacts(pages(spark, sf_dir))
+    return book.running_artifacts(texts(spark, sf_dir))
 
 
-@query("strip_running_artifacts")
+@query("strip_running_artifacts", ARTIFACTS + rf""", n1 AS (SELECT source, page, string_split(text, chr(10)) AS rows FROM book), u1 AS (SELECT source, page, generate_subscripts(rows, 1) AS i, unnest(rows) AS line FROM n1),
+f1 AS (SELECT *, row_number() OVER (PARTITION BY source, page ORDER BY i) AS up, row_number() OVER (PARTITION BY source, page ORDER BY i DESC) AS down FROM u1 WHERE regexp_replace(line, '^\s+|\s+$', '', 'g') <> ''),
+g1 AS (SELECT source, page, i, line, regexp_replace(replace(lower(regexp_replace(regexp_replace(line, '\s+', ' ', 'g'), '^ | $', '', 'g')), 'ß', 'ss'), '^[^\p{{L}}\p{{N}}\p{{M}}]+|[^\p{{L}}\p{{N}}\p{{M}}]+$', '', 'g') AS key FROM f1 WHERE up <= 3 OR down <= 3),
+h1 AS (SELECT g1.*, a.key IS NOT NULL AS art FROM g1 LEFT JOIN a USING (source, key)), o1 AS (SELECT source, page, i FROM h1 WHERE art),
+z1 AS (SELECT h1.source, h1.page, h1.i FROM h1 WHERE NOT art AND regexp_matches(line, '(?i)^\s*(?:\d{{1,4}}|[ivxlcdm]{{1,6}})[.!]?\s*$') AND EXISTS (SELECT 1 FROM o1 WHERE o1.source = h1.source AND o1.page = h1.page AND abs(o1.i - h1.i) <= 2)),
+y1 AS (SELECT h1.source, h1.page, count(*) FILTER (regexp_matches(line, '(?i)^\s*(?:\d{{1,4}}|[ivxlcdm]{{1,6}})[.!]?\s*$') AND EXISTS (SELECT 1 FROM o1 WHERE o1.source = h1.source AND o1.page = h1.page AND abs(o1.i - h1.i) <= 2)) AS n FROM h1 GROUP BY h1.source, h1.page),
+k2 AS (SELECT u1.source, u1.page, u1.i, u1.line FROM u1 ANTI JOIN o1 USING (source, page, i) ANTI JOIN z1 USING (source, page, i)), t2 AS (SELECT source, page, string_agg(line, chr(10) ORDER BY i) AS t FROM k2 GROUP BY source, page), c2 AS (SELECT source, page, count(*) AS n FROM o1 GROUP BY source, page)
+SELECT n1.source, n1.page, sha256(coalesce(t2.t, '')) AS text_sha256, CAST(coalesce(c2.n, 0) AS INTEGER) AS n_artifacts, CAST(coalesce(y1.n, 0) AS INTEGER) AS n_numbers FROM n1 LEFT JOIN t2 USING (source, page) LEFT JOIN c2 USING (source, page) LEFT JOIN y1 USING (source, page)""")
 def strip_running_artifacts(spark, sf_dir):
-    p = pages(spark, sf_dir)
-    out = book.strip_running_artifacts(p, book.running_artifacts(p))
-    return out.select("source", "page", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "n_artifacts", "n_numbers")
+    docs = texts(spark, sf_dir)
+    out = book.strip_running_artifacts(docs, book.running_artifacts(docs))
+    slim = out.select("source", "doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"), "n_artifacts", "n_numbers")
+    return book.numbered_pages(slim).drop("doc_id")
 
 
 NEXT = BOOK + ", n AS (SELECT source, page, text, lead(page) OVER w AS next_page, lead(text) OVER w AS next_text, lag(text) OVER w AS before FROM book WINDOW w AS (PARTITION BY source ORDER BY page))"
@@ -117,7 +139,7 @@ NEXT = BOOK + ", n AS (SELECT source, page, text, lead(page) OVER w AS next_page
 SELECT source, page, next_page, {RELATION.format('text', 'next_text')} AS relation, coalesce(CASE WHEN a = '' OR b = '' THEN false WHEN regexp_matches(a, '[-‐‑‒–]$') THEN true
   WHEN regexp_matches(a, '[.!?。！？；;：:]$') THEN false WHEN regexp_matches(b, '^[\p{{Ll}}\p{{Nd}}]') THEN true ELSE regexp_matches(a, '[,，、(\p{{L}}\p{{N}}]$') END, false) AS continues FROM e""")
 def page_edges(spark, sf_dir):
-    return book.page_edges(pages(spark, sf_dir))
+    return book.page_edges(texts(spark, sf_dir))
 
 
 @query("logical_blocks", NEXT + rf""", s AS (SELECT source, page, {BARE} AS bare, CASE WHEN before IS NOT NULL AND {RELATION.format('before', 'text')} = 'continue' THEN 0 ELSE 1 END AS st FROM n),
@@ -125,7 +147,7 @@ i AS (SELECT *, sum(st) OVER (PARTITION BY source ORDER BY page) AS island FROM
 g AS (SELECT source, min(page) AS first_page, max(page) AS last_page, count(*) AS fragments, string_agg(bare, ' ' ORDER BY page) AS t FROM i GROUP BY source, island)
 SELECT source, first_page, last_page, fragments, CAST(length(t) AS INTEGER) AS chars, sha256(t) AS text_sha256 FROM g""")
 def logical_blocks(spark, sf_dir):
-    return book.logical_blocks(pages(spark, sf_dir))
+    return book.logical_blocks(texts(spark, sf_dir))
 
 
 @query("block_contexts", """SELECT conv_id, turn, role, lag(turn) OVER w AS previous_turn, lead(turn) OVER w AS next_turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_user_turn,
@@ -156,18 +178,18 @@ def page_batches(spark, sf_dir):
 w AS (SELECT source, unnest(generate_series(1, last)) AS page FROM x), c AS (SELECT source, page, count(*) AS n, page - lag(page) OVER (PARTITION BY source ORDER BY page) > 1 AS gap FROM h GROUP BY source, page)
 SELECT w.source, count(*) FILTER (c.n IS NULL) AS missing, count(*) FILTER (c.n > 1) AS duplicate, count(*) FILTER (c.gap) AS gaps FROM w LEFT JOIN c USING (source, page) GROUP BY w.source""")
 def source_coverage_audit(spark, sf_dir):
-    p = pages(spark, sf_dir)
-    return book.coverage_audit(p.where(F.length("text") % 7 != 0), p.groupBy("source").agg(F.lit(1).alias("first"), F.max("page").alias("last")))
+    p = pages(spark, sf_dir, n=F.length("text"))
+    return book.coverage_audit(p.where("n % 7 <> 0"), p.groupBy("source").agg(F.lit(1).alias("first"), F.max("page").alias("last")))
 
 
 @query("bridge_candidates", BOOK + ", b AS (SELECT source, page AS from_page, lead(page) OVER (PARTITION BY source ORDER BY page) AS to_page FROM book WHERE length(text) >= 400) SELECT source, from_page, to_page, to_page - from_page - 1 AS between, to_page - from_page > 10 AS too_far FROM b WHERE to_page - from_page > 1")
 def bridge_candidates(spark, sf_dir):
-    return book.bridges(pages(spark, sf_dir), F.length("text") >= 400)
+    return book.bridges(pages(spark, sf_dir, n=F.length("text")), F.col("n") >= 400)
 
 
 @query("printed_page_counter", BOOK + " SELECT source, page, CASE WHEN length(text) >= 400 THEN sum(CASE WHEN length(text) >= 400 THEN 1 ELSE 0 END) OVER (PARTITION BY source ORDER BY page) END::BIGINT AS printed FROM book")
 def printed_page_counter(spark, sf_dir):
-    return book.printed_pages(pages(spark, sf_dir), F.length("text") >= 400)
+    return book.printed_pages(pages(spark, sf_dir, n=F.length("text")), F.col("n") >= 400)
 
 
 @query("class_segments", BOOK + """, c AS (SELECT source, page, lang, CASE WHEN lag(lang) OVER (PARTITION BY source ORDER BY page) IS NOT DISTINCT FROM lang THEN 0 ELSE 1 END AS st FROM book),
@@ -203,9 +225,9 @@ def section_mapping_quarantine(spark, sf_dir):
 
 @query("unit_keys", BOOK + " SELECT doc_id, 'tu_' || substr(sha256(concat_ws('|', source, page, sha256(text))), 1, 24) AS unit_id, sha256(text) AS text_sha256, sha256('{\"page\":' || page || ',\"source\":\"' || source || '\"}') AS stable_hash FROM book")
 def unit_keys(spark, sf_dir):
-    digest = keys.text_hash(F.col("text"))
+    digest = F.col("digest")
     stable = keys.canonical_json(page=F.col("page"), source=F.col("source"))
-    return pages(spark, sf_dir).select("doc_id", keys.unit_id(F.col("source"), F.col("page").cast("string"), digest).alias("unit_id"), digest.alias("text_sha256"), keys.text_hash(stable).alias("stable_hash"))
+    return pages(spark, sf_dir, digest=keys.text_hash(F.col("text"))).select("doc_id", keys.unit_id(F.col("source"), F.col("page").cast("string"), digest).alias("unit_id"), digest.alias("text_sha256"), keys.text_hash(stable).alias("stable_hash"))
 
 
 @query("pending_units", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
@@ -312,16 +334,18 @@ def failure_streaks(spark, sf_dir):
     return queue.streaks(table(spark, sf_dir, "events"), "user_id", "event_id", 3)
 
 
-@query("event_acceptance", """WITH RECURSIVE e AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS arrival, event_id // 3 AS event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) + CASE WHEN event_id % 11 = 0 THEN -2 ELSE 0 END AS BIGINT) AS sequence FROM events),
-r AS (SELECT stream, arrival, event_id, sequence, 'accepted' AS decision, sequence AS cursor, [event_id] AS seen FROM e WHERE arrival = 1 AND sequence > 0
-UNION ALL SELECT stream, arrival, event_id, sequence, 'out_of_order', 0, []::BIGINT[] FROM e WHERE arrival = 1 AND sequence <= 0
+#: Decisions on the rows of e (stream, arrival, event_id, sequence, matches), one arrival after another.
+ACCEPTANCE = """, r AS (SELECT stream, arrival, event_id, sequence, CASE WHEN NOT matches THEN 'schema_mismatch' WHEN sequence <= 0 THEN 'out_of_order' ELSE 'accepted' END AS decision, CASE WHEN matches AND sequence > 0 THEN sequence ELSE 0 END AS cursor, CASE WHEN matches AND sequence > 0 THEN [event_id] ELSE []::BIGINT[] END AS seen FROM e WHERE arrival = 1
 UNION ALL SELECT s.stream, s.arrival, s.event_id, s.sequence, s.d, CASE WHEN s.d = 'accepted' THEN s.sequence ELSE s.cursor END, CASE WHEN s.d = 'accepted' THEN list_append(s.seen, s.event_id) ELSE s.seen END FROM
-(SELECT e.stream, e.arrival, e.event_id, e.sequence, r.cursor, r.seen, CASE WHEN list_contains(r.seen, e.event_id) THEN 'duplicate' WHEN e.sequence <= r.cursor THEN 'out_of_order' WHEN r.cursor > 0 AND e.sequence > r.cursor + 1 THEN 'sequence_gap' ELSE 'accepted' END AS d FROM r JOIN e ON e.stream = r.stream AND e.arrival = r.arrival + 1) s)
-SELECT stream, arrival, event_id, sequence, decision FROM r""")
+(SELECT e.stream, e.arrival, e.event_id, e.sequence, r.cursor, r.seen, CASE WHEN NOT e.matches THEN 'schema_mismatch' WHEN list_contains(r.seen, e.event_id) THEN 'duplicate' WHEN e.sequence <= r.cursor THEN 'out_of_order' WHEN r.cursor > 0 AND e.sequence > r.cursor + 1 THEN 'sequence_gap' ELSE 'accepted' END AS d FROM r JOIN e ON e.stream = r.stream AND e.arrival = r.arrival + 1) s)"""
+
+
+@query("event_acceptance", """WITH RECURSIVE e AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS arrival, event_id // 3 AS event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) + CASE WHEN event_id % 11 = 0 THEN -2 ELSE 0 END AS BIGINT) AS sequence, event_id % 17 <> 5 AS matches FROM events)"""
++ ACCEPTANCE + " SELECT stream, arrival, event_id, sequence, decision FROM r")
 def event_acceptance(spark, sf_dir):
     w = Window.partitionBy("user_id").orderBy("event_id")
     n = F.row_number().over(w).cast("long")
-    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), n.alias("arrival"), F.floor(F.col("event_id") / 3).alias("event_id"), (n + F.when(F.col("event_id") % 11 == 0, -2).otherwise(0)).alias("sequence"))
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream"), n.alias("arrival"), F.floor(F.col("event_id") / 3).alias("event_id"), (n + F.when(F.col("event_id") % 11 == 0, -2).otherwise(0)).alias("sequence"), (F.col("event_id") % 17 != 5).alias("matches"))
     return queue.accepted(rows)
 
 
@@ -339,12 +363,12 @@ def event_usage_json(spark, sf_dir):
 @query("priority_topk", NEXT + f", e AS (SELECT source, page, {RELATION.format('text', 'next_text')} AS relation FROM n) SELECT source, page, relation, CAST(CASE relation WHEN 'unresolved' THEN 0 WHEN 'continue' THEN 1 ELSE 2 END AS INTEGER) AS priority FROM e ORDER BY priority, source, page LIMIT 50")
 def priority_topk(spark, sf_dir):
     rank = F.when(F.col("relation") == "unresolved", 0).when(F.col("relation") == "continue", 1).otherwise(2)
-    return book.page_edges(pages(spark, sf_dir)).select("source", "page", "relation", rank.alias("priority")).orderBy("priority", "source", "page").limit(50)
+    return book.page_edges(texts(spark, sf_dir)).select("source", "page", "relation", rank.alias("priority")).orderBy("priority", "source", "page").limit(50)
 
 
 @query("representative_picks", BOOK + ", s AS (SELECT source, page, length(text) + 120 * (4 * length(text) - length(replace(text, '!', '')) - length(replace(text, ';', '')) - length(replace(text, ':', '')) - length(replace(text, '—', ''))) AS rhetoric, length(text) AS chars FROM book), a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rhetoric DESC, page DESC) AS x FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY chars, page) AS y FROM a WHERE x > 1) SELECT source, 'rhetoric' AS kind, page FROM a WHERE x = 1 UNION ALL SELECT source, 'short', page FROM b WHERE y = 1")
 def representative_picks(spark, sf_dir):
-    p = pages(spark, sf_dir).select("source", "page", T.rhetoric(F.col("text")).alias("rhetoric"), F.length("text").alias("chars"))
+    p = pages(spark, sf_dir, rhetoric=T.rhetoric(F.col("text")), chars=F.length("text"))
     first = queue.latest(p, ["source"], [F.desc("rhetoric"), F.desc("page")])
     rest = p.join(first.select("source", "page"), ["source", "page"], "left_anti")
     second = queue.latest(rest, ["source"], ["chars", "page"])
@@ -360,14 +384,24 @@ def token_set_diff(spark, sf_dir):
     return both.select("doc_id", only("x", "y").alias("only_here"), only("y", "x").alias("only_next"))
 
 
-@query("token_differences")
+#: Letters beyond ASCII are letters to the rule, which SQL's word edges don't know: they stand as underlines there.
+ONLY_IN = "list_sort(list_distinct(list_filter(regexp_extract_all({0}, '{2}'), lambda x: NOT list_contains(regexp_extract_all({1}, '{2}'), x))))"
+FIGURES, CAPITALS = r"\b\d+(?:[.,]\d+)*\b", r"\b[A-Z][A-Za-z''-]{2,}\b"
+
+
+@query("token_differences", "WITH t AS (SELECT doc_id, regexp_replace(text, '[À-ÖØ-öø-ÿĀ-ſ]', '_', 'g') AS t FROM documents) SELECT a.doc_id, " + ", ".join(
+    f"array_to_string({ONLY_IN.format(x, y, p) + ('[1:30]' if p is CAPITALS else '')}, ' ') AS {name}"
+    for name, x, y, p in (("numbers_here", "a.t", "b.t", FIGURES), ("numbers_next", "b.t", "a.t", FIGURES), ("capitalised_here", "a.t", "b.t", CAPITALS), ("capitalised_next", "b.t", "a.t", CAPITALS))
+) + " FROM t a JOIN t b ON b.doc_id = a.doc_id + 1")
 def token_differences(spark, sf_dir):
+    """Numbers and, up to 30, capitalised words that only one of two neighbouring texts has."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
     here, other = F.col("text"), F.col("other")
+    joined = lambda c, name: F.array_join(c, " ").alias(name)
     return both.select(
-        "doc_id", T.numbers_only_in(here, other).alias("numbers_here"), T.numbers_only_in(other, here).alias("numbers_next"),
-        T.capitalised_only_in(here, other).alias("capitalised_here"), T.capitalised_only_in(other, here).alias("capitalised_next"),
+        "doc_id", joined(T.numbers_only_in(here, other), "numbers_here"), joined(T.numbers_only_in(other, here), "numbers_next"),
+        joined(T.capitalised_only_in(here, other), "capitalised_here"), joined(T.capitalised_only_in(other, here), "capitalised_next"),
     )
 
 
@@ -377,7 +411,7 @@ def glossary_counts(spark, sf_dir):
     return terms.groupBy("term").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("docs")).where("docs >= 2")
 
 
-@query("protected_literals", r"""SELECT page_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, '(?i)(?:https?://|www\.)[^\s<>"'']+|\b10\.\d{4,9}/[^\s<>"'']+|\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b'), lambda x: regexp_replace(x, '[.,;:!?)\]}]+$', '')), lambda x: x <> ''))), ' '), '') AS literals FROM pages""")
+@query("protected_literals", r"""SELECT page_id, coalesce(array_to_string(list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(html, '(?i)(?:https?://|www\.)[^\s<>{}\[\]"'']+|\b10\.\d{4,9}/[-._;()/:a-z0-9]+\b|\b[a-z0-9._%+-]+@[a-z0-9.-]+\.[a-z]{2,}\b'), lambda x: regexp_replace(x, '[.,;:!?)\]}]+$', '')), lambda x: x <> ''))), ' '), '') AS literals FROM pages""")
 def protected_literals(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.coalesce(F.array_join(F.array_sort(T.protected_literals(F.col("html"))), " "), F.lit("")).alias("literals"))
 
@@ -407,7 +441,11 @@ def number_integrity(spark, sf_dir):
     return both.select("doc_id", F.array_join(T.missing_numbers(F.col("text"), F.col("other")), " ").alias("missing"))
 
 
-@query("chunks")
+@query("chunks", rf"""WITH l AS (SELECT doc_id, flatten(list_transform({LINES}, lambda x: list_transform(range(0, (length(x) - 1) // 3500 + 1), lambda i: substr(x, CAST(i * 3500 + 1 AS BIGINT), 3500)))) AS p FROM documents),
+e AS (SELECT doc_id, list_transform(p, lambda x: {{'d': []::VARCHAR[], 'w': regexp_replace(x, '^\s+|\s+$', '', 'g'), 'p': x}}) AS e FROM l WHERE len(p) > 0),
+r AS (SELECT doc_id, list_reduce(e, lambda a, x: CASE WHEN a.w <> '' AND length(a.w) + length(x.p) + 1 > 3500 THEN {{'d': list_append(a.d, a.w), 'w': x.w, 'p': x.p}} ELSE {{'d': a.d, 'w': regexp_replace(CASE WHEN a.w = '' THEN x.p ELSE a.w || chr(10) || x.p END, '^\s+|\s+$', '', 'g'), 'p': x.p}} END) AS r FROM e),
+c AS (SELECT doc_id, CASE WHEN r.w = '' THEN r.d ELSE list_append(r.d, r.w) END AS c FROM r), u AS (SELECT doc_id, generate_subscripts(c, 1) AS i, unnest(c) AS t FROM c)
+SELECT doc_id, CAST(i - 1 AS INTEGER) AS chunk, CAST(length(t) AS INTEGER) AS chars, sha256(t) AS text_sha256 FROM u""")
 def chunked(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(T.chunks(F.col("text"))).alias("chunk", "text")).select("doc_id", "chunk", F.length("text").alias("chars"), keys.text_hash(F.col("text")).alias("text_sha256"))
 
@@ -497,8 +535,8 @@ def order_check(spark, sf_dir):
 
 @query("section_ordinals", SECTIONS + " SELECT b.doc_id, CAST((b.page - 1) // 7 AS BIGINT) AS section, CAST(row_number() OVER (PARTITION BY b.source, (b.page - 1) // 7 ORDER BY length(b.text), b.doc_id) AS INTEGER) AS ordinal FROM book b")
 def section_ordinals(spark, sf_dir):
-    p = pages(spark, sf_dir).withColumn("section", F.floor((F.col("page") - 1) / 7))
-    return p.select("doc_id", "section", F.row_number().over(Window.partitionBy("source", "section").orderBy(F.length("text"), "doc_id")).alias("ordinal"))
+    p = pages(spark, sf_dir, n=F.length("text")).withColumn("section", F.floor((F.col("page") - 1) / 7))
+    return p.select("doc_id", "section", F.row_number().over(Window.partitionBy("source", "section").orderBy("n", "doc_id")).alias("ordinal"))
 
 
 @query("upper_median", "WITH s AS (SELECT l_suppkey, list_sort(list(l_quantity)) AS q FROM lineitem GROUP BY l_suppkey) SELECT l_suppkey, q[len(q) // 2 + 1] AS upper_median FROM s")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import book, keys, providers
-from quire.plans.catalog import BARE, BOOK, NEXT, RELATION, pages, query, table
+from quire.plans.catalog import BARE, BOOK, NEXT, RELATION, pages, query, table, texts
 
 
 @query("mock_translation", "SELECT doc_id AS unit, sha256('[mock] ' || text) AS translated_sha256, NULL::VARCHAR AS error FROM documents")
@@ -20,10 +20,8 @@ def mock_translation(spark, sf_dir):
 @query("translation_groups", NEXT + f""", s AS (SELECT source, page, {BARE} AS bare, CASE WHEN before IS NOT NULL AND {RELATION.format('before', 'text')} = 'continue' THEN 0 ELSE 1 END AS st FROM n), i AS (SELECT *, sum(st) OVER (PARTITION BY source ORDER BY page) AS g FROM s)
 SELECT source, min(page) AS first_page, count(*) AS members, 'tug_' || substr(sha256(string_agg(source || ':' || page, '|' ORDER BY page)), 1, 24) AS group_id, sha256(string_agg(bare, chr(10) ORDER BY page)) AS text_sha256 FROM i GROUP BY source, g""")
 def translation_groups(spark, sf_dir):
-    p = pages(spark, sf_dir)
-    w = Window.partitionBy("source").orderBy("page")
-    starts = ~F.coalesce(T.edge_relation(F.lag("text").over(w), F.col("text")) == "continue", F.lit(False))
-    rows = book.islands(p.withColumn("starts", starts), "source", "page", F.col("starts"))
+    docs = texts(spark, sf_dir)
+    rows = book.block_starts(docs).join(docs.select("source", "doc_id", "text"), ["source", "doc_id"]).withColumnRenamed("block", "island")
     member = F.array_sort(F.collect_list(F.struct("page", F.concat_ws(":", "source", F.col("page").cast("string")).alias("id"), T.strip(F.col("text")).alias("t"))))
     groups = rows.groupBy("source", "island").agg(F.min("page").alias("first_page"), F.count("*").alias("members"), member.alias("m"))
     group_id = F.concat(F.lit("tug_"), F.substring(keys.text_hash(F.array_join(F.col("m.id"), "|")), 1, 24))
@@ -70,7 +68,7 @@ def role_distribution(spark, sf_dir):
 @query("preflight_bounds", BOOK + " SELECT source, count(*) AS pages, count(*) * 3000 AS vision_low, count(*) * 8000 AS vision_high, (count(*) - 1) * 12000 AS pairs_high, sum(ceil(length(text) / 3500.0) * 1588)::BIGINT AS translation_tokens FROM book GROUP BY source")
 def preflight_bounds(spark, sf_dir):
     n = F.count("*")
-    return pages(spark, sf_dir).groupBy("source").agg(n.alias("pages"), (n * 3000).alias("vision_low"), (n * 8000).alias("vision_high"), ((n - 1) * 12000).alias("pairs_high"), F.sum(F.ceil(F.length("text") / 3500) * 1588).alias("translation_tokens"))
+    return table(spark, sf_dir, "documents").groupBy("source").agg(n.alias("pages"), (n * 3000).alias("vision_low"), (n * 8000).alias("vision_high"), ((n - 1) * 12000).alias("pairs_high"), F.sum(F.ceil(F.length("text") / 3500) * 1588).alias("translation_tokens"))
 
 
 @query("distinct_sizes", "SELECT DISTINCT round(l_quantity / 7, 2) AS width, round(l_discount, 2) AS height FROM lineitem")

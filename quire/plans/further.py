@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import folds, similarity
 from quire.functions import text as T
 from quire.operators import book, keys
-from quire.plans.catalog import BOOK, NEXT, RELATION, jobs, pages, query, table
+from quire.plans.catalog import ACCEPTANCE, BOOK, NEXT, RELATION, jobs, pages, query, table, texts
 from quire.sources import files
 from quire.streaming import events as streams
 
@@ -32,14 +32,18 @@ def page_inspection(spark, sf_dir):
     return files.inspect_pages(table(spark, sf_dir, "documents"), "source")
 
 
-@query("row_clusters")
+@query("row_clusters", """WITH q AS (SELECT l_orderkey, list_transform(list_sort(list(l_quantity)), lambda x: {'s': []::INTEGER[], 'f': x, 'n': 1::INTEGER}) AS l FROM lineitem GROUP BY l_orderkey),
+r AS (SELECT l_orderkey, list_reduce(l, lambda a, x: CASE WHEN abs(x.f - a.f) <= 5.0 THEN {'s': a.s, 'f': a.f, 'n': a.n + 1::INTEGER} ELSE {'s': list_append(a.s, a.n), 'f': x.f, 'n': 1::INTEGER} END) AS r FROM q)
+SELECT l_orderkey, CAST(len(r.s) + 1 AS INTEGER) AS clusters, array_to_string(list_append(r.s, r.n), ',') AS sizes FROM r""")
 def row_clusters(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"))
     groups = folds.clusters_from_first(F.col("q"), 5.0)
     return rows.select("l_orderkey", F.size(groups).alias("clusters"), F.array_join(F.transform(groups, lambda g: F.size(g).cast("string")), ",").alias("sizes"))
 
 
-@query("mean_clusters")
+@query("mean_clusters", """WITH q AS (SELECT l_orderkey, list_transform(list_sort(list(l_quantity)), lambda x: {'s': []::INTEGER[], 't': x, 'n': 1::INTEGER}) AS l FROM lineitem GROUP BY l_orderkey),
+r AS (SELECT l_orderkey, list_reduce(l, lambda a, x: CASE WHEN abs(x.t - a.t / a.n) <= 4.5 THEN {'s': a.s, 't': a.t + x.t, 'n': a.n + 1::INTEGER} ELSE {'s': list_append(a.s, a.n), 't': x.t, 'n': 1::INTEGER} END) AS r FROM q)
+SELECT l_orderkey, array_to_string(list_append(r.s, r.n), ',') AS sizes FROM r""")
 def mean_clusters(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.collect_list("l_quantity").alias("q"))
     return rows.select("l_orderkey", F.array_join(folds.clusters_from_mean(F.col("q"), 4.5).cast("array<string>"), ",").alias("sizes"))
@@ -52,15 +56,21 @@ def placeholders(spark, sf_dir):
     return rows.select("page_id", keys.text_hash(back).alias("restored"), (F.coalesce(back, F.lit("")) == F.col("html")).alias("complete"))
 
 
-@query("book_sections")
+@query("book_sections", BOOK + """, k AS (SELECT source, page, CASE WHEN length(text) < 60 THEN 'blank' WHEN doc_id % 13 = 0 THEN 'chapter' WHEN doc_id % 17 = 0 THEN 'appendix' ELSE 'body' END AS kind FROM book),
+l AS (SELECT source, list(page ORDER BY page) AS pages, list(kind ORDER BY page) AS kinds FROM k GROUP BY source), e AS (SELECT *, list_transform(kinds, lambda x: {'o': [1::INTEGER], 'n': 1::INTEGER, 'w': CASE WHEN x = 'body' THEN 'chapter' ELSE x END, 'k': x}) AS s FROM l),
+r AS (SELECT *, list_reduce(s, lambda a, x: CASE WHEN x.k = 'blank' OR (x.k = 'body' AND a.w = 'chapter') OR (x.k = a.w AND x.k NOT IN ('chapter', 'blank')) THEN {'o': list_append(a.o, a.n), 'n': a.n, 'w': a.w, 'k': x.k} ELSE {'o': list_append(a.o, a.n + 1::INTEGER), 'n': a.n + 1::INTEGER, 'w': x.w, 'k': x.k} END) AS r FROM e)
+SELECT source, unnest(pages) AS page, unnest(kinds) AS kind, unnest(r.o) AS section FROM r""")
 def book_sections(spark, sf_dir):
     kind = F.when(F.length("text") < 60, "blank").when(F.col("doc_id") % 13 == 0, "chapter").when(F.col("doc_id") % 17 == 0, "appendix").otherwise("body")
-    rows = pages(spark, sf_dir).withColumn("kind", kind).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("page", "kind"))).alias("p"))
+    rows = pages(spark, sf_dir, kind=kind).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("page", "kind"))).alias("p"))
     numbered = rows.select("source", F.explode(F.arrays_zip(F.col("p.page").alias("page"), F.col("p.kind").alias("kind"), folds.section_types(F.col("p.kind")).alias("section"))).alias("r"))
     return numbered.select("source", "r.page", "r.kind", "r.section")
 
 
-@query("index_tree")
+@query("index_tree", """WITH l AS (SELECT conv_id, list({'turn': turn, 'level': CAST(length(text) % 3 AS INTEGER)} ORDER BY turn, length(text) % 3) AS e FROM conversations GROUP BY conv_id),
+s AS (SELECT *, list_transform(e, lambda x: {'p': [0::INTEGER], 'a': CASE WHEN x.level = 0 THEN 1::INTEGER ELSE 0::INTEGER END, 'b': CASE WHEN x.level = 1 THEN 1::INTEGER ELSE 0::INTEGER END, 'i': 1::INTEGER, 'l': x.level}) AS s FROM l),
+r AS (SELECT *, list_reduce(s, lambda a, x: {'p': list_append(a.p, CASE x.l WHEN 0 THEN 0::INTEGER WHEN 1 THEN a.a ELSE a.b END), 'a': CASE WHEN x.l = 0 THEN a.i + 1::INTEGER ELSE a.a END, 'b': CASE x.l WHEN 0 THEN 0::INTEGER WHEN 1 THEN a.i + 1::INTEGER ELSE a.b END, 'i': a.i + 1::INTEGER, 'l': x.l}) AS r FROM s)
+SELECT conv_id, unnest(list_transform(e, lambda x: x.turn)) AS turn, unnest(list_transform(e, lambda x: x.level)) AS level, unnest(r.p) AS parent FROM r""")
 def index_tree(spark, sf_dir):
     rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", (F.length("text") % 3).alias("level")))).alias("e"))
     return rows.select("conv_id", F.explode(F.arrays_zip(F.col("e.turn").alias("turn"), F.col("e.level").alias("level"), folds.index_parents(F.col("e.level")).alias("parent"))).alias("r")).select("conv_id", "r.*")
@@ -68,9 +78,8 @@ def index_tree(spark, sf_dir):
 
 @query("edge_similarity")
 def edge_similarity(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("page")
-    edges = pages(spark, sf_dir).select("source", "page", F.right("text", F.lit(80)).alias("tail"), F.left(F.lead("text").over(w), F.lit(80)).alias("head")).where("head is not null")
-    return edges.select("source", "page", F.round(similarity.similarity(F.col("tail"), F.col("head")), 6).alias("similarity"))
+    edges = book.beside(pages(spark, sf_dir, tail=F.right("text", F.lit(80)), head=F.left("text", F.lit(80))), "head").where("next.head is not null")
+    return edges.select("source", "page", F.round(similarity.similarity(F.col("tail"), F.col("next.head")), 6).alias("similarity"))
 
 
 @query("translation_fidelity", "SELECT a.doc_id, CASE WHEN a.lang <> b.lang AND length(a.text) >= 4 AND a.text = b.text THEN 'source_echo' END AS violation FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1")
@@ -83,11 +92,11 @@ def translation_fidelity(spark, sf_dir):
 @query("continuity_signals", NEXT + r""", e AS (SELECT source, page, regexp_replace(regexp_replace(text, '\s+$', ''), '["\x27”’)\]}]+$', '') AS ending, regexp_matches(text, '-\s*$') AS hyphen, regexp_matches(regexp_extract(next_text, '\p{L}'), '\p{Ll}') AS low FROM n WHERE next_text IS NOT NULL)
 SELECT source, page, hyphen AND low IS NOT NULL AS word_break, ending <> '' AND NOT regexp_matches(ending, '[.!?;:]$') AS sentence, coalesce(low, false) AS next_lowercase FROM e""")
 def continuity_signals(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("page")
-    e = pages(spark, sf_dir).withColumn("next_text", F.lead("text").over(w)).where("next_text is not null")
     ending = F.regexp_replace(T.rstrip(F.col("text")), T.CLOSERS, "")
-    first = F.regexp_extract("next_text", r"\p{L}", 0)
-    return e.select("source", "page", (T.rstrip(F.col("text")).endswith("-") & (first != "")).alias("word_break"), ((ending != "") & ~T.last_char(ending).isin(".", "!", "?", ";", ":")).alias("sentence"), first.rlike(r"\p{Ll}").alias("next_lowercase"))
+    marks = {"hyphen": T.rstrip(F.col("text")).endswith("-"), "sentence": (ending != "") & ~T.last_char(ending).isin(".", "!", "?", ";", ":"), "letter": F.regexp_extract("text", r"\p{L}", 0)}
+    e = book.beside(pages(spark, sf_dir, **marks), "letter").where("next.letter is not null")
+    first = F.col("next.letter")
+    return e.select("source", "page", (F.col("hyphen") & (first != "")).alias("word_break"), "sentence", first.rlike(r"\p{Ll}").alias("next_lowercase"))
 
 
 @query("route_policy", "SELECT doc_id, CASE WHEN length(text) < 60 THEN 'omit' WHEN lang = 'en' THEN 'keep' WHEN length(text) > 4000 THEN 'split' ELSE 'translate' END AS route, length(text) >= 60 AND lang <> 'en' AS calls_model FROM documents")
@@ -113,7 +122,7 @@ def reading_order(spark, sf_dir):
 @query("fragment_audit", NEXT + f""", e AS (SELECT source, page, {RELATION.format('text', 'next_text')} AS relation FROM n) SELECT source, count(*) AS fragments, count(*) FILTER (relation = 'continue') AS joined, count(*) FILTER (relation = 'unresolved') AS unresolved, count(*) FILTER (relation = 'no_join') AS closed FROM e GROUP BY source""")
 def fragment_audit(spark, sf_dir):
     n = lambda r: F.count_if(F.col("relation") == r)
-    return book.page_edges(pages(spark, sf_dir)).groupBy("source").agg(F.count("*").alias("fragments"), n("continue").alias("joined"), n("unresolved").alias("unresolved"), n("no_join").alias("closed"))
+    return book.page_edges(texts(spark, sf_dir)).groupBy("source").agg(F.count("*").alias("fragments"), n("continue").alias("joined"), n("unresolved").alias("unresolved"), n("no_join").alias("closed"))
 
 
 @query("quality_gate", """WITH c AS (SELECT count(*) = count(DISTINCT doc_id) AS unique_ids, bool_and(length(text) > 0) AS no_blank, bool_and(n_chars = length(text)) AS lengths_agree, bool_and(lang IN ('en', 'de', 'fr', 'es')) AS known_languages FROM documents)
@@ -187,7 +196,8 @@ def event_stream_windows(spark, sf_dir):
     return streams.drained(streams.windowed_counts(streams.event_stream(spark, sf_dir)), "complete").select("start", "event_type", "events", F.round("total", 4).alias("total"))
 
 
-@query("event_stream_acceptance")
+@query("event_stream_acceptance", "WITH RECURSIVE e AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS arrival, event_id // 3 AS event_id, CAST(event_id // 400 + 1 AS BIGINT) AS sequence, event_id % 17 <> 5 AS matches FROM events)" + ACCEPTANCE + " SELECT stream, event_id, sequence, decision FROM r")
 def event_stream_acceptance(spark, sf_dir):
-    rows = streams.event_stream(spark, sf_dir).select(F.col("user_id").alias("stream"), F.floor(F.col("event_id") / 3).alias("event_id"), F.col("event_id").alias("sequence"))
+    n = F.col("event_id")
+    rows = streams.event_stream(spark, sf_dir).select(F.col("user_id").alias("stream"), F.floor(n / 3).alias("event_id"), (F.floor(n / 400) + 1).alias("sequence"), n.alias("arrival"), (n % 17 != 5).alias("matches"))
     return streams.drained(streams.accepted(rows))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import folds, notes
 from quire.functions import text as T
 from quire.operators import book
-from quire.plans.catalog import ARTIFACTS, BOOK, NEXT, RELATION, pages, query, table
+from quire.plans.catalog import ARTIFACTS, BOOK, NEXT, RELATION, pages, query, table, texts
 
 
 @query("term_masking", "SELECT page_id, sha256(html) AS restored, len(string_split(html, 'the')) > 1 AS has_term FROM pages")
@@ -22,9 +22,9 @@ def term_masking(spark, sf_dir):
 e AS (SELECT source, page AS a, lead(page) OVER (PARTITION BY source ORDER BY page) AS b FROM r WHERE role = 'body'), j AS (SELECT e.source, e.a, e.b, list(r.role) FILTER (r.role IS NOT NULL) AS l FROM e LEFT JOIN r ON e.source = r.source AND r.page > e.a AND r.page < e.b WHERE e.b IS NOT NULL GROUP BY e.source, e.a, e.b)
 SELECT source, a AS from_page, b AS to_page, CASE WHEN l IS NULL THEN 'adjacent' WHEN list_contains(l, 'map') THEN 'map' WHEN list_contains(l, 'illustration') AND list_contains(l, 'blank') THEN 'illustration_and_blank' WHEN list_contains(l, 'illustration') THEN 'illustration' WHEN list_contains(l, 'blank') THEN 'blank' ELSE 'other' END AS kind FROM j""")
 def bridge_types(spark, sf_dir):
-    n = F.length("text")
+    n = F.col("n")
     role = F.when(n >= 400, "body").when(F.col("lang") == "de", "map").when(F.col("lang") == "fr", "illustration").when(n < 100, "blank").otherwise("text")
-    rows = pages(spark, sf_dir).select("source", "page", role.alias("role"))
+    rows = pages(spark, sf_dir, n=F.length("text")).select("source", "page", role.alias("role"))
     # pages between two body pages are an island behind the first
     rows = book.islands(rows, "source", "page", F.col("role") == "body").where("island > 0")
     runs = rows.groupBy("source", "island").agg(F.min("page").alias("from_page"), F.collect_list(F.when(F.col("role") != "body", F.col("role"))).alias("between"))
@@ -34,18 +34,17 @@ def bridge_types(spark, sf_dir):
 
 @query("edge_flags", NEXT + f""", e AS (SELECT source, page, coalesce({RELATION.format('before', 'text')} = 'continue' AND before IS NOT NULL, false) AS incoming, coalesce(next_text IS NOT NULL AND {RELATION.format('text', 'next_text')} = 'continue', false) AS outgoing FROM n) SELECT * FROM e""")
 def edge_flags(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("page")
-    before, after = F.lag("text").over(w), F.lead("text").over(w)
-    joins = lambda a, b: F.coalesce(b.isNotNull() & a.isNotNull() & (T.edge_relation(a, b) == "continue"), F.lit(False))
-    rows = pages(spark, sf_dir).withColumn("before", before).withColumn("after", after)
-    return rows.select("source", "page", joins(F.col("before"), F.col("text")).alias("incoming"), joins(F.col("text"), F.col("after")).alias("outgoing"))
+    joins = lambda a, b: F.coalesce(b.isNotNull() & a.isNotNull() & (T.marks_relation(a, b) == "continue"), F.lit(False))
+    marked = book.marked(texts(spark, sf_dir))
+    rows = book.beside(book.beside(marked, "marks", step=-1, name="before"), "marks", name="after")
+    return rows.select("source", "page", joins(F.col("before.marks"), F.col("marks")).alias("incoming"), joins(F.col("marks"), F.col("after.marks")).alias("outgoing"))
 
 
 @query("terminal_states", BOOK + """, s AS (SELECT b.source, b.page, CASE WHEN l.quality = 1 THEN 'completed' WHEN l.quality = 0 THEN 'quarantined' WHEN length(trim(b.text)) = 0 THEN 'blank' ELSE 'missing' END AS state FROM book b LEFT JOIN labels l USING (doc_id))
 SELECT source, state, count(*) AS pages, string_agg(page::VARCHAR, ',' ORDER BY page) AS list FROM s GROUP BY source, state""")
 def terminal_states(spark, sf_dir):
-    rows = pages(spark, sf_dir).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
-    state = F.when(F.col("quality") == 1, "completed").when(F.col("quality") == 0, "quarantined").when(F.length(F.trim("text")) == 0, "blank").otherwise("missing")
+    rows = pages(spark, sf_dir, blank=F.length(F.trim("text")) == 0).join(table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", "left")
+    state = F.when(F.col("quality") == 1, "completed").when(F.col("quality") == 0, "quarantined").when(F.col("blank"), "blank").otherwise("missing")
     return rows.groupBy("source", state.alias("state")).agg(F.count("*").alias("pages"), F.array_join(F.array_sort(F.collect_list("page")).cast("array<string>"), ",").alias("list"))
 
 
@@ -71,7 +70,7 @@ def glossary_occurrences(spark, sf_dir):
 
 @query("clean_pass", ARTIFACTS + ", b AS (SELECT source, count(*) AS keys, sum(pages)::BIGINT AS hits FROM a GROUP BY source) SELECT k.source, count(*) AS pages, coalesce(any_value(b.keys), 0)::BIGINT AS keys, coalesce(any_value(b.hits), 0)::BIGINT AS hits FROM book k LEFT JOIN b ON k.source = b.source GROUP BY k.source")
 def clean_pass(spark, sf_dir):
-    p = pages(spark, sf_dir)
+    p = texts(spark, sf_dir)
     found = book.running_artifacts(p).groupBy("source").agg(F.count("*").alias("keys"), F.sum("pages").alias("hits"))
     n = p.groupBy("source").agg(F.count("*").alias("pages"))
     return n.join(found, "source", "left").select("source", "pages", F.coalesce("keys", F.lit(0)).alias("keys"), F.coalesce("hits", F.lit(0)).alias("hits"))

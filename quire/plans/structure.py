@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import notes
 from quire.functions import text as T
-from quire.operators import keys, merge, queue
+from quire.operators import book, keys, merge, queue
 from quire.plans.catalog import BOOK, NEXT, RELATION, pages, query, table
 
 
@@ -15,8 +15,9 @@ from quire.plans.catalog import BOOK, NEXT, RELATION, pages, query, table
 SELECT source, page, CAST(i - 1 AS INTEGER) AS position, CASE WHEN regexp_matches(bare, '(?m)^\|.*\|\s*$') THEN 'table' WHEN regexp_matches(bare, '^(?:\d{1,3}[.)]|[*†‡])\s+\S') THEN 'footnote' WHEN (i = 1 OR i = n) AND regexp_matches(bare, '(?i)^(?:\d{1,4}|[ivxlcdm]{1,8})[.!]?$') THEN 'pagination'
 WHEN i = 1 AND length(bare) <= 60 AND NOT regexp_matches(regexp_replace(bare, '["\x27”’)\]}]+$', ''), '[.!?…]$') THEN 'header' ELSE 'body' END AS kind FROM b""")
 def paragraph_types(spark, sf_dir):
-    p = pages(spark, sf_dir).withColumn("ps", F.split("text", r"\n\s*\n")).select("source", "page", F.size("ps").alias("n"), F.posexplode("ps").alias("position", "p"))
-    return p.select("source", "page", "position", notes.paragraph_type(F.col("p"), F.col("position") == 0, F.col("position") == F.col("n") - 1).alias("kind"))
+    kinds = lambda ps: F.transform(ps, lambda p, i: notes.paragraph_type(p, i == 0, i == F.size(ps) - 1))
+    p = pages(spark, sf_dir, kinds=T.let(F.split("text", r"\n\s*\n"), kinds))
+    return p.select("source", "page", F.posexplode("kinds").alias("position", "kind"))
 
 
 @query("note_references", r"SELECT doc_id, array_to_string(regexp_extract_all(replace(text, chr(10), '  ') || '  ', '[.!?…][\"\x27”’)]?(\d{1,3})\s', 1), ',') AS refs, array_to_string(regexp_extract_all(text, '\d+(?:[.,]\d+)*|[½¼¾⅓⅔⅛]'), '; ') AS numbers FROM documents")
@@ -25,12 +26,15 @@ def note_references(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(notes.reference_candidates(t), ",").alias("refs"), notes.raw_numbers(t).alias("numbers"))
 
 
-@query("note_entries")
+@query("note_entries", r"""WITH p AS (SELECT doc_id, string_split(regexp_replace(text, '(?m)^[ \t]*(\d{1,4})[.)]\s+', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS p FROM documents),
+e AS (SELECT doc_id, list_filter(list_transform(p, lambda x: {'label': coalesce(TRY_CAST(nullif(regexp_extract(x, '^(\d{1,4})\x02', 1), '') AS INTEGER), 0::INTEGER), 't': regexp_replace(regexp_replace(x, '^\d{1,4}\x02', ''), '^\s+|\s+$', '', 'g')}), lambda x: x.t <> '') AS e FROM p),
+u AS (SELECT doc_id, generate_subscripts(e, 1) AS i, unnest(e) AS x FROM e) SELECT doc_id, CAST(i - 1 AS INTEGER) AS position, x.label AS label, sha256(x.t) AS text_sha256 FROM u""")
 def note_entries(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(notes.note_entries(F.col("text"))).alias("position", "e")).select("doc_id", "position", "e.label", keys.text_hash(F.col("e.text")).alias("text_sha256"))
 
 
-@query("note_plan")
+@query("note_plan", """WITH l AS (SELECT user_id, list_transform(list(event_id ORDER BY event_id), lambda x: {'l': CAST(x % 97 AS INTEGER), 'n': 1::INTEGER}) AS l FROM events GROUP BY user_id),
+r AS (SELECT user_id, len(l) AS n, list_reduce(l, lambda a, x: CASE WHEN x.l > a.l AND x.l - a.l <= 25 THEN {'l': x.l, 'n': a.n + 1::INTEGER} ELSE a END) AS z FROM l) SELECT user_id, CAST(n AS INTEGER) AS labels, z.n AS notes FROM r""")
 def note_plan(spark, sf_dir):
     rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
     marks = rows.select("user_id", F.transform("ids", lambda x: (x % 97).cast("int")).alias("labels"))
@@ -55,7 +59,9 @@ def translation_acceptance(spark, sf_dir):
     return both.select("doc_id", notes.acceptance(F.col("text"), F.col("tr"), F.col("doc_id") % 10 != 0).alias("decision"))
 
 
-@query("region_normaliser")
+@query("region_normaliser", """WITH b AS (SELECT l_orderkey, l_quantity / 60 AS x0, l_discount AS y0, l_quantity / 60 + 0.3::DOUBLE AS x1, l_discount + 0.2::DOUBLE AS y1, greatest(0.0::DOUBLE, least(1.0::DOUBLE, l_tax * 15)) AS c FROM lineitem),
+v AS (SELECT *, x0 BETWEEN 0 AND 1 AND y0 BETWEEN 0 AND 1 AND x1 BETWEEN 0 AND 1 AND y1 BETWEEN 0 AND 1 AND x0 < x1 AND y0 < y1 AS ok FROM b)
+SELECT l_orderkey, CAST(count(*) FILTER (ok) AS INTEGER) AS kept, CAST(count(*) FILTER (NOT ok) AS INTEGER) AS dropped, bool_or(NOT ok OR c < 0.5) AS review FROM v GROUP BY l_orderkey""")
 def region_normaliser(spark, sf_dir):
     l = table(spark, sf_dir, "lineitem")
     box = F.array(F.col("l_quantity") / 60, F.col("l_discount"), F.col("l_quantity") / 60 + 0.3, F.col("l_discount") + 0.2)
@@ -64,7 +70,11 @@ def region_normaliser(spark, sf_dir):
     return rows.select("l_orderkey", F.size("r.kept").alias("kept"), "r.dropped", "r.review")
 
 
-@query("wrapped_lines")
+@query("wrapped_lines", """WITH s AS (SELECT l_orderkey, l_linenumber * 0.03::DOUBLE AS y0, l_linenumber * 0.03::DOUBLE + 0.02::DOUBLE AS y1, l_discount AS x0, l_tax + 1 AS font, l_partkey AS tie FROM lineitem),
+l AS (SELECT l_orderkey, list({'s': []::INTEGER[], 'n': 1::INTEGER, 'y0': y0, 'y1': y1, 'x0': x0, 'f': font} ORDER BY y0, y1, x0, font, tie) AS l FROM s GROUP BY l_orderkey),
+r AS (SELECT l_orderkey, list_reduce(l, lambda a, x: CASE WHEN x.y0 - a.y1 <= 0.02::DOUBLE AND abs(x.x0 - a.x0) <= 0.025::DOUBLE AND abs(x.f - a.f) <= 0.15::DOUBLE * greatest(a.f, 1e-9::DOUBLE)
+  THEN {'s': a.s, 'n': a.n + 1::INTEGER, 'y0': x.y0, 'y1': x.y1, 'x0': least(a.x0, x.x0), 'f': (a.f * a.n + x.f) / (a.n + 1)} ELSE {'s': list_append(a.s, a.n), 'n': 1::INTEGER, 'y0': x.y0, 'y1': x.y1, 'x0': x.x0, 'f': x.f} END) AS r FROM l)
+SELECT l_orderkey, array_to_string(list_append(r.s, r.n), ',') AS paragraphs FROM r""")
 def wrapped_lines(spark, sf_dir):
     line = F.struct((F.col("l_linenumber") * 0.03).alias("y0"), (F.col("l_linenumber") * 0.03 + 0.02).alias("y1"), F.col("l_discount").alias("x0"), (F.col("l_tax") + 1).alias("font"), F.col("l_partkey").alias("tie"))
     rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(line)).alias("lines"))
@@ -74,12 +84,12 @@ def wrapped_lines(spark, sf_dir):
 @query("boundary_evidence", NEXT + f""", e AS (SELECT source, page, {RELATION.format('text', 'next_text')} AS relation, substr(text, greatest(length(text) - 79, 1)) AS tail, substr(next_text, 1, 80) AS head FROM n WHERE next_text IS NOT NULL)
 SELECT source, page, CASE WHEN relation = 'continue' AND regexp_matches(tail, '-\\s*$') THEN 'remove_layout_hyphen' WHEN relation = 'continue' THEN 'insert_space' ELSE 'none' END AS join_operation, CASE relation WHEN 'unresolved' THEN 'needs_review' ELSE 'resolved' END AS status, length(tail) AS tail_chars, length(head) AS head_chars FROM e""")
 def boundary_evidence(spark, sf_dir):
-    w = Window.partitionBy("source").orderBy("page")
-    e = pages(spark, sf_dir).withColumn("next_text", F.lead("text").over(w)).where("next_text is not null")
-    relation, tail = T.edge_relation(F.col("text"), F.col("next_text")), F.right("text", F.lit(80))
+    ends = {"marks": T.edge_marks(F.col("text")), "tail": F.right("text", F.lit(80)), "head": F.left("text", F.lit(80))}
+    e = book.beside(pages(spark, sf_dir, **ends), "marks", "head").where("next.head is not null")
+    relation, tail = T.marks_relation(F.col("marks"), F.col("next.marks")), F.col("tail")
     op = F.when((relation == "continue") & tail.rlike(r"-\s*$"), "remove_layout_hyphen").when(relation == "continue", "insert_space").otherwise("none")
     status = F.when(relation == "unresolved", "needs_review").otherwise("resolved")
-    return e.select("source", "page", op.alias("join_operation"), status.alias("status"), F.length(tail).cast("long").alias("tail_chars"), F.length(F.left("next_text", F.lit(80))).cast("long").alias("head_chars"))
+    return e.select("source", "page", op.alias("join_operation"), status.alias("status"), F.length(tail).cast("long").alias("tail_chars"), F.length("next.head").cast("long").alias("head_chars"))
 
 
 @query("evidence_union", "WITH e AS (SELECT doc_id, 'base' AS kind, 0 AS rank, n_chars AS value FROM documents UNION ALL SELECT doc_id, 'label', 1, quality FROM labels UNION ALL SELECT doc_id, 'review', 2, toxic FROM labels WHERE toxic = 1) SELECT doc_id, arg_max(kind, rank) AS kind, arg_max(value, rank) AS value, count(*) AS evidence FROM e GROUP BY doc_id")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -26,10 +27,13 @@ def windowed_counts(events: DataFrame, width: str = "1 day", late: str = "2 days
 def _decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     cursor, seen = state.get if state.exists else (0, [])
     known = set(seen)
-    for frame in frames:
+    # rows of a micro-batch come in no order of their own
+    for frame in [pd.concat(list(frames)).sort_values("arrival", kind="stable")]:
         decisions = []
-        for event_id, sequence in zip(frame["event_id"], frame["sequence"]):
-            if event_id in known:
+        for event_id, sequence, fits in zip(frame["event_id"], frame["sequence"], frame["matches"]):
+            if not fits:
+                decision = "schema_mismatch"
+            elif event_id in known:
                 decision = "duplicate"
             elif sequence <= cursor:
                 decision = "out_of_order"
@@ -44,17 +48,24 @@ def _decide(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> It
 
 
 def accepted(events: DataFrame) -> DataFrame:
-    """Decision on each event of (stream, event_id, sequence): duplicate, out_of_order, sequence_gap or accepted.
+    """Decision on each event of (stream, event_id, sequence, arrival, and matches where versions are checked):
+    schema_mismatch, duplicate, out_of_order, sequence_gap or accepted, in order of arrival within a micro-batch.
 
     State by stream: the cursor, which only accepted events move, and the ids accepted so far.
     """
+    if "matches" not in events.columns:
+        events = events.withColumn("matches", F.lit(True))
     return events.groupBy("stream").applyInPandasWithState(_decide, "stream long, event_id long, sequence long, decision string", "cursor long, seen array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """All rows a stream has now: run to its end into a table in the shared folder."""
     spark = stream.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = f"{tempfile.gettempdir()}/checkpoints"
     path = f"{folder}/stream-{uuid.uuid4().hex}"
     if mode == "append":
         run = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()

@@ -94,7 +94,8 @@ def test_masking(spark):
     masked = column(spark, lambda c: folds.masked(c, terms), [text])[0]
     assert masked == "__QUIRE_PH_0000__ and NATOs, xNATO; __QUIRE_PH_0001__ not axb"
     assert column(spark, lambda c: folds.unmasked(c, terms), [masked]) == [text]
-    rows = spark.createDataFrame([(masked, masked), (masked, text)], "a string, b string")
+    note = "x {{NOTE_REF:1:r1}} y {{NOTE_REF:2:r2}}"
+    rows = spark.createDataFrame([(note, note.upper().replace("NOTE_REF:1:R1", "NOTE_REF:1:r1").replace("R2", "r2")), (note, text)], "a string, b string")
     assert [r.y for r in rows.select(folds.same_placeholders(F.col("a"), F.col("b")).alias("y")).collect()] == [True, False]
 
 

@@ -17,25 +17,35 @@ def rows(df, *order):
 
 def test_running_artifacts_are_found_and_stripped(spark):
     body = [f"Opening line number {i} of this page\nmore prose here {i}\nand more {i}\nand still {i}" for i in range(1, 5)]
-    pages = spark.createDataFrame([("b", i, f"The Running Header\n{t}\n{i + 10}" if i != 4 else t) for i, t in enumerate(body, 1)], "source string, page int, text string")
+    pages = spark.createDataFrame([("b", i, f"The Running Header\n{t}\n{i + 10}" if i != 4 else t) for i, t in enumerate(body, 1)], "source string, doc_id int, text string")
     found = book.running_artifacts(pages)
     assert rows(found, "key") == [("b", "the running header", 3)]
-    out = rows(book.strip_running_artifacts(pages, found).select("page", "text", "n_artifacts", "n_numbers"), "page")
+    out = rows(book.strip_running_artifacts(pages, found).select("doc_id", "text", "n_artifacts", "n_numbers"), "doc_id")
     assert out[0] == (1, f"{body[0]}\n11", 1, 0) and out[3] == (4, body[3], 0, 0)
 
 
 def test_page_number_beside_a_header_goes(spark):
-    pages = spark.createDataFrame([("b", i, f"{i}\nA Header Of Words\nprose {i} is here and it is long") for i in (1, 2)], "source string, page int, text string")
+    pages = spark.createDataFrame([("b", i, f"{i}\nA Header Of Words\nprose {i} is here and it is long") for i in (1, 2)], "source string, doc_id int, text string")
     out = rows(book.strip_running_artifacts(pages, book.running_artifacts(pages)).select("text", "n_artifacts", "n_numbers"), "text")
     assert out == [("prose 1 is here and it is long", 1, 1), ("prose 2 is here and it is long", 1, 1)]
 
 
 def test_logical_blocks(spark):
-    pages = spark.createDataFrame([("b", 1, "it begins"), ("b", 2, "and goes on"), ("b", 3, "to its end."), ("b", 4, "new"), ("c", 1, "alone")], "source string, page int, text string")
+    pages = spark.createDataFrame([("b", 1, "it begins"), ("b", 2, "and goes on"), ("b", 3, "to its end."), ("b", 4, "new"), ("c", 1, "alone")], "source string, doc_id int, text string")
     out = rows(book.logical_blocks(pages).select("source", "first_page", "last_page", "fragments", "text_sha256"), "source", "first_page")
     assert out[0] == ("b", 1, 3, 3, hashlib.sha256(b"it begins and goes on to its end.").hexdigest()) and out[1][1:4] == (4, 4, 1) and len(out) == 3
 
 
+def test_pages_are_numbered_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(book, "RANGE", 10)
+    docs = spark.createDataFrame([(s, i, "it goes on" if i % 7 else "it ends.") for s in "ab" for i in range(3, 60, 2)] + [("a", None, "no id")], "source string, doc_id long, text string")
+    pages = rows(book.numbered_pages(docs.select("source", "doc_id")).where("source = 'a'").select("page", "doc_id"), "page")
+    assert pages == [(1, None)] + [(n, i) for n, i in enumerate(range(3, 60, 2), 2)]
+    blocks = rows(book.logical_blocks(docs.where("source = 'b'")).select("first_page", "last_page"), "first_page")
+    ends = [n for n, i in enumerate(range(3, 60, 2), 1) if i % 7 == 0]
+    assert blocks == [(a + 1, b) for a, b in zip([0, *ends], [*ends, 29])]
+
+
 def test_coverage_audit(spark):
     have = spark.createDataFrame([("b", 1), ("b", 2), ("b", 2), ("b", 5)], "source string, page int")
     want = spark.createDataFrame([("b", 1, 6), ("c", 1, 2)], "source string, first int, last int")
@@ -88,11 +98,12 @@ def test_event_acceptance(spark):
 
 
 def test_event_acceptance_streamed(spark, tmp_path):
-    schema = "stream long, event_id long, sequence long"
-    for i, part in enumerate((EVENTS[:3], EVENTS[3:])):
+    schema = "stream long, event_id long, sequence long, arrival long"
+    events = [(*e, i) for i, e in enumerate(EVENTS)]
+    for i, part in enumerate((events[:3], events[:2:-1])):
         spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / f"in/p={i}"))
     stream = spark.readStream.schema(f"{schema}, p int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    out = streams.drained(streams.accepted(stream.select("stream", "event_id", "sequence")))
+    out = streams.drained(streams.accepted(stream.select("stream", "event_id", "sequence", "arrival")))
     assert sorted((r.event_id, r.sequence, r.decision) for r in out.collect()) == sorted((e, q, d) for (_, e, q), d in zip(EVENTS, DECISIONS))
 
 
