@@ -126,6 +126,22 @@ def logical_blocks(docs: DataFrame) -> DataFrame:
     return blocks.select("source", "first_page", "last_page", "fragments", F.length(text).alias("chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 
 
+def joined_blocks(docs: DataFrame) -> DataFrame:
+    """As ``logical_blocks``, each edge with a join of its own: a hyphen at the page's end goes where a small letter follows
+    and stays before others, all else is joined by a space."""
+    rows = block_starts(docs).join(docs.select("source", "doc_id", T.strip(F.col("text")).alias("text")), ["source", "doc_id"])
+    parts = F.array_sort(F.collect_list(F.struct("page", "text")))
+
+    def step(a: Column, x: Column) -> Column:
+        hyphen = a.endswith("-")
+        operation = F.when(hyphen & x["text"].rlike(r"^\p{Ll}"), "remove_layout_hyphen").when(hyphen, "preserve_lexical_hyphen").otherwise("insert_space")
+        return F.when(a == "", x["text"]).when(x["text"] == "", a).otherwise(T.apply_join(a, x["text"], operation))
+
+    blocks = rows.groupBy("source", "block").agg(F.min("page").alias("first_page"), F.count("*").alias("fragments"), parts.alias("parts"))
+    text = F.aggregate("parts", F.lit(""), step)
+    return blocks.select("source", "first_page", "fragments", F.length(text).alias("chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
+
+
 def bridges(pages: DataFrame, body: Column, longest: int = 10) -> DataFrame:
     """Neighbouring body pages with other pages between them: how many, and whether the gap is too long."""
     w = Window.partitionBy("source").orderBy("page")

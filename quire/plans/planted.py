@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import folds, notes, similarity
 from quire.functions import text as T
 from quire.operators import book
-from quire.plans.catalog import LINES, QUALITY, query, table, texts
+from quire.plans.catalog import BARE, LINES, NEXT, QUALITY, RELATION, query, table, texts
 from quire.plans.roles import _dealt, _list, dealt
 
 
@@ -28,6 +28,14 @@ ENDS = "".join(f"chr({n})||" for n in (11, 12, 28, 29, 30, 133, 8232, 8233)).rst
 ANY_LINES = LINES.replace("string_split(text, chr(10))", f"string_split(translate(text, {ENDS}, repeat(chr(10), 8)), chr(10))")
 
 
+HYPHENED = NEXT.replace("lang, text, CAST", "lang, CASE doc_id % 4 WHEN 0 THEN left(text, 60) || 'ab-' WHEN 1 THEN 'cd' || text WHEN 2 THEN 'Ef' || left(text, 40) || '-' ELSE text END AS text, CAST")
+
+
+def hyphened():
+    n, t = F.pmod("doc_id", F.lit(4)), F.col("text")
+    return F.when(n == 0, F.concat(F.left(t, F.lit(60)), F.lit("ab-"))).when(n == 1, F.concat(F.lit("cd"), t)).when(n == 2, F.concat(F.lit("Ef"), F.left(t, F.lit(40)), F.lit("-"))).otherwise(t)
+
+
 @query("form_feed_quality", QUALITY.replace(LINES, ANY_LINES).replace("lang, text, CAST", "lang, replace(text, 'e', chr(12)) AS text, CAST") + " SELECT source, page, len(l)::INTEGER AS lines, dup AS duplicate_line_ratio, hyphens::INTEGER AS hyphenated_line_breaks FROM r")
 def form_feed_quality(spark, sf_dir):
     """Quality of pages whose lines end in form feeds, as text from page images does."""
@@ -36,6 +44,15 @@ def form_feed_quality(spark, sf_dir):
     return book.numbered_pages(made).select("source", "page", "lines", "q.duplicate_line_ratio", "q.hyphenated_line_breaks")
 
 
+@query("joined_blocks", HYPHENED + f""", s AS (SELECT source, page, {BARE} AS bare, CASE WHEN before IS NOT NULL AND {RELATION.format('before', 'text')} = 'continue' THEN 0 ELSE 1 END AS st FROM n),
+i AS (SELECT *, sum(st) OVER (PARTITION BY source ORDER BY page) AS island FROM s), g AS (SELECT source, min(page) AS first_page, count(*) AS fragments, list(bare ORDER BY page) AS l FROM i GROUP BY source, island),
+j AS (SELECT *, list_reduce(l, lambda a, x: CASE WHEN a = '' THEN x WHEN x = '' THEN a WHEN a LIKE '%-' AND regexp_matches(x, '^\\p{{Ll}}') THEN left(a, length(a) - 1) || x WHEN a LIKE '%-' THEN a || x ELSE a || ' ' || x END) AS t FROM g)
+SELECT source, first_page, fragments, CAST(length(t) AS INTEGER) AS chars, sha256(t) AS text_sha256 FROM j""")
+def joined_blocks(spark, sf_dir):
+    """Blocks over page edges that break words: every third page is cut behind a hyphen planted in it, half of the pages start small."""
+    return book.joined_blocks(texts(spark, sf_dir).withColumn("text", hyphened()))
+
+
 SCRIPTS = {
     "これは本です": "ja", "這是一本關於旅行的舊書內容包括山川河流城市鄉村人物風俗" : "zh-Hans", "短い Kana カ": "ja", "一二三 is not enough of it": "en", "le la les et des": "fr", "xyz": "en", "und der die das ist": "de", "": "en",
 }
