@@ -113,6 +113,43 @@ def acceptance(source: Column, translation: Column, same_id: Column) -> Column:
     )
 
 
+def _compact(c: Column) -> Column:
+    return T.strip(F.regexp_replace(F.coalesce(c, F.lit("")), f"{T.SPACE}+", " "))
+
+
+def body_acceptance(u: Column, translation: Column) -> Column:
+    """Why the translation of a unit (block_type, returned_type, source, before, after, terms) is refused, or accepted."""
+    bare, source = T.strip(translation), T.strip(u["source"])
+    words = F.size(F.filter(F.split(source, f"{T.SPACE}+"), lambda w: w != ""))
+    body, n = u["block_type"] == "body", F.length(source)
+    copied = lambda c: F.coalesce((c != "") & (bare == T.strip(c)), F.lit(False))
+    terms = F.filter(F.transform(u["terms"], T.strip), lambda t: t != "")
+    return (
+        F.when(u["returned_type"] != u["block_type"], "block_type_mismatch").when(bare == "", "empty").when(copied(u["before"]), "copied_context_before").when(copied(u["after"]), "copied_context_after")
+        .when(body & (bare == source) & (n > 30) & (words >= 5), "copied_source")
+        .when(body & (n > 50) & (words >= 8) & (F.length(bare) < F.greatest(F.lit(8), F.floor(F.length(u["source"]) * 0.12))), "too_short")
+        .when(F.size(terms) != F.size(F.array_distinct(terms)), "duplicate_terms").otherwise("accepted")
+    )
+
+
+def with_preserved_terms(translation: Column, terms: Column) -> Column:
+    """The translation with the terms behind it that it should have kept and lacks. Fixed words."""
+    lost = F.filter(F.filter(F.transform(terms, T.strip), lambda t: t != ""), lambda t: ~F.contains(translation, t))
+    return F.when(F.size(lost) == 0, translation).otherwise(F.concat(T.rstrip(translation), F.lit("（原文保留："), F.array_join(lost, "；"), F.lit("）")))
+
+
+def strict_acceptance(u: Column, translation: Column, titles: list[str]) -> Column:
+    """As ``body_acceptance`` by the stricter rule: no complete source or context within it, no other block's id, and a length.
+    Fixed values."""
+    text, held = _compact(translation), lambda c: F.coalesce((_compact(c) != "") & F.contains(_compact(translation), _compact(c)), F.lit(False))
+    others = F.filter(F.regexp_extract_all(translation, F.lit("logical2_[A-Za-z0-9]+"), F.lit(0)), lambda x: x != u["id"])
+    least = F.when(u["block_type"].isin(titles), 1).otherwise(F.greatest(F.lit(12), F.floor(F.length(u["source"]) * 0.12)))
+    return (
+        F.when(u["returned_id"] != u["id"], "id_mismatch").when(u["returned_type"] != u["block_type"], "block_type_mismatch").when(held(u["source"]), "repeats_source")
+        .when(held(u["before"]) | held(u["after"]), "context_leakage").when(F.size(others) > 0, "unrelated_id").when(F.length(T.strip(translation)) < least, "too_short").otherwise("accepted")
+    )
+
+
 def valid_box(b: Column) -> Column:
     """Whether four coordinates are there, ordered and within the unit square."""
     four = (F.size(b) == 4) & F.forall(b, lambda x: x.isNotNull() & (x >= 0) & (x <= 1))

@@ -69,3 +69,20 @@ def reconciled(cache: DataFrame, state: DataFrame, key: str) -> DataFrame:
     both = cache.select(key, F.col("valid")).join(state.select(key, "status"), key, "full")
     status = F.when(F.col("valid"), "validated").when(F.col("status") == "validated", "failed_retryable").otherwise(F.coalesce("status", F.lit("unknown_unit")))
     return both.select(key, status.alias("status"), (F.coalesce("status", F.lit("")) != status).alias("changed"))
+
+
+def linked_notes(references: DataFrame, notes: DataFrame) -> DataFrame:
+    """References (reference, book, page, label) with note_id and status: the note of their label on their page if it is a
+    footnote, else those of chapters from there on, else those of the document; linked only if these are one note."""
+    held = references.join(notes.select("book", "label", F.col("page").alias("note_page"), "scope", "note_id"), ["book", "label"], "left")
+    tier = (
+        F.when((F.col("scope") == "footnote") & (F.col("note_page") == F.col("page")), 0)
+        .when((F.col("scope") == "chapter_endnote") & (F.col("note_page") >= F.col("page")), 1).when(F.col("scope") == "document_endnote", 2)
+    )
+    # the smallest and largest id of each tier tell whether it is one note: nothing is collected
+    found = held.withColumn("tier", tier).groupBy("reference").agg(
+        F.min("tier").alias("tier"), *(f(F.when(F.col("tier") == k, F.col("note_id"))).alias(f"{name}{k}") for k in range(3) for name, f in (("low", F.min), ("high", F.max)))
+    )
+    pick = lambda name: F.coalesce(*(F.when(F.col("tier") == k, F.col(f"{name}{k}")) for k in range(3)))
+    status = F.when(F.col("tier").isNull(), "unresolved").when(pick("low") == pick("high"), "linked").otherwise("ambiguous")
+    return found.select("reference", status.alias("status"), F.when(status == "linked", pick("low")).alias("note_id"))

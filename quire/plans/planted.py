@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import folds, notes, similarity
+from quire.functions import roles as R
 from quire.functions import text as T
 from quire.operators import book
 from quire.plans.catalog import BARE, LINES, NEXT, QUALITY, RELATION, query, table, texts
@@ -203,3 +204,43 @@ def placeholder_order(spark, sf_dir):
     """Whether a translation keeps the note references of its source, in order."""
     n = F.col("doc_id")
     return table(spark, sf_dir, "documents").select("doc_id", folds.same_placeholders(dealt(NOTE_SIDES, n), dealt(NOTE_SIDES, F.floor(n / 4))).alias("kept"))
+
+
+SHORT_SOURCE = "A source of a few words that runs on for more than fifty characters in all"
+#: (block type, returned type, source, translation, before, after, terms, verdict of the body rule)
+UNITS = [
+    ("body", "body", SHORT_SOURCE, "Une source de quelques mots", None, None, ["mots"], "accepted"), ("body", "caption", SHORT_SOURCE, "x", None, None, [], "block_type_mismatch"), ("body", "body", SHORT_SOURCE, "  ", None, None, [], "empty"),
+    ("body", "body", SHORT_SOURCE, " what stood before ", "what stood before", None, [], "copied_context_before"), ("body", "body", SHORT_SOURCE, "what came after it", "", "what came after it ", [], "copied_context_after"),
+    ("body", "body", SHORT_SOURCE, SHORT_SOURCE, None, None, [], "copied_source"), ("caption", "caption", SHORT_SOURCE, SHORT_SOURCE, None, None, [], "accepted"), ("body", "body", "four short words here", "four short words here", None, None, [], "accepted"),
+    ("body", "body", SHORT_SOURCE, "court", None, None, [], "too_short"), ("caption", "caption", SHORT_SOURCE, "court", None, None, [], "accepted"), ("body", "body", SHORT_SOURCE, "assez long pour passer", None, None, ["a", " a "], "duplicate_terms"),
+]
+
+
+def _units(rows):
+    cases = F.array(*(F.struct(*(F.lit(v).cast("string").alias(k) for k, v in zip(("block_type", "returned_type", "source", "translation", "before", "after"), u)), F.array(*map(F.lit, u[6])).cast("array<string>").alias("terms")) for u in UNITS))
+    return rows.select("doc_id", F.element_at(cases, (F.pmod("doc_id", F.lit(len(UNITS))) + 1).cast("int")).alias("u"))
+
+
+@query("body_acceptance", f"SELECT doc_id, {_dealt([u[7] for u in UNITS], 'doc_id')} AS verdict, {_picked([u[3] if set(map(str.strip, u[6])) <= {t for t in map(str.strip, u[6]) if t in u[3]} else u[3].rstrip() + '（原文保留：' + '；'.join(t.strip() for t in u[6] if t.strip() not in u[3]) + '）' for u in UNITS])} AS kept FROM documents")
+def body_acceptance(spark, sf_dir):
+    """Whether a translation of a block is taken, and the text with the terms it lost."""
+    rows = _units(table(spark, sf_dir, "documents"))
+    u = F.col("u")
+    return rows.select("doc_id", notes.body_acceptance(u, u["translation"]).alias("verdict"), notes.with_preserved_terms(u["translation"], u["terms"]).alias("kept"))
+
+
+#: (id, returned id, type, returned type, source, translation, before, after, verdict of the strict rule)
+STRICT = [
+    ("logical2_a", "logical2_a", "body", "body", SHORT_SOURCE, "Une source de quelques mots", None, None, "accepted"), ("logical2_a", "logical2_b", "body", "body", SHORT_SOURCE, "x", None, None, "id_mismatch"), ("logical2_a", "logical2_a", "body", "title", SHORT_SOURCE, "x", None, None, "block_type_mismatch"),
+    ("logical2_a", "logical2_a", "body", "body", "the  source", "it has the source in it", None, None, "repeats_source"), ("logical2_a", "logical2_a", "body", "body", SHORT_SOURCE, "it holds what  stood before", "what stood before", None, "context_leakage"), ("logical2_a", "logical2_a", "body", "body", SHORT_SOURCE, "it holds the rest of it", "", "the rest", "context_leakage"),
+    ("logical2_a", "logical2_a", "body", "body", SHORT_SOURCE, "see logical2_b of them", None, None, "unrelated_id"), ("logical2_a", "logical2_a", "body", "body", SHORT_SOURCE, "see logical2_a of them", None, None, "accepted"), ("logical2_a", "logical2_a", "body", "body", SHORT_SOURCE, "court", None, None, "too_short"),
+    ("logical2_a", "logical2_a", "chapter_title", "chapter_title", SHORT_SOURCE, "court", None, None, "accepted"),
+]
+
+
+@query("strict_acceptance", f"SELECT doc_id, {_dealt([u[8] for u in STRICT], 'doc_id')} AS verdict FROM documents")
+def strict_acceptance(spark, sf_dir):
+    names = ("id", "returned_id", "block_type", "returned_type", "source", "translation", "before", "after")
+    cases = F.array(*(F.struct(*(F.lit(v).cast("string").alias(k) for k, v in zip(names, u))) for u in STRICT))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.element_at(cases, (F.pmod("doc_id", F.lit(len(STRICT))) + 1).cast("int")).alias("u"))
+    return rows.select("doc_id", notes.strict_acceptance(F.col("u"), F.col("u.translation"), R.TITLES).alias("verdict"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from quire.functions import releases as L
 from quire.functions import roles as R
 from quire.functions import text as T
-from quire.operators import keys
+from quire.operators import book, keys, merge
 from quire.plans.catalog import BARE, BOOK, pages, query, table
 from quire.plans.roles import _dealt, _in, dealt
 
@@ -300,8 +300,6 @@ def offline_recovery(spark, sf_dir):
 @query("ordered_alignment", "WITH a AS (SELECT doc_id, sha256(text) AS h, row_number() OVER (ORDER BY doc_id) AS n FROM documents), b AS (SELECT doc_id, sha256(CASE WHEN doc_id % 19 = 0 THEN text || '.' ELSE text END) AS h, row_number() OVER (ORDER BY doc_id) AS m FROM documents WHERE doc_id <> 50) SELECT a.doc_id, n = m AS same_place, a.h = b.h AS same_text FROM a JOIN b USING (doc_id)")
 def ordered_alignment(spark, sf_dir):
     """Units and blocks of one id: whether place and text agree. Places by ranges of ids, not by one window over all."""
-    from quire.operators import book
-
     d = table(spark, sf_dir, "documents").select("doc_id", "text", F.lit(0).alias("all"))
     other = F.when(F.col("doc_id") % 19 == 0, F.concat("text", F.lit("."))).otherwise(F.col("text"))
     a = book.numbered_pages(d.select("all", "doc_id", keys.text_hash(F.col("text")).alias("h")), "all").drop("all")
@@ -346,3 +344,51 @@ def document_terms(spark, sf_dir):
     cells = p.where(F.col("p_brand").rlike("^[A-Z][A-Za-z#0-9]{2,}$")).select(F.col("p_brand").alias("term"), F.col("p_type").alias("unit")).distinct()
     heads = p.where("p_size % 2 = 0").select(F.col("p_brand").alias("term")).distinct()
     return cells.join(heads, "term", "left_semi").groupBy("term").agg(F.count("*").alias("units")).where("units >= 2")
+
+
+SCOPES = ["footnote", "chapter_endnote", "document_endnote"]
+NOTE_SQL = f"""WITH n AS (SELECT l_orderkey * 10 + l_linenumber AS note_id, l_suppkey % 10 AS book, l_partkey % 40 AS label, l_orderkey % 200 AS page, {_dealt(SCOPES, 'l_orderkey')} AS scope FROM lineitem WHERE l_quantity < 12),
+f AS (SELECT o_orderkey AS reference, o_custkey % 10 AS book, o_orderkey % 41 AS label, o_orderkey % 200 AS page FROM orders),
+j AS (SELECT f.reference, n.note_id, CASE WHEN n.scope = 'footnote' AND n.page = f.page THEN 0 WHEN n.scope = 'chapter_endnote' AND n.page >= f.page THEN 1 WHEN n.scope = 'document_endnote' THEN 2 END AS tier FROM f LEFT JOIN n USING (book, label)),
+t AS (SELECT reference, min(tier) AS tier FROM j GROUP BY reference), g AS (SELECT t.reference, any_value(t.tier) AS tier, count(DISTINCT j.note_id) FILTER (j.tier = t.tier) AS n, min(j.note_id) FILTER (j.tier = t.tier) AS note FROM t JOIN j USING (reference) GROUP BY t.reference),
+l AS (SELECT reference, CASE WHEN tier IS NULL THEN 'unresolved' WHEN n = 1 THEN 'linked' ELSE 'ambiguous' END AS status, CASE WHEN n = 1 AND tier IS NOT NULL THEN note END AS note_id FROM g)"""
+
+
+def _links(spark, sf_dir):
+    k = F.col("l_orderkey")
+    notes = table(spark, sf_dir, "lineitem").where("l_quantity < 12").select((k * 10 + F.col("l_linenumber")).alias("note_id"), (F.col("l_suppkey") % 10).alias("book"), (F.col("l_partkey") % 40).alias("label"), (k % 200).alias("page"), dealt(SCOPES, k).alias("scope"))
+    o = F.col("o_orderkey")
+    references = table(spark, sf_dir, "orders").select(o.alias("reference"), (F.col("o_custkey") % 10).alias("book"), (o % 41).alias("label"), (o % 200).alias("page"))
+    return notes, merge.linked_notes(references, notes)
+
+
+@query("note_links", NOTE_SQL + " SELECT reference, status, note_id FROM l")
+def note_links(spark, sf_dir):
+    """Note references with their notes: same page, later chapter notes, document notes; ambiguous ones stay open."""
+    return _links(spark, sf_dir)[1]
+
+
+@query("note_graph_links", NOTE_SQL + " SELECT n.note_id, n.scope, count(l.reference) AS refs FROM n LEFT JOIN l USING (note_id) GROUP BY n.note_id, n.scope")
+def note_graph_links(spark, sf_dir):
+    """The notes of the graph with the number of references that reach them."""
+    notes, links = _links(spark, sf_dir)
+    counts = links.where("note_id is not null").groupBy("note_id").agg(F.count("*").alias("refs"))
+    return notes.select("note_id", "scope").distinct().join(counts, "note_id", "left").select("note_id", "scope", F.coalesce("refs", F.lit(0)).alias("refs"))
+
+
+FRONT = ["cover", "half_title", "digitization_notice", "frontispiece", "title_page", "dedication", "preface", "contents", "list_of_illustrations", "map"]
+FRONT_ROLES = ["blank", "cover", "cover", "blank", "title_page", "chapter_open", "preface", "preface", "map", "blank", "blank"]
+
+
+@query("front_sections", BOOK + f""", r AS (SELECT source, page, {_dealt(FRONT_ROLES, 'page // 2')} AS role FROM book WHERE page <= 24), k AS (SELECT *, CASE WHEN role IN {_in(FRONT)} THEN role END AS own FROM r),
+l AS (SELECT *, last_value(own IGNORE NULLS) OVER (PARTITION BY source ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM k), s AS (SELECT *, CASE WHEN (own IS NOT NULL AND own IS DISTINCT FROM before) OR page = 1 THEN 1 ELSE 0 END AS st FROM l),
+i AS (SELECT *, sum(st) OVER (PARTITION BY source ORDER BY page) AS island FROM s) SELECT source, coalesce(arg_min(own, page) FILTER (st = 1), 'unknown') AS section_type, min(page) AS start_page, max(page) AS end_page, count(*) AS page_count FROM i GROUP BY source, island""")
+def front_sections(spark, sf_dir):
+    """Front matter in sections: a new one where a role of front matter differs from the one before; all else extends it."""
+    p = pages(spark, sf_dir).where("page <= 24").withColumn("role", dealt(FRONT_ROLES, F.floor(F.col("page") / 2)))
+    rows = p.withColumn("own", F.when(F.col("role").isin(FRONT), F.col("role")))
+    before = merge.last_before(rows, "source", "page", F.col("own"))
+    rows = rows.withColumn("starts", (F.col("own").isNotNull() & ~F.col("own").eqNullSafe(before)) | (F.col("page") == 1))
+    islands = book.islands(rows, "source", "page", F.col("starts"))
+    kind = F.coalesce(F.max(F.when(F.col("starts"), F.col("own"))), F.lit("unknown"))
+    return islands.groupBy("source", "island").agg(kind.alias("section_type"), F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.count("*").alias("page_count")).drop("island")
