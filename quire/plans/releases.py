@@ -368,7 +368,7 @@ def note_links(spark, sf_dir):
     return _links(spark, sf_dir)[1]
 
 
-@query("note_graph_links", NOTE_SQL + " SELECT n.note_id, n.scope, count(l.reference) AS refs FROM n LEFT JOIN l USING (note_id) GROUP BY n.note_id, n.scope")
+@query("note_graph_links", NOTE_SQL + " SELECT n.note_id, n.scope, count(l.reference) AS refs FROM (SELECT DISTINCT note_id, scope FROM n) n LEFT JOIN l USING (note_id) GROUP BY n.note_id, n.scope")
 def note_graph_links(spark, sf_dir):
     """The notes of the graph with the number of references that reach them."""
     notes, links = _links(spark, sf_dir)
