@@ -1,9 +1,12 @@
 """WARC records in ZIP packages: writing with revisit records, and reading by ranges without extraction.
 
 A package is a ZIP archive of stored members: ``archive/data.warc.gz``, in which each record is a gzip member of its own, and
-``indexes/index.cdxj``, which names each record's offset and length. The reader asks a source for byte ranges only: the end
-records (ZIP64 ones where the plain ones overflow), the central directory, a member's local header, the index, and then
-single records.
+``indexes/index.cdxj``, which names each record's file, offset and length. The reader asks a source for byte ranges only: the
+end records (ZIP64 ones where the plain ones overflow), the central directory, a member's local header, the index, and then
+single records. It takes any stored archive and index members; archives that no index names are read member by member.
+
+Packages are files in the shared folder and are read by seeking in them; where that folder is in a store that workers can't
+open, they are values of a table instead.
 """
 
 from __future__ import annotations
@@ -12,20 +15,25 @@ import base64
 import hashlib
 import io
 import json
+import re
 import struct
+import uuid
 import zipfile
 import zlib
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import lean, whole_text, written
+from quire.llm.text import lean, shared_folder, trimmed, whole_text, written
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.cdxj"
 #: Bytes of payload in a package, after which it is closed.
 PACKAGE = 4 << 20
+#: Bytes read at a time of an archive without an index.
+WINDOW = 1 << 18
 FULL = 0xFFFFFFFF
 
 Fetch = Callable[[int, int], bytes]
@@ -64,7 +72,7 @@ def package(records: list[bytes]) -> bytes:
     for raw in records:
         press = zlib.compressobj(1, zlib.DEFLATED, 31)
         member = press.compress(raw) + press.flush()
-        index.append(json.dumps({"offset": at, "length": len(member)}))
+        index.append("urn:x-record 19700101000000 " + json.dumps({"filename": DATA.rpartition("/")[2], "offset": at, "length": len(member)}))
         data.append(member)
         at += len(member)
     out = io.BytesIO()
@@ -123,31 +131,103 @@ def headers(block: bytes) -> tuple[dict[str, str], bytes]:
 
 
 def parse(raw: bytes) -> dict:
-    """page_id, payload_bytes, payload_digest, record_type, refers_to and payload (of responses) of a record."""
+    """page_id (of records written here), record_id, payload_bytes, payload_digest, record_type, refers_to and payload of a
+    record; revisits have no payload, and without an HTTP header no size. A digest that does not fit raises."""
     fields, rest = headers(raw)
     block = rest[: int(fields["content-length"])]
-    http, payload = headers(block)
-    page = lambda uri: int(uri[12:-1]) if uri and uri[12:-1] else None
-    out = {"page_id": page(fields["warc-record-id"]), "record_type": fields["warc-type"], "refers_to": page(fields.get("warc-refers-to")), "payload_digest": fields["warc-payload-digest"].removeprefix("sha1:"), "payload": None}
-    out["payload_bytes"] = int(http["content-length"])
-    if out["record_type"] == "response":
-        if digest(payload) != out["payload_digest"] or len(payload) != out["payload_bytes"]:
-            raise ValueError(f"payload of {fields['warc-record-id']}")
-        out["payload"] = payload
+    if len(block) < int(fields["content-length"]):
+        raise ValueError(f"length of {fields.get('warc-record-id')}")
+    page = lambda uri: int(m[1]) if (m := re.fullmatch(r"<urn:x-page:(-?\d+)>", uri or "")) else None
+    known = fields.get("warc-payload-digest", "")
+    out = {"page_id": page(fields["warc-record-id"]), "record_id": fields["warc-record-id"], "record_type": fields["warc-type"], "refers_to": page(fields.get("warc-refers-to")), "payload_digest": known.removeprefix("sha1:") or None, "payload": None}
+    http, payload = headers(block) if fields.get("content-type", "").startswith("application/http") else ({}, block)
+    if out["record_type"] == "revisit":
+        return out | {"payload_bytes": int(http["content-length"]) if "content-length" in http else None}
+    out |= {"payload": payload, "payload_bytes": len(payload)}
+    if out["payload_digest"] is None:
+        out["payload_digest"] = digest(payload)
+    elif known.startswith("sha1:") and digest(payload) != out["payload_digest"]:
+        raise ValueError(f"payload of {fields['warc-record-id']}")
     return out
 
 
+def indexed(text: bytes) -> Iterator[dict]:
+    """Entries of an index: JSON lines, with or without a key and a time before them."""
+    for line in text.splitlines():
+        at = line.find(b"{")
+        if at >= 0 and not line.startswith(b"!"):
+            yield json.loads(line[at:])
+
+
+def gzip_members(fetch: Fetch, start: int, size: int) -> Iterator[bytes]:
+    """The parts of a file of gzip members, read a window at a time."""
+    at, end = start, start + size
+    while at < end:
+        press, out, more = zlib.decompressobj(31), [], at
+        while not press.eof:
+            if more >= end:
+                raise ValueError("end of archive")
+            window = fetch(more, min(WINDOW, end - more))
+            more += len(window)
+            out.append(press.decompress(window))
+        at = more - len(press.unused_data)
+        yield b"".join(out)
+
+
 def records(fetch: Fetch, size: int) -> Iterator[dict]:
-    """The records of a package, each by a range of its own."""
+    """The records of a package, each by a range of its own; of archives that no index names, one after another."""
     found = members(fetch, size)
-    start, _ = found[DATA]
-    for line in fetch(*found[INDEX]).splitlines():
-        entry = json.loads(line)
-        yield parse(zlib.decompress(fetch(start + entry["offset"], entry["length"]), 31))
-
+    archives = {name.rpartition("/")[2]: place for name, place in found.items() if re.search(r"\.warc(\.gz)?$", name)}
+    named = set()
+    for name in sorted(found):
+        if re.search(r"(^|/)index(es)?/?[^/]*\.cdxj?(\.gz)?$", name):
+            text = fetch(*found[name])
+            for entry in indexed(b"".join(gzip_members(lambda at, n, text=text: text[at : at + n], 0, len(text))) if name.endswith(".gz") else text):
+                archive = entry.get("filename", next(iter(archives))).rpartition("/")[2]
+                named.add(archive)
+                raw = fetch(archives[archive][0] + int(entry["offset"]), int(entry["length"]))
+                yield parse(zlib.decompress(raw, 31) if archive.endswith(".gz") else raw)
+    for name in sorted(archives.keys() - named):
+        if name.endswith(".gz"):
+            yield from map(parse, gzip_members(fetch, *archives[name]))
+        else:
+            yield from plain_records(fetch, *archives[name])
+
+
+def plain_records(fetch: Fetch, start: int, size: int) -> Iterator[dict]:
+    """The records of an uncompressed archive: a header, its block by a range, and two empty lines."""
+    at, end = start, start + size
+    while at < end:
+        head, more = b"", at
+        while b"\r\n\r\n" not in head:
+            if more >= end:
+                raise ValueError("end of archive")
+            head += fetch(more, min(WINDOW, end - more))
+            more = at + len(head)
+        length = head.index(b"\r\n\r\n") + 4 + int(headers(head)[0]["content-length"])
+        yield parse(fetch(at, length))
+        at += length + 4
+
+
+def opened(uri: str) -> tuple[pafs.FileSystem, str]:
+    """The file system of a path and the path in it. Raises for stores that this process can't open."""
+    if "://" not in uri and not uri.startswith("file:"):
+        return pafs.LocalFileSystem(), uri
+    return pafs.FileSystem.from_uri(re.sub("^file:/+", "file:///", uri))
+
+
+def _packaged(batches: Iterator[pa.RecordBatch], limit: int, folder: str | None) -> Iterator[pa.RecordBatch]:
+    def row(held: list[bytes]) -> pa.RecordBatch:
+        content, path = package(held), None
+        if folder:
+            # a name of its own for each attempt: the table of packages holds those of tasks that ended well
+            path = f"{folder}/{uuid.uuid4().hex}.wacz"
+            store, place = opened(path)
+            store.create_dir(place.rpartition("/")[0])
+            with store.open_output_stream(place) as out:
+                out.write(content)
+        return pa.RecordBatch.from_arrays([pa.array([path], pa.string()), pa.array([None if folder else content], pa.binary()), pa.array([len(content)])], ["path", "content", "size"])
 
-def _packaged(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    row = lambda held: pa.RecordBatch.from_arrays([pa.array([package(held)], pa.binary())], ["content"])
     held, size = [], 0
     for batch in batches:
         for page_id, url, payload, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "payload", "refers_to"))):
@@ -162,24 +242,43 @@ def _packaged(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Reco
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    names = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]
-    kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+    kinds = {"page_id": pa.int64(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary(), "record_id": pa.string()}
+
+    def shipped(found: Iterator[dict]) -> Iterator[pa.RecordBatch]:
+        rows, size = [], 0
+        for r in found:
+            rows.append(r)
+            size += len(r["payload"] or b"")
+            if size >= PACKAGE or len(rows) == 500:
+                yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], k) for n, k in kinds.items()], list(kinds))
+                rows, size = [], 0
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([x[n] for x in rows], k) for n, k in kinds.items()], list(kinds))
+
     for batch in batches:
-        for content in batch.column("content"):
-            view = content.as_buffer()
-            fetch = lambda at, n, view=view: view.slice(at, n).to_pybytes()
-            rows = list(records(fetch, view.size))
-            for low in range(0, len(rows), 500):
-                yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows[low : low + 500]], k) for n, k in zip(names, kinds)], names)
+        for path, content in zip(batch.column("path").to_pylist(), batch.column("content")):
+            if path is not None:
+                store, place = opened(path)
+                with store.open_input_file(place) as file:
+                    yield from shipped(records(lambda at, n: file.read_at(n, at), file.size()))
+            elif content.is_valid:
+                view = content.as_buffer()
+                yield from shipped(records(lambda at, n, view=view: view.slice(at, n).to_pybytes(), view.size))
 
 
 def write_packages(pages: DataFrame, least_bytes: int = 0, limit: int = PACKAGE) -> DataFrame:
-    """Packages (content) of a record for each row of ``pages`` (columns used: page_id, url, html).
+    """Packages (path or content, size) of a record for each row of ``pages`` (columns used: page_id, url, html; others are
+    ignored). They are written when the result is: write it once and read packages from that.
 
     Of rows with equal payloads of at least ``least_bytes`` bytes, that with the smallest page_id is a response, others
     revisit it; rows that share this smallest id are all responses. A null html is an empty payload; a row with a null
-    page_id is a response; a null url is named after the page.
+    page_id is a response; a null url is named after the page. No rows, no packages.
     """
+    folder = f"{shared_folder(pages.sparkSession)}/{pages.sparkSession.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    try:
+        opened(folder)
+    except (ValueError, OSError, NotImplementedError):
+        folder = None
     payload = whole_text("html")
     rows = lean(pages).select("page_id", "url", payload.alias("payload"))
     keys = rows.where((F.octet_length("payload") >= least_bytes) & F.col("page_id").isNotNull()).select("page_id", F.sha1("payload").alias("key"), F.octet_length("payload").alias("size"))
@@ -188,16 +287,19 @@ def write_packages(pages: DataFrame, least_bytes: int = 0, limit: int = PACKAGE)
     # a page's rows may differ in payload: the key belongs to the join, under names of its own
     again = again.select(F.col("page_id").alias("p"), F.col("key").alias("k"), "refers_to")
     joined = rows.join(again, (F.col("page_id") == F.col("p")) & (F.sha1("payload") == F.col("k")), "left")
-    return joined.select("page_id", "url", "payload", "refers_to").mapInArrow(lambda it: _packaged(it, limit), "content binary")
+    return joined.select("page_id", "url", "payload", "refers_to").mapInArrow(lambda it: trimmed(_packaged(it, limit, folder)), "path string, content binary, size long")
 
 
 def read_packages(packages: DataFrame) -> DataFrame:
-    """A row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, and payload (null for revisits)."""
-    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
-    return packages.select("content").mapInArrow(_read, schema)
+    """A row per record: page_id, payload_bytes, payload_digest, record_type, refers_to, payload (null for revisits) and
+    record_id. ``packages`` has path or content, or both; a row with neither has no records. Damaged packages raise."""
+    schema = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary, record_id string"
+    given = [F.col(c) if c in packages.columns else F.lit(None).cast(kind).alias(c) for c, kind in (("path", "string"), ("content", "binary"))]
+    return lean(packages).select(*given).mapInArrow(lambda it: trimmed(_read(it)), schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from quire.llm.text import table
 
-    return read_packages(written(write_packages(table(spark, sf_dir, "pages")))).drop("payload")
+    packages = written(write_packages(table(spark, sf_dir, "pages")))
+    return read_packages(packages).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
