@@ -10,8 +10,18 @@ from quire.operators import book, keys, providers
 from quire.plans.catalog import BARE, BOOK, NEXT, RELATION, pages, query, table, texts
 
 
-@query("mock_translation", "SELECT doc_id AS unit, sha256('[mock] ' || text) AS translated_sha256, NULL::VARCHAR AS error FROM documents")
+MOCK = "SELECT doc_id AS unit, sha256('[mock] ' || text) AS translated_sha256, NULL::VARCHAR AS error FROM documents"
+
+
+@query("mock_translation", MOCK)
 def mock_translation(spark, sf_dir):
+    out = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), providers.mock(F.col("text")).alias("translated"))
+    return out.select("unit", keys.text_hash(F.col("translated")).alias("translated_sha256"), F.lit(None).cast("string").alias("error"))
+
+
+@query("provider_translation", MOCK)
+def provider_translation(spark, sf_dir):
+    """The same by a provider in Python, which gets batches of texts."""
     units = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("unit"), "text")
     out = providers.run_provider(units, lambda texts: [f"[mock] {t}" for t in texts])
     return out.select("unit", keys.text_hash(F.col("translated")).alias("translated_sha256"), "error")
@@ -54,10 +64,12 @@ def appendix_coverage(spark, sf_dir):
     return have.select("source", "lang", F.size("have").alias("pages"), F.size(F.array_except(F.sequence("a", "b"), "have")).alias("missing"))
 
 
-@query("asset_dedupe", "SELECT sha256(text) AS asset, min(doc_id) AS first_doc, string_agg(doc_id::VARCHAR, ',' ORDER BY doc_id) AS linked FROM documents GROUP BY text HAVING count(*) > 1")
+@query("asset_dedupe", "SELECT sha256(text) AS asset, min(doc_id) OVER (PARTITION BY text) AS first_doc, doc_id AS linked FROM documents WHERE text IS NOT NULL QUALIFY count(*) OVER (PARTITION BY text) > 1")
 def asset_dedupe(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").groupBy(keys.text_hash(F.col("text")).alias("asset")).agg(F.min("doc_id").alias("first_doc"), F.array_join(F.array_sort(F.collect_list("doc_id")).cast("array<string>"), ",").alias("linked"), F.count("*").alias("n"))
-    return rows.where("n > 1").drop("n")
+    """A row for each page of an asset that several pages have, with the first of them: no list grows with its group."""
+    rows = texts(spark, sf_dir).where("text is not null").select("doc_id", keys.text_hash(F.col("text")).alias("asset"))
+    shared = rows.groupBy("asset").agg(F.min("doc_id").alias("first_doc"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(shared, "asset").select("asset", "first_doc", F.col("doc_id").alias("linked"))
 
 
 @query("role_distribution", "SELECT role, turn % 2 = 0 AS even_turn, count(*) AS n, min(length(text))::INTEGER AS shortest, max(length(text))::INTEGER AS longest FROM conversations GROUP BY ALL")
