@@ -93,6 +93,7 @@ def page_quality(text: Column, columns: Column | None = None, coverage: Column |
 
 def _metrics(value: Column) -> Column:
     n = F.length(value)
+    # fixed values: the patterns of runs and of words broken at a line's end
     # what Python calls printable: no separators but the space, no controls, formats, surrogates, private or unassigned
     printable = n - count_chars(value, r"[[\p{Zl}\p{Zp}\p{C}&&[^\n\t]][\p{Zs}&&[^ ]]]")
     return F.struct(
@@ -104,6 +105,7 @@ def _metrics(value: Column) -> Column:
 
 
 def _verdict(m: Column, columns: Column, coverage: Column) -> Column:
+    # fixed values: thresholds, names and costs of the rules, and which of them are fatal
     ratio = lambda n: F.bround(m[n] / m["total"], 4)
     chars, n_lines, runs, hyphens, longest = m["chars"], F.size(m["lines"]), m["runs"], m["hyphens"], m["longest"]
     printable, control, broken, alnum = ratio("printable"), ratio("control"), ratio("broken"), ratio("alnum")

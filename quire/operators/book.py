@@ -82,6 +82,30 @@ def strip_running_artifacts(docs: DataFrame, artifacts: DataFrame) -> DataFrame:
     return rows.select("source", "doc_id", F.array_join(kept, "\n").alias("text"), F.size("artifacts").alias("n_artifacts"), F.size("numbers").alias("n_numbers"))
 
 
+#: Classes of pages that are cleaned for publication.
+CLEANED = ["body", "toc", "index", "appendix"]
+
+
+def clean_pairs(pairs: DataFrame) -> DataFrame:
+    """Source and target texts of pages (source, doc_id, page_class, chapter_boundary, text, target), each side a row of
+    (side, source, doc_id, text, n_artifacts, n_numbers), without the running lines of its side.
+
+    Lines are discovered on pages of the cleaned classes that open no chapter, and taken off all pages of those classes;
+    other pages stay as they are. A null target has no row.
+    """
+    sides = F.array(F.struct(F.lit("source").alias("side"), F.col("text").alias("text")), F.struct(F.lit("target").alias("side"), F.col("target").alias("text")))
+    rows = pairs.select("source", "doc_id", F.col("page_class").isin(CLEANED).alias("fit"), (~F.col("chapter_boundary")).alias("plain"), F.explode(sides).alias("s")).where("s.text is not null")
+    # a side of a book is a book of its own to the rules on lines
+    rows = rows.select(F.concat_ws("\u0001", "s.side", "source").alias("source"), "doc_id", "s.text", "fit", "plain")
+    fit = rows.where("fit")
+    cleaned = strip_running_artifacts(fit.select("source", "doc_id", "text"), running_artifacts(fit.where("plain")))
+    zero = F.lit(0).alias
+    left = rows.where("not fit").select("source", "doc_id", "text", zero("n_artifacts"), zero("n_numbers"))
+    out = cleaned.select("source", "doc_id", "text", "n_artifacts", "n_numbers").unionByName(left)
+    parts = F.split("source", "\u0001", 2)
+    return out.select(parts[0].alias("side"), parts[1].alias("source"), "doc_id", "text", "n_artifacts", "n_numbers")
+
+
 def marked(docs: DataFrame) -> DataFrame:
     """Numbered pages (source, doc_id, page, marks), the text reduced to the marks of its edges."""
     return numbered_pages(docs.select("source", "doc_id", T.edge_marks(F.col("text")).alias("marks")))

@@ -9,7 +9,7 @@ from quire.functions import releases as L
 from quire.functions import roles as R
 from quire.functions import text as T
 from quire.operators import book, keys, merge
-from quire.plans.catalog import BARE, BOOK, pages, query, table
+from quire.plans.catalog import BARE, BOOK, ORACLES, pages, query, table, texts
 from quire.plans.roles import _dealt, _in, dealt
 
 ACTIONS = ["render", "omit", "appendix"]
@@ -392,3 +392,18 @@ def front_sections(spark, sf_dir):
     islands = book.islands(rows, "source", "page", F.col("starts"))
     kind = F.coalesce(F.max(F.when(F.col("starts"), F.col("own"))), F.lit("unknown"))
     return islands.groupBy("source", "island").agg(kind.alias("section_type"), F.min("page").alias("start_page"), F.max("page").alias("end_page"), F.count("*").alias("page_count")).drop("island")
+
+
+CLASSES = ["body", "body", "front_matter", "index", "body", "toc", "appendix"]
+SIDES = f"""WITH p AS (SELECT doc_id, source, text, {_dealt(CLASSES, 'doc_id')} AS cls, doc_id % 11 = 4 AS boundary FROM documents), every_side AS (SELECT doc_id, 'source' || chr(1) || source AS source, text, cls, boundary FROM p UNION ALL SELECT doc_id, 'target' || chr(1) || source, replace(text, 'a', 'ä'), cls, boundary FROM p WHERE doc_id % 5 > 0),
+book AS (SELECT doc_id, source, text, boundary, CAST(doc_id AS INTEGER) AS page FROM every_side WHERE cls IN ('body', 'toc', 'index', 'appendix'))"""
+
+
+@query("publication_clean_pass", "SELECT string_split(source, chr(1))[1] AS side, string_split(source, chr(1))[2] AS source, page AS doc_id, text_sha256, n_artifacts, n_numbers FROM (" + ORACLES["strip_running_artifacts"].replace(BOOK, SIDES).replace("AS l FROM book)", "AS l FROM book WHERE NOT boundary)", 1)
++ ") UNION ALL SELECT 'source', source, CAST(doc_id AS INTEGER), sha256(text), 0, 0 FROM documents WHERE doc_id % 7 = 2 UNION ALL SELECT 'target', source, CAST(doc_id AS INTEGER), sha256(replace(text, 'a', 'ä')), 0, 0 FROM documents WHERE doc_id % 7 = 2 AND doc_id % 5 > 0")
+def publication_clean_pass(spark, sf_dir):
+    """Running lines taken off both sides of page pairs by class of page."""
+    n = F.col("doc_id")
+    pairs = texts(spark, sf_dir).select("source", "doc_id", dealt(CLASSES, n).alias("page_class"), (n % 11 == 4).alias("chapter_boundary"), "text", F.when(n % 5 > 0, F.replace("text", F.lit("a"), F.lit("ä"))).alias("target"))
+    out = book.clean_pairs(pairs)
+    return out.select("side", "source", F.col("doc_id").cast("int").alias("doc_id"), keys.text_hash(F.col("text")).alias("text_sha256"), "n_artifacts", "n_numbers")
