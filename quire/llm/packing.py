@@ -25,6 +25,8 @@ from quire.llm.text import HELD, lean, row_chunks, trimmed, whole_text
 LENGTH, GROUP = 4096, 2048
 #: Tokens of a group that are packed together at most.
 GROUP_TOKENS = 1 << 23
+#: Groups of a task, about.
+TEAMS = 4
 #: Bytes of text tokenised at a time.
 PIECE = 1 << 22
 
@@ -191,13 +193,16 @@ def packed(sizes: list[int], length: int = LENGTH) -> list[list[Piece]]:
 def _tokens(batches: Iterator[pa.RecordBatch], path: str, end: int) -> Iterator[pa.RecordBatch]:
     tokenizer = _tokenizer(path)
     HELD["packing"] = _tokenizer.cache_clear
+    stop = np.array([end], tokenizer.kind).tobytes()
     # it holds many small objects and no cycles
     gc.disable()
-    stop = np.array([end], tokenizer.kind).tobytes()
-    for batch in batches:
-        for part in row_chunks(batch, "bytes", PIECE):
-            ids = tokenizer.encode([x.as_py().decode() for x in part.column("bytes")])
-            yield pa.RecordBatch.from_arrays([part.column("team"), part.column("doc_id"), pa.array([x + stop for x in ids], pa.binary())], ["team", "doc_id", "tokens"])
+    try:
+        for batch in batches:
+            for part in row_chunks(batch, "bytes", PIECE):
+                ids = tokenizer.encode([x.as_py().decode() for x in part.column("bytes")])
+                yield pa.RecordBatch.from_arrays([part.column("team"), part.column("doc_id"), pa.array([x + stop for x in ids], pa.binary())], ["team", "doc_id", "tokens"])
+    finally:
+        gc.enable()
 
 
 def _packs(batches: Iterator[pa.RecordBatch], length: int, kind: np.dtype) -> Iterator[pa.RecordBatch]:
@@ -242,11 +247,12 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int = 2, length: int = LENGT
     a sequence meet is where their documents were cut or end.
     """
     teams = max(1, round(docs.count() / group))
-    team = F.pmod(F.xxhash64("doc_id", F.hash("text")), F.lit(teams))
+    team = F.pmod(F.xxhash64("doc_id", "text"), F.lit(teams))
     texts = lean(docs).select(team.alias("team"), "doc_id", whole_text().alias("bytes"))
     tokens = texts.mapInArrow(lambda it: trimmed(_tokens(it, tokenizer_path, end), "packing"), "team long, doc_id long, tokens binary")
     kind = _tokenizer(tokenizer_path).kind
-    dealt = tokens.repartition("team").sortWithinPartitions("team", "doc_id", "tokens")
+    # a few teams to a task, however many there are
+    dealt = tokens.repartition(max(1, -(-teams // TEAMS)), "team").sortWithinPartitions("team", "doc_id", "tokens")
     return dealt.mapInArrow(lambda it: trimmed(_packs(it, length, kind), "packing"), "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long")
 
 
