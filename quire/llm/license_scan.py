@@ -8,10 +8,12 @@ as a misprinted "version 2".
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 from functools import lru_cache
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -74,43 +76,55 @@ def notices(joined: str) -> list[tuple[int, int, str, int]]:
                 known.append([low, high])
     found = []
     for phrase, spans in regions.items():
+        search = patterns[phrase].search
         for low, high in spans:
-            at = low
-            while m := patterns[phrase].search(joined, at, min(high, len(joined))):
-                found.append((m.start(), m.end(), phrase, sum(m.fuzzy_counts)))
-                at = max(m.end() - 1, at + 1)
+            # the best match of a stretch comes first; then what lies on either side of it is searched
+            todo = [(low, min(high, len(joined)))]
+            while todo:
+                a, b = todo.pop()
+                # one character before and behind a match is read as well
+                m = search(joined, a, b) if b - a >= len(phrase) - edits(phrase) else None
+                if m:
+                    found.append((m.start(), m.end(), phrase, sum(m.fuzzy_counts)))
+                    todo += [(a, m.start()), (m.end() - 1, b)]
     found.sort(key=lambda f: (f[3], f[0], f[1], f[2]))
+    # those kept lie apart: in order of place each is held against its two neighbours alone
     kept: list[tuple[int, int, str, int]] = []
     for f in found:
-        if all(f[1] <= k[0] or f[0] >= k[1] for k in kept):
-            kept.append(f)
-    return sorted(kept)
+        at = bisect.bisect(kept, f)
+        if (not at or kept[at - 1][1] <= f[0]) and (at == len(kept) or kept[at][0] >= f[1]):
+            kept.insert(at, f)
+    return kept
+
+
+def scanned(raw: bytes) -> tuple[int, list[dict], list[dict]]:
+    """Number of words, exact places of the base phrases, and notices of a text, places in words."""
+    words = raw.translate(WORDS).split()
+    joined = b" " + b" ".join(words) + b" "
+    # word n starts behind space n
+    spaces = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32)
+    word = lambda at: int(np.searchsorted(spaces, at))
+    base = []
+    for phrase, label in BASE.items():
+        needle = f" {phrase} ".encode()
+        at = joined.find(needle)
+        while at >= 0:
+            base.append({"label": label, "word": word(at)})
+            at = joined.find(needle, at + 1)
+    found = []
+    for start, end, phrase, k in notices(joined.decode("latin-1")):
+        found.append({"label": NOTICES[phrase], "first_word": word(start) - 1, "end_word": word(end), "edits": k, "likeness": 1 - k / len(phrase)})
+    return len(words), base, found
 
 
 def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "n_words", "base", "found"]
     base_type = pa.list_(pa.struct([("label", pa.string()), ("word", pa.int64())]))
     found_type = pa.list_(pa.struct([("label", pa.string()), ("first_word", pa.int64()), ("end_word", pa.int64()), ("edits", pa.int32()), ("likeness", pa.float64())]))
-    needles = [(f" {phrase} ".encode(), label) for phrase, label in BASE.items()]
     for batch in batches:
         for part in row_chunks(batch, "bytes"):
-            n_words, bases, founds = [], [], []
-            for raw in part.column("bytes"):
-                words = raw.as_py().translate(WORDS).split()
-                joined = b" " + b" ".join(words) + b" "
-                base = []
-                for needle, label in needles:
-                    at = joined.find(needle)
-                    while at >= 0:
-                        base.append({"label": label, "word": joined.count(b" ", 0, at)})
-                        at = joined.find(needle, at + 1)
-                found = []
-                for start, end, phrase, k in notices(joined.decode("latin-1")):
-                    first = joined.count(b" ", 0, start) - 1
-                    found.append({"label": NOTICES[phrase], "first_word": first, "end_word": first + 1 + joined.count(b" ", start, end), "edits": k, "likeness": 1 - k / len(phrase)})
-                n_words.append(len(words))
-                bases.append(base)
-                founds.append(found)
+            rows = [scanned(raw.as_py()) for raw in part.column("bytes")]
+            n_words, bases, founds = zip(*rows)
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(bases, base_type), pa.array(founds, found_type)], names)
 
 
