@@ -109,6 +109,63 @@ def test_word_tokenizer_on_odd_texts():
         assert [np.frombuffer(x, own.kind).tolist() for x in own.encode(texts)] == [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 
+def test_long_inputs_take_time_in_proportion():
+    """Ten times the notices, or ten times the word, take about ten times as long."""
+    import time
+
+    model = [[[1.0] * toxicity.SYMBOLS for _ in range(toxicity.SYMBOLS)] for _ in range(toxicity.SYMBOLS)]
+    notice = " under teh mit license for the use of other words apache license version 2"
+    work = {
+        "notices": (lambda n: license_scan.scanned((notice * n).encode()), 200),
+        "word": (lambda n: toxicity.reading("4b1" * n, model), 2000),
+        "letters": (lambda n: toxicity.reading("aab" * n, model), 2000),
+    }
+    for name, (run, n) in work.items():
+        took = []
+        for size in (n, 10 * n):
+            start = time.process_time()
+            run(size)
+            took.append(time.process_time() - start)
+        assert took[1] < 30 * max(took[0], 0.01), (name, took)
+
+
+def test_disguises_that_stand_before_or_alone():
+    counts = np.full((toxicity.SYMBOLS,) * 3, 0.01)
+    for word in ("idiot", "stupid", "hello", "as"):
+        s = [0, 0, *map(toxicity.symbol, word), 0]
+        for a, b, c in zip(s, s[1:], s[2:]):
+            counts[a, b, c] += 5
+    model = (-np.log(counts / counts.sum(axis=2, keepdims=True))).tolist()
+    assert [toxicity.restored(w, model) for w in ("!diot", "1d1ot", "hello!", "(hello)", "s7upid", "@$", "plain")] == ["idiot", "idiot", "hello", "hello", "stupid", "@$", "plain"]
+
+
+def test_fuzzy_search_against_edit_distance():
+    """Words with planted misprints: each notice within its edits of some run of words is found, and none that is not."""
+
+    def distance(a: str, b: str) -> int:
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            row, left = [i], row
+            for j, y in enumerate(b, 1):
+                row.append(min(left[j] + 1, row[-1] + 1, left[j - 1] + (x != y)))
+        return row[-1]
+
+    rng = np.random.default_rng(17)
+    for phrase in list(license_scan.NOTICES) * 6:
+        letters = list(phrase)
+        for _ in range(int(rng.integers(0, 4))):
+            at = int(rng.integers(1, len(letters) - 1))
+            letters[at : at + int(rng.integers(0, 2))] = [str(rng.choice(list("qz ")))] * int(rng.integers(0, 2))
+        text = " some words " + " ".join("".join(letters).split()) + " and others "
+        found = license_scan.notices(text)
+        words = text.split()
+        near = [(distance(p, " ".join(words[i : i + n])), p) for p in license_scan.NOTICES for i in range(len(words)) for n in range(len(p.split()) - 2, len(p.split()) + 3) if n > 0]
+        fits = [(d, p) for d, p in near if d <= license_scan.edits(p)]
+        assert bool(found) == bool(fits), (phrase, text, found, fits)
+        if fits:
+            assert min(f[3] for f in found) == min(fits)[0]
+
+
 def test_license_scan(run, docs):
     for r in run(license_scan):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(docs[r.doc_id]))
@@ -149,7 +206,7 @@ def test_words_of_a_regular_form_have_hashes_of_their_own(spark, size):
     short = spark.createDataFrame([(1, one), (2, two), (3, two)], "doc_id long, text string")
     assert {r.doc_id: r.class_id for r in bagminhash.near_duplicates(short).collect()} == {1: 1, 2: 2, 3: 2}
     known = spark.createDataFrame([(i, one) for i in range(20)] + [(100 + i, two) for i in range(20) if zlib.crc32(str(100 + i).encode()) % 5 == 1], "doc_id long, text string")
-    rows = hmm_lm.language_model(known).collect()
+    rows = hmm_lm.score(known).collect()
     assert {r.n_known for r in rows if r.doc_id < 100} == {2} and {r.n_known for r in rows if r.doc_id >= 100} == {1}
 
 
@@ -502,6 +559,31 @@ def test_top_k_repeated_rows(spark, size):
     assert sorted(tuple(r) for r in out) == want
 
 
+def test_top_k_prunes_blocks_and_is_exact(spark, monkeypatch):
+    """Ids in clusters: a query meets few of the blocks, in cells of many groups and shelves."""
+    rng = np.random.default_rng(11)
+    centres = rng.normal(size=(30, 16))
+    x = np.floor(60 * (np.repeat(centres, 40, axis=0) + 0.05 * rng.normal(size=(1200, 16)))).astype(np.int64)
+    ids = np.arange(1200)
+    blocks = [(ids[i : i + 40], x[i : i + 40], x[i : i + 40].max(axis=0), x[i : i + 40].min(axis=0)) for i in range(0, 1200, 40)]
+    asked = ids % 10 == 0
+    (query, vec, score), met = topk.best(ids[asked], x[asked], blocks, 5, np.full(asked.sum(), np.iinfo(np.int64).min))
+    scores = x[asked] @ x.T
+    scores[ids[None, :] == ids[asked][:, None]] = -(1 << 60)
+    order = np.lexsort((np.broadcast_to(ids, scores.shape), -scores), axis=1)[:, :5]
+    assert vec.reshape(-1, 5).tolist() == order.tolist() and score.reshape(-1, 5).tolist() == np.take_along_axis(scores, order, 1).tolist()
+    assert met < 0.5 * asked.sum() * len(blocks)
+    # floors from elsewhere leave fewer still, and the same rows
+    floor = np.sort(scores, axis=1)[:, -5]
+    again, fewer = topk.best(ids[asked], x[asked], blocks, 5, floor)
+    assert fewer <= met and [a.tolist() for a in again] == [query.tolist(), vec.tolist(), score.tolist()]
+    for name, value in {"BLOCK": 40, "SHELF": 7, "QUERIES": 16, "SEEDS": 3}.items():
+        monkeypatch.setattr(topk, name, value)
+    out = topk.top_k(spark.createDataFrame([(int(i), [float(c) for c in v]) for i, v in zip(ids, x)], "vec_id long, embedding array<double>"), every=10, scale=1).collect()
+    want = [(int(q), n + 1, int(v), int(scores[i, v])) for i, q in enumerate(ids[asked]) for n, v in enumerate(order[i])]
+    assert sorted(tuple(r) for r in out) == want
+
+
 def test_warc(run, spark, sf_dir):
     pages = {r.page_id: (r.html or "").encode() for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
     least: dict[bytes, int] = {}
@@ -522,6 +604,46 @@ def test_warc_revisits(spark):
     assert got == sorted([(5, "revisit", 3), (3, "response", None), (3, "response", None), (9, "revisit", 3), (1, "response", None), (2, "revisit", 1), (0, "response", None)], key=repr)
 
 
+def test_packages_are_files_read_by_ranges(spark):
+    from pathlib import Path
+
+    pages = spark.createDataFrame([(i, "u", "payload %d " % i * 400, "x", i) for i in range(300)], "page_id long, url string, html string, content string, size long")
+    made = warc.write_packages(pages, limit=1 << 17).persist()
+    [first, *rest] = made.collect()
+    assert len(rest) > 3 and first.content is None and first.path.startswith("file:")
+    file = Path(first.path.removeprefix("file:").replace("//", "/")).read_bytes()
+    assert len(file) == first.size and zipfile.ZipFile(warc.io.BytesIO(file)).testzip() is None
+    asked = []
+    got = list(warc.records(lambda at, n: asked.append(n) or file[at : at + n], len(file)))
+    # behind the tail, directory, local headers and index, one range a record
+    assert len(got) == len([n for n in asked if n < len(file) // 4]) - 4 and max(asked[1:]) < len(file) // 4
+    back = {r.page_id: bytes(r.payload) for r in warc.read_packages(made).collect()}
+    assert back == {i: ("payload %d " % i * 400).encode() for i in range(300)}
+    nothing = spark.createDataFrame([(None, None)], "path string, content binary")
+    assert warc.read_packages(nothing).collect() == []
+
+
+def test_foreign_packages():
+    """Other member names, compressed and missing indexes, plain archives, records of other kinds and ids."""
+    made = [warc.record(i, "http://x", b"body %d" % i, None) for i in range(3)]
+    info = b"WARC/1.0\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:1>\r\nContent-Type: application/warc-fields\r\nContent-Length: 5\r\n\r\na: b\n\r\n\r\n"
+    squeeze = lambda raw: (press := zlib.compressobj(6, zlib.DEFLATED, 31)).compress(raw) + press.flush()
+    parts = [squeeze(x) for x in (info, *made)]
+    lines, at = ["!meta {}"], 0
+    for x in parts:
+        lines.append("com,example)/ 2020 " + warc.json.dumps({"url": "http://x", "filename": "a.warc.gz", "offset": str(at), "length": str(len(x))}))
+        at += len(x)
+    for extra in ({"archive/a.warc.gz": b"".join(parts), "indexes/index.cdx.gz": squeeze("\n".join(lines).encode())}, {"archive/a.warc.gz": b"".join(parts)}, {"b.warc": info + b"".join(made)}):
+        out = warc.io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_STORED) as z:
+            for name, body in {"datapackage.json": b"{}", **extra}.items():
+                z.writestr(name, body)
+        content = out.getvalue()
+        got = list(warc.records(lambda at, n: content[at : at + n], len(content)))
+        assert [r["payload"] for r in got] == [b"a: b\n", b"body 0", b"body 1", b"body 2"]
+        assert [r["page_id"] for r in got] == [None, 0, 1, 2] and got[0]["record_id"] == "<urn:uuid:1>" and got[0]["record_type"] == "warcinfo"
+
+
 def test_zip64_directories(monkeypatch):
     made = [warc.record(i, "http://x", b"body %d" % i, None) for i in range(5)]
     monkeypatch.setattr(zipfile, "ZIP64_LIMIT", 50)
@@ -618,6 +740,13 @@ RUNS = {
 }
 
 
+def test_round_trip_is_encoding_and_decoding(spark):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    two = RUNS["bpe"](spark, odd(spark)).collect()
+    one = bpe.round_trip(odd(spark), path, public_tokenizers.PATTERN).collect()
+    assert sorted(map(repr, one)) == sorted(map(repr, two))
+
+
 @pytest.mark.parametrize("name", RUNS)
 def test_odd_rows(spark, name):
     out = RUNS[name](spark, odd(spark)).collect()
@@ -652,6 +781,25 @@ def test_pages_and_vectors_empty(spark):
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<float>")).collect() == []
 
 
+def test_ids_with_several_texts_are_compared_by_each(spark):
+    rng = np.random.default_rng(8)
+    a, c = (" ".join(f"w{i}" for i in rng.integers(0, 10**6, 90)) for _ in range(2))
+    rows = [(5, a), (5, c), (4, c + " more"), (9, a), (7, "alone here")]
+    out = bagminhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id, r.kept) for r in out) == [(4, 4, True), (5, 4, False), (5, 4, False), (7, 7, True), (9, 5, False)]
+
+
+def test_vectors_and_pages_with_clashing_columns_and_long_payloads(spark):
+    rows = [(i, [float(i % 7), 1.0], b"x", b"y", 1, 2, 3, 4.0, [9]) for i in range(0, 200, 10)]
+    plain = topk.top_k(spark.createDataFrame([r[:2] for r in rows], "vec_id long, embedding array<double>")).collect()
+    wide = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>, ids binary, vectors binary, g int, s int, number long, score double, v array<int>")).collect()
+    assert sorted(map(tuple, plain)) == sorted(map(tuple, wide)) and plain
+    long = "é<p>text</p> " * 500_000
+    pages = spark.createDataFrame([(1, "u", long, "p", 5), (2, "u", long, "p", 6), (3, "u", "x", "p", 7)], "page_id long, url string, html string, path string, size long")
+    back = {r.page_id: r for r in warc.read_packages(warc.write_packages(pages)).collect()}
+    assert [back[i].record_type for i in (1, 2, 3)] == ["response", "revisit", "response"] and bytes(back[1].payload) == long.encode() and back[2].payload_bytes == len(long.encode())
+
+
 def test_every_operator_has_a_query():
     names = sorted(queries.QUERIES, key=lambda n: int(n[2:].split("_")[0]))
     assert [n.split("_")[0] for n in names] == [f"op{i}" for i in range(1, 11)]
