@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from quire.llm.text import lean, trimmed, written
 
 #: Vectors of a block, blocks of a shelf, queries of a group, blocks that floors are taken from (4 MB at 64 components).
-BLOCK, SHELF, QUERIES, SEEDS = 128, 512, 2048, 64
+BLOCK, SHELF, QUERIES, SEEDS = 128, 64, 4096, 64
 #: Partitions that cells are dealt to at most.
 MOST = 10_000
 CELL = "g int, s int, kind int, number long, ids binary, vectors binary, high binary, low binary"
