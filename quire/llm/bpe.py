@@ -24,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.text import CHUNK, HELD, lean, row_chunks, whole_text
+from quire.llm.text import CHUNK, HELD, lean, row_chunks, trimmed, whole_text
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -70,6 +70,7 @@ class Transducer:
                 node = nxt
             self.token_at[node] = rank
         self.pairs: dict[int, bool] = {}
+        self.pair_limit = 4 * states
         self.split: dict[int, tuple[int, int] | None] = {}
         self.kind = np.dtype("<u2" if max(self.bytes_of) < 1 << 16 else "<u4")
         self.memo = _Memo(self, memo)
@@ -93,7 +94,7 @@ class Transducer:
         """Whether the two tokens encode their own bytes; with left -1, whether the token does."""
         known = self.pairs.get(left << 24 | token)
         if known is None:
-            if len(self.pairs) > 1_000_000:
+            if len(self.pairs) > self.pair_limit:
                 self.pairs.clear()
             alone = len(self.bytes_of[token]) == 1 or self._halves(token) is not None
             known = self.pairs[left << 24 | token] = alone and (left < 0 or self._stays_apart(left, token))
@@ -295,7 +296,7 @@ def _pattern(source: str) -> Splitter:
 
 def _encoded(batches: Iterator[pa.RecordBatch], path: str, source: str) -> Iterator[pa.RecordBatch]:
     machine, pattern = _machine(path), _pattern(source)
-    HELD["bpe"] = _machine.cache_clear
+    HELD["bpe"] = lambda: (_machine.cache_clear(), _decoder.cache_clear())
     # the machine holds many small objects and no cycles: looking for cycles again and again would take half the time
     gc.disable()
     try:
@@ -323,32 +324,69 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
     vocabulary file must be at ``ranks_path`` on every worker.
     """
     texts = lean(docs).select("doc_id", whole_text().alias("bytes"))
-    return texts.mapInArrow(lambda it: _encoded(it, ranks_path, pattern), "doc_id long, ids array<int>")
+    return texts.mapInArrow(lambda it: trimmed(_encoded(it, ranks_path, pattern), "bpe"), "doc_id long, ids array<int>")
 
 
-def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    table = {rank: token for token, rank in load_ranks(path).items()}
-    utf8 = Utf8Machine()
-    # from the start state a token of whole characters leads back to it: texts of such tokens need no steps
-    partial = frozenset(rank for rank, token in table.items() if Utf8Machine().feed(token).encode() != token)
+class TokenDecoder:
+    """The UTF-8 machine over token ids: a table of its steps. From the start state most tokens lead back to it, and the
+    table's row of that state is a list by id; other steps are worked out when first met."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.utf8, self.bytes_of = Utf8Machine(), {rank: token for token, rank in ranks.items()}
+        self.start: list[str | None] = [None] * (max(self.bytes_of) + 1)
+        for rank, token in self.bytes_of.items():
+            held, out = b"", []
+            for byte in token:
+                held, text = self.utf8._byte(held, byte)
+                out.append(text)
+            self.start[rank] = "".join(out) if not held else None
+
+    def __call__(self, ids: list[int]) -> str:
+        steps = list(map(self.start.__getitem__, ids))
+        at = 0
+        while True:
+            # as far as the next token that leaves the start state
+            try:
+                at = steps.index(None, at)
+            except ValueError:
+                return "".join(steps)
+            while at < len(ids):
+                steps[at] = self.utf8.feed(self.bytes_of[ids[at]])
+                at += 1
+                if not self.utf8.held:
+                    break
+            else:
+                return "".join(steps) + self.utf8.close()
 
-    def text(ids: list[int]) -> str:
-        if partial.isdisjoint(ids):
-            return b"".join(map(table.__getitem__, ids)).decode()
-        return utf8.decode(map(table.__getitem__, ids))
 
+@lru_cache(2)
+def _decoder(path: str) -> TokenDecoder:
+    return TokenDecoder(load_ranks(path))
+
+
+def _decoded(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
+    decoder = _decoder(path)
     for batch in batches:
         for low in range(0, batch.num_rows, 1000):
             part = batch.slice(low, 1000)
             ids = part.column("ids")
             flat, at = ids.flatten().to_numpy(), np.r_[0, np.cumsum(ids.value_lengths().fill_null(0).to_numpy())]
-            texts = [text(flat[a:b].tolist()) for a, b in zip(at, at[1:])]
+            texts = [decoder(flat[a:b].tolist()) for a, b in zip(at, at[1:])]
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), ids, pa.array(texts, pa.string())], ["doc_id", "ids", "decoded"])
 
 
 def decode(encoded: DataFrame, ranks_path: str) -> DataFrame:
     """Adds decoded (string) to rows of doc_id and ids; null ids decode to the empty text."""
-    return encoded.select("doc_id", "ids").mapInArrow(lambda it: _decoded(it, ranks_path), "doc_id long, ids array<int>, decoded string")
+    # a worker that has encoded before drops what it held for that
+    return encoded.select("doc_id", "ids").mapInArrow(lambda it: trimmed(_decoded(it, ranks_path)), "doc_id long, ids array<int>, decoded string")
+
+
+def round_trip(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:
+    """doc_id, ids and decoded, as ``decode(encode(...))``, both in one worker: ids do not travel between two, and a worker
+    that has held the transducer never waits beside another that builds it again."""
+    texts = lean(docs).select("doc_id", whole_text().alias("bytes"))
+    both = lambda it: trimmed(_decoded(_encoded(it, ranks_path, pattern), ranks_path), "bpe")
+    return texts.mapInArrow(both, "doc_id long, ids array<int>, decoded string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
@@ -357,7 +395,7 @@ def query(spark, sf_dir: str) -> DataFrame:
     from quire.llm.text import table
 
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    both = decode(encode(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN), path)
+    both = round_trip(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
     return both.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
