@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bagminhash, bpe, flac, hmm_lm, license_scan, oracles, packing, substring_dedup, topk, toxicity, warc
+from quire.llm import bagminhash, bpe, centroids, flac, hmm_lm, license_scan, oracles, packing, substring_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -15,10 +15,12 @@ QUERIES = {
     "op8_exact_top_k": topk.query,
     "op9_warc_zip": warc.query,
     "op10_bagminhash": bagminhash.query,
+    "op11_centroids": centroids.query,
 }
 ORACLES = {
     "op1_substring_dedup": oracles.SUBSTRING_DEDUP,
     "op8_exact_top_k": topk.SQL,
     "op9_warc_zip": oracles.WARC,
     "op10_bagminhash": oracles.NEAR_DUPLICATES,
+    "op11_centroids": centroids.SQL,
 }
