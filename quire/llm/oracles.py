@@ -31,3 +31,17 @@ edge AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
 reach AS (SELECT doc_id, doc_id AS node FROM documents UNION SELECT r.doc_id, e.b FROM reach r JOIN edge e ON e.a = r.node)
 SELECT doc_id, min(node) AS class_id, min(node) = doc_id AS kept FROM reach GROUP BY doc_id
 """
+
+SUFFIX_DEDUP = """
+WITH d AS MATERIALIZED (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+w AS MATERIALIZED (SELECT doc_id, p, md5(b[p + 1:p + 200]) AS k FROM (SELECT doc_id, b, unnest(range(0, octet_length(b) - 199)) AS p FROM d)),
+hit AS (SELECT doc_id, p FROM w SEMI JOIN (SELECT k FROM w GROUP BY k HAVING count(*) > 1) USING (k)),
+run AS (SELECT doc_id, min(p) AS low, max(p) + 200 AS high FROM (
+    SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r
+    FROM (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 200 THEN 0 ELSE 1 END AS fresh FROM hit)) GROUP BY doc_id, r),
+gap AS (SELECT doc_id, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY low), 0) AS a, low AS z FROM (SELECT * FROM run UNION ALL SELECT doc_id, octet_length(b), NULL FROM d)),
+kept AS (SELECT doc_id, list_reduce(list(b[a + 1:z] ORDER BY a), lambda x, y: x || y) AS kept FROM gap JOIN d USING (doc_id) GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(high - low) AS n_removed, count(*) AS n_spans FROM run GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(kept) AS kept_sha256
+FROM d JOIN kept USING (doc_id) LEFT JOIN gone USING (doc_id)
+"""

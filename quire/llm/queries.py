@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.llm import bagminhash, bpe, centroids, flac, hmm_lm, license_scan, merkle, oracles, packing, substring_dedup, topk, toxicity, warc
+from quire.llm import bagminhash, bpe, centroids, flac, hmm_lm, license_scan, merkle, oracles, packing, substring_dedup, suffix_dedup, topk, toxicity, warc
 
 QUERIES = {
     "op1_substring_dedup": substring_dedup.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_warc_zip": warc.query,
     "op10_bagminhash": bagminhash.query,
     "op11_centroids": centroids.query,
+    "op12_suffix_dedup": suffix_dedup.query,
     "op13_merkle_manifest": merkle.query,
 }
 ORACLES = {
@@ -24,5 +25,6 @@ ORACLES = {
     "op9_warc_zip": oracles.WARC,
     "op10_bagminhash": oracles.NEAR_DUPLICATES,
     "op11_centroids": centroids.SQL,
+    "op12_suffix_dedup": oracles.SUFFIX_DEDUP,
     "op13_merkle_manifest": merkle.SQL,
 }
