@@ -104,15 +104,6 @@ def group_parts(translation: Column, tokens: Column) -> Column:
     return F.aggregate(tokens, start, step, lambda a: F.when(a["ok"] & ~F.exists(tokens, lambda t: F.contains(a["rest"], t)), F.array_append(a["out"], T.strip(a["rest"]))))
 
 
-def acceptance(source: Column, translation: Column, same_id: Column) -> Column:
-    """Why a translation is refused, or accepted: other id, empty, the source again, or too short."""
-    n = F.length(T.strip(translation))
-    return (
-        F.when(~same_id, "identity_mismatch").when(F.coalesce(n, F.lit(0)) == 0, "empty_translation").when(T.visible_text(source) == T.visible_text(translation), "copied_source")
-        .when((F.length(source) >= 80) & (n < F.greatest(F.lit(8), F.floor(F.length(source) * 0.12))), "too_short").otherwise("accepted")
-    )
-
-
 def _compact(c: Column) -> Column:
     return T.strip(F.regexp_replace(F.coalesce(c, F.lit("")), f"{T.SPACE}+", " "))
 

@@ -17,6 +17,7 @@ TITLES = ["book_title", "subtitle", "chapter_title", "section_title", "subsectio
 PAGE_FURNITURE = ["header", "footer", "page_number"]
 DECORATION = ["watermark", "decorative_text", "decoration"]
 ILLUSTRATED = ["illustration", "illustrated", "illustrated_page", "illustration_page", "image", "map"]
+FIGURE_MARKS = ["digitized by microsoft", "univ calif"]
 SCAN_MARKS = ["digitized by microsoft", "univ calif", "scanner attribution", "library artifact", "barcode"]
 OVERLAYS = ["barcode", "binding_shadow", "scan_artifact", "overexposure", "underexposure"]
 BREAKS = ["paragraph_break", "section_break", "chapter_break", "illustration_break"]
@@ -41,12 +42,22 @@ def translatable(block_type: Column) -> Column:
     return block_type.isin(TRANSLATABLE)
 
 
-def scan_artifact(text: Column, marks: list[str] | None = None) -> Column:
-    """Whether a text is a mark of digitisation, in any case."""
-    low = F.lower(text)
-    out = F.lit(False)
-    for mark in SCAN_MARKS if marks is None else marks:
-        out = out | F.contains(low, F.lit(mark.lower()))
+def scan_artifact(text: Column) -> Column:
+    """Whether a text holds a mark of digitisation, in any case and however it is spaced."""
+    from quire.functions.text import SPACE
+
+    return _marked(F.regexp_replace(text, f"{SPACE}+", " "), SCAN_MARKS)
+
+
+def figure_artifact(text: Column) -> Column:
+    """The rule on figures: fewer marks, spaced as they are written."""
+    return _marked(text, FIGURE_MARKS)
+
+
+def _marked(text: Column, marks: list[str]) -> Column:
+    low, out = F.lower(text), F.lit(False)
+    for mark in marks:
+        out = out | F.contains(low, F.lit(mark))
     return out
 
 

@@ -8,28 +8,76 @@ from pyspark.sql import functions as F
 from quire.functions import text as T
 
 
-#: Ids of a book that are numbered together: a task sorts no more of a book than a range of so many.
+#: Rows that are numbered together: a task sorts no more of a book than a range of about so many.
 RANGE = 1 << 20
 
 
-def numbered_pages(docs: DataFrame, book: str = "source", order: str = "doc_id") -> DataFrame:
-    """Adds page, the row's place in its book from 1.
+def numbered_pages(docs: DataFrame, book: str = "source", order: str = "doc_id", ties: tuple[str, ...] = ()) -> DataFrame:
+    """Adds page, the row's place in its book from 1; rows of one id are in order of ``ties``, null ids come first.
 
-    Ranges of ids are numbered apart and moved up by the rows of the ranges before, so a large book is no large task.
-    Columns made of long texts should be reduced to what is needed before: they travel with the row.
+    A table of several RANGEs of rows is cut into as many ranges of ids, equally wide; they are numbered apart and moved up
+    by the rows of the ranges before, so a large book is no large task. The column's metadata says how many ranges there are:
+    one needs no second pass. Columns made of long texts should be reduced to what is needed before: they travel with
+    the row.
     """
-    rows = docs.withColumn("_range", F.coalesce(F.floor(F.col(order) / RANGE), F.lit(-(1 << 62))))
+    low, high, n = docs.agg(F.min(order), F.max(order), F.count("*")).first()
+    ranges = max(1, -(-n // RANGE))
+    page = lambda c: c.cast("int").alias("page", metadata={"ranges": ranges})
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    if ranges == 1 or low is None:
+        return docs.select(*columns, page(F.row_number().over(Window.partitionBy(book).orderBy(order, *ties))))
+    width = max(1, (high - low) // ranges + 1)
+    rows = docs.withColumn("_range", F.coalesce(F.floor((F.col(order).cast("double") - low) / width), F.lit(-1)))
     upto = Window.partitionBy(book).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     sizes = rows.groupBy(book, "_range").agg(F.count("*").alias("_n")).select(F.col(book).alias("_book"), F.col("_range").alias("_r"), F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
-    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(book, "_range").orderBy(order)))
+    placed = rows.withColumn("_place", F.row_number().over(Window.partitionBy(book, "_range").orderBy(order, *ties)))
     joined = placed.join(sizes, F.col(book).eqNullSafe(F.col("_book")) & (F.col("_range") == F.col("_r")))
-    return joined.select(*(F.col(f"`{c}`") for c in docs.columns), (F.col("_place") + F.col("_before")).cast("int").alias("page"))
+    return joined.select(*columns, page(F.col("_place") + F.col("_before")))
+
+
+def one_range(pages: DataFrame) -> bool:
+    """Whether numbered pages are known to fit a task, book by book."""
+    return pages.schema["page"].metadata.get("ranges") == 1
+
+
+def page_range(pages: DataFrame) -> Column:
+    """The range of pages that a page is worked on with: one for all where they fit."""
+    return F.lit(0).cast("long") if one_range(pages) else F.floor((F.col("page") - 1) / RANGE)
 
 
 def beside(pages: DataFrame, *columns: str, step: int = 1, name: str = "next") -> DataFrame:
-    """Adds a struct of columns of the page so many pages on in the same book, null where there is none."""
-    there = pages.select("source", (F.col("page") - step).alias("page"), F.struct(*columns).alias(name))
-    return pages.join(there, ["source", "page"], "left")
+    """Adds a struct of columns of the page so many (1 or -1) pages on in the same book, null where there is none.
+
+    Pages are numbered without gaps: the page beside is the row beside within a range of pages, and of a range's last (or
+    first) page the one row that the next (or last) range begins (or ends) with.
+    """
+    if step not in (1, -1):
+        raise ValueError("step must be 1 or -1")
+    there = F.struct(*columns)
+    rows = pages.withColumn("_range", page_range(pages))
+    w = Window.partitionBy("source", "_range").orderBy("page")
+    within = (F.lead if step == 1 else F.lag)(there).over(w)
+    if one_range(pages):
+        return pages.withColumn(name, (F.lead if step == 1 else F.lag)(there).over(Window.partitionBy("source").orderBy("page")))
+    edge = rows.where((F.col("page") - int(step == 1)) % RANGE == 0).select(F.col("source").alias("_source"), (F.col("_range") - step).alias("_beside"), there.alias("_there"))
+    joined = rows.withColumn(name, within).join(edge, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_beside")), "left")
+    # within a range only its outermost page has none beside it
+    outer = (F.col("page") - int(step == -1)) % RANGE == 0
+    return joined.select(*(F.col(f"`{c}`") for c in pages.columns), F.when(outer, F.col("_there")).otherwise(F.col(name)).alias(name))
+
+
+def running(pages: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds the largest value up to each page of its book: within its range of pages, and of the ranges before."""
+    rows = pages.withColumn("_range", page_range(pages)).withColumn("_own", value)
+    within = F.max("_own").over(Window.partitionBy("source", "_range").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
+    columns = [F.col(f"`{c}`") for c in pages.columns]
+    if one_range(pages):
+        w = Window.partitionBy("source").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
+        return pages.withColumn(name, F.max(value).over(w))
+    before = Window.partitionBy("_source").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    carried = rows.groupBy(F.col("source").alias("_source"), F.col("_range").alias("_r")).agg(F.max("_own").alias("_m")).select("_source", "_r", F.max("_m").over(before).alias("_carry"))
+    joined = rows.withColumn("_within", within).join(carried, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_range") == F.col("_r")))
+    return joined.select(*columns, F.greatest("_within", "_carry").alias(name))
 
 
 def intake_summary(scored: DataFrame) -> DataFrame:
@@ -107,8 +155,9 @@ def clean_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def marked(docs: DataFrame) -> DataFrame:
-    """Numbered pages (source, doc_id, page, marks), the text reduced to the marks of its edges."""
-    return numbered_pages(docs.select("source", "doc_id", T.edge_marks(F.col("text")).alias("marks")))
+    """Numbered pages (source, doc_id, print, page, marks), the text reduced to the marks of its edges and to a hash, which
+    tells rows of one id apart."""
+    return numbered_pages(docs.select("source", "doc_id", F.xxhash64("text").alias("print"), T.edge_marks(F.col("text")).alias("marks")), ties=("print",))
 
 
 def page_edges(docs: DataFrame) -> DataFrame:
@@ -127,25 +176,36 @@ def islands(rows: DataFrame, by: str, order: str, starts: Column) -> DataFrame:
 
 
 def block_starts(docs: DataFrame) -> DataFrame:
-    """(source, doc_id, page, block): the page at which each page's block starts. Edges link neighbours only, so blocks are
-    runs of pages: only the pages at which one starts are ordered by book, page ranges apart."""
+    """(source, doc_id, print, page, block): the page at which each page's block starts. Edges link neighbours only, so blocks
+    are runs of pages."""
     rows = beside(marked(docs), "marks", step=-1, name="before")
-    starts = rows.withColumn("start", F.coalesce(T.marks_relation(F.col("before.marks"), F.col("marks")) != "continue", F.lit(True)) | F.col("before.marks").isNull() | F.col("marks").isNull())
-    rows = starts.withColumn("_range", F.floor(F.col("page") / RANGE)).withColumn("own", F.when(F.col("start"), F.col("page")))
-    before = Window.partitionBy("source").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    last = rows.groupBy("source", "_range").agg(F.max("own").alias("m")).select("source", "_range", F.max("m").over(before).alias("open"))
-    within = F.max("own").over(Window.partitionBy("source", "_range").orderBy("page").rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("within", within).join(last, ["source", "_range"]).select("source", "doc_id", "page", F.coalesce("within", "open").alias("block"))
+    joins = T.marks_relation(F.col("before.marks"), F.col("marks")) == "continue"
+    starts = F.coalesce(~joins, F.lit(True)) | F.col("before.marks").isNull() | F.col("marks").isNull()
+    return running(rows, F.when(starts, F.col("page")), "block").select("source", "doc_id", "print", "page", "block")
+
+
+def block_texts(docs: DataFrame) -> DataFrame:
+    """Each row of ``docs`` once, as (source, page, block, text).
+
+    Texts travel once to their row and once to their block, never by book. A row is told by source, id and its text's hash,
+    nulls being values; of rows alike in all three the text is the same.
+    """
+    mark = ["source", "doc_id", "print"]
+    held = docs.select("source", "doc_id", F.xxhash64("text").alias("print"), "text").dropDuplicates(mark)
+    held = held.select(*(F.col(c).alias(f"_{c}") for c in mark), "text")
+    same = F.lit(True)
+    for c in mark:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return block_starts(docs).join(held, same).select("source", "page", "block", "text")
 
 
 def logical_blocks(docs: DataFrame) -> DataFrame:
     """Runs of pages whose edges continue, as one text joined by spaces: edges link neighbours only, so components are runs.
 
-    Texts travel by doc_id and by block, never by book.
+    Every row is in one block, whatever its id; books of a null source are one book. Null texts count as fragments without text.
     """
-    rows = block_starts(docs).join(docs.select("source", "doc_id", T.strip(F.col("text")).alias("text")), ["source", "doc_id"])
-    parts = F.array_sort(F.collect_list(F.struct("page", "text")))
-    blocks = rows.groupBy("source", "block").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("fragments"), parts.alias("parts"))
+    parts = F.array_sort(F.collect_list(F.struct("page", T.strip(F.col("text")).alias("text"))))
+    blocks = block_texts(docs).groupBy("source", "block").agg(F.min("page").alias("first_page"), F.max("page").alias("last_page"), F.count("*").alias("fragments"), parts.alias("parts"))
     text = F.array_join(F.col("parts.text"), " ")
     return blocks.select("source", "first_page", "last_page", "fragments", F.length(text).alias("chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 
@@ -153,15 +213,14 @@ def logical_blocks(docs: DataFrame) -> DataFrame:
 def joined_blocks(docs: DataFrame) -> DataFrame:
     """As ``logical_blocks``, each edge with a join of its own: a hyphen at the page's end goes where a small letter follows
     and stays before others, all else is joined by a space."""
-    rows = block_starts(docs).join(docs.select("source", "doc_id", T.strip(F.col("text")).alias("text")), ["source", "doc_id"])
-    parts = F.array_sort(F.collect_list(F.struct("page", "text")))
+    parts = F.array_sort(F.collect_list(F.struct("page", F.coalesce(T.strip(F.col("text")), F.lit("")).alias("text"))))
 
     def step(a: Column, x: Column) -> Column:
         hyphen = a.endswith("-")
         operation = F.when(hyphen & x["text"].rlike(r"^\p{Ll}"), "remove_layout_hyphen").when(hyphen, "preserve_lexical_hyphen").otherwise("insert_space")
         return F.when(a == "", x["text"]).when(x["text"] == "", a).otherwise(T.apply_join(a, x["text"], operation))
 
-    blocks = rows.groupBy("source", "block").agg(F.min("page").alias("first_page"), F.count("*").alias("fragments"), parts.alias("parts"))
+    blocks = block_texts(docs).groupBy("source", "block").agg(F.min("page").alias("first_page"), F.count("*").alias("fragments"), parts.alias("parts"))
     text = F.aggregate("parts", F.lit(""), step)
     return blocks.select("source", "first_page", "fragments", F.length(text).alias("chars"), F.sha2(text.cast("binary"), 256).alias("text_sha256"))
 

@@ -73,16 +73,64 @@ def reconciled(cache: DataFrame, state: DataFrame, key: str) -> DataFrame:
 
 def linked_notes(references: DataFrame, notes: DataFrame) -> DataFrame:
     """References (reference, book, page, label) with note_id and status: the note of their label on their page if it is a
-    footnote, else those of chapters from there on, else those of the document; linked only if these are one note."""
-    held = references.join(notes.select("book", "label", F.col("page").alias("note_page"), "scope", "note_id"), ["book", "label"], "left")
-    tier = (
-        F.when((F.col("scope") == "footnote") & (F.col("note_page") == F.col("page")), 0)
-        .when((F.col("scope") == "chapter_endnote") & (F.col("note_page") >= F.col("page")), 1).when(F.col("scope") == "document_endnote", 2)
-    )
-    # the smallest and largest id of each tier tell whether it is one note: nothing is collected
-    found = held.withColumn("tier", tier).groupBy("reference").agg(
-        F.min("tier").alias("tier"), *(f(F.when(F.col("tier") == k, F.col("note_id"))).alias(f"{name}{k}") for k in range(3) for name, f in (("low", F.min), ("high", F.max)))
-    )
-    pick = lambda name: F.coalesce(*(F.when(F.col("tier") == k, F.col(f"{name}{k}")) for k in range(3)))
-    status = F.when(F.col("tier").isNull(), "unresolved").when(pick("low") == pick("high"), "linked").otherwise("ambiguous")
-    return found.select("reference", status.alias("status"), F.when(status == "linked", pick("low")).alias("note_id"))
+    footnote, else those of chapters from there on, else those of the document; linked only if these are one note.
+
+    References meet no notes one by one. Per (book, label, page) the smallest and largest id of each scope tell whether it is
+    one note; chapter notes from a page on are a running pair from the last page back, over at most a row a page. A reference
+    whose book, page or label is null is unresolved; every reference row has one row.
+    """
+    spot = ["book", "label", "page"]
+    scopes = {"footnote": "foot", "chapter_endnote": "chapter", "document_endnote": "document"}
+    ends = [f(F.when(F.col("scope") == scope, F.col("note_id"))).alias(f"{name}_{end}") for scope, name in scopes.items() for end, f in (("low", F.min), ("high", F.max))]
+    held = notes.groupBy(*spot).agg(*ends)
+    asked = references.select(*spot).where(" and ".join(f"{c} is not null" for c in spot)).distinct()
+    rows = held.withColumn("_asked", F.lit(False)).unionByName(asked.withColumn("_asked", F.lit(True)), allowMissingColumns=True)
+    rows = rows.groupBy(*spot).agg(F.bool_or("_asked").alias("_asked"), *(F.min(f"{n}_{e}").alias(f"{n}_{e}") for n in scopes.values() for e in ("low", "high")))
+    onward = Window.partitionBy("book", "label").orderBy(F.desc("page")).rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("book", "label")
+    over = {"foot": lambda c, f: F.col(c), "chapter": lambda c, f: f(c).over(onward), "document": lambda c, f: f(c).over(whole)}
+    tiers = [(over[n](f"{n}_low", F.min), over[n](f"{n}_high", F.max)) for n in scopes.values()]
+    low, high = (F.coalesce(*(t[end] for t in tiers)).alias(name) for end, name in ((0, "low"), (1, "high")))
+    found = rows.select(*spot, "_asked", low, high).where("_asked and low is not null").drop("_asked")
+    status = F.when(F.col("low").isNull(), "unresolved").when(F.col("low") == F.col("high"), "linked").otherwise("ambiguous")
+    return references.join(found, spot, "left").select("reference", status.alias("status"), F.when(F.col("low") == F.col("high"), F.col("low")).alias("note_id"))
+
+
+#: Words of a key, and characters of one for items without a word inside.
+KEY_WORDS, KEY_CHARS = 4, 6
+
+
+def contained(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """(doc_id, item_id) of texts that hold an item's text as it stands; null and empty items are held by none.
+
+    Words inside an item, its first and last left out, are whole words wherever it stands. The first ``KEY_WORDS`` of them (all, if
+    fewer: the item's class) are its key, and a text sends a row for each run of words of a class that occurs, with the words beside the
+    run, so what meets and fits at both sides is nearly always a hit. Items of one or two words are a class by their first
+    characters. Only ids go on; each text is looked at once more for what it met. Rows of one id count as one text each;
+    a pair is reported once.
+    """
+    words = lambda c: F.filter(F.split(c, r"[ \t\n\x0B\f\r]+"), lambda w: w != "")
+    known = items.where("text is not null and text <> ''").select("item_id", F.col("text").alias("item"), words(F.col("text")).alias("w"))
+    n = F.size("w")
+    kind = F.when(n >= 3, F.least(n - 2, F.lit(KEY_WORDS))).otherwise(-F.least(F.length("item"), F.lit(KEY_CHARS)))
+    known = known.withColumn("kind", kind).withColumn("key", F.when(F.col("kind") > 0, F.xxhash64(F.array_join(F.slice("w", F.lit(2), F.greatest("kind", F.lit(1))), " "))).otherwise(F.xxhash64(F.left("item", -F.col("kind")))))
+    # what stands beside the key in the item: the word before it ends, the word behind it begins that of the text
+    known = known.select("item_id", "item", "kind", "key", F.when(F.col("kind") > 0, F.get("w", F.lit(0))).otherwise("").alias("left"), F.when(F.col("kind") > 0, F.get("w", F.col("kind") + 1)).otherwise("").alias("right"))
+    classes = sorted(r.kind for r in known.select("kind").distinct().collect())
+    rows = docs.select("doc_id", F.xxhash64("text").alias("print"), "text").where("text is not null")
+
+    def runs(k: int) -> Column:
+        if k < 0:
+            grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("text") + k + 1), lambda i: F.xxhash64(F.substring("text", i, F.lit(-k)))))
+            each = F.transform(grams, lambda h: F.struct(F.lit(k).alias("kind"), h.alias("key"), F.lit("").alias("before"), F.lit("").alias("after")))
+            return F.when(F.length("text") >= -k, each)
+        at = F.sequence(F.lit(1), F.size("w") - k - 1)
+        each = F.transform(at, lambda i: F.struct(F.lit(k).alias("kind"), F.xxhash64(F.array_join(F.slice("w", i + 1, k), " ")).alias("key"), F.get("w", i - 1).alias("before"), F.get("w", i + k).alias("after")))
+        return F.when(F.size("w") >= k + 2, each)
+
+    empty = F.array().cast("array<struct<kind:int,key:bigint,before:string,after:string>>")
+    sent = rows.withColumn("w", words(F.col("text"))).select("doc_id", "print", F.explode(F.concat(empty, *(F.coalesce(runs(k), empty) for k in classes))).alias("r")).select("doc_id", "print", "r.*")
+    met = sent.join(known.drop("item"), ["kind", "key"]).where(F.endswith("before", "left") & F.startswith("after", "right")).select("doc_id", "print", "item_id").distinct()
+    met = met.join(known.select("item_id", "item"), "item_id").select(F.col("doc_id").alias("_doc"), F.col("print").alias("_print"), "item_id", "item")
+    same = F.col("doc_id").eqNullSafe(F.col("_doc")) & (F.col("print") == F.col("_print"))
+    return rows.join(met, same).where(F.contains("text", "item")).select("doc_id", "item_id").distinct()

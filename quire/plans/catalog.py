@@ -375,15 +375,6 @@ def representative_picks(spark, sf_dir):
     return first.select("source", F.lit("rhetoric").alias("kind"), "page").unionByName(second.select("source", F.lit("short").alias("kind"), "page"))
 
 
-@query("token_set_diff", r"""WITH t AS (SELECT a.doc_id, list_distinct(regexp_extract_all(a.text, '[0-9]+')) AS x, list_distinct(regexp_extract_all(b.text, '[0-9]+')) AS y FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1)
-SELECT doc_id, array_to_string(list_sort(list_filter(x, lambda v: NOT list_contains(y, v)))[1:30], ',') AS only_here, array_to_string(list_sort(list_filter(y, lambda v: NOT list_contains(x, v)))[1:30], ',') AS only_next FROM t""")
-def token_set_diff(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.array_distinct(F.regexp_extract_all("text", F.lit("[0-9]+"), F.lit(0))).alias("x"))
-    both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("x").alias("y")), "doc_id")
-    only = lambda a, b: F.array_join(F.slice(F.array_sort(F.array_except(a, b)), 1, 30), ",")
-    return both.select("doc_id", only("x", "y").alias("only_here"), only("y", "x").alias("only_next"))
-
-
 #: Letters beyond ASCII are letters to the rule, which SQL's word edges don't know: they stand as underlines there.
 ONLY_IN = "list_sort(list_distinct(list_filter(regexp_extract_all({0}, '{2}'), lambda x: NOT list_contains(regexp_extract_all({1}, '{2}'), x))))"
 FIGURES, CAPITALS = r"\b\d+(?:[.,]\d+)*\b", r"\b[A-Z][A-Za-z''-]{2,}\b"
@@ -434,13 +425,6 @@ def safe_filenames(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", T.safe_filename(F.col("url")).alias("filename"))
 
 
-@query("number_integrity", r"""WITH t AS (SELECT a.doc_id, list_sort(list_distinct(regexp_extract_all(a.text, '\b\d+(?:[.,]\d+)?\b'))) AS n, b.text FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1) SELECT doc_id, array_to_string(list_filter(n, lambda v: NOT contains(text, v)), ' ') AS missing FROM t""")
-def number_integrity(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("other")), "doc_id")
-    return both.select("doc_id", F.array_join(T.missing_numbers(F.col("text"), F.col("other")), " ").alias("missing"))
-
-
 @query("chunks", rf"""WITH l AS (SELECT doc_id, flatten(list_transform({LINES}, lambda x: list_transform(range(0, (length(x) - 1) // 3500 + 1), lambda i: substr(x, CAST(i * 3500 + 1 AS BIGINT), 3500)))) AS p FROM documents),
 e AS (SELECT doc_id, list_transform(p, lambda x: {{'d': []::VARCHAR[], 'w': regexp_replace(x, '^\s+|\s+$', '', 'g'), 'p': x}}) AS e FROM l WHERE len(p) > 0),
 r AS (SELECT doc_id, list_reduce(e, lambda a, x: CASE WHEN a.w <> '' AND length(a.w) + length(x.p) + 1 > 3500 THEN {{'d': list_append(a.d, a.w), 'w': x.w, 'p': x.p}} ELSE {{'d': a.d, 'w': regexp_replace(CASE WHEN a.w = '' THEN x.p ELSE a.w || chr(10) || x.p END, '^\s+|\s+$', '', 'g'), 'p': x.p}} END) AS r FROM e),

@@ -30,10 +30,9 @@ def provider_translation(spark, sf_dir):
 @query("translation_groups", NEXT + f""", s AS (SELECT source, page, {BARE} AS bare, CASE WHEN before IS NOT NULL AND {RELATION.format('before', 'text')} = 'continue' THEN 0 ELSE 1 END AS st FROM n), i AS (SELECT *, sum(st) OVER (PARTITION BY source ORDER BY page) AS g FROM s)
 SELECT source, min(page) AS first_page, count(*) AS members, 'tug_' || substr(sha256(string_agg(source || ':' || page, '|' ORDER BY page)), 1, 24) AS group_id, sha256(string_agg(bare, chr(10) ORDER BY page)) AS text_sha256 FROM i GROUP BY source, g""")
 def translation_groups(spark, sf_dir):
-    docs = texts(spark, sf_dir)
-    rows = book.block_starts(docs).join(docs.select("source", "doc_id", "text"), ["source", "doc_id"]).withColumnRenamed("block", "island")
+    rows = book.block_texts(texts(spark, sf_dir))
     member = F.array_sort(F.collect_list(F.struct("page", F.concat_ws(":", "source", F.col("page").cast("string")).alias("id"), T.strip(F.col("text")).alias("t"))))
-    groups = rows.groupBy("source", "island").agg(F.min("page").alias("first_page"), F.count("*").alias("members"), member.alias("m"))
+    groups = rows.groupBy("source", "block").agg(F.min("page").alias("first_page"), F.count("*").alias("members"), member.alias("m"))
     group_id = F.concat(F.lit("tug_"), F.substring(keys.text_hash(F.array_join(F.col("m.id"), "|")), 1, 24))
     return groups.select("source", "first_page", "members", group_id.alias("group_id"), keys.text_hash(F.array_join(F.col("m.t"), "\n")).alias("text_sha256"))
 

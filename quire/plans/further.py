@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import folds, similarity
 from quire.functions import text as T
-from quire.operators import book, keys
+from quire.operators import book, keys, merge
 from quire.plans.catalog import ACCEPTANCE, BOOK, NEXT, RELATION, jobs, pages, query, table, texts
 from quire.sources import files
 from quire.streaming import events as streams
@@ -179,17 +179,10 @@ def paragraphs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.size(kept).cast("long").alias("paragraphs"), F.size(T.lines(F.col("text"))).cast("long").alias("lines"))
 
 
-@query("substring_reuse", "SELECT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON contains(d.text, b.text)")
+@query("substring_reuse", "SELECT DISTINCT d.doc_id, b.item_id FROM documents d JOIN benchmark b ON b.text <> '' AND contains(d.text, b.text)")
 def substring_reuse(spark, sf_dir):
-    """Documents that hold a benchmark text whole.
-
-    Both sides meet on the second to fifth word of the item, which stand between spaces wherever the item stands: an
-    equi-join, and the text is looked at for what meets alone. Items are passages of six words at least.
-    """
-    b = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"), F.array_join(F.slice(F.split("text", " "), 2, 4), " ").alias("key"))
-    keys_of = F.array_distinct(F.regexp_extract_all("text", F.lit(r"(?<=\s)(?=(\S+ \S+ \S+ \S+)\s)"), F.lit(1)))
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(keys_of).alias("key"))
-    return d.join(b, "key").where(F.contains("text", "item")).select("doc_id", "item_id").distinct()
+    """Documents that hold a benchmark text whole."""
+    return merge.contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 @query("event_stream_windows", "SELECT date_trunc('day', ts) AS start, event_type, count(*) AS events, round(sum(value), 4) AS total FROM events GROUP BY ALL")

@@ -116,15 +116,16 @@ def mapping_gate(spark, sf_dir):
     return out.unionByName(both.select(F.lit("unit_count").alias("check"), F.abs(F.col("m") - F.col("n")).alias("violations")))
 
 
-ENTRY_SQL = f"WITH e AS (SELECT doc_id, {_dealt(['caption', 'body', 'caption', 'footnote'], 'doc_id')} AS kind, CASE WHEN doc_id % 10 = 2 THEN 'Barcode of it' ELSE coalesce(text, '') END AS t, [doc_id // 3, doc_id // 3 + 1] AS p FROM documents)"
+ENTRY_SQL = f"WITH e AS (SELECT doc_id, {_dealt(['caption', 'body', 'caption', 'footnote'], 'doc_id')} AS kind, CASE doc_id % 10 WHEN 2 THEN 'Barcode of it' WHEN 4 THEN 'Copy of UNIV CALIF' WHEN 6 THEN 'Univ  Calif' ELSE coalesce(text, '') END AS t, [doc_id // 3, doc_id // 3 + 1] AS p FROM documents)"
 
 
-@query("page_captions", ENTRY_SQL + f", x AS (SELECT doc_id, unnest(p) AS page_id FROM e WHERE kind = 'caption' AND NOT ({' OR '.join(f'contains(lower(t), {chr(39)}{m}{chr(39)})' for m in R.SCAN_MARKS)})) SELECT x.page_id, x.doc_id AS caption FROM x JOIN pages USING (page_id)")
+@query("page_captions", ENTRY_SQL + f", x AS (SELECT doc_id, unnest(p) AS page_id FROM e WHERE kind = 'caption' AND NOT ({' OR '.join(f'contains(lower(t), {chr(39)}{m}{chr(39)})' for m in R.FIGURE_MARKS)})) SELECT x.page_id, x.doc_id AS caption FROM x JOIN pages USING (page_id)")
 def page_captions(spark, sf_dir):
     """Captions of each page, marks of digitisation left out."""
     n = F.col("doc_id")
-    text = F.when(n % 10 == 2, "Barcode of it").otherwise(F.coalesce("text", F.lit("")))
-    rows = table(spark, sf_dir, "documents").where((dealt(["caption", "body", "caption", "footnote"], n) == "caption") & ~R.scan_artifact(text))
+    # a mark of other rules, one of this rule and one spaced differently tell the rules apart
+    text = F.when(n % 10 == 2, "Barcode of it").when(n % 10 == 4, "Copy of UNIV CALIF").when(n % 10 == 6, "Univ  Calif").otherwise(F.coalesce("text", F.lit("")))
+    rows = table(spark, sf_dir, "documents").where((dealt(["caption", "body", "caption", "footnote"], n) == "caption") & ~R.figure_artifact(text))
     third = F.floor(n / 3)
     return rows.select(n.alias("caption"), F.explode(F.array(third, third + 1)).alias("page_id")).join(table(spark, sf_dir, "pages").select("page_id"), "page_id").select("page_id", "caption")
 

@@ -57,15 +57,23 @@ def alignment_audit(spark, sf_dir):
     return both.groupBy("source").agg(F.count_if(F.col("m").isNull()).alias("missing"), F.count_if(F.col("n") != F.col("m")).alias("moved"), F.count_if(F.col("m").isNotNull() & (F.length("text") >= 40) & (F.col("lang") == F.col("l"))).alias("echoes"))
 
 
-@query("glossary_occurrences", r"""WITH a AS (SELECT doc_id, unnest(t) AS term, generate_subscripts(t, 1) AS p FROM (SELECT doc_id, regexp_extract_all(text, 'that|this|with|from') AS t FROM documents)), n AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id, term ORDER BY p) AS nth, p FROM a)
-SELECT x.doc_id, x.term, CAST(x.nth AS INTEGER) AS nth, CAST(x.p AS INTEGER) AS here, CAST(y.p AS INTEGER) AS there FROM n x JOIN n y ON y.doc_id = x.doc_id + 1 AND y.term = x.term AND y.nth = x.nth""")
+#: As its expression here: letters beyond ASCII belong to words.
+TERMS = "list_filter(list_distinct(regexp_extract_all(s, '\\b(?:[A-Z][A-Za-z0-9’''-]{2,}(?:\\s+[A-Z][A-Za-z0-9’''-]{2,}){0,3}|[A-Z]{2,12})\\b')), lambda x: x NOT IN (" + ", ".join(f"'{w}'" for w in T.NO_TERMS) + "))"
+STARTS = "list_transform(range(1, len(string_split({0}, {1}))), lambda i: list_sum(list_transform(string_split({0}, {1})[1:i], lambda x: length(x)))::BIGINT + (i - 1) * length({1}))"
+
+
+@query("glossary_occurrences", f"""WITH d AS (SELECT doc_id, regexp_replace(text, '[À-ÖØ-öø-ÿĀ-ſ]', '_', 'g') AS s, text FROM documents), u AS (SELECT a.doc_id, a.s, a.text, b.text AS t FROM d a JOIN documents b ON b.doc_id = a.doc_id + 1),
+w AS (SELECT doc_id, text, t, unnest({TERMS}) AS term FROM u), p AS (SELECT doc_id, text, term, {STARTS.format('text', 'term')} AS here, {STARTS.format('lower(t)', 'lower(term)')} AS there FROM w),
+o AS (SELECT doc_id, text, term, there, unnest(range(1, len(here) + 1)) AS nth, unnest(here) AS h FROM p)
+SELECT doc_id, term, nth::INTEGER AS nth, h::INTEGER AS source_start, there[nth]::INTEGER AS translated_start, sha256(regexp_replace(substr(text, greatest(h - 120, 0) + 1, least(h, 120)), '^\\s+|\\s+$', '', 'g')) AS before_sha256,
+sha256(regexp_replace(substr(text, h + length(term) + 1, 120), '^\\s+|\\s+$', '', 'g')) AS after_sha256, CASE WHEN there[nth] IS NULL THEN 'needs_span_alignment' ELSE 'confirm_translation' END AS action FROM o""")
 def glossary_occurrences(spark, sf_dir):
-    """The n-th occurrence of a term in a text with the n-th in its translation."""
-    found = F.regexp_extract_all("text", F.lit("that|this|with|from"), F.lit(0))
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(found).alias("p", "term")).withColumn("p", F.col("p") + 1)
-    n = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "term").orderBy("p")))
-    other = n.select((F.col("doc_id") - 1).alias("doc_id"), "term", "nth", F.col("p").alias("there"))
-    return n.join(other, ["doc_id", "term", "nth"]).select("doc_id", "term", "nth", F.col("p").alias("here"), "there")
+    """Each occurrence of a candidate term with the one of the same number in the next text, taken for its translation."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("t")), "doc_id")
+    rows = both.select("doc_id", F.explode(T.term_occurrences(F.col("text"), F.col("t"))).alias("o"))
+    h = lambda c: F.sha2(F.col(c).cast("binary"), 256)
+    return rows.select("doc_id", "o.term", "o.nth", "o.source_start", "o.translated_start", h("o.before").alias("before_sha256"), h("o.after").alias("after_sha256"), "o.action")
 
 
 @query("clean_pass", ARTIFACTS + ", b AS (SELECT source, count(*) AS keys, sum(pages)::BIGINT AS hits FROM a GROUP BY source) SELECT k.source, count(*) AS pages, coalesce(any_value(b.keys), 0)::BIGINT AS keys, coalesce(any_value(b.hits), 0)::BIGINT AS hits FROM book k LEFT JOIN b ON k.source = b.source GROUP BY k.source")

@@ -147,8 +147,8 @@ def parent_titles(spark, sf_dir):
 
 SECTIONS = ["ch_01", "fm_list_of_illustrations", "fm_contents", "fm_front", "fm_map", "fm_half", "fm_cover", "fm_other"]
 SECTION_TYPES = ["chapter", "list", "contents", "frontispiece", "map", "half_title", "cover", "preface", "title_page"]
-SCAN_TEXT = "CASE WHEN page_id % 13 = 4 THEN 'Digitized by MICROSOFT' ELSE coalesce(html, '') END"
-ROUTE_SQL = f"""WITH u AS (SELECT page_id, {_dealt(SECTIONS, 'page_id')} AS sid, {_dealt(SECTION_TYPES, 'page_id // 8')} AS st, lower({SCAN_TEXT}) AS t FROM pages),
+SCAN_TEXT = "CASE WHEN page_id % 13 = 4 THEN 'Digitized  by' || chr(10) || 'MICROSOFT' ELSE coalesce(html, '') END"
+ROUTE_SQL = f"""WITH u AS (SELECT page_id, {_dealt(SECTIONS, 'page_id')} AS sid, {_dealt(SECTION_TYPES, 'page_id // 8')} AS st, regexp_replace(lower({SCAN_TEXT}), '\\s+', ' ', 'g') AS t FROM pages),
 a AS (SELECT *, {' OR '.join(f"contains(t, '{m}')" for m in R.SCAN_MARKS)} AS artifact FROM u),
 r AS (SELECT *, CASE WHEN sid LIKE 'ch\\_%' ESCAPE '\\' THEN 1 WHEN artifact THEN 2 WHEN sid = 'fm_list_of_illustrations' THEN 3 WHEN sid = 'fm_contents' THEN 4 WHEN st IN ('frontispiece', 'map') THEN 5 WHEN st IN ('half_title', 'title_page') THEN 6 WHEN st = 'cover' THEN 7 ELSE 8 END AS rule FROM a),
 d AS (SELECT page_id, sid, st, CASE rule WHEN 1 THEN 'chapter_body' ELSE 'front_matter' END AS section_family,
@@ -159,7 +159,7 @@ d AS (SELECT page_id, sid, st, CASE rule WHEN 1 THEN 'chapter_body' ELSE 'front_
 
 
 def _routes(spark, sf_dir):
-    text = F.when(F.col("page_id") % 13 == 4, "Digitized by MICROSOFT").otherwise(F.coalesce("html", F.lit("")))
+    text = F.when(F.col("page_id") % 13 == 4, "Digitized  by\nMICROSOFT").otherwise(F.coalesce("html", F.lit("")))
     rows = table(spark, sf_dir, "pages").select("page_id", dealt(SECTIONS, F.col("page_id")).alias("sid"), dealt(SECTION_TYPES, F.floor(F.col("page_id") / 8)).alias("st"), text.alias("t"))
     return rows.select("page_id", "sid", "st", R.route_policy(F.col("sid"), F.col("st"), F.col("t")).alias("r")).select("page_id", "sid", "st", "r.*")
 
@@ -170,7 +170,7 @@ def section_routes(spark, sf_dir):
     return _routes(spark, sf_dir).drop("sid", "st")
 
 
-@query("routed_units", ROUTE_SQL + f""", k AS (SELECT doc_id, {_dealt(['body', 'chapter_title', 'footnote', 'section_title'], 'doc_id')} AS kind, lower(coalesce(text, '')) AS t FROM documents)
+@query("routed_units", ROUTE_SQL + f""", k AS (SELECT doc_id, {_dealt(['body', 'chapter_title', 'footnote', 'section_title'], 'doc_id')} AS kind, regexp_replace(lower(coalesce(text, '')), '\\s+', ' ', 'g') AS t FROM documents)
 SELECT sid AS section, translation_policy, count(*) AS units, count(*) FILTER (kind NOT IN {_in(R.TITLES)} AND render_policy = 'render_existing' AND NOT ({' OR '.join(f"contains(t, '{m}')" for m in R.SCAN_MARKS)})) AS rendered FROM k JOIN d ON d.page_id = k.doc_id GROUP BY sid, translation_policy""")
 def routed_units(spark, sf_dir):
     """Units joined with their routes: how many there are and how many are rendered: no headings, no marks of digitisation."""

@@ -51,14 +51,6 @@ def note_graph(spark, sf_dir):
     return both.groupBy(F.col("o_custkey").alias("node")).agg(F.count("*").alias("edges"), F.count_if(F.col("l_orderkey").isNull()).alias("unresolved"), F.coalesce(F.sum(F.col("last") - F.col("first") + 1), F.lit(0)).cast("long").alias("reach"))
 
 
-@query("translation_acceptance", r"""WITH t AS (SELECT a.doc_id, a.text, b.text AS tr, a.doc_id % 10 <> 0 AS same FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1), n AS (SELECT *, length(regexp_replace(tr, '^\s+|\s+$', '', 'g')) AS n FROM t)
-SELECT doc_id, CASE WHEN NOT same THEN 'identity_mismatch' WHEN n = 0 THEN 'empty_translation' WHEN trim(regexp_replace(text, '\s+', ' ', 'g')) = trim(regexp_replace(tr, '\s+', ' ', 'g')) THEN 'copied_source' WHEN length(text) >= 80 AND n < greatest(8, floor(length(text) * 0.12)) THEN 'too_short' ELSE 'accepted' END AS decision FROM n""")
-def translation_acceptance(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("tr")), "doc_id")
-    return both.select("doc_id", notes.acceptance(F.col("text"), F.col("tr"), F.col("doc_id") % 10 != 0).alias("decision"))
-
-
 @query("region_normaliser", """WITH b AS (SELECT l_orderkey, l_quantity / 60 AS x0, l_discount AS y0, l_quantity / 60 + 0.3::DOUBLE AS x1, l_discount + 0.2::DOUBLE AS y1, greatest(0.0::DOUBLE, least(1.0::DOUBLE, l_tax * 15)) AS c FROM lineitem),
 v AS (SELECT *, x0 BETWEEN 0 AND 1 AND y0 BETWEEN 0 AND 1 AND x1 BETWEEN 0 AND 1 AND y1 BETWEEN 0 AND 1 AND x0 < x1 AND y0 < y1 AS ok FROM b)
 SELECT l_orderkey, CAST(count(*) FILTER (ok) AS INTEGER) AS kept, CAST(count(*) FILTER (NOT ok) AS INTEGER) AS dropped, bool_or(NOT ok OR c < 0.5) AS review FROM v GROUP BY l_orderkey""")

@@ -41,12 +41,6 @@ def test_fences_and_groups(spark):
     assert [r.y for r in rows.select(parts.alias("y")).collect()] == [["one", "two", "three"], None, None, None]
 
 
-def test_acceptance(spark):
-    rows = [("a" * 100, "b" * 50, True), ("x", "x", True), ("x", "", True), ("x", "y", False), ("a" * 100, "b" * 5, True)]
-    df = spark.createDataFrame(rows, "s string, t string, i boolean")
-    assert [r.y for r in df.select(notes.acceptance(F.col("s"), F.col("t"), F.col("i")).alias("y")).collect()] == ["accepted", "copied_source", "empty_translation", "identity_mismatch", "too_short"]
-
-
 def test_regions(spark):
     rows = [[("t", [0.1, 0.1, 0.5, 0.5], 1.7), ("u", [0.5, 0.1, 0.1, 0.5], 0.9), ("v", [0.1, 0.1], 0.9), ("w", [0.0, 0.0, 1.0, 1.0], None)]]
     got = column(spark, notes.normalised_regions, rows, "array<struct<type:string,bbox:array<double>,confidence:double>>")[0]
