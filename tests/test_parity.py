@@ -7,7 +7,7 @@ import datetime
 import duckdb
 import pytest
 
-from quire.plans import catalog, editions, further, planted, releases, review, roles, structure  # noqa: F401
+from quire.plans import catalog, editions, further, planted, regions, releases, review, roles, structure  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 KINDS = {"bigint": "BIGINT", "int": "INTEGER", "string": "VARCHAR", "double": "DOUBLE", "boolean": "BOOLEAN", "timestamp": "TIMESTAMP", "timestamp_ntz": "TIMESTAMP"}
