@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from quire.functions import alignment
 from quire.operators import regions
-from quire.plans.catalog import query, table
+from quire.plans.catalog import query, table, texts
 
 #: Boxes made of a line item: its part is the page.
 LINE_BOX = {
@@ -45,3 +46,45 @@ def confirmed_regions(spark, sf_dir):
     """Whether a region is borne out by a candidate of its page; pages without candidates bear out all."""
     rows = boxes(spark, sf_dir)
     return regions.confirmed(rows.where("flag <> 'A'"), rows.where("flag = 'A'").drop("flag"), ["page"]).select("page", "id", "confirmed")
+
+
+def unit_pages(spark, sf_dir):
+    """Conversations as units of pages, a turn a page: the unit's text, from which some pages have lost words, and the pages' own."""
+    t, n = F.coalesce("text", F.lit("")), F.col("turn")
+    # the first two words gone; all words gone; all in upper case
+    held = F.when(n % 4 == 1, F.regexp_replace(t, r"^\s*\S+\s+\S+", "")).when(n % 7 == 3, "").when(n % 5 == 2, F.upper(t)).otherwise(t)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", F.struct(n.alias("turn"), F.coalesce("role", F.lit("")).alias("role"), t.alias("page"), held.alias("held")).alias("t"))
+    rows = turns.groupBy("conv_id").agg(F.array_sort(F.collect_list("t")).alias("t"))
+    return rows.select("conv_id", F.array_join(F.col("t.held"), " ").alias("source"), F.col("t.page").alias("pages"), F.col("t.turn").alias("turns"))
+
+
+@query("page_offsets")
+def page_offsets(spark, sf_dir):
+    """Where each page of a unit begins in its text, and how that was found."""
+    rows = unit_pages(spark, sf_dir).select("conv_id", F.explode(alignment.page_offsets(F.col("source"), F.col("pages"))).alias("o"))
+    return rows.select("conv_id", "o.place", "o.offset", "o.accuracy")
+
+
+@query("interior_markers")
+def interior_markers(spark, sf_dir):
+    """Translations with the markers of their source's pages; pages of every fifth turn have no printed number."""
+    rows = unit_pages(spark, sf_dir)
+    target = F.translate("source", ".!?;", "。！？；")
+    labels = F.transform("turns", lambda n: F.when(n % 5 != 4, n.cast("string")))
+    marked = alignment.with_markers(target, alignment.page_offsets(F.col("source"), F.col("pages")), F.length("source"), labels)
+    return rows.select("conv_id", marked.alias("m")).select("conv_id", F.sha2(F.col("m.text").cast("binary"), 256).alias("text_sha256"), F.size("m.placed").alias("markers"))
+
+
+def compared_pages(spark, sf_dir):
+    """Documents against a text layer that lost the first word of each sentence and has a stray sign at commas."""
+    layer = F.regexp_replace(F.regexp_replace("text", r"([.!?]) +\S+", "$1"), ", ", " ,- ")
+    docs = texts(spark, sf_dir).withColumn("layer", layer)
+    orders = F.transform(F.sequence(F.lit(1), (F.col("doc_id") % 5 + 1).cast("int")), lambda i: F.when(F.col("doc_id") % 3 == 0, -i).otherwise(i))
+    return docs.select("doc_id", "text", "layer", F.regexp_extract("text", r"^\S+ \S+", 0).alias("header"), (F.col("doc_id") % 100).cast("string").alias("number"), orders.alias("orders"))
+
+
+@query("page_comparison")
+def page_comparison(spark, sf_dir):
+    """What a page's recognised text and its text layer have and miss of each other."""
+    c = [F.col(x) for x in ("text", "layer", "header", "number", "orders")]
+    return compared_pages(spark, sf_dir).select("doc_id", alignment.compared(*c).alias("c")).select("doc_id", "c.*")
