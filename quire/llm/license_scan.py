@@ -111,8 +111,11 @@ def scanned(raw: bytes) -> tuple[int, list[dict], list[dict]]:
         while at >= 0:
             base.append({"label": label, "word": word(at)})
             at = joined.find(needle, at + 1)
-    found = []
-    for start, end, phrase, k in notices(joined.decode("latin-1")):
+    found, text = [], joined.decode()
+    # edits are of characters, so notices stand at places in characters
+    if len(text) != len(joined):
+        spaces = np.flatnonzero(np.frombuffer(text.encode("utf-32-le"), "<u4") == 32)
+    for start, end, phrase, k in notices(text):
         found.append({"label": NOTICES[phrase], "first_word": word(start) - 1, "end_word": word(end), "edits": k, "likeness": 1 - k / len(phrase)})
     return len(words), base, found
 
@@ -130,9 +133,10 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def license_scan(docs: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (columns used: doc_id, text): doc_id, n_words, base (label and first word of each exact
-    phrase) and found (label, words first to end exclusive, edits, likeness of each notice with up to two edits).
+    phrase) and found (label, words first to end exclusive, edits, likeness of each notice with up to two edits, of characters).
 
-    Null and empty texts have no words and no notices; null and repeated doc_ids pass through.
+    Null and empty texts have no words and no notices; null and repeated doc_ids pass through. Where notices overlap, the one
+    with fewer edits is reported, of as many the earlier. No rows, no result; other columns are ignored.
     """
     texts = lean(docs).select("doc_id", whole_text().alias("bytes"))
     schema = "doc_id long, n_words long, base array<struct<label:string,word:long>>, found array<struct<label:string,first_word:long,end_word:long,edits:int,likeness:double>>"

@@ -179,6 +179,8 @@ def records(fetch: Fetch, size: int) -> Iterator[dict]:
     found = members(fetch, size)
     archives = {name.rpartition("/")[2]: place for name, place in found.items() if re.search(r"\.warc(\.gz)?$", name)}
     named = set()
+    if not archives:
+        raise ValueError("a package without archives")
     for name in sorted(found):
         if re.search(r"(^|/)index(es)?/?[^/]*\.cdxj?(\.gz)?$", name):
             text = fetch(*found[name])
@@ -209,6 +211,12 @@ def plain_records(fetch: Fetch, start: int, size: int) -> Iterator[dict]:
         at += length + 4
 
 
+def qualified(spark, path: str) -> str:
+    """The path with the scheme and host that Spark's file systems take it to have: a worker reads a bare one as its own disk's."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(where).toString()
+
+
 def opened(uri: str) -> tuple[pafs.FileSystem, str]:
     """The file system of a path and the path in it. Raises for stores that this process can't open."""
     if "://" not in uri and not uri.startswith("file:"):
@@ -274,7 +282,7 @@ def write_packages(pages: DataFrame, least_bytes: int = 0, limit: int = PACKAGE)
     revisit it; rows that share this smallest id are all responses. A null html is an empty payload; a row with a null
     page_id is a response; a null url is named after the page. No rows, no packages.
     """
-    folder = f"{shared_folder(pages.sparkSession)}/{pages.sparkSession.sparkContext.applicationId}-{uuid.uuid4().hex}"
+    folder = qualified(pages.sparkSession, f"{shared_folder(pages.sparkSession)}/{pages.sparkSession.sparkContext.applicationId}-{uuid.uuid4().hex}")
     try:
         opened(folder)
     except (ValueError, OSError, NotImplementedError):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import io
 import itertools
 import math
 import re
@@ -223,6 +224,23 @@ def test_word_hashes_do_not_depend_on_place():
     assert len(set(alone.values())) == len(set(words))
 
 
+def test_edits_are_counted_in_characters():
+    words = "é日本 x under thé mït license y".encode()
+    _, _, found = license_scan.scanned(words)
+    assert [(f["label"], f["edits"], f["first_word"], f["end_word"]) for f in found] == [("mit", 2, 2, 6)]
+
+
+def test_package_paths_carry_their_file_system(spark, tmp_path):
+    assert warc.qualified(spark, str(tmp_path)).startswith("file:")
+    assert warc.qualified(spark, f"file://{tmp_path}").startswith("file:")
+    with pytest.raises(ValueError, match="without archives"):
+        blob = io.BytesIO()
+        with zipfile.ZipFile(blob, "w") as z:
+            z.writestr("indexes/index.cdxj", 'com,a)/ 2020 {"offset": "0", "length": "5"}')
+        data = blob.getvalue()
+        list(warc.records(lambda at, n: data[at : at + n], len(data)))
+
+
 def test_no_fuzzy_notice():
     assert license_scan.notices(" aapche licens version 2 by words of no licence at all ") == []
 
