@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.text import binary_view, fmix, input_bytes, lean, row_chunks, trimmed, whole_text
 
-WIDTH, ANCHOR = 200, 128
+WIDTH, ANCHOR = 200, 64
 #: Windows of a segment, and places from which an anchor is common: together they bound the segments of an anchor that isn't.
 RUN, HOT = 256, 512
 #: Windows looked at together: arrays of them stay in a core's cache.
