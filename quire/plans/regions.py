@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import alignment
-from quire.operators import regions
+from quire.operators import overlays, regions
 from quire.plans.catalog import query, table, texts
 
 #: Boxes made of a line item: its part is the page.
@@ -88,3 +88,50 @@ def page_comparison(spark, sf_dir):
     """What a page's recognised text and its text layer have and miss of each other."""
     c = [F.col(x) for x in ("text", "layer", "header", "number", "orders")]
     return compared_pages(spark, sf_dir).select("doc_id", alignment.compared(*c).alias("c")).select("doc_id", "c.*")
+
+
+#: Orders as imports and undos of scopes, their lines as what they set; customers' nations as the items.
+OVERLAY_SQL = """WITH g AS (SELECT o_custkey % 40 AS scope, o_orderkey AS "at", CASE WHEN o_orderkey % 5 = 2 THEN 'undo' ELSE 'import' END AS action, sha256(o_orderpriority || CAST(floor(o_totalprice / 4000) AS BIGINT)) AS sha FROM orders),
+a AS (SELECT *, action = 'import' AND row_number() OVER (PARTITION BY scope, action, sha ORDER BY "at") > 1 AS again FROM g),
+d AS (SELECT *, CASE WHEN again THEN 0 WHEN action = 'import' THEN 1 ELSE -1 END AS step FROM a), s AS (SELECT *, sum(step) OVER w AS total FROM d WINDOW w AS (PARTITION BY scope ORDER BY "at")),
+f AS (SELECT *, least(0, min(total) OVER (PARTITION BY scope ORDER BY "at")) AS low FROM s), i AS (SELECT *, step = -1 AND low < lag(low, 1, 0) OVER (PARTITION BY scope ORDER BY "at") AS idle FROM f),
+l AS (SELECT *, CASE WHEN NOT again AND NOT idle THEN total - low + CASE WHEN step = -1 THEN 1 ELSE 0 END END AS level FROM i),
+t AS (SELECT scope, "at", action, sha, CASE WHEN again THEN 'already_applied' WHEN idle THEN 'nothing_to_undo' WHEN action = 'undo' THEN 'undo' WHEN lead(action) OVER (PARTITION BY scope, level ORDER BY "at") = 'undo' THEN 'undone' ELSE 'applied' END AS status FROM l),
+b AS (SELECT DISTINCT c_custkey % 40 AS scope, c_nationkey AS item, unnest(['A', 'N', 'R']) AS field, 'base' AS value FROM customer),
+p AS (SELECT DISTINCT o_custkey % 40 AS scope, l_orderkey AS "at", CAST(l_partkey % 30 AS INTEGER) AS item, l_returnflag AS field, l_linenumber AS place, CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) AS value FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
+z AS (SELECT b.scope, b.item, b.field, coalesce(m.value, b.value) AS value FROM b LEFT JOIN (SELECT p.scope, p.item, p.field, arg_max(value, (p."at", place, value)) AS value FROM p JOIN t ON t.scope = p.scope AND t."at" = p."at" AND status = 'applied' GROUP BY ALL) m USING (scope, item, field))"""
+
+
+def overlay_tables(spark, sf_dir):
+    """(log, base, patches)."""
+    orders, key = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    scope = (F.col("o_custkey") % 40).alias("scope")
+    sha = F.sha2(F.concat("o_orderpriority", F.floor(F.col("o_totalprice") / 4000).cast("string")).cast("binary"), 256)
+    log = orders.select(scope, key.alias("at"), F.when(key % 5 == 2, "undo").otherwise("import").alias("action"), sha.alias("sha"))
+    fields = F.explode(F.array(*map(F.lit, "ANR"))).alias("field")
+    base = table(spark, sf_dir, "customer").select((F.col("c_custkey") % 40).alias("scope"), F.col("c_nationkey").alias("item"), fields, F.lit("base").alias("value")).distinct()
+    lines = table(spark, sf_dir, "lineitem").withColumnRenamed("l_orderkey", "o_orderkey").join(orders.select("o_orderkey", "o_custkey"), "o_orderkey")
+    patches = lines.select(scope, key.alias("at"), (F.col("l_partkey") % 30).cast("int").alias("item"), F.col("l_returnflag").alias("field"), F.col("l_linenumber").alias("place"), F.col("l_quantity").cast("long").cast("string").alias("value"))
+    return log, base, patches.distinct()
+
+
+@query("application_log", OVERLAY_SQL + " SELECT * FROM t")
+def application_log(spark, sf_dir):
+    """What became of every import and undo."""
+    return overlays.in_force(overlay_tables(spark, sf_dir)[0])
+
+
+@query("overlay_state", OVERLAY_SQL + " SELECT * FROM z")
+def overlay_state(spark, sf_dir):
+    """The items with what is in force."""
+    log, base, patches = overlay_tables(spark, sf_dir)
+    return overlays.state(base, log, patches)
+
+
+@query("overlay_preview", OVERLAY_SQL + """, n AS (SELECT p.scope, p.item, p.field, arg_max(value, (p."at", place, value)) AS new_value FROM p JOIN t ON t.scope = p.scope AND t."at" = p."at" AND status = 'undone' GROUP BY ALL)
+SELECT scope, item, field, z.value AS old_value, new_value, CASE WHEN z.scope IS NULL THEN 'unknown_item' ELSE 'changed' END AS kind FROM n LEFT JOIN z USING (scope, item, field) WHERE z.value IS DISTINCT FROM new_value""".replace("SELECT scope, item, field, z.value", "SELECT n.scope, n.item, n.field, z.value").replace("z.scope IS NULL", "z.value IS NULL"))
+def overlay_preview(spark, sf_dir):
+    """What it would change to import again all that was taken back."""
+    log, base, patches = overlay_tables(spark, sf_dir)
+    undone = overlays.in_force(log).where("status = 'undone'").select("scope", "at").join(patches, ["scope", "at"])
+    return overlays.preview(overlays.state(base, log, patches), undone.select("scope", "item", "field", F.struct("at", "place").alias("place"), "value"))
