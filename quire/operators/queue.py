@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,32 +48,65 @@ def streaks(events: DataFrame, by: str, order: str, length: int) -> DataFrame:
     return rows.groupBy(by, "run", "event_type").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last")).where(F.col("n") >= length).drop("run")
 
 
-def accepted(events: DataFrame) -> DataFrame:
-    """Decision on each event of a stream (stream, event_id, sequence, arrival, and matches where versions are checked):
-    schema_mismatch, duplicate, out_of_order, sequence_gap or accepted.
+class Acceptance:
+    """What a stream has accepted: the cursor, and the ids since the last snapshot (any container with in, add and clear)."""
+
+    def __init__(self, cursor: int, seen):
+        self.cursor, self.seen = cursor, seen
+
+    def decide(self, event_id: int, sequence: int, fits: bool, snapshot: bool) -> str:
+        """A snapshot puts the cursor where it says, back as well as on, and forgets the ids; only accepted events move it else."""
+        if snapshot:
+            self.cursor = sequence
+            self.seen.clear()
+            return "snapshot"
+        if not fits:
+            return "schema_mismatch"
+        if event_id in self.seen:
+            return "duplicate"
+        if sequence <= self.cursor:
+            return "out_of_order"
+        if 0 < self.cursor < sequence - 1:
+            return "sequence_gap"
+        self.cursor = sequence
+        self.seen.add(event_id)
+        return "accepted"
+
+
+def _decided(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    now, state = None, Acceptance(0, set())
+    for frame in frames:
+        decisions = []
+        for stream, event_id, sequence, fits, snapshot in zip(frame["stream"], frame["event_id"], frame["sequence"], frame["matches"], frame["snapshot"]):
+            if stream != now:
+                now, state = stream, Acceptance(0, set())
+            decisions.append(state.decide(event_id, sequence, fits, snapshot))
+        yield frame.assign(decision=decisions)[["stream", "arrival", "event_id", "sequence", "decision"]]
 
-    Only accepted events move the cursor, so the decision needs what was decided before: a fold over each stream's events
-    in order of arrival, whose state is the cursor and the ids accepted. Streams must be bounded for this batch form; the
-    streaming form keeps the same state by key.
-    """
-    fits = F.col("matches") if "matches" in events.columns else F.lit(True)
-    rows = F.array_sort(F.collect_list(F.struct("arrival", "event_id", "sequence", fits.alias("matches"))))
-    start = F.struct(F.lit(0).cast("long").alias("cursor"), F.array().cast("array<bigint>").alias("seen"), F.array().cast("array<struct<arrival:bigint,event_id:bigint,sequence:bigint,decision:string>>").alias("out"))
 
-    def step(a, e):
-        decision = (
-            F.when(~e["matches"], "schema_mismatch").when(F.array_contains(a["seen"], e["event_id"]), "duplicate").when(e["sequence"] <= a["cursor"], "out_of_order")
-            .when((a["cursor"] > 0) & (e["sequence"] > a["cursor"] + 1), "sequence_gap").otherwise("accepted")
-        )
-        ok = decision == "accepted"
-        row = F.struct(e["arrival"].alias("arrival"), e["event_id"].alias("event_id"), e["sequence"].alias("sequence"), decision.alias("decision"))
-        return F.struct(F.when(ok, e["sequence"]).otherwise(a["cursor"]).alias("cursor"), F.when(ok, F.array_append(a["seen"], e["event_id"])).otherwise(a["seen"]).alias("seen"), F.array_append(a["out"], row).alias("out"))
+def accepted(events: DataFrame) -> DataFrame:
+    """Decision on each event of a stream (stream, event_id, sequence, arrival, all long; matches where versions are checked,
+    snapshot where rows may be snapshots): schema_mismatch, duplicate, out_of_order, sequence_gap, accepted or snapshot.
 
-    folded = events.groupBy("stream").agg(rows.alias("rows")).select("stream", F.explode(F.aggregate("rows", start, step, lambda a: a["out"])).alias("r"))
-    return folded.select("stream", "r.*")
+    Only accepted events and snapshots move the cursor, so the decision needs what was decided before: streams pass through a
+    worker one after another, in order of arrival, and it holds the cursor and the ids that one stream has accepted since its
+    last snapshot, never its events. The streaming form keeps the same state by key.
+    """
+    flag = lambda name, default: F.col(name) if name in events.columns else F.lit(default).alias(name)
+    rows = events.select("stream", "arrival", "event_id", "sequence", flag("matches", True), flag("snapshot", False))
+    dealt = rows.repartition("stream").sortWithinPartitions("stream", "arrival", "event_id")
+    return dealt.mapInPandas(_decided, "stream long, arrival long, event_id long, sequence long, decision string")
 
 
 def within_budget(calls: DataFrame, by: str, order: str, each: int) -> DataFrame:
-    """Calls with a grant while their category has budget left."""
-    n = F.row_number().over(Window.partitionBy(by).orderBy(order))
-    return calls.withColumn("granted", n <= each)
+    """Calls with a grant while their category has budget left: the first ``each`` by ``order``, whose values differ.
+
+    The last value that is granted comes from the ``each`` smallest ones of every task, so no category is sorted in one. Null
+    categories are one; rows without an order come first, as in a sort.
+    """
+    place = F.struct(F.col(order).isNotNull().alias("known"), F.col(order).alias("at"))
+    parts = calls.select(by, place.alias("p"), F.spark_partition_id().alias("part"))
+    few = parts.withColumn("n", F.row_number().over(Window.partitionBy(by, "part").orderBy("p"))).where(F.col("n") <= each)
+    last = few.groupBy(by).agg(F.element_at(F.slice(F.sort_array(F.collect_list("p")), 1, each), -1).alias("last"))
+    last = last.select(F.col(by).alias("_by"), "last")
+    return calls.join(last, F.col(by).eqNullSafe(F.col("_by"))).withColumn("granted", place <= F.col("last")).drop("_by", "last")

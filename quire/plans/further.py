@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import folds, similarity
 from quire.functions import text as T
-from quire.operators import book, keys, merge
+from quire.operators import book, keys, merge, queue
 from quire.plans.catalog import ACCEPTANCE, BOOK, NEXT, RELATION, jobs, pages, query, table, texts
 from quire.sources import files
 from quire.streaming import events as streams
@@ -195,3 +195,30 @@ def event_stream_acceptance(spark, sf_dir):
     n = F.col("event_id")
     rows = streams.event_stream(spark, sf_dir).select(F.col("user_id").alias("stream"), F.floor(n / 3).alias("event_id"), (F.floor(n / 400) + 1).alias("sequence"), n.alias("arrival"), (n % 17 != 5).alias("matches"))
     return streams.drained(streams.accepted(rows))
+
+
+#: As the acceptance of events, but for rows that are snapshots: they set the cursor and forget the ids.
+RESETS = ACCEPTANCE.replace("CASE WHEN NOT matches THEN 'schema_mismatch' WHEN sequence <= 0", "CASE WHEN snapshot THEN 'snapshot' WHEN NOT matches THEN 'schema_mismatch' WHEN sequence <= 0").replace(
+    "CASE WHEN matches AND sequence > 0 THEN sequence ELSE 0 END AS cursor, CASE WHEN matches AND", "CASE WHEN snapshot OR (matches AND sequence > 0) THEN sequence ELSE 0 END AS cursor, CASE WHEN NOT snapshot AND matches AND"
+).replace("CASE WHEN s.d = 'accepted' THEN s.sequence ELSE s.cursor END, CASE WHEN", "CASE WHEN s.d IN ('accepted', 'snapshot') THEN s.sequence ELSE s.cursor END, CASE WHEN s.d = 'snapshot' THEN [] WHEN").replace(
+    "CASE WHEN NOT e.matches THEN", "CASE WHEN e.snapshot THEN 'snapshot' WHEN NOT e.matches THEN"
+)
+STORE_SQL = "WITH RECURSIVE e AS (SELECT user_id AS stream, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS arrival, event_id // 3 AS event_id, CAST(event_id // 300 + 1 AS BIGINT) AS sequence, event_id % 17 <> 5 AS matches, event_type = 'signup' AND event_id % 4 = 1 AS snapshot FROM events)" + RESETS
+
+
+def stored_events(events):
+    n = F.col("event_id")
+    snapshot = (F.col("event_type") == "signup") & (n % 4 == 1)
+    return events.select(F.col("user_id").alias("stream"), F.floor(n / 3).alias("event_id"), (F.floor(n / 300) + 1).alias("sequence"), n.alias("arrival"), (n % 17 != 5).alias("matches"), snapshot.alias("snapshot"))
+
+
+@query("event_store", STORE_SQL + " SELECT stream, event_id, sequence, decision FROM r")
+def event_store(spark, sf_dir):
+    """Decisions on a stream of events whose snapshots reset the cursor and what was seen."""
+    return streams.drained(streams.stored(stored_events(streams.event_stream(spark, sf_dir))))
+
+
+@query("event_store_batch", STORE_SQL + " SELECT stream, event_id, sequence, decision FROM r")
+def event_store_batch(spark, sf_dir):
+    """The same decisions over the table at rest."""
+    return queue.accepted(stored_events(table(spark, sf_dir, "events"))).drop("arrival")
