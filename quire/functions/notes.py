@@ -7,12 +7,64 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 
-NOTE_HEADING = r"(?iU)^(notes?|endnotes?|footnotes?|anmerkungen|notas?)\b"
+#: What heads notes, what in it says they are a chapter's, and headings that close those.
+NOTE_HEADING = (
+    r"(?iU)^(?:notes?|endnotes?|notes?\s+to\s+(?:chapter|part|section).+|anmerkungen|endnoten|notas|notas\s+del\s+cap[ií]tulo.+|notes?\s+du\s+chapitre.+|注|注釈|註|尾注|章末注)$"
+)
+CHAPTER_NOTES = r"(?iU)chapter|part|section|chapitre|kapitel|cap[ií]tulo|章"
+MAJOR_HEADING = r"(?iU)^(?:chapter|part|section|appendix|bibliography|references|index|chapitre|kapitel|cap[ií]tulo|annexe|bibliographie|参考文献|索引|第.+章)\b"
+#: A note's number at a line's start, a footnote's bare mark, and what may refer to a note.
+NOTE_START = rf"(?md)^{T.SPACE}*([0-9iIlLoO]{{1,4}})[.)]{T.SPACE}+"
+BARE_NOTE = rf"(?sU)^{T.SPACE}*([*†‡]|\d{{1,4}})[.)]?{T.SPACE}+(.+)$"
+NUMBER_REFERENCE = r"(?U)(?<!\d)([.!?][\"'’”)]?)(\d{1,4})(?=\s|$)"
+SIGN_REFERENCE = r"(?U)(?<=[\p{L}\p{N}_\x02])(\s*)([*†‡])(?=\s|[),.;]|$)"
 
 
-def note_scope(heading: Column, chapter_boundary: Column) -> Column:
-    """What a note heading opens: the chapter's notes, the document's, or nothing."""
-    return F.when(~heading.rlike(NOTE_HEADING), F.lit(None)).when(chapter_boundary, "document_endnote").otherwise("chapter_endnote")
+def heading_scope(c: Column) -> Column:
+    """What a notes heading opens: "chapter_endnote" or "document_endnote"; null for other texts."""
+    bare = T.strip(F.regexp_replace(c, f"{T.SPACE}+", " "))
+    return F.when(bare.rlike(NOTE_HEADING), F.when(bare.rlike(CHAPTER_NOTES), "chapter_endnote").otherwise("document_endnote"))
+
+
+def major_heading(c: Column) -> Column:
+    return F.coalesce(T.strip(c).rlike(MAJOR_HEADING), F.lit(False))
+
+
+def numbered_entries(c: Column, footnote: Column) -> Column:
+    """The notes of a text in order, as array of (label, text): cut at numbers, or letters like them, at line starts; what stands
+    before the first has no label. A footnote without one is read by its bare mark, if it has any."""
+    parts = F.split(F.regexp_replace(c, NOTE_START, "\x01$1\x02"), "\x01")
+    one = lambda p: F.struct(F.when(F.contains(p, F.lit("\x02")), F.substring_index(p, "\x02", 1)).alias("label"), T.strip(F.substring_index(p, "\x02", -1)).alias("text"))
+    entries = F.filter(F.transform(parts, one), lambda e: e["text"] != "")
+    bare = F.struct(F.regexp_extract(c, BARE_NOTE, 1).alias("label"), T.strip(F.regexp_extract(c, BARE_NOTE, 2)).alias("text"))
+    by_mark = F.coalesce(footnote & (F.size(entries) > 0) & F.get(entries, F.lit(0))["label"].isNull() & (bare["label"] != ""), F.lit(False))
+    return F.when(by_mark, F.array(bare)).otherwise(entries)
+
+
+def safe_label(label: Column) -> Column:
+    """A label fit for ids: other signs as hyphens, or the code of the first."""
+    plain = F.regexp_replace(F.regexp_replace(label, "[^0-9A-Za-z_-]+", "-"), "^-+|-+$", "")
+    return F.when(plain != "", plain).otherwise(F.concat(F.lit("u"), F.lpad(F.lower(F.hex(F.ascii(label))), 4, "0")))
+
+
+def note_key(scope: Column, section: Column, label: Column) -> Column:
+    return F.concat(section, F.lit("-"), scope, F.lit("-"), safe_label(label))
+
+
+def reference_parts(c: Column) -> Column:
+    """A text as array of (label, text, behind): what stands from one possible reference to the next, the first without label;
+    behind: the place of the number that a sign follows, or null. Labels and texts in turn are the text."""
+    numbers = F.regexp_replace(c, NUMBER_REFERENCE, "$1\x01$2\x02")
+    parts = F.split(F.regexp_replace(numbers, SIGN_REFERENCE, "$1\x01$2\x02"), "\x01", -1)
+    label = lambda p: F.when(F.contains(p, F.lit("\x02")), F.substring_index(p, "\x02", 1))
+    rest = lambda p: F.when(F.contains(p, F.lit("\x02")), F.substring(p, F.locate("\x02", p) + 1, F.length(p))).otherwise(p)
+
+    def one(p: Column, i: Column) -> Column:
+        before = F.get(parts, i - 1)
+        follows = label(p).rlike("^[*†‡]$") & F.coalesce(label(before).rlike("^[0-9]") & (T.strip(rest(before)) == ""), F.lit(False))
+        return F.struct(label(p).alias("label"), rest(p).alias("text"), F.when(follows, i - 1).alias("behind"))
+
+    return F.transform(parts, one)
 
 
 def note_entries(c: Column) -> Column:
@@ -45,27 +97,6 @@ def note_label(label: Column, before: Column) -> Column:
     )
 
 
-def repaired_label(label: Column, before: Column) -> Column:
-    """A label with letters read as figures, if it then follows the one before; else as it is."""
-    figures = F.translate(F.lower(label), "ilo", "110").try_cast("int")
-    return F.when(label.rlike(r"^\d+$"), label.cast("string")).when(figures == before + 1, figures.cast("string")).otherwise(label)
-
-
-def folded_labels(labels: Column, jump: int = 25) -> Column:
-    """For each label in order whether it opens a note; one that jumps too far belongs to the note before."""
-    start = F.struct(F.array().cast("array<boolean>").alias("out"), F.lit(None).cast("int").alias("last"))
-
-    def step(a: Column, x: Column) -> Column:
-        opens = a["last"].isNull() | ((x > a["last"]) & (x - a["last"] <= jump))
-        return F.struct(F.array_append(a["out"], opens).alias("out"), F.when(opens, x).otherwise(a["last"]).alias("last"))
-
-    return F.aggregate(labels.cast("array<int>"), start, step, lambda a: a["out"])
-
-
-def note_id(source: Column, scope: Column, label: Column) -> Column:
-    return F.concat_ws("_", F.lit("note"), F.regexp_replace(source, r"[^A-Za-z0-9]+", "_"), scope, F.regexp_replace(label, r"[^A-Za-z0-9]+", "_"))
-
-
 def reference_candidates(c: Column) -> Column:
     """Figures behind a sentence's end, in order: what may refer to a note."""
     return F.regexp_extract_all(c, F.lit(r"[.!?…][\"'”’)]?(\d{1,3})(?=\s|$)"), F.lit(1))

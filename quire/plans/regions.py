@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import alignment
-from quire.operators import overlays, regions
-from quire.plans.catalog import query, table, texts
+from quire.operators import note_scan, overlays, regions
+from quire.plans.catalog import pages, query, table, texts
 
 #: Boxes made of a line item: its part is the page.
 LINE_BOX = {
@@ -135,3 +135,49 @@ def overlay_preview(spark, sf_dir):
     log, base, patches = overlay_tables(spark, sf_dir)
     undone = overlays.in_force(log).where("status = 'undone'").select("scope", "at").join(patches, ["scope", "at"])
     return overlays.preview(overlays.state(base, log, patches), undone.select("scope", "item", "field", F.struct("at", "place").alias("place"), "value"))
+
+
+def noted_blocks(spark, sf_dir):
+    """Pages as two blocks: their first sentences, with references behind some, and a heading or what may be notes; the headings and
+    numbers are put in by the page's id, the texts are the table's."""
+    n = F.col("doc_id")
+    text = F.coalesce("text", F.lit(""))
+    body = F.regexp_replace(F.regexp_replace(F.left(text, F.lit(600)), r"([.!?]) ", F.concat(F.lit("$1"), (n % 31 + 1).cast("string"), F.lit(" "))), r"(\w),", "$1*,")
+    rows = F.slice(F.filter(F.split(F.left(text, F.lit(900)), r"(?<=[.!?]) "), lambda x: x != ""), 1, 6)
+    # numbers run on from page to page, now and then one jumps or is misread
+    number = lambda i: F.when((n + i) % 19 == 4, "l2").when((n + i) % 23 == 1, "99").otherwise((n % 31 + i).cast("string"))
+    notes = F.array_join(F.transform(rows, lambda x, i: F.when((n + i) % 7 == 6, x).otherwise(F.concat(number(i), F.lit(". "), x))), "\n")
+    second = F.when(n % 37 == 5, "Notes to Chapter 3").when(n % 53 == 7, "Notes").when(n % 41 == 3, "Chapter 9").when(n % 11 == 2, F.concat(F.lit("† "), F.left(text, F.lit(50)))).otherwise(notes)
+    numbered = pages(spark, sf_dir, body=body, second=second)
+    place = F.explode(F.array(F.struct(F.lit(1).alias("place"), F.col("body").alias("text")), F.struct(F.lit(2).alias("place"), F.col("second").alias("text")))).alias("b")
+    return numbered.select(F.col("source").alias("book"), "page", place, (n % 41 == 3).alias("chapter_boundary"), (n % 11 == 2).alias("second_is_footnote")).select(
+        "book", "page", "b.place", "b.text", "chapter_boundary", (F.col("second_is_footnote") & (F.col("b.place") == 2)).alias("footnote")
+    )
+
+
+@query("note_blocks")
+def note_blocks(spark, sf_dir):
+    """Headings of notes and the blocks in their scope."""
+    return note_scan.note_blocks(noted_blocks(spark, sf_dir)).select("book", "page", "place", "element", "scope", F.col("opened.page").alias("section_page"))
+
+
+@query("note_plans")
+def note_plans(spark, sf_dir):
+    """The notes of a book, numbers that jump folded into the note before."""
+    plans = note_scan.note_plans(noted_blocks(spark, sf_dir))
+    return plans.withColumn("text", F.sha2(F.col("text").cast("binary"), 256)).withColumnRenamed("text", "text_sha256")
+
+
+@query("note_annotations")
+def note_annotations(spark, sf_dir):
+    """Texts with their references to notes as placeholders."""
+    blocks = noted_blocks(spark, sf_dir)
+    texts, _ = note_scan.annotated(blocks, note_scan.note_plans(blocks))
+    return texts.select("book", "page", "place", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+@query("note_reference_links")
+def note_reference_links(spark, sf_dir):
+    """Each reference with its note."""
+    blocks = noted_blocks(spark, sf_dir)
+    return note_scan.annotated(blocks, note_scan.note_plans(blocks))[1].drop("nth")

@@ -33,15 +33,6 @@ def note_entries(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(notes.note_entries(F.col("text"))).alias("position", "e")).select("doc_id", "position", "e.label", keys.text_hash(F.col("e.text")).alias("text_sha256"))
 
 
-@query("note_plan", """WITH l AS (SELECT user_id, list_transform(list(event_id ORDER BY event_id), lambda x: {'l': CAST(x % 97 AS INTEGER), 'n': 1::INTEGER}) AS l FROM events GROUP BY user_id),
-r AS (SELECT user_id, len(l) AS n, list_reduce(l, lambda a, x: CASE WHEN x.l > a.l AND x.l - a.l <= 25 THEN {'l': x.l, 'n': a.n + 1::INTEGER} ELSE a END) AS z FROM l) SELECT user_id, CAST(n AS INTEGER) AS labels, z.n AS notes FROM r""")
-def note_plan(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").groupBy("user_id").agg(F.array_sort(F.collect_list("event_id")).alias("ids"))
-    marks = rows.select("user_id", F.transform("ids", lambda x: (x % 97).cast("int")).alias("labels"))
-    opens = notes.folded_labels(F.col("labels"))
-    return marks.select("user_id", F.size("labels").alias("labels"), F.size(F.filter(opens, lambda x: x)).alias("notes"))
-
-
 @query("note_graph", """WITH n AS (SELECT l_orderkey, min(l_linenumber) AS first, max(l_linenumber) AS last FROM lineitem GROUP BY l_orderkey), e AS (SELECT o_orderkey, o_custkey FROM orders)
 SELECT o_custkey AS node, count(*) AS edges, count(*) FILTER (n.l_orderkey IS NULL) AS unresolved, coalesce(sum(n.last - n.first + 1), 0)::BIGINT AS reach FROM e LEFT JOIN n ON e.o_orderkey = n.l_orderkey GROUP BY o_custkey""")
 def note_graph(spark, sf_dir):

@@ -18,15 +18,18 @@ def test_note_entries(spark):
     assert [tuple(e) for e in got[0]] == [(0, "Notes"), (1, "First note\nruns on"), (2, "Second")] and [tuple(e) for e in got[1]] == [(0, "no notes")]
 
 
-def test_note_scope(spark):
-    rows = spark.createDataFrame([("Notes", False), ("ENDNOTES", True), ("Noted", True), ("Anmerkungen zu", False)], "h string, b boolean")
-    assert [r.y for r in rows.select(notes.note_scope(F.col("h"), F.col("b")).alias("y")).collect()] == ["chapter_endnote", "document_endnote", None, "chapter_endnote"]
-
-
-def test_labels(spark):
-    rows = spark.createDataFrame([("l2", 11), ("1O", 9), ("l2", 4), ("7", 1)], "a string, b int")
-    assert [r.y for r in rows.select(notes.repaired_label(F.col("a"), F.col("b")).alias("y")).collect()] == ["12", "10", "l2", "7"]
-    assert column(spark, notes.folded_labels, [[1, 2, 30, 3, 60, 4]], "array<int>") == [[True, True, False, True, False, True]]
+def test_heading_scope(spark):
+    heads = {"Notes": "document_endnote", " ENDNOTES ": "document_endnote", "Notes to  Chapter 4": "chapter_endnote", "Notas del capítulo 2": "chapter_endnote", "章末注": "chapter_endnote", "注": "document_endnote", "Noted": None, "Notes on it": None, "": None}
+    assert column(spark, notes.heading_scope, list(heads)) == list(heads.values())
+    assert column(spark, notes.major_heading, ["Chapter 4", "INDEX", "第三章", "Indexes", "A chapter", None]) == [True, True, True, False, False, False]
+
+
+def test_numbered_entries(spark):
+    texts = ["1. First\nruns on\n 2) Second", "before it\nl2. twelve", "none", "", None, "3. \n4. x"]
+    got = column(spark, lambda c: notes.numbered_entries(c, F.lit(False)), texts)
+    assert [e and [tuple(x) for x in e] for e in got] == [[("1", "First\nruns on"), ("2", "Second")], [(None, "before it"), ("l2", "twelve")], [(None, "none")], [], None, [("4", "x")]]
+    got = column(spark, lambda c: notes.numbered_entries(c, F.lit(True)), ["* a star", "12 bare", "no mark", "1. one"])
+    assert [[tuple(x) for x in e] for e in got] == [[("*", "a star")], [("12", "bare")], [(None, "no mark")], [("1", "one")]]
 
 
 def test_index_entries(spark):
