@@ -255,6 +255,14 @@ def proper_names(c: Column) -> Column:
     return count_regex(c, r"(?U)\b[A-Z][a-z]+(?:-[A-Z][a-z]+)?\b")
 
 
+#: Dated words by which a text of an older voice is told.
+OLD_MARKERS = ["jap ", "chinaman", "manchu", "sikh", "annamese", "tonkinese", "bluejacket", "native", "coolie"]
+
+
+def old_voice(c: Column) -> Column:
+    return sum((count_literal(F.lower(c), m) for m in OLD_MARKERS), F.lit(0))
+
+
 def rhetoric(c: Column) -> Column:
     return F.length(c) + 120 * sum((count_literal(c, m) for m in ("!", ";", ":", "—")), F.lit(0))
 

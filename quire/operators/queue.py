@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -110,3 +110,25 @@ def within_budget(calls: DataFrame, by: str, order: str, each: int) -> DataFrame
     last = few.groupBy(by).agg(F.element_at(F.slice(F.sort_array(F.collect_list("p")), 1, each), -1).alias("last"))
     last = last.select(F.col(by).alias("_by"), "last")
     return calls.join(last, F.col(by).eqNullSafe(F.col("_by"))).withColumn("granted", place <= F.col("last")).drop("_by", "last")
+
+
+def picked(rows: DataFrame, by: str, key: str, kinds: dict[str, tuple[Column, Column]]) -> DataFrame:
+    """by, kind, key: for each kind in turn the best row of its pool that no kind before has taken, by score and then key, both falling.
+
+    ``kinds`` gives for each its pool, a condition, and its score, an array of numbers. A pick may be any of the best as many rows
+    as there are kinds: so many a kind are kept, task by task, in one pass, and picked from in turn. A kind whose pool is
+    used up has no row; keys must differ within a group.
+    """
+    n = len(kinds)
+    each = F.array(*(F.struct(F.lit(i).alias("kind"), pool.alias("fit"), score.cast("array<double>").alias("score")) for i, (pool, score) in enumerate(kinds.values())))
+    rows = rows.select(by, F.col(key).alias("_key"), F.explode(each).alias("e")).where("e.fit").select(by, "_key", "e.kind", "e.score")
+    best = rows.withColumn("n", F.row_number().over(Window.partitionBy(by, "kind").orderBy(F.desc("score"), F.desc("_key")))).where(F.col("n") <= n)
+    held = best.groupBy(by).agg(F.array_sort(F.collect_list(F.struct("kind", "n", "_key"))).alias("held"))
+    taken = F.array().cast(f"array<struct<kind:int,_key:{dict(rows.dtypes)['_key']}>>")
+
+    def step(a: Column, kind: Column) -> Column:
+        free = F.filter("held", lambda h: (h["kind"] == kind) & ~F.exists(a, lambda t: t["_key"] == h["_key"]))
+        return F.when(F.size(free) > 0, F.array_append(a, F.struct(kind.alias("kind"), free[0]["_key"].alias("_key")))).otherwise(a)
+
+    out = held.select(by, F.explode(F.aggregate(F.sequence(F.lit(0), F.lit(n - 1)), taken, step)).alias("t"))
+    return out.select(by, F.element_at(F.array(*map(F.lit, kinds)), F.col("t.kind") + 1).alias("kind"), F.col("t._key").alias(key))

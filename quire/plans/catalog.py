@@ -366,13 +366,27 @@ def priority_topk(spark, sf_dir):
     return book.page_edges(texts(spark, sf_dir)).select("source", "page", "relation", rank.alias("priority")).orderBy("priority", "source", "page").limit(50)
 
 
-@query("representative_picks", BOOK + ", s AS (SELECT source, page, length(text) + 120 * (4 * length(text) - length(replace(text, '!', '')) - length(replace(text, ';', '')) - length(replace(text, ':', '')) - length(replace(text, '—', ''))) AS rhetoric, length(text) AS chars FROM book), a AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY rhetoric DESC, page DESC) AS x FROM s), b AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY chars, page) AS y FROM a WHERE x > 1) SELECT source, 'rhetoric' AS kind, page FROM a WHERE x = 1 UNION ALL SELECT source, 'short', page FROM b WHERE y = 1")
+def _times(marks: list[str], c: str) -> str:
+    return " + ".join(f"(length({c}) - length(replace({c}, '{m}', ''))) // {len(m)}" for m in marks)
+
+
+@query("representative_picks", BOOK + f""", s AS (SELECT source, page, doc_id, length(text) AS chars, {_times(T.OLD_MARKERS, 'lower(text)')} AS old, len(regexp_extract_all(regexp_replace(text, '[À-ÖØ-öø-ÿĀ-ſ]', '_', 'g'), '\\b[A-Z][a-z]+(?:-[A-Z][a-z]+)?\\b')) AS names,
+  length(text) + 120 * (4 * length(text) - length(replace(text, '!', '')) - length(replace(text, ';', '')) - length(replace(text, ':', '')) - length(replace(text, '—', ''))) AS rhetoric FROM book), b AS (SELECT * FROM s WHERE chars > 300),
+k1 AS (SELECT source, 'structural_title' AS kind, arg_max(page, (doc_id % 2, chars, page)) AS page FROM s WHERE chars <= 300 GROUP BY source),
+k2 AS (SELECT source, 'proper_names_or_historical_voice' AS kind, arg_max(page, (old, names, chars, page)) AS page FROM b GROUP BY source), t2 AS (FROM b ANTI JOIN k2 USING (source, page)),
+k3 AS (SELECT source, 'rhetorical_long_form' AS kind, arg_max(page, (rhetoric, page)) AS page FROM t2 GROUP BY source), t3 AS (FROM t2 ANTI JOIN k3 USING (source, page)),
+k4 AS (SELECT source, 'cross_page' AS kind, arg_max(page, (-chars, page)) AS page FROM t3 WHERE doc_id % 3 = 0 GROUP BY source), k5 AS (SELECT source, 'ordinary_single_page' AS kind, arg_max(page, (-abs(chars - 450), page)) AS page FROM t3 WHERE doc_id % 3 > 0 AND chars BETWEEN 250 AND 800 GROUP BY source)
+FROM k1 UNION ALL FROM k2 UNION ALL FROM k3 UNION ALL FROM k4 UNION ALL FROM k5""")
 def representative_picks(spark, sf_dir):
-    p = pages(spark, sf_dir, rhetoric=T.rhetoric(F.col("text")), chars=F.length("text"))
-    first = queue.latest(p, ["source"], [F.desc("rhetoric"), F.desc("page")])
-    rest = p.join(first.select("source", "page"), ["source", "page"], "left_anti")
-    second = queue.latest(rest, ["source"], ["chars", "page"])
-    return first.select("source", F.lit("rhetoric").alias("kind"), "page").unionByName(second.select("source", F.lit("short").alias("kind"), "page"))
+    """A title and four bodies of each book, none of them twice; short pages stand for titles, every third page for one that runs on."""
+    t, n, chars = F.col("text"), F.col("doc_id"), F.col("chars")
+    scores = {"chars": F.length(t), "old": T.old_voice(t), "names": T.proper_names(t), "rhetoric": T.rhetoric(t)}
+    body, runs_on = chars > 300, n % 3 == 0
+    kinds = {
+        "structural_title": (chars <= 300, F.array((n % 2).cast("int"), chars)), "proper_names_or_historical_voice": (body, F.array("old", "names", "chars")), "rhetorical_long_form": (body, F.array("rhetoric")),
+        "cross_page": (body & runs_on, F.array(-chars)), "ordinary_single_page": (body & ~runs_on & chars.between(250, 800), F.array(-F.abs(chars - 450))),
+    }
+    return queue.picked(pages(spark, sf_dir, **scores), "source", "page", kinds)
 
 
 #: Letters beyond ASCII are letters to the rule, which SQL's word edges don't know: they stand as underlines there.

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from quire.functions import alignment
-from quire.operators import note_scan, overlays, regions
-from quire.plans.catalog import pages, query, table, texts
+from quire.functions import text as T
+from quire.operators import book, components, note_scan, overlays, regions
+from quire.plans.catalog import BOOK, pages, query, table, texts
 
 #: Boxes made of a line item: its part is the page.
 LINE_BOX = {
@@ -181,3 +182,40 @@ def note_reference_links(spark, sf_dir):
     """Each reference with its note."""
     blocks = noted_blocks(spark, sf_dir)
     return note_scan.annotated(blocks, note_scan.note_plans(blocks))[1].drop("nth")
+
+
+#: Pages in languages of their own flow past one another: a page goes on at the next of its language, whatever lies between.
+FLOW_SQL = BOOK.replace("lang, text, CAST", "lang, CASE doc_id % 4 WHEN 0 THEN left(text, 60) || 'ab-' WHEN 1 THEN 'cd' || text WHEN 2 THEN 'ef' || left(text, 40) || '-' ELSE left(text, 30) END AS text, CAST") + """,
+n AS (SELECT doc_id, source, text, lead(doc_id) OVER w AS b, lead(text) OVER w AS after FROM book WINDOW w AS (PARTITION BY source, lang ORDER BY page)),
+e AS (SELECT doc_id AS a, b, CASE WHEN regexp_matches(text, '-\\s*$') THEN CASE WHEN regexp_matches(after, '^\\s*\\p{Ll}') THEN 'remove_layout_hyphen' ELSE 'preserve_lexical_hyphen' END ELSE 'insert_space' END AS op FROM n
+  WHERE b IS NOT NULL AND NOT regexp_matches(text, '[.!?]\\s*$') AND doc_id % 13 <> 7),
+d AS (SELECT book.doc_id, e.a IS NULL AS opens, source, lang, page, text, op FROM book LEFT JOIN e ON e.b = book.doc_id), i AS (SELECT *, sum(CASE WHEN opens THEN 1 ELSE 0 END) OVER (PARTITION BY source, lang ORDER BY page) AS g FROM d)"""
+
+
+def flow(spark, sf_dir):
+    """(fragments, boundaries) of pages that go on at the next page of their language; every thirteenth boundary is vetoed."""
+    n, t = F.col("doc_id"), F.col("text")
+    text = F.when(n % 4 == 0, F.concat(F.left(t, F.lit(60)), F.lit("ab-"))).when(n % 4 == 1, F.concat(F.lit("cd"), t)).when(n % 4 == 2, F.concat(F.lit("ef"), F.left(t, F.lit(40)), F.lit("-"))).otherwise(F.left(t, F.lit(30)))
+    docs = texts(spark, sf_dir).withColumn("text", text)
+    ends = {"hyphen": F.col("text").rlike(r"-\s*$"), "done": F.col("text").rlike(r"[.!?]\s*$"), "small": F.col("text").rlike(r"^\s*\p{Ll}")}
+    rows = book.numbered_pages(docs.select("doc_id", F.concat_ws("\x01", "source", "lang").alias("source"), *(c.alias(k) for k, c in ends.items())))
+    pairs = book.beside(rows, "doc_id", "small").where("next.doc_id is not null")
+    operation = F.when(F.col("hyphen"), F.when(F.col("next.small"), "remove_layout_hyphen").otherwise("preserve_lexical_hyphen")).otherwise("insert_space")
+    boundaries = pairs.select(n.alias("a"), F.col("next.doc_id").alias("b"), operation.alias("operation"), (~F.col("done")).alias("join"), (n % 13 == 7).alias("veto"))
+    return docs.select(n.alias("node"), n.alias("rank"), "text"), boundaries
+
+
+@query("fragment_components", FLOW_SQL + " SELECT doc_id AS node, min(doc_id) OVER (PARTITION BY source, lang, g) AS component FROM i")
+def fragment_components(spark, sf_dir):
+    """Each fragment with the first of those that boundaries connect it to."""
+    fragments, boundaries = flow(spark, sf_dir)
+    return components.components(fragments.select("node"), boundaries.where("join and not veto").select("a", "b"))
+
+
+@query("reconstructed_blocks", FLOW_SQL + """, l AS (SELECT min(doc_id) AS first, list({'op': op, 't': text} ORDER BY page) AS l FROM i GROUP BY source, lang, g), r AS (SELECT first, l, list_reduce(l, lambda a, x: {'op': x.op, 't': CASE x.op
+  WHEN 'remove_layout_hyphen' THEN regexp_replace(a.t, '-\\s*$', '') || regexp_replace(x.t, '^\\s+', '') WHEN 'preserve_lexical_hyphen' THEN regexp_replace(a.t, '\\s+$', '') || regexp_replace(x.t, '^\\s+', '') ELSE regexp_replace(a.t, '\\s+$', '') || ' ' || regexp_replace(x.t, '^\\s+', '') END}).t AS t FROM l)
+SELECT first, len(l)::INTEGER AS fragments, array_to_string(list_transform(l[2:], lambda x: x.op), ',') AS operations, sha256(t) AS text_sha256 FROM r""")
+def reconstructed_blocks(spark, sf_dir):
+    """Blocks of text that run on past pages of other languages, each boundary joined in its own way."""
+    out = components.reconstructed(*flow(spark, sf_dir))
+    return out.select("first", "fragments", "operations", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
