@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quire.functions import alignment
+from quire.functions import alignment, contracts
 from quire.functions import text as T
 from quire.operators import book, components, note_scan, overlays, regions
 from quire.plans.catalog import BOOK, pages, query, table, texts
@@ -219,3 +219,43 @@ def reconstructed_blocks(spark, sf_dir):
     """Blocks of text that run on past pages of other languages, each boundary joined in its own way."""
     out = components.reconstructed(*flow(spark, sf_dir))
     return out.select("first", "fragments", "operations", F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
+
+
+def marked_pages(spark, sf_dir):
+    """Pages as text with bars for their markup and note placeholders behind some sentences."""
+    barred = F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", "|")
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_replace(barred, r"([.!?]) ([A-M])", "$1{{NOTE_REF:1:r1}} $2").alias("text"))
+
+
+NOTED_SQL = "WITH p AS (SELECT page_id, regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', '|', 'g'), '([.!?]) ([A-M])', '\\1{{NOTE_REF:1:r1}} \\2', 'g') AS t FROM pages)"
+
+
+@query("note_contracts", NOTED_SQL + """, c AS (SELECT page_id, regexp_extract_all(t, '\\{\\{NOTE_REF:[^:}]+:[^}]+\\}\\}') AS m, regexp_split_to_array(t, '\\{\\{NOTE_REF:[^:}]+:[^}]+\\}\\}') AS s FROM p)
+SELECT page_id, len(m)::INTEGER AS markers, len(s)::INTEGER AS segments, CASE WHEN page_id % 4 <> 3 THEN sha256(array_to_string(list_transform(s, lambda x, i: 'T' || x || coalesce(m[i], '')), '')) END AS rebuilt_sha256 FROM c WHERE len(m) > 0""")
+def note_contracts(spark, sf_dir):
+    """Texts cut at their note placeholders, translated and put together; replies that lack a segment are refused."""
+    c = F.col("c")
+    rows = marked_pages(spark, sf_dir).select("page_id", contracts.note_contract(F.col("text")).alias("c")).where("c is not null")
+    given = F.transform(c["segments"], lambda x: F.concat(F.lit("T"), x))
+    reply = F.when(F.col("page_id") % 4 == 3, F.slice(given, F.lit(2), F.size(given))).otherwise(given)
+    return rows.select("page_id", F.size("c.markers").alias("markers"), F.size("c.segments").alias("segments"), F.sha2(contracts.with_notes(c, reply).cast("binary"), 256).alias("rebuilt_sha256"))
+
+
+def table_replies(template):
+    """Replies to a page's segments: as asked, with one missing, one given twice, a foreign one, or a placeholder too many."""
+    asked = contracts.segments(template)
+    reply = lambda i, t: F.struct(i.alias("id"), t.alias("text"))
+    good = F.transform(asked, lambda s: reply(s["id"], F.concat(F.lit(" t"), s["text"], F.lit(" "))))
+    odd, n = F.col("page_id") % 6, F.size(good)
+    return (
+        F.when(odd == 1, F.slice(good, F.lit(2), n)).when(odd == 2, F.concat(good, F.array(reply(F.lit(0), F.lit("again"))))).when(odd == 3, F.concat(good, F.array(reply(n, F.lit("foreign")))))
+        .when(odd == 4, F.concat(F.slice(good, F.lit(2), n), F.array(reply(F.lit(0), F.lit("x {{NOTE_REF:9:z}}"))))).otherwise(good)
+    )
+
+
+@query("table_contracts")
+def table_contracts(spark, sf_dir):
+    """Tables cut into literals and segments, and what replies make of them."""
+    rows = marked_pages(spark, sf_dir).select("page_id", contracts.table_contract(F.col("text")).alias("t")).where("t is not null")
+    out = rows.select("page_id", F.size("t").alias("tokens"), F.size(contracts.segments(F.col("t"))).alias("segments"), contracts.with_segments(F.col("t"), table_replies(F.col("t"))).alias("r"))
+    return out.select("page_id", "tokens", "segments", F.sha2(F.col("r.text").cast("binary"), 256).alias("rebuilt_sha256"), "r.error")

@@ -50,11 +50,11 @@ def terminal_states(spark, sf_dir):
 
 @query("alignment_audit", "WITH a AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n, source, text FROM documents), b AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY length(text), doc_id) AS n, lang FROM documents WHERE doc_id % 9 <> 0) SELECT source, count(*) FILTER (b.doc_id IS NULL) AS missing, count(*) FILTER (a.n <> b.n) AS moved, count(*) FILTER (b.doc_id IS NOT NULL AND length(a.text) >= 40 AND a.lang = b.lang) AS echoes FROM a LEFT JOIN b USING (doc_id) GROUP BY source")
 def alignment_audit(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", F.length("text").alias("chars"))
     a = d.withColumn("n", F.row_number().over(Window.partitionBy("source").orderBy("doc_id")))
-    b = d.where("doc_id % 9 <> 0").select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy(F.length("text"), "doc_id")).alias("m"), F.col("lang").alias("l"))
+    b = d.where("doc_id % 9 <> 0").select("doc_id", F.row_number().over(Window.partitionBy("source").orderBy("chars", "doc_id")).alias("m"), F.col("lang").alias("l"))
     both = a.join(b, "doc_id", "left")
-    return both.groupBy("source").agg(F.count_if(F.col("m").isNull()).alias("missing"), F.count_if(F.col("n") != F.col("m")).alias("moved"), F.count_if(F.col("m").isNotNull() & (F.length("text") >= 40) & (F.col("lang") == F.col("l"))).alias("echoes"))
+    return both.groupBy("source").agg(F.count_if(F.col("m").isNull()).alias("missing"), F.count_if(F.col("n") != F.col("m")).alias("moved"), F.count_if(F.col("m").isNotNull() & (F.col("chars") >= 40) & (F.col("lang") == F.col("l"))).alias("echoes"))
 
 
 #: As its expression here: letters beyond ASCII belong to words.
