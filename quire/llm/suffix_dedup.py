@@ -63,9 +63,14 @@ def grams(buf: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
 
 
 def mixed(x: np.ndarray, level: int, seed: int) -> np.ndarray:
-    x = x * np.uint64(0x9E3779B97F4A7C15 + 2 * level + (seed << 12))
-    x ^= x >> np.uint64(31)
-    x *= np.uint64(0xD6E8FEB86659FD93)
+    """A finaliser of its own for each level and seed: every bit of what goes in tells on every bit of what comes out, and hashes of two
+    seeds have nothing in common."""
+    own = int(fmix(np.array([(seed << 32) + level], np.uint64))[0]) | 1
+    x = x ^ (x >> np.uint64(32))
+    x *= np.uint64(own)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    x ^= x >> np.uint64(32)
     return x
 
 

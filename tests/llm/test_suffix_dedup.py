@@ -126,3 +126,21 @@ def test_equal_windows_have_equal_anchors():
             anchor |= {b + i: k for i in range(m)}
     assert sorted(anchor) == [*range(100, 65_401), *range(65_600, 199_801)]
     assert all(anchor[150_000 + i] == anchor[60_000 + i] and places[anchor[60_000 + i]] >= 2 for i in range(700))
+
+
+@pytest.mark.parametrize("width", [8, 13, 64, 200])
+def test_hashes_tell_texts_of_one_edit_apart(width):
+    """Texts that differ in one byte each, at all places, for hashes of any seed: none share a hash, nor does a text under two seeds."""
+    base = np.random.default_rng(7).integers(97, 106, width + 100).astype(np.uint8)
+    seen = {}
+    for at in range(width + 100):
+        for sign in (32, 88, 120, 255):
+            text = base.copy()
+            text[at] = sign
+            hashes = [suffix_dedup.grams(text, width, seed) for seed in (0, 1, 2)]
+            assert all(len(h) == 101 for h in hashes)
+            for start in range(0, 101, 5):
+                window = bytes(text[start : start + width])
+                for seed, h in enumerate(hashes):
+                    assert seen.setdefault((seed, int(h[start])), window) == window
+    assert len({h for _, h in seen}) == len(seen)
