@@ -58,7 +58,7 @@ def page_offsets(source: Column, pages: Column) -> Column:
 
         def step(a: Column, place: Column) -> Column:
             def placed(f: Column) -> Column:
-                share = F.bround(F.length(source) * place / F.size(pages), 0).cast("int")
+                share = F.bround(F.length(source).cast("long") * place / F.size(pages), 0).cast("int")
                 accuracy = F.when(f["at"] == 0, "proportional").when(f["skip"] == 0, "exact_token").otherwise("nearest_token")
                 here = F.struct(place.alias("place"), F.when(f["at"] > 0, offset(s, f["at"])).otherwise(share).alias("offset"), accuracy.alias("accuracy"))
                 return F.struct(F.when(f["at"] > 0, f["at"]).otherwise(a["cursor"]).alias("cursor"), F.array_append(a["out"], here).alias("out"))
@@ -76,21 +76,48 @@ def with_markers(text: Column, offsets: Column, source_length: Column, labels: C
     Each page of ``offsets`` with a label (``labels``: array by place) goes to the sentence end nearest to its share of the text, the earlier
     of two as near; without any to that share itself. placed: array of (place, offset, accuracy).
     """
-    chars = F.sequence(F.lit(1), F.length(text))
-    ends = F.when(F.length(text) > 0, F.filter(chars, lambda i: F.substring(text, i, F.lit(1)).isin("。", "！", "？", "；")))
-
-    def one(o: Column, ends: Column) -> Column:
-        raw = F.bround(F.length(text) * o["offset"] / F.greatest(source_length, F.lit(1)), 0).cast("int")
-        near = F.array_min(F.transform(ends, lambda e: F.struct(F.abs(e - raw).alias("away"), e.alias("at"))))
-        return F.struct(o["place"].alias("place"), F.coalesce(near["at"], raw).alias("offset"), F.when(near.isNull(), "proportional").otherwise("nearest_sentence").alias("accuracy"))
-
-    placed = T.let(F.coalesce(ends, F.array().cast("array<int>")), lambda ends: F.transform(F.filter(offsets, lambda o: F.get(labels, o["place"]).isNotNull()), lambda o: one(o, ends)))
-
-    def inserted(p: Column) -> Column:
-        marks = F.reverse(F.array_sort(F.transform(p, lambda x: F.struct(x["offset"].alias("at"), F.concat(F.lit("\n\n【"), F.get(labels, x["place"]), F.lit("】\n\n")).alias("mark")))))
-        return F.aggregate(marks, text, lambda t, m: F.concat(F.left(t, m["at"]), m["mark"], F.substring(t, m["at"] + 1, F.length(t))))
-
-    return T.let(placed, lambda p: F.struct(inserted(p).alias("text"), p.alias("placed")))
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("ends"))
+    step = lambda a, x: T.let(a["at"] + F.length(x) + 1, lambda at: F.struct(at.alias("at"), F.array_append(a["ends"], at).alias("ends")))
+
+    def ends(text: Column) -> Column:
+        """Where sentences end, found in one pass: behind all pieces but the last."""
+        pieces = F.split(F.coalesce(text, F.lit("")), "[。！？；]", -1)
+        return T.let(pieces, lambda p: F.aggregate(F.slice(p, F.lit(1), F.size(p) - 1), start, step, lambda a: a["ends"]))
+
+    def nearest(u: Column, raw: Column) -> Column:
+        """The end nearest to a place, the earlier of two as near: by bisection."""
+        bounds = F.struct(F.lit(0).alias("low"), F.size(u["ends"]).alias("high"))
+
+        def halved(a: Column) -> Column:
+            mid = F.shiftright(a["low"] + a["high"], 1)
+            below = F.get(u["ends"], mid) < raw
+            return F.when(a["low"] >= a["high"], a).when(below, F.struct((mid + 1).alias("low"), a["high"].alias("high"))).otherwise(F.struct(a["low"].alias("low"), mid.alias("high")))
+
+        # 31 halvings do for any array
+        first = F.aggregate(F.sequence(F.lit(1), F.lit(31)), bounds, lambda a, _: halved(a), lambda a: a["low"])
+        around = lambda i: F.array_min(F.transform(F.filter(F.array(F.get(u["ends"], i - 1), F.get(u["ends"], i)), lambda e: e.isNotNull()), lambda e: F.struct(F.abs(e - raw).alias("away"), e.alias("at"))))
+        return T.let(first, around)
+
+    def one(u: Column, o: Column) -> Column:
+        raw = F.bround(u["n"].cast("long") * o["offset"] / F.greatest(u["source_length"], F.lit(1)), 0).cast("int")
+        near = T.let(raw, lambda raw: F.struct(raw.alias("raw"), nearest(u, raw)["at"].alias("at")))
+        return T.let(near, lambda p: F.struct(o["place"].alias("place"), F.coalesce(p["at"], p["raw"]).alias("offset"), F.when(p["at"].isNull(), "proportional").otherwise("nearest_sentence").alias("accuracy")))
+
+    def placed(u: Column) -> Column:
+        return F.transform(F.filter(u["offsets"], lambda o: F.get(u["labels"], o["place"]).isNotNull()), lambda o: one(u, o))
+
+    def inserted(u: Column, p: Column) -> Column:
+        """Marks and the pieces of text between them, in order."""
+        marks = F.array_sort(F.transform(p, lambda x: F.struct(x["offset"].alias("at"), F.concat(F.lit("\n\n【"), F.get(u["labels"], x["place"]), F.lit("】\n\n")).alias("mark"))))
+        before = lambda m, i: F.when(i > 0, F.get(m, i - 1)["at"]).otherwise(0)
+        piece = lambda m, x, i: F.concat(F.substring(u["text"], before(m, i) + 1, x["at"] - before(m, i)), x["mark"])
+        rest = lambda m: F.substring(u["text"], F.coalesce(F.get(m, F.size(m) - 1)["at"], F.lit(0)) + 1, u["n"])
+        return T.let(marks, lambda m: F.concat(F.array_join(F.transform(m, lambda x, i: piece(m, x, i)), ""), rest(m)))
+
+    # given columns may be whole expressions, so each is computed once, before what is done for every page
+    unit = F.struct(text.alias("text"), offsets.alias("offsets"), source_length.alias("source_length"), labels.alias("labels"))
+    read = lambda u: F.struct(*(u[c].alias(c) for c in ("text", "offsets", "source_length", "labels")), F.length(u["text"]).alias("n"), ends(u["text"]).alias("ends"))
+    return T.let(unit, lambda u: T.let(read(u), lambda u: T.let(placed(u), lambda p: F.struct(inserted(u, p).alias("text"), p.alias("placed")))))
 
 
 #: Characters of both sides, multiplied, up to which the library's own search is the faster one.

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -67,6 +68,18 @@ def test_page_offsets_with_repeats_and_without_anchors(spark):
         assert r.o is None if r.source is None else [tuple(x) for x in r.o] == plain_offsets(r.source, r.pages), r
 
 
+def test_markers_of_long_units_take_time_in_proportion(spark):
+    text = "An end here. Words go on, é! " * 4000
+    df = spark.createDataFrame([(text, [str(i) for i in range(300)]), ("", ["0", "1", None]), ("no end", ["a", "b", "c"])], "s string, labels array<string>")
+    offsets = F.transform(F.sequence(F.lit(1), F.size("labels") - 1), lambda i: F.struct(i.alias("place"), (F.length("s") * i / F.size("labels")).cast("int").alias("offset"), F.lit("").alias("accuracy")))
+    target = F.translate("s", ".!?;", "。！？；")
+    began = time.monotonic()
+    rows = df.select("s", "labels", offsets.alias("o"), alignment.with_markers(target, offsets, F.length("s"), F.col("labels"))["text"].alias("m")).collect()
+    assert time.monotonic() - began < 40
+    for r in rows:
+        assert r.m == plain_markers(r.s.translate(str.maketrans(".!?;", "。！？；")), r.o, r.s, r.labels)
+
+
 def test_matching_blocks_are_those_of_the_library():
     chance = random.Random(8)
     for n, letters in ((0, "a"), (40, "ab"), (300, "abc d"), (900, "abcdefgh "), (500, "é😀x")):
