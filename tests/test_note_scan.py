@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 
+from quire.functions import notes as N
 from quire.operators import note_scan
 from quire.plans import regions as plans
 
@@ -147,3 +149,11 @@ def test_odd_blocks(spark):
     texts, links = note_scan.annotated(blocks, plans_)
     assert rows_of(links, ["book", "label", "note_id"]) == [("b", "1", "page-0001-footnotes-footnote-1")]
     assert {(r.book, r.page, r.place): r.text for r in texts.collect()}[("b", 1, 2)] == "see it.{{NOTE_REF:1:note-ref-p0001-1-001}} and"
+
+
+def test_texts_of_many_references_are_cut_once(spark):
+    text = "".join(f"word{i}*, and an end.{i % 90} " for i in range(3000))
+    began = time.monotonic()
+    parts = spark.createDataFrame([(text,)], "t string").select(N.reference_parts(F.col("t")).alias("p")).first().p
+    assert time.monotonic() - began < 20
+    assert len(parts) == 6001 and "".join((p.label or "") + p.text for p in parts) == text
