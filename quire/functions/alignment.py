@@ -148,23 +148,79 @@ def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
+#: Characters of the shortest runs that are listed, and how many of their places a character of a text may have on average.
+GRAM, PLACES = 8, 32
+Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _runs(a: np.ndarray, b: np.ndarray) -> Runs | None:
+    """All runs of ``GRAM`` characters or more that both hold and that go no further: where they begin in a, in b, and their lengths. None
+    for texts that repeat themselves too much for that."""
+    none = np.empty(0, np.int64)
+    if min(len(a), len(b)) < GRAM:
+        return none, none, none
+    left, right = np.zeros(len(a) - GRAM + 1, np.uint64), np.zeros(len(b) - GRAM + 1, np.uint64)
+    for g in range(GRAM):
+        for grams, x in ((left, a), (right, b)):
+            grams *= np.uint64(0x9E3779B97F4A7C15)
+            grams += x[g : g + len(grams)]
+    order = np.argsort(right, kind="stable")
+    right = right[order]
+    low, high = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
+    count = high - low
+    total = int(count.sum())
+    if total > PLACES * (len(a) + len(b)):
+        return None
+    i = np.repeat(np.arange(len(left)), count)
+    j = order[np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
+    # places on one diagonal, one behind the other, are one run
+    by = np.lexsort((i, i - j))
+    i, j = i[by], j[by]
+    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)]) if total else none
+    return i[first], j[first], np.diff(np.r_[first, total]) + GRAM - 1
+
+
+def _within(runs: Runs, al: int, ah: int, bl: int, bh: int) -> Runs:
+    """What of the runs lies within a part of both texts, if that is still long enough to be listed."""
+    i, j, k = runs
+    cut = np.maximum(np.maximum(al - i, bl - j), 0)
+    k = np.minimum(np.minimum(k, ah - i), bh - j) - cut
+    keep = k >= GRAM
+    cut = cut[keep]
+    return i[keep] + cut, j[keep] + cut, k[keep]
+
+
 def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
-    """The blocks of SequenceMatcher without its guess at junk, in order, adjacent ones joined; found by hashes of runs, so long texts
-    do not take time in proportion to their product."""
+    """The blocks of SequenceMatcher without its guess at junk, in order, adjacent ones joined; long texts do not take time in proportion
+    to their product: their common runs are listed once and cut to each part, or, where too many, found by hashes part by part."""
     x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") for s in (a, b))
-    todo, found = [(0, len(a), 0, len(b))], []
+    todo: list[tuple[int, int, int, int, Runs | None]] = [(0, len(a), 0, len(b), None)]
+    found: list[tuple[int, int, int]] = []
     while todo:
-        al, ah, bl, bh = todo.pop()
+        al, ah, bl, bh, runs = todo.pop()
         if al >= ah or bl >= bh:
             continue
-        part = None
-        if (ah - al) * (bh - bl) > SMALL:
-            i, j, k = _longest(x[al:ah], y[bl:bh])
-            # hashes may agree by chance, if hardly ever
-            if np.array_equal(x[al + i : al + i + k], y[bl + j : bl + j + k]):
-                part = [(i, j, k)] if k else []
-                todo += [(al, al + i, bl, bl + j), (al + i + k, ah, bl + j + k, bh)] if k else []
-        if part is None:
+        part, large = None, (ah - al) * (bh - bl) > SMALL
+        if runs is None and large:
+            runs = _runs(x[al:ah], y[bl:bh])
+            runs = runs and (runs[0] + al, runs[1] + bl, runs[2])
+        elif runs is not None:
+            runs = _within(runs, al, ah, bl, bh)
+        if runs is not None and len(runs[0]):
+            i, j, k = runs
+            longest = np.flatnonzero(k == k.max())
+            # the first in a, and of those the first in b
+            longest = longest[i[longest] == i[longest].min()]
+            best = longest[np.argmin(j[longest])]
+            part = [(int(i[best]) - al, int(j[best]) - bl, int(k[best]))]
+        elif large:
+            part = [_longest(x[al:ah], y[bl:bh])]
+        # hashes may agree by chance, if hardly ever
+        if part and np.array_equal(x[al + part[0][0] : al + sum(part[0][::2])], y[bl + part[0][1] : bl + sum(part[0][1:])]):
+            i, j, k = part[0]
+            part = part if k else []
+            todo += [(al, al + i, bl, bl + j, runs), (al + i + k, ah, bl + j + k, bh, runs)] if k else []
+        else:
             part = SequenceMatcher(None, a[al:ah], b[bl:bh], False).get_matching_blocks()[:-1]
         found += [(al + i, bl + j, k) for i, j, k in part]
     out: list[tuple[int, int, int]] = []

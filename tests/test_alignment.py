@@ -94,6 +94,22 @@ def test_matching_blocks_are_those_of_the_library():
                 assert alignment.matching_blocks(a, other) == want
 
 
+def test_matching_blocks_of_pages_are_those_of_the_library_and_found_in_a_share_of_its_time():
+    chance = random.Random(3)
+    words = ["".join(chance.choice("etaoinshr") for _ in range(chance.randrange(2, 9))) for _ in range(400)]
+    spent, plain = 0.0, 0.0
+    for case in range(6):
+        a = ". ".join(" ".join(chance.choice(words) for _ in range(chance.randrange(3, 15))) for _ in range(12)) + ("ab" * 150 if case == 4 else "")
+        b = re.sub(r"([.]) +\S+", r"\1", a).replace("e ", "e,- ")
+        b = b + a[:300] if case == 5 else b
+        began = time.process_time()
+        got = alignment.matching_blocks(a, b)
+        middle = time.process_time()
+        assert got == [tuple(m) for m in SequenceMatcher(None, a, b, False).get_matching_blocks()[:-1]]
+        spent, plain = spent + middle - began, plain + time.process_time() - middle
+    assert spent < plain / 4
+
+
 def test_page_comparison_over_the_table(spark, sf_dir):
     rows = {r.doc_id: r for r in plans.compared_pages(spark, sf_dir).collect()}
     plain = lambda s: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s or "")).strip()
