@@ -138,3 +138,11 @@ def test_token_differences(spark):
     found = lambda pattern, x, y: sorted(set(re.findall(pattern, x)) - set(re.findall(pattern, y)))
     numbers, words = r"\b\d+(?:[.,]\d+)*\b", r"\b[A-Z][A-Za-z'-]{2,}\b"
     assert tuple(row) == (found(numbers, a, b), found(words, a, b)[:30], found(numbers, b, a)) and len(row[0]) == 41
+
+
+def test_integrity_warnings_know_ascii_words_beside_other_letters(spark):
+    """As the SQL's engine does: a letter with an accent ends a word."""
+    rows = [("osñ no", "x"), ("asñno lo", "x"), ("noé", "x"), ("knot", "x"), ("é12 13é 4a", "x"), ("é12,5 no", "12 不"), ("١٢", "x")]
+    out = spark.createDataFrame(rows, "s string, t string").select("s", F.array_join(T.integrity_warnings(F.col("s"), F.col("t")), " ").alias("w"))
+    none, number = "possible_missing_negation", "possible_missing_number:"
+    assert {r.s: r.w for r in out.collect()} == {"osñ no": none, "asñno lo": none, "noé": none, "knot": "", "é12 13é 4a": f"{number}12 {number}13", "é12,5 no": f"{number}12,5", "١٢": ""}
