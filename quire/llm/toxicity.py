@@ -3,8 +3,8 @@
 Words that look disguised (figures or signs between letters, letters spelled out with dots, runs of one letter) and runs of
 short words become character lattices: a sign may stand for a letter, a separator or a repeated letter may be noise, a
 space may be a word's edge or noise. Viterbi decoding under a character trigram model of the whole corpus, and in runs the
-words of the labelled sample, picks the likeliest reading. Restored words are then scored by a logistic model over words
-and word beginnings, fitted on a bounded sample of labelled rows.
+words of the labelled rows, picks the likeliest reading. Restored words are then scored by a logistic model over words
+and word beginnings, fitted on all labelled rows that are not held out.
 """
 
 from __future__ import annotations
@@ -15,14 +15,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.ml.classification import LogisticRegression
+from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
 from quire.llm.text import binary_view, lean, lower_ascii, row_chunks, trimmed, whole_text, written
 
-#: Labelled rows that the classifier is fitted on at most.
-SAMPLE = 12_000
+#: Steps and penalty of the classifier's fit.
+STEPS, PENALTY = 60, 0.02
 #: Words and word beginnings that the classifier weighs at most.
 FEATURES = 2_000
 #: Words that runs of short words are decoded with at most, besides those that the classifier weighs.
@@ -244,24 +246,16 @@ def _featured(batches: Iterator[pa.RecordBatch], sent) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_arrays([part.column("toxic"), pa.array(found, pa.list_(pa.string()))], ["toxic", "features"])
 
 
-def fitted(rows: list[tuple[int, list[int]]], size: int) -> tuple[np.ndarray, float]:
-    """Weights of ``size`` features and the bias of a logistic model of rows of (toxic, features)."""
-    toxic = np.array([t for t, _ in rows], float)
-    x = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
-    y = np.array([i for _, f in rows for i in f], np.int64)
-    weights, bias = np.zeros(size), math.log((toxic.sum() + 1) / (len(rows) - toxic.sum() + 1))
-    # adaptive gradient steps on the penalised likelihood, over all rows at once
-    squares, base = np.full(size, 1e-8), 1e-8
-    for _ in range(300):
-        z = bias + np.bincount(x, weights[y], len(rows))
-        error = 1 / (1 + np.exp(-z)) - toxic
-        slope = np.bincount(y, error[x], size) + 0.02 * weights
-        squares += slope**2
-        weights -= 0.5 * slope / np.sqrt(squares)
-        lean = error.sum()
-        base += lean**2
-        bias -= 0.5 * lean / math.sqrt(base)
-    return weights, bias
+def fitted(rows: DataFrame, names: list[str], good: int, bad: int) -> tuple[np.ndarray, float]:
+    """Weights of the features ``names`` and the bias of a logistic model of all ``rows`` (toxic, features), of which ``good`` are
+    not toxic and ``bad`` are: the penalised likelihood is summed where the rows are, and rows alike count as one of their number."""
+    if not names or not good or not bad:
+        return np.zeros(len(names)), math.log((bad + 1) / (good + 1))
+    own = F.array_sort(F.array_intersect("features", F.lit(names)))
+    alike = rows.select(F.col("toxic").cast("double").alias("label"), own.alias("own")).groupBy("label", "own").agg(F.count("*").cast("double").alias("weight"))
+    vectors = CountVectorizerModel.from_vocabulary(names, "own", "vector").transform(alike).select("label", "vector", "weight")
+    found = LogisticRegression(featuresCol="vector", weightCol="weight", maxIter=STEPS, regParam=PENALTY / (good + bad), standardization=False).fit(vectors)
+    return found.coefficients.toArray(), float(found.intercept)
 
 
 def telling(rows: DataFrame, limit: int) -> list[str]:
@@ -275,7 +269,7 @@ def telling(rows: DataFrame, limit: int) -> list[str]:
 
 
 def common_words(rows: DataFrame, limit: int) -> dict[str, float]:
-    """-log of the share of the commonest words, in three rows of the sample at least."""
+    """-log of the share of the commonest words, in three labelled rows at least."""
     counts = rows.select(F.explode("features").alias("feature")).where("feature like '=%'").groupBy("feature").agg(F.count("*").alias("n"))
     best = counts.where("n >= 3").orderBy(F.desc("n"), "feature").limit(limit).collect()
     total = sum(r["n"] for r in best)
@@ -305,47 +299,44 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def classifier(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE):
+def classifier(docs: DataFrame, labels: DataFrame):
     """The broadcast character model, weights by feature, bias and lexicon, learnt as ``toxicity`` says."""
     context = docs.sparkSession.sparkContext
     model = character_model(docs).tolist()
     sent = context.broadcast(model)
     usable = labels.select("doc_id", "toxic").where("doc_id is not null and toxic is not null").where(~held_out())
-    picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    # one row for each id, at most ``sample``
-    shown = docs.select("doc_id", whole_text().alias("bytes")).join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("bytes").alias("bytes"))
+    picked = usable.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    # one row for each id
+    shown = docs.select("doc_id", whole_text().alias("bytes")).join(picked, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("bytes").alias("bytes"))
     rows = shown.select("toxic", "bytes").mapInArrow(lambda it: trimmed(_featured(it, sent)), "toxic int, features array<string>")
     rows = written(rows.withColumn("toxic", (F.col("toxic") > 0).cast("int")))
     names = telling(rows, FEATURES)
-    number = {f: i for i, f in enumerate(names)}
-    own = F.array_intersect("features", F.lit(names)) if names else F.array().cast("array<string>")
-    train = [(r["toxic"], [number[f] for f in r["own"]]) for r in rows.select("toxic", own.alias("own")).collect()]  # at most ``sample`` rows
-    weights, bias = fitted(train, len(names))
+    kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    weights, bias = fitted(rows, names, kinds.get(0, 0), kinds.get(1, 0))
     lexicon = common_words(rows, LEXICON)
     rarest = max(lexicon.values(), default=0.0)
     lexicon = {n[1:]: rarest for n in names if n[0] == "="} | lexicon
     return context.broadcast((model, dict(zip(names, weights.tolist())), bias, lexicon))
 
 
-def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """One row per row of ``docs`` (columns used: doc_id, text): doc_id, held_out, score, predicted and evidence, the
     words (with =) and word beginnings that speak for toxicity.
 
-    ``labels`` (doc_id, toxic) are learnt from rows whose crc32(doc_id as text) mod 5 is not 0, at most ``sample`` of
-    them, picked by a hash. Of several labels of an id the largest counts, of several texts the smallest; null labels and
+    ``labels`` (doc_id, toxic) are learnt from rows whose crc32(doc_id as text) mod 5 is not 0, all of them. Of several labels of an id the largest counts, of several texts the smallest; null labels and
     ids do not. Null and empty
     texts have no words and score as the bias. Without labels of both kinds, scores are under a half. A null doc_id is not
     held out.
     """
-    ready = classifier(docs, labels, sample)
+    ready = classifier(docs, labels)
     texts = docs.select("doc_id", whole_text().alias("bytes"))
     out = texts.mapInArrow(lambda it: trimmed(_rated(it, ready)), "doc_id long, score double, evidence array<string>")
     return out.select("doc_id", held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "evidence")
 
 
-def without_toxic(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, whose score is under a half. See ``toxicity``."""
-    ready = classifier(docs, labels, sample)
+    ready = classifier(docs, labels)
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), whole_text().alias("bytes"))
     kept = rows.mapInArrow(lambda it: trimmed(_clean(it, ready)), StructType([StructField("row", docs.schema)]))
     return kept.select("row.*")

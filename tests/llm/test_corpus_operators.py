@@ -14,6 +14,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quire.llm import bagminhash, bpe, flac, hmm_lm, license_scan, packing, queries, substring_dedup, topk, toxicity, warc
 
@@ -245,6 +246,16 @@ def test_no_fuzzy_notice():
     assert license_scan.notices(" aapche licens version 2 by words of no licence at all ") == []
 
 
+def test_toxicity_learns_from_all_labelled_rows(spark):
+    """Toxic rows that come last by the hash by which 12,000 were once picked."""
+    ids = spark.range(16_500).withColumnRenamed("id", "doc_id")
+    last = ids.where(~toxicity.held_out()).orderBy(F.xxhash64("doc_id").desc()).limit(120)
+    rows = ids.join(last.withColumn("toxic", F.lit(1)), "doc_id", "left").select("doc_id", F.coalesce("toxic", F.lit(0)).alias("toxic"))
+    rows = rows.select("doc_id", "toxic", F.when(F.col("toxic") == 1, "a blorvid thing").otherwise("a plain thing").alias("text")).cache()
+    out = toxicity.toxicity(rows.select("doc_id", "text"), rows.select("doc_id", "toxic")).where("predicted = 1")
+    assert {r.doc_id for r in out.collect()} == {r.doc_id for r in rows.where("toxic = 1").collect()}
+
+
 def test_toxicity(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
