@@ -131,10 +131,11 @@ def eligible_context(spark, sf_dir):
   min(CASE WHEN eligible THEN doc_id END) OVER (PARTITION BY source, chapter ORDER BY doc_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS after_id FROM c""")
 def complete_context(spark, sf_dir):
     """The nearest complete block on either side in the same chapter."""
-    w = Window.partitionBy("source", "chapter").orderBy("doc_id")
-    whole = F.when(F.col("eligible"), F.col("doc_id"))
-    before = F.last(whole, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    return _ready(spark, sf_dir).select("doc_id", before.alias("before_id"), F.first(whole, True).over(w.rowsBetween(1, Window.unboundedFollowing)).alias("after_id"))
+    # both ways from an end of the chapter: a frame from a row to the far end is read anew for every row
+    chapter = Window.partitionBy("source", "chapter")
+    upto = lambda order: chapter.orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    near = lambda order: F.last(F.when(F.col("eligible"), F.col("doc_id")), True).over(upto(order))
+    return _ready(spark, sf_dir).select("doc_id", near(F.col("doc_id")).alias("before_id"), near(F.desc("doc_id")).alias("after_id"))
 
 
 @query("parent_titles", READY_SQL + f" SELECT x.doc_id, t.doc_id AS title_id FROM c x LEFT JOIN c t ON t.doc_id = x.chapter AND t.kind IN {_in(R.TITLES)}")

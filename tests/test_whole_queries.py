@@ -64,3 +64,11 @@ def test_reflow_keeps_what_a_text_says(spark, sf_dir):
             assert at in ends
         joined += len(lines) - len(pieces)
     assert joined > 0
+
+
+def test_complete_context_reads_no_chapter_anew_for_each_row(spark, sf_dir):
+    """Frames up to a chapter's end would take time in proportion to the square of its rows."""
+    from quire.plans import roles
+
+    plan = roles.complete_context(spark, sf_dir)._jdf.queryExecution().executedPlan().toString().lower()
+    assert "window" in plan and "unboundedfollowing" not in plan
