@@ -282,3 +282,47 @@ def compared(body: Column, layer: Column, header: Column, number: Column, orders
         F.length(body).alias("body_chars"), F.length(layer).alias("layer_chars"), F.round(found["similarity"], 6).alias("similarity"), found["missing"].alias("missing"), found["added"].alias("added"),
         within(header).alias("header_in_body"), within(number).alias("number_in_body"), (orders == F.array_sort(F.array_distinct(orders))).alias("order_reasonable"), apart(signs).alias("punctuation"), apart(hyphens).alias("hyphens"),
     )
+
+
+OCCURRENCES = "array<struct<term:string,nth:int,source_start:int,translated_start:int,before:string,after:string,action:string>>"
+
+
+def literal_starts(text: str, literal: str) -> list[int]:
+    """Where a literal stands in a text, from 0, without overlaps."""
+    out, at = [], text.find(literal)
+    while at >= 0:
+        out.append(at)
+        at = text.find(literal, at + len(literal))
+    return out
+
+
+def without_case(text: str) -> str:
+    """The text with each letter that may count as an ASCII one in whatever case as its small one, character for character."""
+    for other, letter in (("İ", "i"), ("ı", "i"), ("ſ", "s"), ("\u212a", "k")):
+        text = text.replace(other, letter)
+    return text.lower()
+
+
+def _occurrences(source: str, translation: str | None, terms: list[str]) -> list[dict]:
+    out, low = [], without_case(translation or "")
+    for term in terms:
+        there = literal_starts(low, without_case(term))
+        for i, h in enumerate(literal_starts(source, term)):
+            end, other = h + len(term), there[i] if i < len(there) else None
+            out.append({
+                "term": term, "nth": i + 1, "source_start": h, "translated_start": other, "before": source[max(h - T.AROUND, 0) : h].strip(), "after": source[end : end + T.AROUND].strip(),
+                "action": "needs_span_alignment" if other is None else "confirm_translation",
+            })
+    return out
+
+
+def term_occurrences(source: Column, translation: Column) -> Column:
+    """Each occurrence of a candidate term of the source, with its number, what stands around it and where the translation has
+    the term for as many times (null: nowhere), in whatever case."""
+
+    @F.pandas_udf(OCCURRENCES)
+    def found(sources: pd.Series, translations: pd.Series, terms: pd.Series) -> pd.Series:
+        return pd.Series([None if s is None else _occurrences(s, t, list(w)) for s, t, w in zip(sources, translations, terms)], dtype=object)
+
+    terms = F.array_except(F.regexp_extract_all(source, T.regex(T.TERM), F.lit(0)), F.array(*map(F.lit, T.NO_TERMS)))
+    return found(source, translation, terms)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from quire.functions import folds, notes
+from quire.functions import alignment, folds, notes
 from quire.functions import text as T
 from quire.operators import book
 from quire.plans.catalog import ARTIFACTS, BOOK, NEXT, RELATION, pages, query, table, texts
@@ -71,7 +71,7 @@ def glossary_occurrences(spark, sf_dir):
     """Each occurrence of a candidate term with the one of the same number in the next text, taken for its translation."""
     d = table(spark, sf_dir, "documents").select("doc_id", "text")
     both = d.join(d.select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("t")), "doc_id")
-    rows = both.select("doc_id", F.explode(T.term_occurrences(F.col("text"), F.col("t"))).alias("o"))
+    rows = both.select("doc_id", F.explode(alignment.term_occurrences(F.col("text"), F.col("t"))).alias("o"))
     h = lambda c: F.sha2(F.col(c).cast("binary"), 256)
     return rows.select("doc_id", "o.term", "o.nth", "o.source_start", "o.translated_start", h("o.before").alias("before_sha256"), h("o.after").alias("after_sha256"), "o.action")
 
