@@ -62,9 +62,7 @@ r AS (SELECT *, list_reduce(s, lambda a, x: CASE WHEN x.k = 'blank' OR (x.k = 'b
 SELECT source, unnest(pages) AS page, unnest(kinds) AS kind, unnest(r.o) AS section FROM r""")
 def book_sections(spark, sf_dir):
     kind = F.when(F.length("text") < 60, "blank").when(F.col("doc_id") % 13 == 0, "chapter").when(F.col("doc_id") % 17 == 0, "appendix").otherwise("body")
-    rows = pages(spark, sf_dir, kind=kind).groupBy("source").agg(F.array_sort(F.collect_list(F.struct("page", "kind"))).alias("p"))
-    numbered = rows.select("source", F.explode(F.arrays_zip(F.col("p.page").alias("page"), F.col("p.kind").alias("kind"), folds.section_types(F.col("p.kind")).alias("section"))).alias("r"))
-    return numbered.select("source", "r.page", "r.kind", "r.section")
+    return book.sections(pages(spark, sf_dir, kind=kind)).select("source", "page", "kind", "section")
 
 
 @query("index_tree", """WITH l AS (SELECT conv_id, list({'turn': turn, 'level': CAST(length(text) % 3 AS INTEGER)} ORDER BY turn, length(text) % 3) AS e FROM conversations GROUP BY conv_id),

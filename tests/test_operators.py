@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -123,3 +124,22 @@ def test_files(spark, tmp_path):
 def test_import_codes(spark):
     df = spark.createDataFrame([("p", 1, "t"), ("p", 2, "t"), ("q", 3, "t"), ("q", 4, "t"), ("q", 5, " "), ("q", 6, None)], "project string, i int, text string")
     assert [r.code for r in files.import_codes(df, "project", "i", "text").orderBy("i").collect()] == ["accepted", "duplicate_in_project", "reused_immutable_source", "duplicate_in_project", "unreadable", "unreadable"]
+
+
+def test_running_counts_across_ranges(spark, monkeypatch):
+    chance = random.Random(5)
+    kinds = [chance.choice(["blank", "chapter", "appendix", "body", "body", "index"]) for _ in range(60)]
+    rows_ = [("b", i, k) for i, k in enumerate(kinds, 1)] + [(None, i, k) for i, k in enumerate(["blank", "body", "body", "index", "blank", "index"], 1)]
+    want = []
+    for source, first in (("b", kinds), (None, [k for s, _, k in rows_ if s is None])):
+        n, now = 0, ""
+        for page, kind in enumerate(first, 1):
+            if not ((kind == "blank" and n) or (kind == "body" and now == "chapter") or (kind == now and kind not in ("chapter", "blank"))):
+                n, now = n + 1, "chapter" if kind == "body" and not n else kind
+            want.append((source, page, n))
+    for size in (1 << 20, 7):
+        monkeypatch.setattr(book, "RANGE", size)
+        pages = book.numbered_pages(spark.createDataFrame(rows_, "source string, doc_id long, kind string"))
+        got = book.sections(pages)
+        assert sorted(map(tuple, got.select("source", "page", "section").collect()), key=repr) == sorted(want, key=repr)
+        assert "collect_list" not in got._jdf.queryExecution().optimizedPlan().toString()
