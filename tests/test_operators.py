@@ -126,6 +126,19 @@ def test_import_codes(spark):
     assert [r.code for r in files.import_codes(df, "project", "i", "text").orderBy("i").collect()] == ["accepted", "duplicate_in_project", "reused_immutable_source", "duplicate_in_project", "unreadable", "unreadable"]
 
 
+def test_pages_get_their_own_running_lines_alone(spark):
+    """Keys of a book are not carried to its pages, rows of one id are told by their texts, long lines and ß count as before."""
+    header = "ß" * 50
+    texts = [f"{header}\nfirst body\nw\ny\nz\nlast", f" {header.replace('ß', 'ss')} ...\nother body\nw\ny\nz\nend", "plain\r\ntext", None]
+    pages = spark.createDataFrame([("b", 1, texts[0]), ("b", 1, texts[1]), ("b", None, texts[2]), (None, 4, texts[0])], "source string, doc_id int, text string")
+    out = book.strip_running_artifacts(pages, spark.createDataFrame([("b", "ss" * 50), ("b", "unused")], "source string, key string"))
+    assert sorted(map(tuple, out.select("source", "doc_id", "text", "n_artifacts").collect()), key=repr) == sorted(
+        [("b", 1, "first body\nw\ny\nz\nlast", 1), ("b", 1, "other body\nw\ny\nz\nend", 1), ("b", None, "plain\ntext", 0), (None, 4, texts[0], 0)], key=repr
+    )
+    groups = [x for x in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "collect_set" in x]
+    assert groups and all("doc_id" in x.split("], [")[0] for x in groups)
+
+
 def test_running_counts_across_ranges(spark, monkeypatch):
     chance = random.Random(5)
     kinds = [chance.choice(["blank", "chapter", "appendix", "body", "body", "index"]) for _ in range(60)]
