@@ -78,3 +78,16 @@ def test_picks_are_those_of_picking_one_by_one(spark):
                 want.add((g, kind, best))
     got = queue.picked(spark.createDataFrame(rows, "g string, i long, x int, y int, fit boolean").repartition(4), "g", "i", kinds).collect()
     assert len(got) == len(want) and {tuple(r) for r in got} == want
+
+
+def test_no_table_of_edges_passes_through_the_driver(spark):
+    """Small tables are not broadcast either: what the driver gets would grow with the fragments until they are too large."""
+    edges = spark.createDataFrame([(i + 1, i) for i in range(50)], "a long, b long")
+    star = components._stars(edges)
+    blocks = components.reconstructed(
+        edges.select(F.col("a").alias("node"), F.col("a").alias("rank"), F.lit("x").alias("text")), edges.select("a", "b", F.lit("insert_space").alias("operation"), F.lit(True).alias("join"), F.lit(False).alias("veto"))
+    )
+    for df in (star, components.components(edges.select(F.col("a").alias("node")), edges), blocks):
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "Join" in plan and "Broadcast" not in plan
