@@ -62,3 +62,23 @@ def test_no_pair_is_formed_outside_a_shared_cell(spark):
     met = regions.overlapping(df, df.withColumnRenamed("id", "other").withColumnRenamed("other", "id"), ["page"], 1e-9)
     assert met.count() == n * n
     assert "_x" in met._jdf.queryExecution().optimizedPlan().toString()
+
+
+@pytest.mark.parametrize("few", [0, 20, 1000])
+def test_pages_of_few_boxes_are_one_cell(spark, monkeypatch, few):
+    """The same pairs whichever pages are dealt to a grid; a page of few boxes is not copied to its cells."""
+    monkeypatch.setattr(regions, "FEW", few)
+    left, right = made(60, 5, pages=2) + made(9, 6, pages=5)[:9], made(50, 7, pages=2)
+    want = sorted((a[1], b[1]) for a in left for b in right if whole(a) and whole(b) and a[0] == b[0] and ratio(a, b, False) >= 0.2)
+    got = regions.overlapping(spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA), ["page"], 0.2).collect()
+    assert sorted((r.left.id, r.right.id) for r in got) == want
+
+
+def test_kinds_of_matches_take_one_join_of_boxes(spark):
+    left, right = made(80, 8), [(*r, "AR"[r[1] % 2]) for r in made(60, 9) if r[0] is not None]
+    a, b = spark.createDataFrame(left, SCHEMA), spark.createDataFrame(right, SCHEMA + ", flag string")
+    kinds = {"one": (["A"], 0.3), "two": (["R"], 0.5), "both": (["A", "R"], 0.3)}
+    out = regions.matches(a, b, ["page"], {k: (lambda r, flags=flags: r["flag"].isin(flags), share) for k, (flags, share) in kinds.items()}, ("flag",))
+    best = lambda r, flags, share: min((s[1] for s in right if s[6] in flags and whole(r) and whole(s) and r[0] == s[0] and ratio(r, s, False) >= share), default=None)
+    assert sorted(repr(tuple(r)) for r in out.collect()) == sorted(repr((*r, *(best(r, *k) for k in kinds.values()))) for r in left)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join Inner") == 1
