@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quire.llm.text import binary_view, lean, lower_ascii, row_chunks, trimmed, whole_text, written
+from quire.llm.text import binary_view, dropped, lean, lower_ascii, row_chunks, trimmed, whole_text, written
 
 #: Steps and penalty of the classifier's fit.
 STEPS, PENALTY = 60, 0.02
@@ -38,14 +38,17 @@ DISGUISED = re.compile(rf"[^\W\d_][{SIGNS}]+[^\W\d_]|[{re.escape(''.join(LEET))}
 #: Where the lattice of a word has more than one path.
 BRANCHES = re.compile(rf"[{SIGNS}]|([^\W\d_])\1")
 EDGE = ".,;:!?\"'()[]{}<>«»„“”‚‘’…-–—*_~`"
-#: Two or more words of up to three characters, closing signs aside.
-SHORT = re.compile(r"(?<!\S)\S{1,3}[.,;:!?]*(?:\s+\S{1,3}[.,;:!?]*)+(?!\S)")
+OUTER = frozenset(EDGE)
+#: Two or more words of up to three characters, closing signs aside, behind a space, which is found sooner than a word's edge.
+SHORT = re.compile(r"\s(\S{1,3}[.,;:!?]*(?:\s+\S{1,3}[.,;:!?]*)+(?!\S))")
 #: Three or more single characters within such a run.
 SPELLED = re.compile(r"(?<!\S)[^\W_](?:\s+[^\W_]){2,}(?!\S)")
 #: Characters of a word put together from short words at most.
 LONGEST = 32
 #: Symbols of the character model: 0 the word's edge, 1 to 26 letters, 27 figures, 28 bytes of other letters, 29 the rest.
 SYMBOLS = 30
+#: Characters by which words that cannot have a known feature are told.
+HEAD = 8
 KEPT, READ, DROPPED, REPEATED, JOINED = 0.05, 1.0, 1.5, 1.5, 1.0
 
 
@@ -142,7 +145,8 @@ def restored(word: str, model: list) -> str:
     if word.startswith("!") and word[1:2].isalpha():
         # may stand for a letter: it goes if it is read as a sign
         bare = "!" + bare
-    return decoded(bare, model).strip(EDGE) if DISGUISED.search(bare) else bare
+    # what is disguised has signs or letters twice running, which are found sooner
+    return decoded(bare, model).strip(EDGE) if BRANCHES.search(bare) and DISGUISED.search(bare) else bare
 
 
 def segmented(tokens: list[str], read) -> list[str]:
@@ -175,11 +179,51 @@ NONE: list[str] = []
 
 
 class Reader:
-    """Words of texts as features, with those of words met before kept up to a bound."""
+    """Words of texts as features, with those of words met before kept up to a bound. With ``known``, features in it alone."""
 
     def __init__(self, model: list, known: dict[str, float] | None = None, keep: int = 200_000, lexicon: dict[str, float] | None = None):
         self.model, self.known, self.keep, self.memo = model, known, keep, {}
-        self.lexicon, self.parts, self.runs, self.blank = lexicon or {}, {}, {}, set()
+        self.lexicon, self.parts, self.runs, self.blank, self.heads = lexicon or {}, {}, {}, set(), {}
+        # how a word with a known feature begins, or all of it; a word may begin with = itself
+        self.starts = {w[:HEAD] for f in known or () for w in ((f[1:], f) if f[0] == "=" else (f,))}
+        self.stems = {w[:n] for w in self.starts for n in range(len(w))}
+
+    def hopeful(self, text: str, at: int = 0) -> bool:
+        """Whether a word that stands at ``at`` can have a known feature, however it is read and read again, and wherever it ends.
+
+        False is certain, and most words end here after four characters.
+        """
+        for n in (4, HEAD):
+            head = text[at : at + n]
+            out = self.heads.get(head)
+            if out is None:
+                if len(self.heads) >= self.keep:
+                    self.heads.clear()
+                # four characters come first as the beginning of more, which holds for a word of four as well
+                out = self.heads[head] = self.follow(head, len(head) == n)
+            if not out:
+                return False
+        return self.follow(text[at : at + 4 * LONGEST], len(text) > at + 4 * LONGEST)
+
+    def follow(self, head: str, more: bool) -> bool:
+        """Whether a word that begins with ``head`` can have a known feature; it is more than that with ``more``."""
+        if OUTER.isdisjoint(head) and not BRANCHES.search(head):
+            # every reading begins so
+            return any(head[:n] in self.starts for n in range(1, HEAD + 1)) or more and head in self.stems
+        stems, before = {""}, ""
+        for char in head:
+            options = char + LEET.get(char, "")
+            dropped = char in NOISE or char == before and char.isalpha()
+            after = {stem + c for stem in stems for c in options}
+            if not after.isdisjoint(self.starts):
+                return True
+            after &= self.stems
+            # noise goes, outer signs go, and a letter that is read as the one before may be taken for its repetition
+            after.update(stem for stem in stems if dropped or (stem[-1] in options if stem else char in OUTER))
+            if not after:
+                return False
+            stems, before = after, char
+        return more
 
     def part(self, word: str) -> tuple[float, str]:
         """Cost and text of a word of a run: what the character model reads, at the lexicon's cost where that is less."""
@@ -196,14 +240,27 @@ class Reader:
             out = self.parts[word] = cost, text
         return out
 
+    def promising(self, tokens: list[str]) -> bool:
+        """Whether a word put together from these tokens can have a known feature."""
+        text, at = "".join(tokens), 0
+        for token in tokens:
+            if self.hopeful(text, at):
+                return True
+            at += len(token)
+        return False
+
     def run(self, run: str) -> set[str]:
         """Features of a run of short words."""
         out = self.runs.get(run)
         if out is None:
-            words = segmented(run.split(), self.part)
-            # letters alone are also read as one word
-            words += ["".join(m[0].split()) for m in SPELLED.finditer(run)]
-            out = {f for w in words for f in self.of(w)}
+            tokens = run.split()
+            if self.known is None or self.promising(tokens):
+                words = segmented(tokens, self.part)
+                # letters alone are also read as one word
+                words += ["".join(m[0].split()) for m in SPELLED.finditer(run)]
+                out = {f for w in words for f in self.of(w)}
+            else:
+                out = set()
             if len(run) <= 4 * LONGEST:
                 if len(self.runs) >= self.keep:
                     self.runs.clear()
@@ -213,9 +270,10 @@ class Reader:
     def of(self, word: str) -> list[str]:
         out = NONE if word in self.blank else self.memo.get(word)
         if out is None:
-            out = features(restored(word, self.model))
-            if self.known is not None:
-                out = [f for f in out if f in self.known] or NONE
+            if self.known is None:
+                out = features(restored(word, self.model))
+            else:
+                out = [f for f in features(restored(word, self.model)) if f in self.known] if self.hopeful(word) else NONE
             if out:
                 if len(self.memo) >= self.keep:
                     self.memo.clear()
@@ -230,10 +288,10 @@ class Reader:
         text = text.lower()
         words = set(text.split())
         found: set[str] = set()
-        for run in set(SHORT.findall(text)):
+        for run in set(SHORT.findall(" " + text)):
             found |= self.run(run)
         # most words say nothing and are passed over together
-        for word in words - self.blank:
+        for word in words - self.blank if self.known is None else [w for w in words - self.blank if self.heads.get(w[:4], True)]:
             found.update(self.of(word))
         return found
 
@@ -251,27 +309,31 @@ def fitted(rows: DataFrame, names: list[str], good: int, bad: int) -> tuple[np.n
     not toxic and ``bad`` are: the penalised likelihood is summed where the rows are, and rows alike count as one of their number."""
     if not names or not good or not bad:
         return np.zeros(len(names)), math.log((bad + 1) / (good + 1))
-    own = F.array_sort(F.array_intersect("features", F.lit(names)))
-    alike = rows.select(F.col("toxic").cast("double").alias("label"), own.alias("own")).groupBy("label", "own").agg(F.count("*").cast("double").alias("weight"))
+    # a set of the names made once; and rows counted once, as the fit reads them several times
+    own = F.array_sort(F.filter("features", lambda f: f.isin(names)))
+    alike = written(rows.select(F.col("toxic").cast("double").alias("label"), own.alias("own")).groupBy("label", "own").agg(F.count("*").cast("double").alias("weight")))
     vectors = CountVectorizerModel.from_vocabulary(names, "own", "vector").transform(alike).select("label", "vector", "weight")
     found = LogisticRegression(featuresCol="vector", weightCol="weight", maxIter=STEPS, regParam=PENALTY / (good + bad), standardization=False).fit(vectors)
+    dropped(alike)
     return found.coefficients.toArray(), float(found.intercept)
 
 
-def telling(rows: DataFrame, limit: int) -> list[str]:
+def counted(rows: DataFrame) -> DataFrame:
+    """In how many of all ``rows`` (toxic, features) and of the toxic ones each feature is, three at least."""
+    return rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n")).where("n >= 3")
+
+
+def telling(counts: DataFrame, good: int, bad: int, limit: int) -> list[str]:
     """Of features more often in toxic rows than not, in three of them at least, those furthest from chance."""
-    whole = rows.agg(F.count("*").alias("n"), F.sum("toxic").alias("bad")).first()
-    rate = (whole["bad"] or 0) / max(1, whole["n"])
-    counts = rows.select("toxic", F.explode("features").alias("feature")).groupBy("feature").agg(F.sum("toxic").alias("bad"), F.count("*").alias("n"))
+    rate = bad / max(1, good + bad)
     gain = (F.col("bad") - F.col("n") * rate) / F.sqrt(F.greatest(F.col("n") * (rate * (1 - rate)), F.lit(1e-9)))
     best = counts.where((F.col("bad") >= 3) & (F.col("bad") > 0.5 * F.col("n"))).orderBy(gain.desc(), "feature").limit(limit)
     return [r["feature"] for r in best.collect()]
 
 
-def common_words(rows: DataFrame, limit: int) -> dict[str, float]:
+def common_words(counts: DataFrame, limit: int) -> dict[str, float]:
     """-log of the share of the commonest words, in three labelled rows at least."""
-    counts = rows.select(F.explode("features").alias("feature")).where("feature like '=%'").groupBy("feature").agg(F.count("*").alias("n"))
-    best = counts.where("n >= 3").orderBy(F.desc("n"), "feature").limit(limit).collect()
+    best = counts.where("feature like '=%'").orderBy(F.desc("n"), "feature").limit(limit).collect()
     total = sum(r["n"] for r in best)
     return {r["feature"][1:]: math.log(total / r["n"]) for r in best}
 
@@ -310,10 +372,13 @@ def classifier(docs: DataFrame, labels: DataFrame):
     shown = docs.select("doc_id", whole_text().alias("bytes")).join(picked, "doc_id").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("bytes").alias("bytes"))
     rows = shown.select("toxic", "bytes").mapInArrow(lambda it: trimmed(_featured(it, sent)), "toxic int, features array<string>")
     rows = written(rows.withColumn("toxic", (F.col("toxic") > 0).cast("int")))
-    names = telling(rows, FEATURES)
     kinds = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    weights, bias = fitted(rows, names, kinds.get(0, 0), kinds.get(1, 0))
-    lexicon = common_words(rows, LEXICON)
+    good, bad = kinds.get(0, 0), kinds.get(1, 0)
+    counts = written(counted(rows))
+    names = telling(counts, good, bad, FEATURES)
+    weights, bias = fitted(rows, names, good, bad)
+    lexicon = common_words(counts, LEXICON)
+    dropped(rows, counts)
     rarest = max(lexicon.values(), default=0.0)
     lexicon = {n[1:]: rarest for n in names if n[0] == "="} | lexicon
     return context.broadcast((model, dict(zip(names, weights.tolist())), bias, lexicon))

@@ -256,6 +256,42 @@ def test_toxicity_learns_from_all_labelled_rows(spark):
     assert {r.doc_id for r in out.collect()} == {r.doc_id for r in rows.where("toxic = 1").collect()}
 
 
+def test_toxicity_decodes_what_can_be_a_known_feature_alone(monkeypatch):
+    """Texts of signs, noise, repeated letters and short words: the same features as without a bound on them, by fewer readings."""
+    rng = np.random.default_rng(4)
+    counts = rng.random((toxicity.SYMBOLS,) * 3) ** 4 + 0.001
+    model = (-np.log(counts / counts.sum(axis=2, keepdims=True))).tolist()
+    words = ["".join(rng.choice(list("abcssui41$(!µ.-'\")=é_"), rng.integers(1, 12))) for _ in range(3000)]
+    texts = [" ".join(words[i : i + 10]) for i in range(0, 3000, 10)]
+    full = toxicity.Reader(model)
+    found = [full.read(text) for text in texts]
+    every = sorted(set().union(*found))
+    for size in (1, 5, 40, 400):
+        known = dict.fromkeys(rng.choice(every, size).tolist(), 1.0)
+        reader = toxicity.Reader(model, known)
+        assert [reader.read(text) for text in texts] == [own & known.keys() for own in found]
+        again = toxicity.Reader(model, known, keep=3)
+        assert [again.read(text) for text in texts[:30]] == [own & known.keys() for own in found[:30]]
+    read = []
+    monkeypatch.setattr(toxicity, "reading", lambda word, model, own=toxicity.reading: read.append(word) or own(word, model))
+    reader = toxicity.Reader(model, {"=idiot": 1.0, "idio": 1.0})
+    assert reader.read("p1ain w0rds, sooo pla.in, and so it is or is not a b c") == set() and not read
+    assert "=idiot" in toxicity.Reader(model, {"=idiot": 1.0}, lexicon={"idiot": 0.0}).read("an id io t") and read
+
+
+def test_toxicity_counts_rows_of_the_fit_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = spark.createDataFrame([(i % 2, ["=bad", "x"] if i % 2 else ["=good", "x"]) for i in range(40)], "toxic int, features array<string>")
+    weights, _ = toxicity.fitted(rows.mapInArrow(count, rows.schema), ["=bad"], 20, 20)
+    assert weights[0] > 0 and seen.value == 40
+
+
 def test_toxicity(spark):
     table = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = {r.doc_id: r.toxic for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
