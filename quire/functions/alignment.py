@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import bisect
+import heapq
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -148,81 +150,168 @@ def _longest(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best
 
 
-#: Characters of the shortest runs that are listed, and how many of their places a character of a text may have on average.
-GRAM, PLACES = 8, 32
+#: Characters of the shortest runs that are listed first, how many runs are listed at most, and how many of them are looked at one by one.
+GRAM, RUNS, CLOSER = 8, 1 << 19, 1 << 14
 Runs = tuple[np.ndarray, np.ndarray, np.ndarray]
+Part = tuple[int, int, int, int]
+
+
+def _names(z: np.ndarray, letters: int, g: int) -> tuple[np.ndarray, int]:
+    """Numbers of the strings of g characters that begin at each place, equal for equal strings alone, and a bound of them."""
+    n, size = 1, letters
+    while n < g:
+        step = min(n, g - n)
+        if size >= 1 << 31:
+            z = np.unique(z, return_inverse=True)[1]
+            size = int(z.max()) + 1
+        z = z[:-step] * size + z[step:]
+        n, size = n + step, size * size
+    if size >= (1 << 62) // (letters + 2):
+        z = np.unique(z, return_inverse=True)[1]
+        size = int(z.max()) + 1
+    return z, size
+
+
+def _edges(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, sides: int) -> np.ndarray | None:
+    """Places of strings that both hold, where what stands beside them (x and y, below ``sides``) differs: sorted keys of diagonal and
+    place in the left one. None if there are more than RUNS."""
+    keys = right * sides + y
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    low, high = np.searchsorted(keys, left * sides), np.searchsorted(keys, (left + 1) * sides)
+    i = np.flatnonzero(low < high)
+    low, high, own = low[i], high[i], left[i] * sides + x[i]
+    # those of the same string that have the same beside them are left out
+    upto, since = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
+    i, begin, count = np.r_[i, i], np.r_[low, since], np.r_[upto - low, high - since]
+    total = int(count.sum())
+    if total > RUNS:
+        return None
+    j = order[np.arange(total) + np.repeat(begin - np.cumsum(count) + count, count)]
+    i = np.repeat(i, count)
+    out = (j - i + len(left)) * (len(left) + len(right)) + i
+    out.sort()
+    return out
 
 
-def _runs(a: np.ndarray, b: np.ndarray) -> Runs | None:
-    """All runs of ``GRAM`` characters or more that both hold and that go no further: where they begin in a, in b, and their lengths. None
-    for texts that repeat themselves too much for that."""
-    none = np.empty(0, np.int64)
-    if min(len(a), len(b)) < GRAM:
-        return none, none, none
-    left, right = np.zeros(len(a) - GRAM + 1, np.uint64), np.zeros(len(b) - GRAM + 1, np.uint64)
-    for g in range(GRAM):
-        for grams, x in ((left, a), (right, b)):
-            grams *= np.uint64(0x9E3779B97F4A7C15)
-            grams += x[g : g + len(grams)]
-    order = np.argsort(right, kind="stable")
-    right = right[order]
-    low, high = np.searchsorted(right, left, "left"), np.searchsorted(right, left, "right")
-    count = high - low
-    total = int(count.sum())
-    if total > PLACES * (len(a) + len(b)):
+def _runs_of(x: np.ndarray, y: np.ndarray, letters: int, g: int) -> Runs | None:
+    """All runs of g characters or more that both hold and that go no further: where they begin in x, in y, and their lengths. None if
+    there are more than RUNS; places within runs are not listed."""
+    names, size = _names(np.r_[x, y], letters, g)
+    left, right = names[: len(x) - g + 1], names[len(x) :]
+    # nothing stands beside the first and the last character, which is unlike anything
+    starts = _edges(left, right, np.r_[letters, x[: len(left) - 1]], np.r_[letters + 1, y[: len(right) - 1]], letters + 2)
+    if starts is None:
         return None
-    i = np.repeat(np.arange(len(left)), count)
-    j = order[np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)]
-    # places on one diagonal, one behind the other, are one run
-    by = np.lexsort((i, i - j))
-    i, j = i[by], j[by]
-    first = np.flatnonzero(np.r_[True, (i[1:] != i[:-1] + 1) | (j[1:] != j[:-1] + 1)]) if total else none
-    return i[first], j[first], np.diff(np.r_[first, total]) + GRAM - 1
+    ends = _edges(left, right, np.r_[x[g:], letters], np.r_[y[g:], letters + 1], letters + 2)
+    # the starts and ends of a diagonal take turns
+    i = starts % (len(left) + len(right))
+    return i, starts // (len(left) + len(right)) - len(left) + i, ends - starts + g
+
+
+def _runs(x: np.ndarray, y: np.ndarray, letters: int, below: int) -> tuple[int, Runs | None]:
+    """The runs of g characters or more, and g: ``GRAM``, or less if all are known to be below that, or as many as leave no more than RUNS
+    of them. None if runs of that length alone are more."""
+    g = GRAM if below > GRAM else below // 2
+    none = np.empty(0, np.int64)
+    low, high = g - 1, min(below, len(x) + 1, len(y) + 1)
+    if g >= high:
+        return g, (none, none, none)
+    least = g
+    while low < g < high:
+        runs = _runs_of(x, y, letters, g)
+        if runs is None:
+            low, g = g, min(2 * g, (g + high) // 2)
+        elif len(runs[0]) or g == least:
+            return g, runs
+        else:
+            high, g = g, (low + g) // 2
+    return high, None
 
 
-def _within(runs: Runs, al: int, ah: int, bl: int, bh: int) -> Runs:
-    """What of the runs lies within a part of both texts, if that is still long enough to be listed."""
+def _cut(runs: Runs, part: Part, least: int) -> tuple[list[tuple[int, int, int]], list[Part]]:
+    """The blocks of ``least`` characters or more, the longest first, and the parts between them.
+
+    A run is cut to its part when it is its turn: what was found before is as long at least, so the run reaches into one part at most,
+    that at its beginning or the next. Each run is held once, whatever the parts.
+    """
     i, j, k = runs
-    cut = np.maximum(np.maximum(al - i, bl - j), 0)
-    k = np.minimum(np.minimum(k, ah - i), bh - j) - cut
-    keep = k >= GRAM
-    cut = cut[keep]
-    return i[keep] + cut, j[keep] + cut, k[keep]
+    al, ah, bl, bh = ([v] for v in part)
+    width, found, size = part[1] + 1, [], 16
+    while len(k) and ah:
+        low_a, high_a, low_b, high_b = map(np.array, (al, ah, bl, bh))
+        p = np.searchsorted(high_a, i, "right")
+        keep = p < len(ah)
+        i, j, k, p = i[keep], j[keep], k[keep], p[keep]
+        away = j - i
+        start, end = np.maximum(np.maximum(i, low_a[p]), low_b[p] - away), np.minimum(np.minimum(i + k, high_a[p]), high_b[p] - away)
+        keep = end - start >= least
+        i, k, away = start[keep], (end - start)[keep], away[keep]
+        j = i + away
+        # the longest first, of those the first in a, and of those the first in b
+        rank = (width - k) * width + i
+        last = int(np.partition(rank, size)[size]) if len(rank) > size else width * width
+        now = rank <= last
+        heap, later = sorted(zip(rank[now].tolist(), j[now].tolist())), []
+        i, j, k = i[~now], j[~now], k[~now]
+        while heap:
+            r, v = heapq.heappop(heap)
+            u, n = r % width, width - r // width
+            p = bisect.bisect_right(ah, u)
+            if p == len(ah):
+                continue
+            start, end = max(u, al[p], bl[p] - v + u), min(u + n, ah[p], bh[p] - v + u)
+            if end - start < least:
+                continue
+            if end - start < n:
+                r, v = (width - end + start) * width + start, v - u + start
+                if r <= last:
+                    heapq.heappush(heap, (r, v))
+                else:
+                    later.append((start, v, end - start))
+                continue
+            found.append((u, v, n))
+            sides = [s for s in ((al[p], u, bl[p], v), (u + n, ah[p], v + n, bh[p])) if s[0] < s[1] and s[2] < s[3]]
+            for into, place in ((al, 0), (ah, 1), (bl, 2), (bh, 3)):
+                into[p : p + 1] = [s[place] for s in sides]
+        if later:
+            i, j, k = (np.r_[old, new] for old, new in zip((i, j, k), np.array(later).T))
+        size = min(2 * size, CLOSER)
+    return found, list(zip(al, ah, bl, bh))
 
 
 def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
     """The blocks of SequenceMatcher without its guess at junk, in order, adjacent ones joined; long texts do not take time in proportion
-    to their product: their common runs are listed once and cut to each part, or, where too many, found by hashes part by part."""
+    to their product, nor memory beyond their lengths and RUNS: their common runs are listed, the longest ones alone where there are
+    too many, then those of the parts between them."""
+    if a == b:
+        return [(0, 0, len(a))] if a else []
     x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") for s in (a, b))
-    todo: list[tuple[int, int, int, int, Runs | None]] = [(0, len(a), 0, len(b), None)]
+    letters = 0
+    if len(a) * len(b) > SMALL:
+        distinct, names = np.unique(np.r_[x, y], return_inverse=True)
+        x, y, letters = names[: len(x)], names[len(x) :], len(distinct)
+    #: Parts, and what no common run of them is as long as.
+    todo = [(0, len(a), 0, len(b), max(len(a), len(b)) + 1)]
     found: list[tuple[int, int, int]] = []
     while todo:
-        al, ah, bl, bh, runs = todo.pop()
-        if al >= ah or bl >= bh:
+        al, ah, bl, bh, below = todo.pop()
+        if al >= ah or bl >= bh or below == 1:
             continue
-        part, large = None, (ah - al) * (bh - bl) > SMALL
-        if runs is None and large:
-            runs = _runs(x[al:ah], y[bl:bh])
-            runs = runs and (runs[0] + al, runs[1] + bl, runs[2])
-        elif runs is not None:
-            runs = _within(runs, al, ah, bl, bh)
-        if runs is not None and len(runs[0]):
-            i, j, k = runs
-            longest = np.flatnonzero(k == k.max())
-            # the first in a, and of those the first in b
-            longest = longest[i[longest] == i[longest].min()]
-            best = longest[np.argmin(j[longest])]
-            part = [(int(i[best]) - al, int(j[best]) - bl, int(k[best]))]
-        elif large:
-            part = [_longest(x[al:ah], y[bl:bh])]
-        # hashes may agree by chance, if hardly ever
-        if part and np.array_equal(x[al + part[0][0] : al + sum(part[0][::2])], y[bl + part[0][1] : bl + sum(part[0][1:])]):
-            i, j, k = part[0]
-            part = part if k else []
-            todo += [(al, al + i, bl, bl + j, runs), (al + i + k, ah, bl + j + k, bh, runs)] if k else []
-        else:
+        parts, part = [], None
+        if (ah - al) * (bh - bl) > SMALL:
+            below, runs = _runs(x[al:ah], y[bl:bh], letters, below)
+            if runs is not None:
+                part, parts = _cut(runs, (0, ah - al, 0, bh - bl), below)
+            else:
+                i, j, k = _longest(x[al:ah], y[bl:bh])
+                # hashes may agree by chance, if hardly ever
+                if np.array_equal(x[al + i : al + i + k], y[bl + j : bl + j + k]):
+                    part, parts = [(i, j, k)] if k else [], [(0, i, 0, j), (i + k, ah - al, j + k, bh - bl)] if k else []
+        if part is None:
             part = SequenceMatcher(None, a[al:ah], b[bl:bh], False).get_matching_blocks()[:-1]
         found += [(al + i, bl + j, k) for i, j, k in part]
+        todo += [(al + i, al + n, bl + j, bl + m, below) for i, n, j, m in parts]
     out: list[tuple[int, int, int]] = []
     for i, j, k in sorted(found):
         if out and out[-1][0] + out[-1][2] == i and out[-1][1] + out[-1][2] == j:

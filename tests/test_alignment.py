@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import time
+import tracemalloc
 import unicodedata
 from difflib import SequenceMatcher
 
@@ -110,6 +111,28 @@ def test_matching_blocks_of_pages_are_those_of_the_library_and_found_in_a_share_
     assert spent < plain / 4
 
 
+def test_matching_blocks_take_memory_in_proportion_to_the_texts(monkeypatch):
+    """A line that goes on, of which the other text has every second word, takes a cut for each word of many runs: the runs are held once. Those
+    listed are bounded, whatever the bound, with the same blocks."""
+    chance = random.Random(5)
+    words = ["".join(chance.choice("ETAOINSHR") for _ in range(chance.randrange(2, 7))) for _ in range(101)]
+    b = "".join(w + "!! " for w in words) * 59
+    a = re.sub(r"([.!?]) +\S+", r"\1", b)
+    tracemalloc.start()
+    got = alignment.matching_blocks(a, b)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
+    assert got == sorted(got) and all(a[i : i + k] == b[j : j + k] for i, j, k in got)
+    for most, closer in ((0, 16), (5, 1), (60, 16), (1000, 4)):
+        monkeypatch.setattr(alignment, "RUNS", most)
+        monkeypatch.setattr(alignment, "CLOSER", closer)
+        for start, letters in ((0, "ab"), (3000, "abcdefgh "), (6000, "é😀x")):
+            left = a[start : start + 500] + "".join(chance.choice(letters) for _ in range(200))
+            right = "".join(chance.choice(letters) for _ in range(200)) + b[start : start + 900]
+            assert alignment.matching_blocks(left, right) == [tuple(m) for m in SequenceMatcher(None, left, right, False).get_matching_blocks()[:-1]]
+
+
 def test_page_comparison_over_the_table(spark, sf_dir):
     rows = {r.doc_id: r for r in plans.compared_pages(spark, sf_dir).collect()}
     plain = lambda s: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s or "")).strip()
