@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import bisect
 import heapq
+import unicodedata
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
@@ -175,15 +177,27 @@ def _names(z: np.ndarray, letters: int, g: int) -> tuple[np.ndarray, int]:
 def _edges(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, sides: int) -> np.ndarray | None:
     """Places of strings that both hold, where what stands beside them (x and y, below ``sides``) differs: sorted keys of diagonal and
     place in the left one. None if there are more than RUNS."""
-    keys = right * sides + y
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    low, high = np.searchsorted(keys, left * sides), np.searchsorted(keys, (left + 1) * sides)
-    i = np.flatnonzero(low < high)
-    low, high, own = low[i], high[i], left[i] * sides + x[i]
+    n, keys = len(left), np.concatenate((left * sides + x, right * sides + y))
+    order = np.argsort(keys)
+    keys, ours = keys[order], order < n
+    theirs = np.zeros(len(keys) + 1, np.int64)
+    np.cumsum(~ours, out=theirs[1:])
+
+    def counted(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each of the left string's places in order, how many of the right one's come before its key, and up to it."""
+        begins = np.empty(len(keys) + 1, bool)
+        begins[0] = begins[-1] = True
+        np.not_equal(keys[1:], keys[:-1], out=begins[1:-1])
+        before, group = theirs[begins], (np.cumsum(begins[:-1]) - 1)[ours]
+        return before[group], before[group + 1]
+
+    low, high = counted(keys // sides)
     # those of the same string that have the same beside them are left out
-    upto, since = np.searchsorted(keys, own), np.searchsorted(keys, own, "right")
-    i, begin, count = np.r_[i, i], np.r_[low, since], np.r_[upto - low, high - since]
+    upto, since = counted(keys)
+    i, order = order[ours], order[~ours] - n
+    i, begin, count = map(np.concatenate, ((i, i), (low, since), (upto - low, high - since)))
+    keep = count > 0
+    i, begin, count = i[keep], begin[keep], count[keep]
     total = int(count.sum())
     if total > RUNS:
         return None
@@ -197,13 +211,14 @@ def _edges(left: np.ndarray, right: np.ndarray, x: np.ndarray, y: np.ndarray, si
 def _runs_of(x: np.ndarray, y: np.ndarray, letters: int, g: int) -> Runs | None:
     """All runs of g characters or more that both hold and that go no further: where they begin in x, in y, and their lengths. None if
     there are more than RUNS; places within runs are not listed."""
-    names, size = _names(np.r_[x, y], letters, g)
+    names, size = _names(np.concatenate((x, y)), letters, g)
     left, right = names[: len(x) - g + 1], names[len(x) :]
     # nothing stands beside the first and the last character, which is unlike anything
-    starts = _edges(left, right, np.r_[letters, x[: len(left) - 1]], np.r_[letters + 1, y[: len(right) - 1]], letters + 2)
+    ours, theirs = [letters], [letters + 1]
+    starts = _edges(left, right, np.concatenate((ours, x[: len(left) - 1])), np.concatenate((theirs, y[: len(right) - 1])), letters + 2)
     if starts is None:
         return None
-    ends = _edges(left, right, np.r_[x[g:], letters], np.r_[y[g:], letters + 1], letters + 2)
+    ends = _edges(left, right, np.concatenate((x[g:], ours)), np.concatenate((y[g:], theirs)), letters + 2)
     # the starts and ends of a diagonal take turns
     i = starts % (len(left) + len(right))
     return i, starts // (len(left) + len(right)) - len(left) + i, ends - starts + g
@@ -275,7 +290,7 @@ def _cut(runs: Runs, part: Part, least: int) -> tuple[list[tuple[int, int, int]]
             for into, place in ((al, 0), (ah, 1), (bl, 2), (bh, 3)):
                 into[p : p + 1] = [s[place] for s in sides]
         if later:
-            i, j, k = (np.r_[old, new] for old, new in zip((i, j, k), np.array(later).T))
+            i, j, k = (np.concatenate((old, new)) for old, new in zip((i, j, k), np.array(later).T))
         size = min(2 * size, CLOSER)
     return found, list(zip(al, ah, bl, bh))
 
@@ -289,7 +304,7 @@ def matching_blocks(a: str, b: str) -> list[tuple[int, int, int]]:
     x, y = (np.frombuffer(s.encode("utf-32-le", "surrogatepass"), "<u4") for s in (a, b))
     letters = 0
     if len(a) * len(b) > SMALL:
-        distinct, names = np.unique(np.r_[x, y], return_inverse=True)
+        distinct, names = np.unique(np.concatenate((x, y)), return_inverse=True)
         x, y, letters = names[: len(x)], names[len(x) :], len(distinct)
     #: Parts, and what no common run of them is as long as.
     todo = [(0, len(a), 0, len(b), max(len(a), len(b)) + 1)]
@@ -333,18 +348,31 @@ def _differences(a: str, b: str, most: int, longest: int) -> tuple[float, list[s
 
 #: A type in words would need a session where the module is imported.
 COMPARED = StructType().add("similarity", DoubleType()).add("missing", ArrayType(StringType())).add("added", ArrayType(StringType()))
+for _name in ("body", "header", "number"):
+    COMPARED = COMPARED.add(_name, StringType())
+#: Rows of a batch whose texts are strings of Python at once.
+ROWS = 64
 
 
-@F.pandas_udf(COMPARED)
-def _compared(pairs: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-    for left, right in pairs:
-        rows = [_differences(a, b, 12, 160) for a, b in zip(left, right)]
-        yield pd.DataFrame(rows, columns=["similarity", "missing", "added"])
+def _plain(text: str) -> str:
+    """In compatibility form with single spaces; what splits is T.SPACE."""
+    return " ".join(unicodedata.normalize("NFKC", text).split())
 
 
-@F.pandas_udf(StringType())
-def _compatible(c: pd.Series) -> pd.Series:
-    return c.str.normalize("NFKC")
+@F.arrow_udf(COMPARED)
+def _compared(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """The differences of layer and body, and the plain forms of body, header and number."""
+    words = pa.list_(pa.string())
+    kind = pa.struct([("similarity", pa.float64()), ("missing", words), ("added", words), *((c, pa.string()) for c in ("body", "header", "number"))])
+    for columns in batches:
+        made = [pa.array([], kind)]
+        for at in range(0, len(columns[0]), ROWS):
+            rows = []
+            for texts in zip(*(c.slice(at, ROWS).to_pylist() for c in columns)):
+                layer, *others = map(_plain, texts)
+                rows.append((*_differences(layer, others[0], 12, 160), *others))
+            made.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], fields=list(kind)))
+        yield pa.concat_arrays(made)
 
 
 #: Signs that are counted as punctuation.
@@ -360,16 +388,15 @@ def compared(body: Column, layer: Column, header: Column, number: Column, orders
     the places of the body's blocks. punctuation and hyphens (at line ends) are differences of counts. Nulls are empty texts.
     """
     body, layer = F.coalesce(body, F.lit("")), F.coalesce(layer, F.lit(""))
-    plain = lambda c: T.strip(F.regexp_replace(_compatible(F.coalesce(c, F.lit(""))), f"{T.SPACE}+", " "))
-    found = _compared(plain(layer), plain(body))
-    low = lambda c: F.replace(F.lower(plain(c)), F.lit("ß"), F.lit("ss"))
-    within = lambda c: (low(c) != "") & F.contains(low(body), low(c))
+    found = _compared(layer, body, F.coalesce(header, F.lit("")), F.coalesce(number, F.lit("")))
+    low = lambda name: F.replace(F.lower(found[name]), F.lit("ß"), F.lit("ss"))
+    within = lambda name: (low(name) != "") & F.contains(low("body"), low(name))
     apart = lambda f: F.abs(f(body) - f(layer))
     signs = lambda c: F.length(c) - F.length(F.translate(c, PUNCTUATION, ""))
     hyphens = lambda c: F.size(F.filter(F.split(c, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: T.rstrip(x).endswith("-")))
     return F.struct(
         F.length(body).alias("body_chars"), F.length(layer).alias("layer_chars"), F.round(found["similarity"], 6).alias("similarity"), found["missing"].alias("missing"), found["added"].alias("added"),
-        within(header).alias("header_in_body"), within(number).alias("number_in_body"), (orders == F.array_sort(F.array_distinct(orders))).alias("order_reasonable"), apart(signs).alias("punctuation"), apart(hyphens).alias("hyphens"),
+        within("header").alias("header_in_body"), within("number").alias("number_in_body"), (orders == F.array_sort(F.array_distinct(orders))).alias("order_reasonable"), apart(signs).alias("punctuation"), apart(hyphens).alias("hyphens"),
     )
 
 

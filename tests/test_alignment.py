@@ -133,6 +133,17 @@ def test_matching_blocks_take_memory_in_proportion_to_the_texts(monkeypatch):
             assert alignment.matching_blocks(left, right) == [tuple(m) for m in SequenceMatcher(None, left, right, False).get_matching_blocks()[:-1]]
 
 
+def test_compared_with_nulls_other_spaces_and_more_rows_than_are_strings_at_once(spark):
+    texts = [("Ｆｏｏ\u2003\u2029bar ﬁn ", "foo bar fin\x1d", "FOO  BAR", "①"), (None, None, None, None), ("Straße 12", None, "STRASSE", "12"), (None, "x y", "x", ""), ("", "\u3000", " ", " ")]
+    rows = [(i, *texts[i % 5]) for i in range(2 * alignment.ROWS + 9)]
+    df = spark.createDataFrame(rows, "i int, body string, layer string, header string, number string").coalesce(1)
+    got = {r.i: r.c for r in df.select("i", alignment.compared(*map(F.col, ("body", "layer", "header", "number")), F.array(F.col("i"))).alias("c")).collect()}
+    want = [(0.909091, ["f"], ["F"], True, False), (1.0, [], [], False, False), (0.0, [], ["Straße 12"], True, True), (0.0, ["x y"], [], False, False), (1.0, [], [], False, False)]
+    assert len(got) == len(rows)
+    for i, c in got.items():
+        assert (c.similarity, c.missing, c.added, c.header_in_body, c.number_in_body) == want[i % 5]
+
+
 def test_page_comparison_over_the_table(spark, sf_dir):
     rows = {r.doc_id: r for r in plans.compared_pages(spark, sf_dir).collect()}
     plain = lambda s: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s or "")).strip()
