@@ -13,7 +13,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, StringType, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 from quire.functions import text as T
 
@@ -348,12 +348,25 @@ def _differences(a: str, b: str, most: int, longest: int) -> tuple[float, list[s
 
 #: A type in words would need a session where the module is imported.
 COMPARED = StructType().add("similarity", DoubleType()).add("missing", ArrayType(StringType())).add("added", ArrayType(StringType()))
-for _name in ("body", "header", "number"):
-    COMPARED = COMPARED.add(_name, StringType())
+for _name, _type in (("punctuation", IntegerType()), ("hyphens", IntegerType()), *((_c, StringType()) for _c in ("body", "header", "number"))):
+    COMPARED = COMPARED.add(_name, _type)
 #: Rows of a batch whose texts are strings of Python at once.
 ROWS = 64
 
 
+#: Signs that are counted as punctuation.
+PUNCTUATION = ".,;:!?—–-()[]{}\"'“”‘’"
+
+
+def _signs(text: str) -> int:
+    return sum(map(text.count, PUNCTUATION))
+
+
+def _hyphens(text: str) -> int:
+    """Lines that end with a hyphen, spaces aside."""
+    return sum(line.rstrip().endswith("-") for line in text.splitlines()) if "-" in text else 0
+
+
 def _plain(text: str) -> str:
     """In compatibility form with single spaces; what splits is T.SPACE."""
     return " ".join(unicodedata.normalize("NFKC", text).split())
@@ -361,24 +374,21 @@ def _plain(text: str) -> str:
 
 @F.arrow_udf(COMPARED)
 def _compared(batches: Iterator[tuple[pa.Array, pa.Array, pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-    """The differences of layer and body, and the plain forms of body, header and number."""
+    """The differences of layer and body, their texts' and their counts', and the plain forms of body, header and number."""
     words = pa.list_(pa.string())
-    kind = pa.struct([("similarity", pa.float64()), ("missing", words), ("added", words), *((c, pa.string()) for c in ("body", "header", "number"))])
+    kind = pa.struct([("similarity", pa.float64()), ("missing", words), ("added", words), ("punctuation", pa.int32()), ("hyphens", pa.int32()), *((c, pa.string()) for c in ("body", "header", "number"))])
     for columns in batches:
         made = [pa.array([], kind)]
         for at in range(0, len(columns[0]), ROWS):
             rows = []
             for texts in zip(*(c.slice(at, ROWS).to_pylist() for c in columns)):
                 layer, *others = map(_plain, texts)
-                rows.append((*_differences(layer, others[0], 12, 160), *others))
+                counts = (abs(f(texts[0]) - f(texts[1])) for f in (_signs, _hyphens))
+                rows.append((*_differences(layer, others[0], 12, 160), *counts, *others))
             made.append(pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), kind)], fields=list(kind)))
         yield pa.concat_arrays(made)
 
 
-#: Signs that are counted as punctuation.
-PUNCTUATION = ".,;:!?—–-()[]{}\"'“”‘’"
-
-
 def compared(body: Column, layer: Column, header: Column, number: Column, orders: Column) -> Column:
     """A page's recognised body against its text layer: struct(body_chars, layer_chars, similarity, missing, added,
     header_in_body, number_in_body, order_reasonable, punctuation, hyphens).
@@ -391,12 +401,9 @@ def compared(body: Column, layer: Column, header: Column, number: Column, orders
     found = _compared(layer, body, F.coalesce(header, F.lit("")), F.coalesce(number, F.lit("")))
     low = lambda name: F.replace(F.lower(found[name]), F.lit("ß"), F.lit("ss"))
     within = lambda name: (low(name) != "") & F.contains(low("body"), low(name))
-    apart = lambda f: F.abs(f(body) - f(layer))
-    signs = lambda c: F.length(c) - F.length(F.translate(c, PUNCTUATION, ""))
-    hyphens = lambda c: F.size(F.filter(F.split(c, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85  ]"), lambda x: T.rstrip(x).endswith("-")))
     return F.struct(
         F.length(body).alias("body_chars"), F.length(layer).alias("layer_chars"), F.round(found["similarity"], 6).alias("similarity"), found["missing"].alias("missing"), found["added"].alias("added"),
-        within("header").alias("header_in_body"), within("number").alias("number_in_body"), (orders == F.array_sort(F.array_distinct(orders))).alias("order_reasonable"), apart(signs).alias("punctuation"), apart(hyphens).alias("hyphens"),
+        within("header").alias("header_in_body"), within("number").alias("number_in_body"), (orders == F.array_sort(F.array_distinct(orders))).alias("order_reasonable"), found["punctuation"].alias("punctuation"), found["hyphens"].alias("hyphens"),
     )
 
 

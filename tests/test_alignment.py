@@ -144,6 +144,12 @@ def test_compared_with_nulls_other_spaces_and_more_rows_than_are_strings_at_once
         assert (c.similarity, c.missing, c.added, c.header_in_body, c.number_in_body) == want[i % 5]
 
 
+def test_hyphens_at_ends_of_lines_of_all_kinds_and_signs_are_counted(spark):
+    rows = [("end-\u2029 of -\x1c\r\nx-y -\u3000 ", None), ("a-", "b-\r\nc-\x85d -\u2028"), ("—–(“x”)…-", "no, -\t\n")]
+    df = spark.createDataFrame(rows, "body string, layer string").select(alignment.compared(F.col("body"), F.col("layer"), F.lit(""), F.lit(""), F.array(F.lit(1))).alias("c"))
+    assert [(r.c.hyphens, r.c.punctuation) for r in df.collect()] == [(3, 4), (2, 2), (0, 5)]
+
+
 def test_page_comparison_over_the_table(spark, sf_dir):
     rows = {r.doc_id: r for r in plans.compared_pages(spark, sf_dir).collect()}
     plain = lambda s: re.sub(r"\s+", " ", unicodedata.normalize("NFKC", s or "")).strip()
